@@ -169,3 +169,20 @@ def shingle_hash(words: np.ndarray, n: int) -> np.ndarray:
 
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+#: Bytes up to which a written side is broadcast; above, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def beside(big: DataFrame, small: DataFrame, on: list[str], how: str, lists: str | None = None) -> DataFrame:
+    """Joins texts with a written table about them. Its size is measured: within BROADCAST_BYTES the texts stay where they are."""
+    rows, items = small.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)) if lists else F.lit(0), F.lit(0))).first()
+    hint = "broadcast" if 80 * rows + 48 * items <= BROADCAST_BYTES else "shuffle_hash"
+    return big.join(small.hint(hint), on, how)
+
+
+def plain(df: DataFrame, *own: str) -> DataFrame:
+    """``df`` without columns that start with an underscore or have the name of a result: the operator's take their place."""
+    mine = {c.lower() for c in own}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_") and c.lower() not in mine])

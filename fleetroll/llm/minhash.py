@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_signed, mix64, row_keys, shingle_hash, written
+from .common import Words, as_signed, beside, mix64, plain, row_keys, shingle_hash, written
 from .components import components
 
 _A = (mix64(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -99,13 +99,47 @@ def _keyed(chunks: list[np.ndarray], hashes: int):
             for c, own in enumerate(chunks):
                 term = mix64(sig[:, own] + (own.astype(np.uint64) << np.uint64(20)) + np.uint64(1 << 40))
                 whole = np.add.reduce(term, axis=1)
-                for p in range(len(own)):
+                for p in range(len(own)):  # leaving out symbol p
                     key = mix64((whole - term[:, p]) ^ np.uint64(c * 64 + p + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), pa.array(cls)], names=["key", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), pa.array(np.full(len(cls), c, np.int8)), pa.array(np.full(len(cls), p, np.int8)), pa.array(cls)], names=["key", "chunk", "gap", "cls"])
 
     return run
 
 
+def _first_chunk(chunks: list[np.ndarray], distance: int) -> str:
+    """SQL: the two signatures are within the distance, and ``chunk``, ``gap`` is the first key they share.
+
+    With it every pair of a join by key comes once, however many keys it shares.
+    """
+    off = "transform(zip_with(sig, xsig, (p, q) -> p <> q), d -> IF(d, 1, 0))"
+    total = "aggregate({}, 0, (s, d) -> s + d)"
+    bounds = ", ".join(f"struct({int(c[0]) + 1} AS a, {len(c)} AS l)" for c in chunks)
+    wrong = total.format("slice(o, c.a, c.l)")
+    own = f"transform(filter(array({bounds}), (c, i) -> i = chunk), c -> slice(o, c.a, c.l))[0]"
+    gap = f"IF(aggregate({own}, 0, (s, d) -> s + d) = 0, gap = 0, {own}[gap] = 1)"
+    body = f"{total.format('o')} <= {distance} AND forall(filter(array({bounds}), (c, i) -> i < chunk), c -> {wrong} > 1) AND {gap}"
+    return f"exists(array({off}), o -> {body})"
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that may still link to another component, with set size ``n``, the ``shared`` part of it, and signature.
+
+    Only buckets with several components count.  A shingle that no other set among them has can't be in any
+    intersection, and sets that are left with too few others go; so does what then only they had, in a second turn.
+    """
+    for turn in range(2):
+        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        members = written(members.join(mixed, "key", "left_semi"), "open")
+        own = members.select("cls").distinct().join(sets.select("cls", "items", "sig"), "cls")
+        items = own.select("cls", F.explode("items").alias("item"))
+        twice = items.groupBy("item").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("item")
+        counts = items.join(twice, "item", "left_semi").groupBy("cls").agg(F.count("*").alias("shared"))
+        able = own.select("cls", F.size("items").alias("n"), "sig").join(counts, "cls").where(F.col("shared") * 100 >= F.col("n") * percent)
+        able = written(able, "able")
+        members = members.join(able if turn else able.select("cls"), "cls", "inner" if turn else "left_semi")
+    return members
+
+
 def _sets(shingle: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,14 +171,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes
         "signed",
     )
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(F.struct("_id", "_th")).alias("at"), F.first("sig").alias("sig"))
-    keys = classes.select("cls", "sig").mapInArrow(_keyed(chunks, hashes), "key long, cls long")
+    keys = classes.select("cls", "sig").mapInArrow(_keyed(chunks, hashes), "key long, chunk byte, gap byte, cls long")
     shared = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
     members = written(keys.join(shared, "key", "left_semi"), "members")
     active = members.select("cls").distinct().join(classes, "cls").select("cls", F.col("at._id").alias("_id"), F.col("at._th").alias("_th"), "sig")
-    sets = written(
-        text.select("_id", "_th", "text").dropDuplicates(["_id", "_th"]).join(active.hint("shuffle_hash"), ["_id", "_th"]).select("cls", "sig", "text").mapInArrow(_sets(shingle, hashes), "cls long, items array<long>, sig array<short>"),
-        "sets",
-    )
+    active = written(active, "active")
+    sets = beside(text.select("_id", "_th", "text"), active, ["_id", "_th"], "inner").select("cls", "sig", "text").mapInArrow(_sets(shingle, hashes), "cls long, items array<long>, sig array<short>")
+    sets = written(sets.dropDuplicates(["cls"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("cls").alias("a"), F.col("items").alias("ia"), F.col("sig").alias("sa"))
@@ -165,11 +198,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes
             pairs = state.join(hub, "key").where("comp <> bcomp").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
         else:
             # what is left: members outside their bucket's largest component, with all members of other components
+            state = _linkable(state, sets, percent)
             per = state.groupBy("key", "comp").agg(F.count("*").alias("n"))
             largest = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("main"))
             rest = state.join(largest, "key")
-            few = rest.where("comp <> main").select("key", F.col("cls").alias("x"), F.col("comp").alias("xc"))
-            pairs = few.join(rest.select("key", "cls", "comp", "main"), "key").where("xc <> comp and (comp = main or x < cls)").select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+            few = rest.where("comp <> main").select("key", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("shared").alias("xs"), F.col("sig").alias("xsig"))
+            near = "xc <> comp and (comp = main or x < cls) and least(shared, xs) * %d >= (n + xn) * %d and %s" % (100 + percent, percent, _first_chunk(chunks, distance))
+            pairs = few.join(rest.select("key", "chunk", "gap", "cls", "comp", "main", "n", "shared", "sig"), "key").where(near).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
         new = written(confirmed(pairs), "links")
         if links is not None and new.isEmpty():
             continue
@@ -190,5 +225,6 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
 
     A document without words is a component of its own and stays.
     """
-    marks = near_duplicates(docs, **params).where("kept").select("_id", "_th").distinct()
-    return row_keys(docs).join(marks.hint("shuffle_hash"), ["_id", "_th"], "left_semi").select(*docs.columns)
+    docs = plain(docs)
+    marks = near_duplicates(docs, **params).where("not kept").select("_id", "_th").distinct()
+    return beside(row_keys(docs), written(marks, "dropped"), ["_id", "_th"], "left_anti").select(*docs.columns)
