@@ -24,3 +24,17 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    import importlib
+    import pkgutil
+
+    from fleetroll import plans
+
+    for m in sorted(x.name for x in pkgutil.iter_modules(plans.__path__)):
+        if m.startswith("q_"):
+            importlib.import_module(f"fleetroll.plans.{m}")
+
+
+_load()
