@@ -25,6 +25,8 @@ from .common import Words, as_signed, beside, mix64, plain, row_keys, shingle_ha
 from .components import components
 
 _A = (mix64(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+#: Places of the parity sketch of a set: how many of its items fall on each place, modulo 2.
+PARITY = 1024
 _B = mix64(np.arange(1001, 1513, dtype=np.uint64)).astype(np.uint32)
 
 
@@ -130,11 +132,11 @@ def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for turn in range(2):
         mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         members = written(members.join(mixed, "key", "left_semi"), "open")
-        own = members.select("cls").distinct().join(sets.select("cls", "items", "sig"), "cls")
+        own = members.select("cls").distinct().join(sets, "cls")
         items = own.select("cls", F.explode("items").alias("item"))
         twice = items.groupBy("item").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("item")
         counts = items.join(twice, "item", "left_semi").groupBy("cls").agg(F.count("*").alias("shared"))
-        able = own.select("cls", F.size("items").alias("n"), "sig").join(counts, "cls").where(F.col("shared") * 100 >= F.col("n") * percent)
+        able = own.select("cls", F.size("items").alias("n"), "sig", "odd").join(counts, "cls").where(F.col("shared") * 100 >= F.col("n") * percent)
         able = written(able, "able")
         members = members.join(able if turn else able.select("cls"), "cls", "inner" if turn else "left_semi")
     return members
@@ -145,9 +147,10 @@ def _sets(shingle: int, hashes: int):
         for b in batches:
             sets = shingle_sets(Words(b.column("text"), lower=True), shingle)
             sig = [np.frombuffer(x, np.uint16).view(np.int16) for x in b.column("sig").to_pylist()]
+            odd = [np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("cls"), pa.array([as_signed(s) for s in sets], pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int16()))],
-                names=["cls", "items", "sig"],
+                [b.column("cls"), pa.array([as_signed(s) for s in sets], pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int16())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["cls", "items", "sig", "odd"],
             )
 
     return run
@@ -176,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes
     members = written(keys.join(shared, "key", "left_semi"), "members")
     active = members.select("cls").distinct().join(classes, "cls").select("cls", F.col("at._id").alias("_id"), F.col("at._th").alias("_th"), "sig")
     active = written(active, "active")
-    sets = beside(text.select("_id", "_th", "text"), active, ["_id", "_th"], "inner").select("cls", "sig", "text").mapInArrow(_sets(shingle, hashes), "cls long, items array<long>, sig array<short>")
+    sets = beside(text.select("_id", "_th", "text"), active, ["_id", "_th"], "inner").select("cls", "sig", "text").mapInArrow(_sets(shingle, hashes), "cls long, items array<long>, sig array<short>, odd array<long>")
     sets = written(sets.dropDuplicates(["cls"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -202,9 +205,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes
             per = state.groupBy("key", "comp").agg(F.count("*").alias("n"))
             largest = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("main"))
             rest = state.join(largest, "key")
-            few = rest.where("comp <> main").select("key", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("shared").alias("xs"), F.col("sig").alias("xsig"))
-            near = "xc <> comp and (comp = main or x < cls) and least(shared, xs) * %d >= (n + xn) * %d and %s" % (100 + percent, percent, _first_chunk(chunks, distance))
-            pairs = few.join(rest.select("key", "chunk", "gap", "cls", "comp", "main", "n", "shared", "sig"), "key").where(near).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+            few = rest.where("comp <> main").select("key", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("shared").alias("xs"), F.col("sig").alias("xsig"), F.col("odd").alias("xodd"))
+            # places where the sketches differ are a lower bound of how many items only one of the two sets has
+            apart = "aggregate(zip_with(odd, xodd, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+            near = f"xc <> comp and (comp = main or x < cls) and least(shared, xs) * {100 + percent} >= (n + xn) * {percent} and {apart} * {100 + percent} <= (n + xn) * {100 - percent} and {_first_chunk(chunks, distance)}"
+            pairs = few.join(rest.select("key", "chunk", "gap", "cls", "comp", "main", "n", "shared", "sig", "odd"), "key").where(near).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
         new = written(confirmed(pairs), "links")
         if links is not None and new.isEmpty():
             continue
