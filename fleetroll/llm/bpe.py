@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import Chunked
+from .common import sliced
 
 _NONE = np.int32(2**31 - 1)
 
@@ -151,7 +152,7 @@ def _loaded(path: str, pattern: str) -> tuple[Bpe, Chunked]:
 def _encoded(path: str, pattern: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, chunked = _loaded(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             ids = chunked.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
 
@@ -190,7 +191,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, chunked = _loaded(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             ids = chunked.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [

@@ -13,7 +13,7 @@ import regex
 
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?=\s|\Z)")
-MOST_CHUNKS = 1 << 20
+MOST_CHUNKS = 300_000
 
 
 class Chunked:

@@ -8,9 +8,11 @@ bytes of an Arrow string column, a whole batch at a time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,16 @@ def row_keys(df: DataFrame) -> DataFrame:
     )
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of text, so that what a task holds doesn't grow with its batches."""
+    for b in batches:
+        n = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.diff(np.cumsum(n) // most, prepend=0))
+        for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
+            if hi > lo:
+                yield b.slice(int(lo), int(hi - lo))
+
+
 # ---------------------------------------------------------------- vectorised words
 
 
@@ -121,7 +133,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = span_hash(_TABLE[self.data], self.starts, self.ends)
+            self._hash = span_hash(self.data, self.starts, self.ends, _TABLE)
         return self._hash
 
 
@@ -141,8 +153,8 @@ def utf8_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of values[start:end] for every span, by prefix sums modulo 2**64.
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray | None = None) -> np.ndarray:
+    """A polynomial hash of values[start:end] for every span, by prefix sums modulo 2**64; ``names`` maps values first.
 
     Works in slices: powers start anew every 64 thousand spans, so the tables stay small.
     """
@@ -153,7 +165,8 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         lo, hi = int(s.min()), int(e.max())
         n = hi - lo
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[lo:hi] * _powers(_R, n + 1)[:n], out=prefix[1:])
+        part = values[lo:hi] if names is None else names[values[lo:hi]]
+        np.cumsum(part * _powers(_R, n + 1)[:n], out=prefix[1:])
         h = (prefix[e - lo] - prefix[s - lo]) * _powers(_RINV, n + 1)[s - lo]
         out[a : a + step] = mix64(h ^ mix64((e - s).astype(np.uint64) * _MULT))
     return out

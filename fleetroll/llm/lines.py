@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, plain, row_keys, written
+from .common import beside, plain, row_keys, sliced, written
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _SEG = 16  # bits of a place within a segment of the filter
@@ -42,7 +42,7 @@ def _filled(bits: int, min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
-        for b in batches:
+        for b in sliced(batches):
             keys = [k for t in b.column("text").to_pylist() if t for k in line_keys(t, min_chars)]
             if keys:
                 parts.append(_hashes(keys))
@@ -93,7 +93,7 @@ def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
 def _suspected(shared, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = shared.value
-        for b in batches:
+        for b in sliced(batches):
             at, keys, lines = [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 for k, own in line_keys(t, min_chars).items() if t else ():

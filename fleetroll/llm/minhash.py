@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_signed, beside, mix64, plain, row_keys, shingle_hash, written
+from .common import Words, as_signed, beside, mix64, plain, row_keys, shingle_hash, sliced, written
 from .components import components
 
 _A = (mix64(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -71,7 +71,7 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 
 def _signed(shingle: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(Words(b.column("text"), lower=True), shingle)
             some = [i for i, s in enumerate(sets) if len(s)]
             n = np.array([len(s) for s in sets], np.int64)
@@ -144,7 +144,7 @@ def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets(shingle: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(Words(b.column("text"), lower=True), shingle)
             sig = [np.frombuffer(x, np.uint16).view(np.int16) for x in b.column("sig").to_pylist()]
             odd = [np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64) for s in sets]

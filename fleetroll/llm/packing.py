@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunked
-from .common import written
+from .common import sliced, written
 from .numbering import buckets_for, numbered
 
 
@@ -67,7 +67,7 @@ def _cut(path: str, pattern: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(path, pattern)
         tail = end.to_bytes(4, "little")
-        for b in batches:
+        for b in sliced(batches):
             at, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encode([t or "" for t in b.column("text").to_pylist()])):
                 ids += tail

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_signed, beside, plain, row_keys, shingle_hash, span_hash, written
+from .common import Words, as_signed, beside, plain, row_keys, shingle_hash, sliced, span_hash, written
 
 GRAM = 8
 _CHUNK = 1 << 22
@@ -176,7 +176,7 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _anchored(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             w = Words(b.column("text"), lower=False)
             first, count, h, sh = anchors(w, window)
             d = w.doc[first] if len(first) else first
@@ -191,7 +191,7 @@ def _anchored(window: int):
 
 def _passages(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             w = Words(b.column("text"), lower=False)
             hash_ = as_signed(w.hash)
             at, h, sh, hot, out = [], [], [], [], []
@@ -248,7 +248,7 @@ def _windows(window: int):
 
 def _cleaned(window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n_words, n_removed, kept = [], [], []
             for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
                 words = (t or "").encode().split()
