@@ -12,8 +12,8 @@ from collections.abc import Callable
 import regex
 
 _CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?=\s|\Z)")
-MOST_CHUNKS = 300_000
+_ODD = re.compile(r" \s")
+MOST_CHUNKS = 800_000
 
 
 class Chunked:
@@ -39,18 +39,17 @@ class Chunked:
     def encode(self, texts: list[str]) -> list[bytes]:
         """A first chunk has no space before it; it is kept under its text with a mark of its own."""
         split = []
-        missing: dict[str, list[str]] = {}
+        words: set[str] = set()
         if len(self.chunks) > MOST_CHUNKS:
             self.chunks.clear()
             self.pieces.clear()
         known = self.chunks
         for t in texts:
-            parts = _CUT.split(t) if _ODD.search(t) else t.split(" ")
+            parts = _CUT.split(t) if _ODD.search(t) or t.endswith(" ") else t.split(" ")
             parts[0] = "\0" + parts[0]
             split.append(parts)
-            for p in parts:
-                if p not in known and p not in missing:
-                    missing[p] = self._pieces_of(p[1:] if p[:1] == "\0" else " " + p)
+            words.update(parts)
+        missing = {p: self._pieces_of(p[1:] if p[:1] == "\0" else " " + p) for p in words.difference(known)}
         if missing:
             new = list({x for xs in missing.values() for x in xs if x not in self.pieces})
             self.pieces.update(zip(new, self.encode_pieces([x.encode() for x in new])))

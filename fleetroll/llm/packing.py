@@ -9,6 +9,7 @@ their place by their number among the pieces of their length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,7 +50,7 @@ def _tokenizer(path: str, pattern: str):
     model = tok.model
 
     def pieces(ps: list[bytes]) -> list[bytes]:
-        return [np.array([x.id for x in model.tokenize(p.decode("latin-1").translate(letters))], "<u4").tobytes() for p in ps]
+        return [array("I", [x.id for x in model.tokenize(p.decode("latin-1").translate(letters))]).tobytes() for p in ps]
 
     chunked = Chunked(pattern, pieces)
 

@@ -123,8 +123,8 @@ def _sql() -> str:
     ws = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-    w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w,
-          list_filter(string_split(t, chr(10)), x -> length(translate(x, {ws}, '')) > 0) AS l FROM t),
+    w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+          list_filter(string_split(t, chr(10)), lambda x: length(translate(x, {ws}, '')) > 0) AS l FROM t),
     g AS (SELECT doc_id, w, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
     f AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
     r AS (SELECT doc_id, sum(least(3, coalesce(nx - i, 3)))::BIGINT AS n_repeat_words
