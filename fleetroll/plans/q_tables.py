@@ -110,7 +110,7 @@ def l5(spark, sf):
 
 
 @query("a1_annual", f"""{cte('series')}, d AS (SELECT {K}, CASE sheet WHEN 'A' THEN 'first' WHEN 'N' THEN CASE row_no WHEN 1 THEN 'last' ELSE 'average' END ELSE 'sum' END AS method, year(period_end) + CASE WHEN month(period_end) <= 6 THEN 0 ELSE 1 END AS fy, period_end, value FROM series)
-    SELECT {K}, fy::INT AS fy, method, round(CASE method WHEN 'first' THEN arg_min(value, period_end) WHEN 'last' THEN arg_max(value, period_end) WHEN 'average' THEN avg(value) ELSE sum(value) END, 4) AS value, count(*) < 12 AS partial FROM d GROUP BY {K}, fy, method""")
+    SELECT {K}, fy::INT AS fy, method, round(CASE method WHEN 'first' THEN arg_min(value, period_end) WHEN 'last' THEN arg_max(value, period_end) WHEN 'average' THEN round(avg(value), 1) ELSE sum(value) END, 4) AS value, count(*) < 12 AS partial FROM d GROUP BY {K}, fy, method""")
 def a1(spark, sf):
     m = F.when(F.col("sheet") == "A", "first").when((F.col("sheet") == "N") & (F.col("row_no") == 1), "last").when(F.col("sheet") == "N", "average").otherwise("sum")
     return agg.annual(view(spark, sf, "series"), m, KEY, 6).withColumn("value", F.round("value", 4))
