@@ -113,7 +113,7 @@ def l5(spark, sf):
     SELECT {K}, fy::INT AS fy, method, round(CASE method WHEN 'first' THEN arg_min(value, period_end) WHEN 'last' THEN arg_max(value, period_end) WHEN 'average' THEN round(avg(value), 1) ELSE sum(value) END, 4) AS value, count(*) < 12 AS partial FROM d GROUP BY {K}, fy, method""")
 def a1(spark, sf):
     m = F.when(F.col("sheet") == "A", "first").when((F.col("sheet") == "N") & (F.col("row_no") == 1), "last").when(F.col("sheet") == "N", "average").otherwise("sum")
-    return agg.annual(view(spark, sf, "series"), m, KEY, 6).withColumn("value", F.round("value", 4))
+    return agg.annual(view(spark, sf, "series"), m, KEY, 6).withColumn("value", F.when(F.col("method") == "average", F.round("value", 1)).otherwise(F.round("value", 4)))
 
 
 @query("a2_flows_by_fy", f"""{cte('flows')}, f AS (SELECT core_id, period_end, cf, 'last' AS feed, DATE '1997-06-30' AS v FROM flows UNION ALL SELECT core_id, (period_end + INTERVAL 12 MONTH)::DATE, cf * 1.02, 'this', DATE '1998-06-30' FROM flows)
