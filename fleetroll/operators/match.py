@@ -143,3 +143,78 @@ def diff_cells(old: DataFrame, new: DataFrame, on: list[str], tol: float = 1e-9)
     same = F.abs(F.col("old") - F.col("new")) <= tol * F.greatest(F.lit(1.0), F.abs("old"), F.abs("new"))
     what = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(same, "same").otherwise("changed")
     return j.withColumn("change", what)
+
+
+def by_neighbours(edges: DataFrame, prior_rows: DataFrame, current_rows: DataFrame, least: float = 0.34, k: int = 3) -> DataFrame:
+    """Rows by the Jaccard similarity of the labels of what they read.
+
+    ``edges(version, src, dst)`` with versions prior and current; rows are ``(node, label)``.
+    """
+    def labels(version: str, rows: DataFrame, own: str) -> DataFrame:
+        e = edges.where(F.col("version") == version)
+        return e.join(rows.select(F.col("node").alias("dst"), norm(F.col("label")).alias("item")), "dst").select(F.col("src").alias(own), "item").distinct()
+
+    from .windows import jaccard
+
+    j = jaccard(labels("prior", prior_rows, "row"), labels("current", current_rows, "cur_row"), "row", "cur_row", "item").where(F.col("jaccard") >= least)
+    w = Window.partitionBy("row").orderBy(F.col("jaccard").desc(), "cur_row")
+    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+#: Weights of the kinds of evidence.
+WEIGHTS = {"label": 0.3, "history": 0.35, "words": 0.2, "neighbours": 0.15, "banner": 0.25, "trace": 0.5, "block": 0.3, "lineage": 0.2}
+
+
+def decide(evidence: DataFrame, accept: float = 0.3, confident: float = 0.5) -> DataFrame:
+    """The best current row of every prior row by weighted evidence ``(workbook_id, row, cur_row, strategy, score)``.
+
+    The best score of each strategy counts once.  Rows below ``accept`` stay open.
+    """
+    weight = F.coalesce(*[F.when(F.col("strategy") == s, F.lit(w)) for s, w in WEIGHTS.items()])
+    best = evidence.groupBy("workbook_id", "row", "cur_row", "strategy").agg(F.max("score").alias("score"))
+    total = best.groupBy("workbook_id", "row", "cur_row").agg(F.sum(weight * F.col("score")).alias("total"), F.count("*").alias("strategies"))
+    w = Window.partitionBy("workbook_id", "row").orderBy(F.round("total", 9).desc(), F.col("strategies").desc(), "cur_row")
+    d = total.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return d.withColumn("status", F.when(F.col("total") >= confident, "confident").when(F.col("total") >= accept, "accepted").otherwise("open"))
+
+
+def exclude_copies(cands: DataFrame, prior: DataFrame, current: DataFrame, least: int = 3) -> DataFrame:
+    """Candidates without those that equal last year's row in all (``least`` or more) shared periods."""
+    c = check(cands, prior, current)
+    copies = c.where((F.col("periods") >= least) & (F.col("equal") == F.col("periods")))
+    return cands.join(copies.select(*cands.columns), cands.columns, "left_anti")
+
+
+def term_changes(edges: DataFrame, matches: DataFrame) -> DataFrame:
+    """Children of matched sums that have no partner among the other's: new this year, gone since last year.
+
+    ``edges(version, src, dst)``, ``matches(row, cur_row)``.
+    """
+    p, c = edges.where("version = 'prior'").select("src", "dst"), edges.where("version = 'current'").select("src", "dst")
+    sums = matches.select(F.col("row").alias("sum_row"), F.col("cur_row").alias("sum_cur"))
+    a = sums.join(p, F.col("sum_row") == F.col("src")).select("sum_row", "sum_cur", F.col("dst").alias("row"))
+    b = sums.join(c, F.col("sum_cur") == F.col("src")).select("sum_row", "sum_cur", F.col("dst").alias("cur_row"))
+    paired = a.join(matches, "row").join(b, ["sum_row", "sum_cur", "cur_row"]).select("sum_row", "sum_cur", "row", "cur_row")
+    gone = a.join(paired, ["sum_row", "sum_cur", "row"], "left_anti").select("sum_row", F.col("row").alias("term"), F.lit("gone").alias("change"))
+    new = b.join(paired, ["sum_row", "sum_cur", "cur_row"], "left_anti").select("sum_row", F.col("cur_row").alias("term"), F.lit("new").alias("change"))
+    return gone.union(new)
+
+
+def file_keys(files: DataFrame) -> DataFrame:
+    """Family of a file name (without versions and dates) and the date in it: yyyymmdd, or FYyy as 30 June."""
+    n = F.lower("filename")
+    stem = F.regexp_replace(F.regexp_replace(n, r"\.[a-z0-9]+$", ""), r"(\d{8}|fy\d{2}|v\d+)", " ")
+    full = F.try_to_date(F.regexp_extract(n, r"(\d{8})", 1), "yyyyMMdd")
+    fy = F.nullif(F.regexp_extract(n, r"fy(\d{2})", 1), F.lit(""))
+    return files.withColumn("family", F.trim(F.regexp_replace(stem, r"[^a-z]+", " "))).withColumn("file_date", F.coalesce(full, F.make_date(2000 + fy.cast("int"), F.lit(6), F.lit(30))))
+
+
+def balances(reads: DataFrame, prior: DataFrame, current: DataFrame, months: int, check_at: float = 0.1, block_at: float = 0.5) -> DataFrame:
+    """Figures read at one period: this year's at the shifted date against last year's forecast for that date."""
+    key = ["workbook_id", "sheet", "row_no"]
+    at = F.last_day(F.add_months("period_end", months))
+    r = reads.withColumn("to_end", at)
+    side = lambda d, name: d.select(*key, F.col("period_end").alias("to_end"), F.col("value").alias(name))
+    j = r.join(side(prior, "forecast"), [*key, "to_end"], "left").join(side(current, "actual"), [*key, "to_end"], "left")
+    off = F.abs(F.col("actual") - F.col("forecast")) / F.abs("forecast")
+    return j.withColumn("status", F.when(F.col("actual").isNull(), "missing").when(F.col("forecast").isNull(), "no forecast").when(off >= block_at, "block").when(off >= check_at, "check").otherwise("ok"))

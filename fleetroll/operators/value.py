@@ -63,3 +63,99 @@ def drivers(flows: DataFrame, factored: DataFrame, bump: float = 0.01, k: int =
     """The effect on the value of one per cent on each linear input, largest first."""
     e = factored.groupBy("core_id").agg((F.sum(F.col("cf") * F.col("factor")) * bump).alias("effect"))
     return e.orderBy(F.abs("effect").desc(), "core_id").limit(k)
+
+
+def methods(flows: DataFrame, discountings: DataFrame) -> DataFrame:
+    """PV under each timing and day count and with cash flows on the date kept, and its difference to the default."""
+    from . import fin
+
+    spark = flows.sparkSession
+    m = spark.createDataFrame([("default", None, None, 0), ("mid-period", "mid", None, 0), ("mid-year", "mid-year", None, 0), ("other day count", None, "actual/365", 0), ("on-date kept", None, None, 1)], "method string, t string, d string, early int")
+    p = discountings.crossJoin(F.broadcast(m))
+    p = p.withColumn("timing", F.coalesce("t", "timing")).withColumn("day_count", F.coalesce("d", "day_count")).withColumn("valuation_date", F.date_sub("valuation_date", F.col("early")))
+    pv = fin.dcf(flows, p.drop("t", "d", "early"), extra=("method",)).select("core_id", "method", "pv")
+    base = pv.where("method = 'default'").select("core_id", F.col("pv").alias("_b"))
+    return pv.join(base, "core_id").select("core_id", "method", "pv", (F.col("pv") - F.col("_b")).alias("effect"))
+
+
+def scenario(flows: DataFrame, discountings: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Model and scenario PV where overrides(core_id, new_rate, new_timing, new_date) are given, and what changed."""
+    from . import fin
+
+    j = discountings.join(overrides, "core_id", "left")
+    s = j.select("core_id", F.coalesce("new_rate", "rate").alias("rate"), F.coalesce("new_date", "valuation_date").alias("valuation_date"), F.coalesce("new_timing", "timing").alias("timing"), "day_count", "terminal_date")
+    changed = F.array_compact(F.array(F.when(F.col("new_rate") != F.col("rate"), "rate"), F.when(F.col("new_timing") != F.col("timing"), "timing"), F.when(F.col("new_date") != F.col("valuation_date"), "date")))
+    a, b = fin.dcf(flows, discountings).select("core_id", F.col("pv").alias("model")), fin.dcf(flows, s).select("core_id", F.col("pv").alias("scenario"))
+    return a.join(b, "core_id").join(j.select("core_id", F.array_join(changed, ",").alias("changed")), "core_id")
+
+
+def fit_factors(factors: DataFrame, candidates: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """Rate, date, timing and day count that give back every factor: ``factors(core_id, period_end, start, factor)``.
+
+    For every candidate date and convention the rate follows from the first live factor in closed form; what doesn't
+    give the others back within ``tol`` goes; then the latest date and the first convention.
+    """
+    from fleetroll.functions.dates import yearfrac
+
+    from .fin import DAY_COUNTS, TIMINGS
+
+    spark = factors.sparkSession
+    c = spark.createDataFrame([(i * 2 + k, t, d) for i, t in enumerate(TIMINGS) for k, d in enumerate(DAY_COUNTS)], "combo int, timing string, day_count string")
+    f = factors.where("factor > 0").join(candidates.select("core_id", "date").distinct(), "core_id").where("period_end > date").crossJoin(F.broadcast(c))
+    start = F.greatest("start", "date")
+    mid = F.date_add(start, F.floor(F.date_diff("period_end", start) / 2).cast("int"))
+    to = F.when(F.col("timing") == "mid", mid).otherwise(F.col("period_end"))
+    t = F.when(F.col("day_count") == "actual/365", yearfrac(F.col("date"), to, 3)).otherwise(yearfrac(F.col("date"), to, 1)) - F.when(F.col("timing") == "mid-year", 0.5).otherwise(0.0)
+    f = f.withColumn("t", t)
+    first = f.where("t > 0").groupBy("core_id", "date", "combo").agg(F.min_by(F.struct("factor", "t"), "period_end").alias("x"))
+    rate = first.select("core_id", "date", "combo", (F.pow(F.col("x.factor"), -1 / F.col("x.t")) - 1).alias("rate"))
+    off = F.max(F.abs(F.pow(1 + F.col("rate"), -F.col("t")) - F.col("factor")))
+    g = f.join(rate, ["core_id", "date", "combo"]).groupBy("core_id", "date", "combo", "timing", "day_count", "rate").agg(off.alias("off"), F.count("*").alias("periods"))
+    w = Window.partitionBy("core_id").orderBy(F.col("date").desc(), "combo")
+    return g.where((F.col("off") < tol) & (F.col("periods") > 1)).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "combo", "off")
+
+
+def fit_terminal(cells: DataFrame, values: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """Which read cells make a terminal value: x (1 + g) / (r - g) or x / (r - g), with 0 <= g < r < 0.3.
+
+    ``cells(core_id, cell, value)`` are the few cells that a terminal value reads; small cells are rates.
+    """
+    rates = cells.where("value >= 0 and value < 0.3")
+    r = rates.select("core_id", F.col("cell").alias("r_cell"), F.col("value").alias("r"))
+    g = rates.select("core_id", F.col("cell").alias("g_cell"), F.col("value").alias("g"))
+    x = cells.where("abs(value) >= 0.3").select("core_id", F.col("cell").alias("x_cell"), F.col("value").alias("x"))
+    j = values.join(x, "core_id").join(r, "core_id").join(g, "core_id").where("g < r and g_cell <> r_cell")
+    near = lambda v: F.abs(v - F.col("tv")) <= tol * F.greatest(F.lit(1.0), F.abs("tv"))
+    grown, flat = near(F.col("x") * (1 + F.col("g")) / (F.col("r") - F.col("g"))), near(F.col("x") / (F.col("r") - F.col("g")))
+    j = j.withColumn("form", F.when(grown, "grown").when(flat, "flat")).where("form is not null")
+    w = Window.partitionBy("core_id").orderBy("form", "x_cell", "r_cell", "g_cell")
+    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("core_id", "form", "x_cell", "r_cell", "g_cell")
+
+
+def zero_roll(values: DataFrame) -> DataFrame:
+    """This model at the last date over the last value: ok, confirm or off."""
+    r = F.col("at_last") / F.col("last")
+    return values.withColumn("ratio", r).withColumn("verdict", F.when(~r.between(0.75, 1.33) | r.isNull(), "off").when(~r.between(0.87, 1.15), "confirm").otherwise("ok"))
+
+
+def forecast_end(flows: DataFrame) -> DataFrame:
+    """Last period with a cash flow of each feed, last and this, and the months between them."""
+    g = flows.where("cf <> 0").groupBy("core_id").agg(F.max(F.when(F.col("feed") == "last", F.col("period_end"))).alias("last_end"), F.max(F.when(F.col("feed") == "this", F.col("period_end"))).alias("this_end"))
+    return g.withColumn("months", F.round(F.months_between("this_end", "last_end")).cast("int"))
+
+
+def roll_months(prior: DataFrame, current: DataFrame) -> DataFrame:
+    """The months by which most sheets' first periods moved, of 1 to 24 (the fewer on a tie), per workbook."""
+    a = prior.groupBy("workbook_id", "sheet").agg(F.min("period_end").alias("a"))
+    b = current.groupBy("workbook_id", "sheet").agg(F.min("period_end").alias("b"))
+    m = a.join(b, ["workbook_id", "sheet"]).withColumn("months", ((F.year("b") - F.year("a")) * 12 + F.month("b") - F.month("a")).cast("int")).where("months between 1 and 24")
+    n = m.groupBy("workbook_id", "months").agg(F.count("*").alias("sheets"))
+    w = Window.partitionBy("workbook_id").orderBy(F.col("sheets").desc(), "months")
+    return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def conclusion(facts: DataFrame) -> DataFrame:
+    """low, mid and high of an engagement: ex unless cum is spoken of three times as often; ends put in order."""
+    f = facts.withColumn("basis", F.when(F.col("cum_mentions") >= 3 * F.greatest("ex_mentions", F.lit(1)), "cum").otherwise("ex"))
+    low, high = F.least("low", "high"), F.greatest("low", "high")
+    return f.select("engagement_id", "basis", low.alias("low"), ((low + high) / 2).alias("mid"), high.alias("high"))
