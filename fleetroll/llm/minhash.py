@@ -156,7 +156,7 @@ def _sets(shingle: int, hashes: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes: int = 64, sigmas: float = 4.0, hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes: int = 64, sigmas: float = 4.0, hub_rounds: int = 2) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, _id, _th, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |A and B| >= percent * |A or B| on the full shingle sets (A-Z lower-cased);
