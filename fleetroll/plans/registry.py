@@ -19,10 +19,12 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(_ORACLES)
 
 
@@ -36,5 +38,3 @@ def _load() -> None:
         if m.startswith("q_"):
             importlib.import_module(f"fleetroll.plans.{m}")
 
-
-_load()
