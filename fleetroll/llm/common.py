@@ -7,7 +7,6 @@ bytes of an Arrow string column, a whole batch at a time.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetroll.sources.tables import shared_dir, written  # noqa: F401  (for the operators)
+
 WS = r"\x20\x09-\x0D"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _M64 = (1 << 64) - 1
@@ -25,26 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; one is set only where none is."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        import tempfile
-
-        d = "file://" + tempfile.mkdtemp(prefix="fleetroll-")
-        spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder; lost executors lose nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_keys(df: DataFrame) -> DataFrame:
     """Adds ``_id`` and ``_th``: rows that agree on both have the same doc_id and text, so they share results.
 
