@@ -302,7 +302,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, hot: int = 2000, shard_p
     spans = spans.select("_id", "_th", F.when(F.col("low") < F.col("doc_id"), whole).otherwise(each).alias("s"))
     spans = written(spans.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans")), "spans")
     names = docs.columns
-    out = beside(keyed.select(*names, "_id", "_th"), spans, ["_id", "_th"], "left", "spans").drop("_id", "_th")
+    out = keyed.select(*names, "_id", "_th").join(spans.hint("shuffle_hash"), ["_id", "_th"], "left").drop("_id", "_th")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
     return out.mapInArrow(_cleaned(window, names), f"{schema}, n_words long, n_removed long, kept_text string")
 
