@@ -15,7 +15,7 @@ RULES: list[tuple[int, str, str]] = [
     (0, "too_few_words", "n_words < 50"),
     (1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     (2, "symbols", "10 * n_symbols > n_words"),
-    (3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    (3, "repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     (4, "short_words", "word_chars < 2 * n_words"),
     (5, "long_words", "word_chars > 16 * n_words"),
     (6, "few_letters", "10 * n_letters < 5 * word_chars"),
