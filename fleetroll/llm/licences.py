@@ -57,8 +57,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES, percent: i
     lo = min(r["n"] for r in known) * percent // (200 - percent)
     hi = -(-max(r["n"] for r in known) * (200 - percent) // percent)
     d = docs.withColumn("_u", F.transform(F.concat(F.array(F.coalesce("text", F.lit(""))), F.split(F.coalesce("text", F.lit("")), "\n")), normalised))
-    # the number of words bounds the number of bigrams; longer and shorter units go before any bigram is made
-    d = d.withColumn("_c", F.expr(f"filter(transform(_u, (x, i) -> struct(i as line, split(x, ' ') as w)), x -> size(x.w) between {lo} and {hi * 4} and (x.line > 0 or size(_u) > 2))"))
+    # too few words are too few bigrams; many words may be few distinct ones, so only those are bounded from above
+    d = d.withColumn("_c", F.expr(f"filter(transform(_u, (x, i) -> struct(i as line, split(x, ' ') as w)), x -> size(x.w) >= {lo} and (x.line > 0 or size(_u) > 2))"))
     d = d.withColumn("_g", F.expr("transform(_c, x -> struct(x.line as line, IF(size(x.w) < 2, array(), array_distinct(transform(sequence(0, size(x.w) - 2), i -> concat(x.w[i], ' ', x.w[i + 1])))) as g))"))
     d = d.withColumn("_g", F.expr(f"filter(_g, x -> size(x.g) between {max(1, lo)} and {hi})"))
     every = sorted({g for r in known for g in r["grams"]})

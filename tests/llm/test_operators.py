@@ -279,6 +279,15 @@ def test_licences(spark):
     assert got[3] == got[4] == got[5] == got[6] == (None, None, False)
 
 
+def test_licences_repeated_notice(spark):
+    notice = "Released under the MIT License. "
+    rows = [(1, notice * 74), (2, notice * 75), (3, notice * 90), (4, "\n".join([notice] * 90)), (5, notice * 3000)]
+    got = {r["doc_id"]: r for r in collected(licences.scan(frame(spark, rows)))}
+    assert all(got[d]["licence"] == "MIT" and got[d]["line"] == 1 and got[d]["dice"] >= round(8 / 9, 6) for d in (1, 2, 3, 5))
+    assert all(got[d]["n_found"] == 1 for d in (1, 2, 3, 5))
+    assert (got[4]["licence"], got[4]["line"], got[4]["dice"], got[4]["n_found"]) == ("MIT", 1, 1.0, 91)
+
+
 def test_warc(spark):
     html = '<!DOCTYPE html><html lang="fr"><head><title>T &amp; U</title><script>var x="<p>";</script></head><body><p>One<br>two &lt;3<a href="/x">y</a></p><!-- no --></body></html>'
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (3, "http://b/", ""), (3, "http://b/", "")], "page_id long, url string, html string")
