@@ -1,11 +1,17 @@
-"""Licence scan: normalised lines and texts against templates, by Dice over distinct word bigrams."""
+"""Licence scan: normalised lines, texts and windows of words against templates, by Dice over distinct word bigrams."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import plain
+from .common import Words, plain, shingle_hash, sliced
 
 #: The usual notices by which a work names its licence.
 NOTICES: list[tuple[str, str]] = [
@@ -27,52 +33,186 @@ NOTICES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Full licence texts, one file a licence. (CC-BY, CC-BY-SA and CC-BY-NC are known by their notices only.)
+TEXTS: list[tuple[str, str]] = [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
 
 def normalised(text: Column) -> Column:
     """Lower case, everything but letters and digits a single space."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _bigrams(words: str) -> Column:
-    return F.expr(f"IF(size({words}) < 2, array(), array_distinct(transform(sequence(0, size({words}) - 2), i -> concat({words}[i], ' ', {words}[i + 1]))))")
+def _by_line(text: Column) -> Column:
+    """The normalised lines, each still on a line of its own."""
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normalised), "\n")
+
+
+def _bigrams(w: Words) -> np.ndarray:
+    """A hash of each word and the next one, whatever text they are in."""
+    return shingle_hash(w.hash, 2) if len(w.starts) > 1 else np.zeros(0, np.uint64)
+
+
+class Templates:
+    """Distinct bigrams of every template: sorted hashes, and the templates each one is in."""
+
+    def __init__(self, names: list[str], bodies: list[str], percent: int):
+        self.names, self.percent = names, percent
+        own = [_bigrams(Words(pa.array([x]), False)) for x in bodies]
+        self.length = np.array([len(g) for g in own], np.int64)
+        own = [np.unique(g) for g in own]
+        self.n = np.array([len(g) for g in own], np.int64)
+        #: shared bigrams that a unit needs: 200 s >= percent * (m + n), and m >= s
+        self.need = np.maximum(1, -(-self.n * percent // (200 - percent)))
+        t = np.repeat(np.arange(len(own)), self.n)
+        g = np.concatenate([*own, np.zeros(0, np.uint64)])
+        at = np.argsort(g, kind="stable")
+        self.grams, self.first = np.unique(g[at], return_index=True)
+        self.first, self.t = np.append(self.first, len(g)), t[at]
 
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``h`` and templates that have the bigram there."""
+        at = np.searchsorted(self.grams, h)
+        at[at == len(self.grams)] = 0
+        where = np.flatnonzero(self.grams[at] == h) if len(self.grams) else np.zeros(0, np.int64)
+        lo = self.first[at[where]]
+        n = self.first[at[where] + 1] - lo
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(where, n), self.t[np.repeat(lo, n) + inner]
 
-def _template_table(spark, templates: list[tuple[str, str]]) -> DataFrame:
-    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "t_no int, licence string, body string")
-    t = t.withColumn("w", F.split(normalised(F.col("body")), " ")).withColumn("grams", _bigrams("w"))
-    return t.select("t_no", "licence", "grams", F.size("grams").alias("n"))
 
+def _previous(h: np.ndarray) -> np.ndarray:
+    """The place of the same value before each one, or -1."""
+    at = np.argsort(h, kind="stable")
+    out = np.full(len(h), -1, np.int64)
+    same = h[at[1:]] == h[at[:-1]]
+    out[at[1:][same]] = at[:-1][same]
+    return out
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES, percent: int = 80) -> DataFrame:
+
+def _in_windows(where: np.ndarray, prev: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Distinct values among those at ``where``, for each window of ``length`` of the ``n`` places.
+
+    A value counts once: where it comes first, in windows that start after its previous place.
+    """
+    lo = np.maximum(np.maximum(prev[where], where - length) + 1, 0)
+    d = np.bincount(lo, minlength=n + 1) - np.bincount(where + 1, minlength=n + 1)
+    return np.cumsum(d)[: n - length + 1]
+
+
+def _found(t: int, tm: Templates, lines: np.ndarray, several: bool, prev: np.ndarray, where: np.ndarray) -> tuple[tuple | None, int]:
+    """The best (dice, -line, -t) of one template in one text, and what n_found counts.
+
+    ``lines`` has the line of each word, ``where`` the places of the template's bigrams.
+    """
+    n, need, length, percent = int(tm.n[t]), int(tm.need[t]), int(tm.length[t]), tm.percent
+    best, count, covered = [], 0, np.zeros(len(lines) + 1, np.int64)
+    within = where[lines[where] == lines[where + 1]]
+    own, hits = np.unique(lines[within], return_counts=True)
+    for line in own[hits >= need]:
+        a, e = np.searchsorted(lines, line), np.searchsorted(lines, line, side="right")
+        m = int((prev[a : e - 1] < a).sum())
+        w = within[np.searchsorted(within, a) : np.searchsorted(within, e)]
+        s = int((prev[w] < a).sum())
+        if 200 * s >= percent * (m + n):
+            best.append((2.0 * s / (m + n), -int(line), -t))
+            count += 1
+            covered[a + 1 : e + 1] = 1
+    whole = False
+    if several:
+        m, s = int((prev < 0).sum()), int((prev[where] < 0).sum())
+        whole = 200 * s >= percent * (m + n)
+        if whole:
+            best.append((2.0 * s / (m + n), 0, -t))
+            count += 1
+    if len(prev) > length:
+        s = _in_windows(where, prev, length, len(prev))
+        if s.max() >= need:
+            m = _in_windows(np.arange(len(prev)), prev, length, len(prev))
+            good = np.flatnonzero(200 * s >= percent * (m + n))
+            dice = 2.0 * s[good] / (m[good] + n)
+            if len(good):
+                top = int(np.argmax(dice))
+                best.append((float(dice[top]), -int(lines[good[top]]), -t))
+            if not whole and len(good):
+                before = np.cumsum(covered)
+                free = before[good + length + 1] == before[good]
+                taken = np.zeros(len(lines), bool)
+                good, dice = good[free], dice[free]
+                for x in good[np.lexsort((good, -dice))]:
+                    # windows are of one length, so one that overlaps a taken one has an end in it
+                    if not taken[x] and not taken[x + length]:
+                        taken[x : x + length + 1] = True
+                        count += 1
+    return max(best, default=None), count
+
+
+def _scanned(shared, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tm: Templates = shared.value
+        k = len(tm.names)
+        for b in sliced(batches):
+            texts = b.column("_lines")
+            w = Words(texts, False)
+            h = _bigrams(w)
+            p, t = tm.hits(h)
+            inside = w.doc[p] == w.doc[p + 1]
+            p, t = p[inside], t[inside]
+            key = w.doc[p] * k + t
+            at = np.argsort(key, kind="stable")
+            pairs, lo, hits = np.unique(key[at], return_index=True, return_counts=True)
+            breaks = np.cumsum(w.data == 10)
+            best: list[tuple | None] = [None] * b.num_rows
+            count = np.zeros(b.num_rows, np.int64)
+            last = -1
+            for i in np.flatnonzero(hits >= tm.need[pairs % k]):
+                doc, own = divmod(int(pairs[i]), k)
+                if doc != last:
+                    last, a, e = doc, int(w.first[doc]), int(w.first[doc + 1])
+                    prev = _previous(h[a : e - 1])
+                    start = int(w.offsets[doc])
+                    base = int(breaks[start - 1]) if start else 0
+                    lines = breaks[w.starts[a:e]] - base + 1
+                    several = int(breaks[w.offsets[doc + 1] - 1]) > base
+                where = p[at[lo[i] : lo[i] + hits[i]]] - a
+                if (prev[where] < 0).sum() < tm.need[own]:
+                    continue
+                top, n = _found(own, tm, lines, several, prev, where)
+                count[doc] += n
+                if top is not None and (best[doc] is None or top > best[doc]):
+                    best[doc] = top
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(b.column(c) for c in columns),
+                    pa.array([x and tm.names[-x[2]] for x in best], pa.string()),
+                    pa.array([x and x[0] for x in best], pa.float64()),
+                    pa.array([x and -x[1] for x in best], pa.int32()),
+                    pa.array(count),
+                ],
+                names=[*columns, "licence", "dice", "line", "n_found"],
+            )
+
+    return run
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES + TEXTS, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: its columns, licence, dice, line (0: the whole text) and n_found.
 
-    The units are each line and the whole text.  A unit is compared with a template only if their sizes allow the
-    Dice coefficient to reach ``percent``: 2 * smaller / (smaller + larger) is a bound.  The best unit is named, ties
-    going to the earlier line and then the earlier template; n_found counts units and templates that reach the mark.
-    Null and empty texts, and units of one word, match nothing.  ``templates`` is a bounded parameter that is
-    carried in the plan.  Built-in functions only, and no shuffle.
+    The units are each line, the whole text, and each run of as many words as a template has, across lines.  A unit
+    is compared with a template only if the text has the bigrams that the Dice coefficient needs to reach
+    ``percent``: 2 * shared / (shared + template) is a bound.  The best unit is named, ties going to the earlier line
+    (of a run: that of its first word) and then the earlier template.  n_found counts lines, whole texts and
+    templates that reach the mark, and runs apart from one another and from those: of runs that overlap the best
+    counts.  Null and empty texts, and units of one word, match nothing.  ``templates`` is a bounded parameter that
+    is broadcast.  Texts are normalised by built-in functions; bigrams are compared by 64-bit hashes.  No shuffle.
     """
     docs = plain(docs, "licence", "dice", "line", "n_found")
-    known = [r.asDict() for r in _template_table(docs.sparkSession, templates).orderBy("t_no").collect()]
-    lo = min(r["n"] for r in known) * percent // (200 - percent)
-    hi = -(-max(r["n"] for r in known) * (200 - percent) // percent)
-    d = docs.withColumn("_u", F.transform(F.concat(F.array(F.coalesce("text", F.lit(""))), F.split(F.coalesce("text", F.lit("")), "\n")), normalised))
-    # too few words are too few bigrams; many words may be few distinct ones, so only those are bounded from above
-    d = d.withColumn("_c", F.expr(f"filter(transform(_u, (x, i) -> struct(i as line, split(x, ' ') as w)), x -> size(x.w) >= {lo} and (x.line > 0 or size(_u) > 2))"))
-    d = d.withColumn("_g", F.expr("transform(_c, x -> struct(x.line as line, IF(size(x.w) < 2, array(), array_distinct(transform(sequence(0, size(x.w) - 2), i -> concat(x.w[i], ' ', x.w[i + 1])))) as g))"))
-    d = d.withColumn("_g", F.expr(f"filter(_g, x -> size(x.g) between {max(1, lo)} and {hi})"))
-    every = sorted({g for r in known for g in r["grams"]})
-    d = d.withColumn("_g", F.filter("_g", lambda x: F.arrays_overlap(x["g"], F.array(*[F.lit(g) for g in every]))))
-
-    def compared(t_no: int, licence: str, grams: list[str], n: int) -> Column:
-        own = F.array(*[F.lit(g) for g in grams])
-        near = F.filter("_g", lambda x: F.least(F.size(x["g"]), F.lit(n)) * 200 >= (F.size(x["g"]) + n) * percent)
-        dice = lambda x: F.lit(2.0) * F.size(F.array_intersect(x["g"], own)) / (F.size(x["g"]) + n)
-        scored = F.transform(near, lambda x: F.struct(dice(x).alias("dice"), (-x["line"]).alias("line"), F.lit(-t_no).alias("t_no"), F.lit(licence).alias("licence")))
-        return F.filter(scored, lambda x: x["dice"] * 100 >= percent)
-
-    d = d.withColumn("_f", F.concat(*[compared(**r) for r in known])).withColumn("_best", F.array_max("_f"))
-    return d.select(*docs.columns, F.col("_best.licence").alias("licence"), F.round("_best.dice", 6).alias("dice"), (-F.col("_best.line")).alias("line"), F.size("_f").cast("long").alias("n_found"))
+    spark = docs.sparkSession
+    t = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(templates)], "t_no int, body string")
+    bodies = [r.body for r in t.select("t_no", normalised(F.col("body")).alias("body")).orderBy("t_no").collect()]
+    shared = spark.sparkContext.broadcast(Templates([a for a, _ in templates], bodies, percent))
+    own = [StructField("licence", StringType()), StructField("dice", DoubleType()), StructField("line", IntegerType()), StructField("n_found", LongType())]
+    d = docs.withColumn("_lines", _by_line(F.col("text"))).mapInArrow(_scanned(shared, docs.columns), StructType([*docs.schema.fields, *own]))
+    return d.withColumn("dice", F.round("dice", 6))
 
 
 def _sql() -> str:

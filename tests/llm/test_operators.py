@@ -1,6 +1,9 @@
 import base64
 import hashlib
 import math
+import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -288,6 +291,60 @@ def test_licences_repeated_notice(spark):
     assert (got[4]["licence"], got[4]["line"], got[4]["dice"], got[4]["n_found"]) == ("MIT", 1, 1.0, 91)
 
 
+def licence_by_brute_force(text, templates, percent=80):
+    norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).split()
+    grams = lambda w: set(zip(w, w[1:]))
+    own = [norm(x) for x in (text or "").split("\n")]
+    w, at = [x for o in own for x in o], [i for i, o in enumerate(own, 1) for _ in o]
+    found, n = [], 0
+    for t, (_, body) in enumerate(templates):
+        b = norm(body)
+        g = grams(b)
+
+        def dice(unit):
+            u = grams(unit)
+            d = 2.0 * len(u & g) / (len(u) + len(g)) if u else 0.0
+            return d if d * 100 >= percent else None
+
+        units = [(dice(o), -i, -t) for i, o in enumerate(own, 1)] + ([(dice(w), 0, -t)] if len(own) > 1 else [])
+        units = [x for x in units if x[0] is not None]
+        runs = [(dice(w[i : i + len(b)]), i) for i in range(len(w) - len(b) + 1)] if len(w) > len(b) else []
+        runs = sorted((-d, i) for d, i in runs if d is not None)
+        found += units + [(-d, -at[i], -t) for d, i in runs]
+        n += len(units)
+        full = {-x[1] for x in units}
+        taken = {i for i in range(len(w)) if at[i] in full or 0 in full}
+        for _, i in runs:
+            if taken.isdisjoint(range(i, i + len(b))):
+                taken |= set(range(i, i + len(b)))
+                n += 1
+    d, line, t = max(found, default=(None, None, None))
+    return (None, None, None, 0) if d is None else (templates[-t][0], round(d, 6), -line, n)
+
+
+def test_licence_runs_of_words(spark):
+    rng = random.Random(5)
+    prose = lambda k: " ".join(rng.choice("of the licence in a to any copy software word and work".split()) for _ in range(k))
+    notice = next(b for a, b in licences.NOTICES if a == "MIT" and len(b) > 100)
+    texts = dict(licences.TEXTS)
+    wrapped = "\n".join(textwrap.wrap(notice, 70))
+    rows = [(1, f"{prose(300)}\n{wrapped}\n{prose(300)}"), (2, "# " + wrapped.replace("\n", "\n# ") + "\ndef f():\n" + "    x = 1\n" * 200), (3, texts["MIT"]), (4, prose(50) + "\n" + texts["ISC"] + prose(50) + "\n" + texts["BSD-3-Clause"])]
+    rows += [(5, "\n".join([wrapped] * 3)), (6, "Released\nunder the\nMIT License. " * 40), (7, prose(40) + " Released under the MIT License. " + prose(40)), (8, texts["Apache-2.0"]), (9, None), (10, "")]
+    short = [x for x in licences.NOTICES + licences.TEXTS if len(x[1]) < 2000]
+    for i in range(20, 60):
+        parts = [rng.choice([prose(rng.randint(0, 40)), rng.choice(short)[1]]).split() for _ in range(rng.randint(1, 4))]
+        w = [x for p in parts for x in p if rng.random() > 0.03]
+        rows.append((i, "".join(x + rng.choice(["\n", " ", " ", " "]) for x in w)))
+    got = {r["doc_id"]: (r["licence"], r["dice"], r["line"], r["n_found"]) for r in collected(licences.scan(frame(spark, rows), short))}
+    assert got == {d: licence_by_brute_force(t, short) for d, t in rows}
+    every = {r["doc_id"]: r for r in collected(licences.scan(frame(spark, rows)))}
+    assert [every[d]["licence"] for d in (1, 2, 3, 7, 8)] == ["MIT", "MIT", "MIT", "MIT", "Apache-2.0"]
+    assert every[1]["line"] == 2 and every[1]["dice"] > 0.98 and every[4]["licence"] in ("ISC", "BSD-3-Clause")
+    for name, text in licences.TEXTS:
+        one = collected(licences.scan(frame(spark, [(1, prose(80) + "\n" + "\n".join(textwrap.wrap(text, 60)) + "\n" + prose(80))])))[0]
+        assert one["licence"] == name and one["dice"] > 0.98
+
+
 def test_warc(spark):
     html = '<!DOCTYPE html><html lang="fr"><head><title>T &amp; U</title><script>var x="<p>";</script></head><body><p>One<br>two &lt;3<a href="/x">y</a></p><!-- no --></body></html>'
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (3, "http://b/", ""), (3, "http://b/", "")], "page_id long, url string, html string")
