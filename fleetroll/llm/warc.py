@@ -2,17 +2,69 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain
 
 CRLF = "\r\n"
-#: The named characters that are put back, ampersand last.
+#: The named characters that the check SQL puts back, ampersand last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 _DROP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<noscript\b.*?</noscript\s*>"
 _BLOCK = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|main|title|head|body|blockquote|pre)\b[^>]*|br\b[^>]*)>"
 _TAG = r"<[^>]*>"
+_BUCKETS = 512
+#: Names that HTML also reads without a semicolon, longest first.
+_BARE = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
+#: What numeric references to 128-159 stand for: windows-1252, where it has a character.
+_C1 = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
+
+
+def _named(name: Column) -> Column:
+    """The characters of an entity name (semicolon included, where it has one), or null: maps in buckets by crc32, as a map is read from end to end."""
+    maps: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    for k, v in html5.items():
+        maps[zlib.crc32(k.encode()) % _BUCKETS][k] = v.replace("\xa0", " ")
+    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")
+    return F.try_element_at(F.get(table, (F.crc32(name.cast("binary")) % _BUCKETS).cast("int")), name)
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a code point without leading zeros; U+FFFD for none, as in HTML."""
+    n = F.conv(digits, base, 10).cast("int")
+    char = (
+        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+        .when(n.between(128, 159), F.substring(F.lit(_C1), n - 127, F.lit(1)))
+        .when(n == 160, F.lit(" "))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    )
+    return F.when(F.length(digits) > 7, F.lit("\ufffd")).otherwise(char)
+
+
+def unescaped(text: Column) -> Column:
+    """HTML character references put back in one pass, so that what they give is not read again.
+
+    These are all names of the HTML table (``html.entities.html5``: 2,125 with a semicolon, 106 that are also read
+    without one, the longest first) and decimal and hexadecimal references with or without a semicolon: 0, surrogates
+    and numbers beyond U+10FFFF give U+FFFD, 128 to 159 are read as windows-1252.  No-break spaces become spaces.
+    Anything else after an ampersand stays as it is.
+    """
+
+    def one(s: Column, i: Column) -> Column:
+        def put(pattern: str, char) -> Column:
+            own = F.regexp_extract(s, pattern, 0)
+            return F.when(own != "", F.concat(char(F.regexp_extract(s, pattern, 1)), F.substr(s, F.length(own) + 1)))
+
+        found = F.when(s.startswith("#"), F.coalesce(put(r"^#0*([0-9]+);?", lambda x: _numbered(x, 10)), put(r"^#[xX]0*([0-9a-fA-F]+);?", lambda x: _numbered(x, 16)))).otherwise(
+            F.coalesce(put(r"^([A-Za-z][A-Za-z0-9]*;)", _named), put(_BARE, _named))
+        )
+        return F.when(i == 0, s).otherwise(F.coalesce(found, F.concat(F.lit("&"), s)))
+
+    return F.array_join(F.transform(F.split(text, "&"), one), "")
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -23,12 +75,11 @@ def record_id(kind: str, *parts: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles or comments; blocks on lines of their own; entities put back."""
+    """The text of a page: no scripts, styles or comments; blocks on lines of their own; references put back (``unescaped``)."""
     t = F.regexp_replace(html, _DROP, " ")
     t = F.regexp_replace(t, _BLOCK, "\n")
     t = F.regexp_replace(t, _TAG, "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = unescaped(t)
     t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
     return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("fleetroll.llm")
 import public_tokenizers as P  # noqa: E402
@@ -362,6 +363,23 @@ def test_warc(spark):
         assert f"source-payload-digest: sha256:{sha(r['payload'].encode())}" in r["metadata"]
 
 
+def test_warc_references(spark):
+    from html import unescape
+    from html.entities import html5
+
+    rng = random.Random(2)
+    known = [f"&{k}" for k in html5] + [f"&#{n}{e}" for n in (9, 39, 65, 128, 150, 160, 233, 8217, 0xD7FF, 0xD800, 0xDFFF, 0x1F600, 0x10FFFF - 2, 0x110000, 10**30, 0) for e in (";", "", " ")]
+    known += ["&#x2019;", "&#X1f600;", "&#x00000041", "&#x110000;", "&#xD800;", "&#xfffffffffff;", "&#000000000000065;", "&amp;copy;", "&amp;#39;", "&amp;amp;lt;", "&copyright", "&notit;", "&nosuch;", "&", "&&", "&;", "&#;", "&#x;", "&#xg", "& amp;", "&AMP", "&ampamp;", "a & b", "&é;", "&#-1;"]
+    texts = [*known, *("x".join(rng.choice(known) for _ in range(6)) for _ in range(300))]
+    want = [unescape(t).replace("\xa0", " ") for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", warc.unescaped(F.col("t")).alias("u"))
+    wrong = [(texts[r["i"]], r["u"], want[r["i"]]) for r in df.collect() if r["u"] != want[r["i"]]]
+    assert not wrong
+    html = "<p>caf&eacute; &middot; it&#8217;s &copy; 2024 &amp;copy; &lt;b&gt;&nbsp;&#xA0;end</p>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert collected(warc.derivatives(warc.responses(pages)))[0]["text"] == "café · it’s © 2024 &copy; <b> end"
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1500, 64)) + 2 * rng.standard_normal((10, 64))[rng.integers(0, 10, 1500)]
