@@ -61,18 +61,21 @@ def significant(v: Column, digits: int = 9) -> Column:
 def by_history(prior: DataFrame, current: DataFrame, least: int = 2, most: int = 40, common_rows: int = 50) -> DataFrame:
     """Candidates that share period and value to nine digits: equal and differing periods, score.
 
-    Values that more than ``common_rows`` rows of a period have don't make candidates, but count for those made.
+    Values that more than ``common_rows`` prior rows of a period have are dealt out, so many rows a task; none is left out.
     """
     def keyed(d: DataFrame, names: list[str]) -> DataFrame:
-        return d.where("value <> 0").select("workbook_id", *[F.col(c).alias(n) for c, n in zip(("sheet", "row_no"), names)], "period_end", significant(F.col("value")).alias("k"), "value")
+        return d.where("value <> 0").select("workbook_id", *[F.col(c).alias(n) for c, n in zip(("sheet", "row_no"), names)], "period_end", significant(F.col("value")).alias("k"))
 
     p, c = keyed(prior, ["sheet", "row_no"]), keyed(current, ["cur_sheet", "cur_row"])
-    usual = c.groupBy("workbook_id", "period_end", "k").agg(F.count("*").alias("n")).where(F.col("n") > common_rows).select("workbook_id", "period_end", "k")
+    key = ["workbook_id", "period_end", "k"]
+    usual = p.groupBy(*key).agg(F.ceil(F.count("*") / common_rows).alias("_n")).where("_n > 1")
+    shares = F.coalesce("_n", F.lit(1))
+    a = p.join(usual, key, "left").withColumn("_s", F.pmod(F.xxhash64("sheet", "row_no"), shares))
+    b = c.join(usual, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), shares - 1)))
     pair = ["workbook_id", "sheet", "row_no", "cur_sheet", "cur_row"]
-    made = p.join(c.drop("value").join(usual, ["workbook_id", "period_end", "k"], "left_anti"), ["workbook_id", "period_end", "k"]).select(*pair).distinct()
-    full = made.join(p, ["workbook_id", "sheet", "row_no"]).join(c.select("workbook_id", "cur_sheet", "cur_row", "period_end", F.col("k").alias("ck"), F.col("value").alias("cv")), ["workbook_id", "cur_sheet", "cur_row", "period_end"])
-    n = full.groupBy(*pair).agg(F.count_if(F.col("k") == F.col("ck")).alias("equal"), F.count_if(F.col("k") != F.col("ck")).alias("differing"))
-    n = n.where((F.col("equal") >= least) & (F.col("differing") <= 20 * F.col("equal")))
+    made = a.drop("_n").join(b.drop("_n"), [*key, "_s"]).groupBy(*pair).agg(F.count("*").alias("equal")).where(F.col("equal") >= least)
+    full = made.join(p.drop("k"), ["workbook_id", "sheet", "row_no"]).join(c.drop("k"), ["workbook_id", "cur_sheet", "cur_row", "period_end"])
+    n = full.groupBy(*pair, "equal").agg((F.count("*") - F.col("equal")).alias("differing")).where(F.col("differing") <= 20 * F.col("equal"))
     score = F.least(F.lit(1.0), 0.5 * F.col("equal")) * F.least(F.lit(1.0), F.col("equal") / (F.col("equal") + F.col("differing")) / 0.8)
     w = Window.partitionBy("workbook_id", "sheet", "row_no").orderBy(F.col("equal").desc(), "differing", "cur_sheet", "cur_row")
     return n.withColumn("score", score).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")

@@ -1,0 +1,39 @@
+"""Row matching against brute force."""
+
+from collections import Counter, defaultdict
+
+from fleetroll.operators import match
+
+
+def test_history_of_rows_with_common_values(spark):
+    """Constant rows, more than ``common_rows`` of them, beside rows of their own values."""
+    prior, current = [], []
+    for r in range(120):
+        for t in range(6):
+            v = 1.0 if r < 100 else 1.0 if t < 2 else r * 10.0 + t
+            prior.append((1, "a", r, t, v))
+            current.append((1, "b" if r % 2 else "a", r, t, v + (5.0 if r % 7 == 0 and t > 3 else 0.0)))
+    prior += [(2, "a", 1, t, 3.5) for t in range(3)] + [(2, "a", 2, t, 0.0) for t in range(3)]
+    current += [(2, "a", 9, t, 3.5) for t in range(2)]
+    schema = "workbook_id int, sheet string, row_no int, period_end int, value double"
+    most = 15
+    got = match.by_history(spark.createDataFrame(prior, schema), spark.createDataFrame(current, schema), most=most).collect()
+
+    def rows(d):
+        out = defaultdict(dict)
+        for w, s, r, t, v in d:
+            if v:
+                out[w, s, r][t] = v
+        return out
+
+    want = Counter()
+    for k, mine in rows(prior).items():
+        found = []
+        for (w, s, r), theirs in rows(current).items():
+            both = [t for t in mine if t in theirs and w == k[0]]
+            equal = sum(mine[t] == theirs[t] for t in both)
+            if equal >= 2 and len(both) - equal <= 20 * equal:
+                found.append((-equal, len(both) - equal, s, r))
+        want.update((*k, s, r, -e, d) for e, d, s, r in sorted(found)[:most])
+    assert sum(k[0] == 1 and k[2] < 100 for k in want) == 100 * most
+    assert Counter((x["workbook_id"], x["sheet"], x["row_no"], x["cur_sheet"], x["cur_row"], x["equal"], x["differing"]) for x in got) == want
