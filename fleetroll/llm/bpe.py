@@ -2,23 +2,29 @@
 
 Pieces are bucketed by length and padded to the bucket's width.  In every round each row of a matrix merges its
 leftmost pair of least rank; pairs are looked up in a hash table; rows with nothing left to merge leave the matrix.
+Pieces beyond the widest bucket, where a round a merge would cost the square of their length, take the same merges from
+a heap.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .chunks import Chunked
 from .common import sliced
 
 _NONE = np.int32(2**31 - 1)
+#: Bytes of the widest bucket.
+WIDEST = 512
 
 
 class PairTable:
@@ -77,6 +83,7 @@ class Bpe:
                 if a is not None and b is not None:
                     pairs[a, b] = i
         self.pairs = PairTable(pairs)
+        self.merge_of = {a << 32 | b: i for (a, b), i in pairs.items()}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
@@ -85,6 +92,8 @@ class Bpe:
             whole = self.ranks.get(p)
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
+            elif len(p) > WIDEST:
+                out[i] = self._merge_long(p)
             elif p:
                 width = 4
                 while width < len(p):
@@ -139,6 +148,30 @@ class Bpe:
             rank[r, p - 1] = self.pairs.find(ids[r, p - 1], ids[r, p])
         return out
 
+    def _merge_long(self, piece: bytes) -> bytes:
+        """The merges of one long piece: pairs wait in a heap by rank and place, tokens are a linked list."""
+        ids: list[int] = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+        n, find = len(ids), self.merge_of.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := find(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            x = heapq.heappop(heap)
+            rank, i = x >> 32, x & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n or find(ids[i] << 32 | ids[j]) != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = rank, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := find(rank << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := find(ids[h] << 32 | rank)) is not None:
+                heapq.heappush(heap, r << 32 | h)
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -165,7 +198,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
     Every match of ``pattern`` in the text is encoded by itself, and nothing is a special token.  Null and empty texts
     have no ids.  No shuffle; repeated rows and null keys are rows like others.  A column named ``ids`` is replaced.
     """
-    kept = [c for c in (keep or docs.columns) if c != "ids"]
+    kept = [c for c in (keep or docs.columns) if c.lower() != "ids"]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes)
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(_encoded(path, pattern, kept), f"{schema}, ids binary")
 
@@ -175,13 +208,17 @@ def _decoded(path: str, names: list[str]):
         bpe = Bpe(path)
         for b in batches:
             out = [None if x is None else bpe.decode(x) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     return run
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
-    """``ids`` with ``decoded``: the bytes of the tokens, one after the other. Null ids stay null."""
+    """``ids`` with ``decoded``: the bytes of the tokens, one after the other. Null ids stay null.
+
+    A column named ``decoded`` is replaced.
+    """
+    ids = ids.select(*[F.col(f"`{c}`") for c in ids.columns if c.lower() != "decoded"])
     schema = ", ".join(f"`{c}` {t}" for c, t in ids.dtypes)
     return ids.mapInArrow(_decoded(path, ids.columns), f"{schema}, decoded binary")
 
