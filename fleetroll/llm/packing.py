@@ -95,11 +95,47 @@ def cut(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, end
     return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, pattern, capacity, end), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
+class Sums:
+    """Index from a length to the single lengths, pairs and triples that make it, of the lengths there are."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int):
+        self.lengths = np.sort(lengths)[::-1]
+        self.has = np.zeros(capacity + 1, bool)
+        self.has[lengths] = True
+        i, j = np.triu_indices(len(self.lengths))
+        large, total = self.lengths[i], self.lengths[i] + self.lengths[j]
+        fits = total <= capacity
+        large, total = large[fits], total[fits]
+        at = np.lexsort((-large, total))
+        self.large, bounds = large[at], np.searchsorted(total[at], np.arange(capacity + 2))
+        self.first = bounds
+        #: the least of the larger members of a sum's pairs; a triple needs it within its own largest
+        self.least = np.full(capacity + 1, capacity + 1)
+        some = np.flatnonzero(bounds[1:] > bounds[:-1])
+        self.least[some] = self.large[bounds[some + 1] - 1]
+
+    def single(self, s: int) -> bool:
+        return s >= 0 and bool(self.has[s])
+
+    def pairs(self, s: int) -> np.ndarray:
+        """Larger members of the pairs, in falling order."""
+        return self.large[self.first[s] : self.first[s + 1]] if s >= 0 else self.large[:0]
+
+    def triples(self, s: int) -> np.ndarray:
+        """Largest members of the triples, in falling order."""
+        a = self.lengths[self.lengths < s]
+        return a[self.least[s - a] <= a]
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Patterns ((length, times), ...) with how many sequences have each. Every piece is used, and none twice."""
+    """Patterns ((length, times), ...) with how many sequences have each. Every piece is used, and none twice.
+
+    The sums of singles, pairs and triples are indexed once; what the index names is taken as far as counts allow.
+    """
     c = np.zeros(capacity + 1, np.int64)
     for n, k in counts.items():
         c[n] = k
+    sums = Sums(np.flatnonzero(c), capacity)
     out: list[tuple[tuple[tuple[int, int], ...], int]] = []
 
     def take(*lengths: int) -> None:
@@ -110,27 +146,26 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, i
                 c[n] -= k * m
             out.append((tuple(sorted(need.items(), reverse=True)), m))
 
+    def fill(n: int, rest: int, top: int, *have: int) -> None:
+        """Sequences of n, what they have, and two that fill the rest, the larger first."""
+        for x in sums.pairs(rest):
+            if not c[n] or (have and not c[have[0]]):
+                break
+            if x <= top and c[x] and c[rest - x]:
+                take(n, *have, int(x), int(rest - x))
+
     take(capacity)
-    for n in range(capacity - 1, 0, -1):
+    for n in sums.lengths.tolist():
         gap = capacity - n
-        if c[n]:
+        if c[n] and sums.single(gap):
             take(n, gap)
-        if c[n]:  # two that fill the gap, the larger first
-            a = np.arange(min(n, gap - 1), (gap - 1) // 2, -1)
-            for x in a[(c[a] > 0) & (c[gap - a] > 0)]:
-                if not c[n]:
-                    break
-                take(n, int(x), gap - int(x))
-        a = min(n, gap - 2)
-        while c[n] and 3 * a >= gap:  # three: for the largest of them, the pairs that fill what remains
-            if c[a]:
-                rest = gap - a
-                b = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-                for x in b[(c[b] > 0) & (c[rest - b] > 0)]:
-                    if not c[n] or not c[a]:
-                        break
-                    take(n, a, int(x), rest - int(x))
-            a -= 1
+        if c[n]:
+            fill(n, gap, n)
+        for a in sums.triples(gap).tolist() if c[n] else ():
+            if not c[n]:
+                break
+            if a <= n and c[a]:
+                fill(n, gap - a, a, a)
     open_: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # gap: patterns with that much room
 
     def add(pattern, m, gap):
