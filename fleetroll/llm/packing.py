@@ -19,14 +19,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunked
+from .chunks import USUAL
 from .common import sliced, written
 from .numbering import buckets_for, numbered
 
 
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """A tokenizer file's merges as ranks of byte strings, where the two say the same; else None.
+
+    They do for a byte-level BPE whose every merge makes a new token, with ids in the order of the merges.
+    """
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain_bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    byte_level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if not (plain_bpe and byte_level):
+        return None
+    # the byte alphabet of such files: printable bytes are themselves, the others follow from 256 on
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(i): i for i in own} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(own)))}
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    letters = {vocab.get(c) for c in byte}
+    if None in made or None in letters or made != sorted(set(made)) or max(letters) > made[0]:
+        return None
+    inside = letters.union(made)
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items() if i in inside}
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str, pattern: str):
-    """Encoder of a byte-level tokenizer file; where the file's parts don't allow chunks, of whole texts."""
+    """Encoder of a tokenizer file: by its ranks where it has them, which is faster; texts with special tokens by the file itself."""
     import json
 
     from tokenizers import Tokenizer
@@ -39,27 +61,15 @@ def _tokenizer(path: str, pattern: str):
     def whole(t: str) -> bytes:
         return np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
-    pre = spec.get("pre_tokenizer") or {}
-    simple = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE"
-    if not simple:
+    ranks = _ranks(spec) if pattern == USUAL else None
+    if ranks is None:
         return lambda texts: [whole(t) for t in texts]
-    # the byte alphabet of such files: printable bytes are themselves, the others follow from 256 on
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [i for i in range(256) if i not in set(plain)]
-    letters = {i: chr(i) for i in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
-    model = tok.model
-
-    def pieces(ps: list[bytes]) -> list[bytes]:
-        return [array("I", [x.id for x in model.tokenize(p.decode("latin-1").translate(letters))]).tobytes() for p in ps]
+    import tiktoken
 
-    chunked = Chunked(pattern, pieces)
+    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def run(texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in special)}
-        out = chunked.encode(["" if i in odd else t for i, t in enumerate(texts)])
-        for i in odd:
-            out[i] = whole(texts[i])
-        return out
+        return [whole(t) if any(s in t for s in special) else array("I", encode(t)).tobytes() for t in texts]
 
     return run
 
