@@ -1,9 +1,10 @@
 """Nearest neighbours by multi-index hashing over learned binary codes.
 
-Vectors get 64-bit codes: a centred, principal rotation, then one that is learned by turns to lose least in taking
-signs.  A code is cut into four substrings of 16 bits, each an index of its own.  By the pigeonhole principle every code
+Vectors get 128-bit codes: a centred, principal rotation, then one that is learned by turns to lose least in taking
+signs.  A code is cut into eight substrings of 16 bits, each an index of its own.  By the pigeonhole principle every code
 within the radius of a query's has some substring within that substring's share of it, so probing each index within its
-share retrieves all of them; they are reranked by inner products of the original vectors in double precision.
+share retrieves all of them; they are reranked by inner products of the original vectors in double precision.  Queries
+that find fewer than k rows probe again within a larger radius.
 
 The rows are dealt into blocks, and so are the queries; a task holds one block of each.
 """
@@ -18,14 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SUBSTRINGS, WIDTH = 4, 16
+from .common import written
+
+SUBSTRINGS, WIDTH = 8, 16
 BITS = SUBSTRINGS * WIDTH
 _POPCOUNT = np.bitwise_count(np.arange(1 << WIDTH, dtype=np.uint16))
 
 
 @dataclass
 class Codes:
-    """A fitted coder: centre, rotation to 64 directions, the norm that inner products are lifted to, and the radius."""
+    """A fitted coder: centre, rotation to BITS directions, the norm that inner products are lifted to, and the radius."""
 
     centre: np.ndarray
     turn: np.ndarray
@@ -33,7 +36,7 @@ class Codes:
     radius: int = BITS
 
     def of(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Rows of four 16-bit substrings.
+        """Rows of 16-bit substrings.
 
         A last coordinate lifts all rows to one norm, and queries don't have it: the angle then orders as the inner
         product does.
@@ -42,10 +45,11 @@ class Codes:
         y = (np.column_stack([x, lift]) - self.centre) @ self.turn
         return np.packbits(y > 0, axis=1, bitorder="little").view("<u2")
 
-    def shares(self) -> list[int]:
-        """Radii of the substrings: together with one for each they make the radius and one."""
-        total = self.radius + 1
-        return [total // SUBSTRINGS + (i < total % SUBSTRINGS) - 1 for i in range(SUBSTRINGS)]
+
+def shares(radius: int) -> list[int]:
+    """Radii of the substrings: together with one for each they make the radius and one."""
+    total = radius + 1
+    return [total // SUBSTRINGS + (i < total % SUBSTRINGS) - 1 for i in range(SUBSTRINGS)]
 
 
 def fit(sample: np.ndarray, norm: float, k: int, recall: float = 0.97, rounds: int = 30, probes: int = 300) -> Codes:
@@ -83,17 +87,17 @@ class MultiIndex:
     """The substring indexes of a block of codes."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = np.ascontiguousarray(codes).view("<u8").ravel()
+        self.codes = np.ascontiguousarray(codes).view("<u8")
         self.index = []
         for s in range(SUBSTRINGS):
             order = np.argsort(codes[:, s], kind="stable")
             key, start = np.unique(codes[order, s], return_index=True)
             self.index.append((key, np.append(start, len(order)), order))
 
-    def within(self, q: np.ndarray, shares: list[int], radius: int) -> np.ndarray:
-        """Numbers of all codes within the radius of the query's four substrings."""
+    def within(self, q: np.ndarray, radius: int) -> np.ndarray:
+        """Numbers of all codes within the radius of the query's substrings."""
         hit = np.zeros(len(self.codes), bool)
-        for s, share in enumerate(shares):
+        for s, share in enumerate(shares(radius)):
             if share < 0:
                 continue
             key, start, order = self.index[s]
@@ -102,30 +106,28 @@ class MultiIndex:
                 want = err ^ q[s]
                 at = np.searchsorted(key, want)
                 at = at[(at < len(key)) & (key[np.minimum(at, len(key) - 1)] == want)]
-            else:  # fewer buckets than probes: ask the buckets
+            else:  # fewer buckets than probes: which buckets are allowed
                 at = np.flatnonzero(_POPCOUNT[key ^ q[s]] <= share)
             n = start[at + 1] - start[at]
             hit[order[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
         some = np.flatnonzero(hit)
-        return some[np.bitwise_count(self.codes[some] ^ q.view("<u8")[0]) <= radius]
+        return some[np.bitwise_count(self.codes[some] ^ q.view("<u8")).sum(axis=1) <= radius]
 
 
-def _searched(coder: Codes, k: int):
+def _searched(coder: Codes, k: int, radius: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=float)
         if not len(rows) or not len(queries):
             return none
-        x, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
+        x, ids = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
-        y = np.stack(queries["v"].to_numpy())
-        index, shares = MultiIndex(coder.of(x, False)), coder.shares()
+        y = np.stack(queries["v"].to_numpy()).astype(np.float64)
+        index = MultiIndex(coder.of(x, False))
         out = []
         for qid, v, code in zip(queries["vec_id"], y, coder.of(y, True)):
-            some = index.within(code, shares, coder.radius)
+            some = index.within(code, radius)
             some = some[ids[some] != qid]
-            if len(some) < k:  # too few within the radius: every row of the block is compared
-                some = np.flatnonzero(ids != qid)
             score = (x[some] * v).sum(axis=1)
             best = np.argsort(-score, kind="stable")[:k]
             out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[some[best]], "score": score[best]}))
@@ -134,32 +136,48 @@ def _searched(coder: Codes, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sample_rows: int = 20_000, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sample_rows: int = 20_000, block_rows: int = 8192, query_rows: int = 4096, least_tasks: int = 32) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is a multiple of ``every`` its k nearest others.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id.  Vectors that are null, zero, or
     hold a null or a non-finite component take no part, nor do rows without an id, nor vectors of another length than
     the first id's.  Repeated ids count once, with the least vector.  The coder is fitted on ``sample_rows`` rows at
-    most; all rows are indexed.
+    most; all rows are indexed.  What is returned was retrieved by the index: queries that have fewer than k rows within
+    the radius (all other rows, if the table has fewer) ask again within one that goes half the way to all bits, until
+    it allows them all.
     """
     ok = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0")
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     ok = ok.where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
     head = ok.agg(F.min(F.struct("vec_id", F.size("v").alias("n"))).alias("h"), F.count("*").alias("n")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not head["n"]:
         return vectors.sparkSession.createDataFrame([], schema)
-    ok = ok.where(F.size("v") == head["h"]["n"])
-    stat = ok.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2"), F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
+    ok = written(ok.where(F.size("v") == head["h"]["n"]), "vectors")
+    stat = ok.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm2"), F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     rows = ok.orderBy(F.xxhash64("vec_id")).limit(sample_rows).collect()
-    coder = fit(np.array([r["v"] for r in rows]), float(np.sqrt(stat["norm2"])), k)
-    blocks = max(32, -(-stat["n"] // block_rows))
-    parts = max(1, -(-stat["q"] // query_rows))
+    coder = fit(np.array([r["v"] for r in rows], np.float64), float(np.sqrt(stat["norm2"])), k)
+    blocks = max(1, -(-stat["n"] // block_rows))
     mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
-    data = ok.withColumn("block", mine).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = ok.where(F.col("vec_id") % every == 0).withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = data.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(_searched(coder, k), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    enough = min(k, stat["n"] - 1)
+    asked, n_asked, radius, done = ok.where(F.col("vec_id") % every == 0), stat["q"], coder.radius, []
+    while n_asked and enough:
+        # few blocks are searched by more tasks, each with fewer of the queries
+        parts = max(-(-n_asked // query_rows), min(-(-n_asked // 64), -(-least_tasks // blocks)))
+        part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
+        data = ok.withColumn("block", mine).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        here = asked.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = data.groupBy("block", "part").cogroup(here.groupBy("block", "part")).applyInPandas(_searched(coder, k, radius), "query_id long, vec_id long, score double")
+        best = written(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+        full = best.where(F.col("rank") == enough).select("query_id")
+        done.append(best.join(full, "query_id", "left_semi"))
+        if radius >= BITS:
+            break
+        asked = written(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "asked")
+        n_asked, radius = asked.count(), radius + (BITS - radius + 1) // 2
+    out = done[0] if done else vectors.sparkSession.createDataFrame([], schema)
+    for d in done[1:]:
+        out = out.union(d)
+    return out.select("query_id", "rank", "vec_id", "score")
