@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from .common import plain
 
 CRLF = "\r\n"
-#: The named characters that the check SQL puts back, ampersand last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 _DROP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<noscript\b.*?</noscript\s*>"
-_BLOCK = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|main|title|head|body|blockquote|pre)\b[^>]*|br\b[^>]*)>"
-_TAG = r"<[^>]*>"
+#: The rest of a tag: values in quotes may hold ``>``.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+_BLOCK = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|main|title|head|body|blockquote|pre)|br)\b" + _ATTRIBUTES + ">"
+_TAG = "</?[a-zA-Z]" + _ATTRIBUTES + ">|<[a-zA-Z/!?][^>]*>"
 _BUCKETS = 512
 #: Names that HTML also reads without a semicolon, longest first.
 _BARE = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
@@ -75,7 +75,7 @@ def record_id(kind: str, *parts: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles or comments; blocks on lines of their own; references put back (``unescaped``)."""
+    """The text of a page: no scripts, styles, comments or tags; blocks on lines of their own; references put back (``unescaped``)."""
     t = F.regexp_replace(html, _DROP, " ")
     t = F.regexp_replace(t, _BLOCK, "\n")
     t = F.regexp_replace(t, _TAG, "")
@@ -103,14 +103,15 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     )
 
 
-def _record(kind: str, content_type: str, block: str, own_id: str, refers: bool) -> Column:
+def _record(kind: str, content_type: str, block: str, own_id: str) -> Column:
     head = [
         F.lit(f"WARC/1.1\r\nWARC-Type: {kind}"),
         F.concat(F.lit("WARC-Record-ID: "), F.col(own_id)),
-        F.concat(F.lit("WARC-Refers-To: "), F.col("record_id")) if refers else F.lit(None),
+        F.concat(F.lit("WARC-Refers-To: "), F.col("record_id")),
         F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")),
         F.concat(F.lit("WARC-Date: "), F.col("warc_date")),
         F.concat(F.lit("WARC-Block-Digest: sha256:"), F.sha2(F.col(block), 256)),
+        F.concat(F.lit("WARC-Source-Payload-Digest: "), F.col("payload_digest")),
         F.lit(f"Content-Type: {content_type}"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
@@ -120,56 +121,84 @@ def _record(kind: str, content_type: str, block: str, own_id: str, refers: bool)
 def derivatives(resp: DataFrame) -> DataFrame:
     """For each response(record_id, target_uri, warc_date, payload_digest, http_headers, payload): two linked records.
 
-    ``conversion_record`` holds the plain text, ``metadata_record`` application/warc-fields: the source's digest,
-    length, HTTP headers and language, the conversion's id and the number of links.  Both refer to the response's id.
-    Empty payloads give empty texts.  Columns of the input pass through; no shuffle, built-in functions only.
+    ``conversion_record`` holds the plain text, ``metadata_record`` application/warc-fields: the source's digest and
+    length, its HTTP status and headers line by line, the language, the conversion's id and the number of links.  Both
+    refer to the response's id, and their heads name its payload's digest (an extension field).  Null and empty
+    payloads give empty texts; other null fields are left out.  Columns of the input pass through, but for those with
+    the name of a result; no shuffle, built-in functions only.
     """
     resp = plain(resp, "text", "conversion_id", "metadata_id", "lang", "n_links", "metadata", "conversion_record", "metadata_record")
-    d = resp.withColumn("text", plain_text(F.col("payload")))
+    payload = F.coalesce("payload", F.lit(""))
+    d = resp.withColumn("text", plain_text(payload))
     d = d.withColumn("conversion_id", record_id("conversion", F.col("record_id"))).withColumn("metadata_id", record_id("metadata", F.col("record_id")))
-    d = d.withColumn("lang", F.nullif(F.lower(F.regexp_extract("payload", r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z-]+)", 1)), F.lit("")))
-    d = d.withColumn("n_links", F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref\s*=")).cast("long"))
+    d = d.withColumn("lang", F.nullif(F.lower(F.regexp_extract(payload, r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z-]+)", 1)), F.lit("")))
+    d = d.withColumn("n_links", F.regexp_count(payload, F.lit(r"(?i)<a\b[^>]*\bhref\s*=")).cast("long"))
+    lines = F.split(F.rtrim(F.col("http_headers"), F.lit(CRLF)), CRLF)
+    headers = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i == 0, "source-http-status: ").otherwise("source-http-header: "), x)), CRLF)
     fields = F.concat_ws(
         CRLF,
         F.concat(F.lit("source-payload-digest: "), F.col("payload_digest")),
-        F.concat(F.lit("source-length: "), F.octet_length("payload").cast("string")),
-        F.concat(F.lit("source-http-headers: "), F.replace(F.rtrim(F.col("http_headers"), F.lit(CRLF)), F.lit(CRLF), F.lit(" | "))),
+        F.concat(F.lit("source-length: "), F.octet_length(payload).cast("string")),
+        headers,
         F.concat(F.lit("conversion-record-id: "), F.col("conversion_id")),
         F.concat(F.lit("conversion-length: "), F.octet_length("text").cast("string")),
         F.concat(F.lit("outlinks: "), F.col("n_links").cast("string")),
         F.concat(F.lit("language: "), F.col("lang")),
     )
     d = d.withColumn("metadata", F.concat(fields, F.lit(CRLF)))
-    d = d.withColumn("conversion_record", _record("conversion", "text/plain; charset=utf-8", "text", "conversion_id", True))
-    return d.withColumn("metadata_record", _record("metadata", "application/warc-fields", "metadata", "metadata_id", True))
+    d = d.withColumn("conversion_record", _record("conversion", "text/plain; charset=utf-8", "text", "conversion_id"))
+    return d.withColumn("metadata_record", _record("metadata", "application/warc-fields", "metadata", "metadata_id"))
+
+
+def _sql_unescaped(text: str) -> str:
+    """SQL for ``unescaped``, with the tables ``m`` (named characters) in scope."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    fffd = "chr(65533)"
+    char = lambda digits, n: (
+        f"CASE WHEN length({digits}) > 7 THEN {fffd} ELSE (CASE WHEN {n} = 0 OR {n} BETWEEN 55296 AND 57343 OR {n} > 1114111 THEN {fffd} WHEN {n} BETWEEN 128 AND 159 THEN substr({q(_C1)}, ({n} - 127)::INT, 1) WHEN {n} = 160 THEN ' ' ELSE chr({n}::INT) END) END"
+    )
+    ten, hexa = "regexp_extract(s, '^#0*([0-9]+);?', 1)", "regexp_extract(s, '^#[xX]0*([0-9a-fA-F]+);?', 1)"
+    ten_n = f"coalesce(try_cast({ten} AS BIGINT), 0)"
+    hexa_n = f"coalesce(list_reduce(list_transform(string_split(lower({hexa}), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT), lambda x, y: (x * 16 + y) % 9007199254740881), 0)"
+    rest = lambda pattern: f"substr(s, length(regexp_extract(s, {q(pattern)})) + 1)"
+    named, bare = "^([A-Za-z][A-Za-z0-9]*;)", _BARE
+    one = (
+        f"CASE WHEN regexp_matches(s, '^#0*[0-9]+') THEN {char(ten, ten_n)} || {rest('^#0*([0-9]+);?')} "
+        f"WHEN regexp_matches(s, '^#[xX]0*[0-9a-fA-F]+') THEN {char(hexa, hexa_n)} || {rest('^#[xX]0*([0-9a-fA-F]+);?')} "
+        f"WHEN m[regexp_extract(s, {q(named)}, 1)] IS NOT NULL THEN m[regexp_extract(s, {q(named)}, 1)] || {rest(named)} "
+        f"WHEN regexp_matches(s, {q(bare)}) THEN m[regexp_extract(s, {q(bare)}, 1)] || {rest(bare)} ELSE '&' || s END"
+    )
+    return f"string_split({text}, '&')[1] || array_to_string(list_transform(string_split({text}, '&')[2:], lambda s: {one}), '')"
 
 
 def _sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     text = "payload"
     for pat, to in ((_DROP, "' '"), (_BLOCK, "chr(10)"), (_TAG, "''")):
+        pat = pat.replace("++", "+").replace("*+", "*").replace("?+", "?")  # no possessive forms there
         text = f"regexp_replace({text}, {q(pat)}, {to}, 'g')"
-    for name, char in ENTITIES:
-        text = f"replace({text}, {q(name)}, {q(char)})"
+    names = ", ".join(f"({q(k)}, {q(v.replace(chr(160), ' '))})" for k, v in html5.items())
+    bare_tags = text
+    text = _sql_unescaped("untagged")
     text = f"regexp_replace({text}, {q('[ \\t\\r\\f\\x0B]+')}, ' ', 'g')"
     text = f"trim(regexp_replace({text}, {q(' ?\\n[ \\n]*')}, chr(10), 'g'), ' ' || chr(10))"
     uid = lambda h: f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
     nl, crlf = "chr(10)", "chr(13) || chr(10)"
     record = lambda kind, ctype, block, own: (
         f"'WARC/1.1' || {crlf} || 'WARC-Type: {kind}' || {crlf} || 'WARC-Record-ID: ' || {own} || {crlf} || 'WARC-Refers-To: ' || record_id || {crlf} || 'WARC-Target-URI: ' || target_uri || {crlf} || 'WARC-Date: 2024-01-01T00:00:00Z' || {crlf} || "
-        f"'WARC-Block-Digest: sha256:' || sha256({block}) || {crlf} || 'Content-Type: {ctype}' || {crlf} || 'Content-Length: ' || strlen({block}) || {crlf} || {crlf} || {block} || {crlf} || {crlf}"
+        f"'WARC-Block-Digest: sha256:' || sha256({block}) || {crlf} || 'WARC-Source-Payload-Digest: ' || payload_digest || {crlf} || 'Content-Type: {ctype}' || {crlf} || 'Content-Length: ' || strlen({block}) || {crlf} || {crlf} || {block} || {crlf} || {crlf}"
     )
     return f"""
-    WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+    WITH e AS (SELECT map_from_entries([{names}]) AS m), p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
     r AS (SELECT *, 'sha256:' || sha256(payload) AS payload_digest FROM p),
     i AS (SELECT *, sha256('response' || {nl} || coalesce(page_id::VARCHAR, '~null') || {nl} || target_uri || {nl} || payload_digest) AS h FROM r),
-    j AS (SELECT *, {uid("h")} AS record_id FROM i),
+    j AS (SELECT *, {uid("h")} AS record_id, {bare_tags} AS untagged FROM i),
     k AS (SELECT *, sha256('conversion' || {nl} || record_id) AS hc, sha256('metadata' || {nl} || record_id) AS hm, {text} AS text,
           nullif(lower(regexp_extract(payload, {q('(?i)<html\\b[^>]*\\blang=["\x27]?([a-zA-Z-]+)')}, 1)), '') AS lang,
-          len(regexp_extract_all(payload, {q('(?i)<a\\b[^>]*\\bhref\\s*=')}))::BIGINT AS n_links FROM j),
+          len(regexp_extract_all(payload, {q('(?i)<a\\b[^>]*\\bhref\\s*=')}))::BIGINT AS n_links FROM j, e),
     l AS (SELECT *, {uid("hc")} AS conversion_id, {uid("hm")} AS metadata_id FROM k),
     m AS (SELECT *, 'source-payload-digest: ' || payload_digest || {crlf} || 'source-length: ' || strlen(payload) || {crlf} ||
-          'source-http-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8 | Content-Length: ' || strlen(payload) || {crlf} ||
+          'source-http-status: HTTP/1.1 200 OK' || {crlf} || 'source-http-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'source-http-header: Content-Length: ' || strlen(payload) || {crlf} ||
           'conversion-record-id: ' || conversion_id || {crlf} || 'conversion-length: ' || strlen(text) || {crlf} || 'outlinks: ' || n_links || coalesce({crlf} || 'language: ' || lang, '') || {crlf} AS metadata FROM l)
     SELECT page_id, record_id AS refers_to, conversion_id, metadata_id, payload_digest, lang, n_links, strlen(text)::BIGINT AS text_bytes, sha256(text) AS text_sha256,
       sha256({record("conversion", "text/plain; charset=utf-8", "text", "conversion_id")}) AS conversion_sha256,
