@@ -31,7 +31,7 @@ def row_keys(df: DataFrame) -> DataFrame:
 
     Null ids and null texts get values of their own, which keeps every later join a plain equi-join.
     """
-    return df.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("~null"))).withColumn(
+    return df.withColumn("_id", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null"))).withColumn(
         "_th", F.when(F.col("text").isNull(), F.lit(-1)).otherwise(F.xxhash64("text"))
     )
 
@@ -176,7 +176,43 @@ def beside(big: DataFrame, small: DataFrame, on: list[str], how: str, lists: str
     return big.join(small.hint(hint), on, how)
 
 
-def plain(df: DataFrame, *own: str) -> DataFrame:
-    """``df`` without columns that start with an underscore or have the name of a result: the operator's take their place."""
-    mine = {c.lower() for c in own}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_") and c.lower() not in mine])
+#: A key with more than one in HOT_SHARE of the rows is hot; there are at most so many. Its rows are dealt over SALTS tasks.
+HOT_SHARE, SALTS = 200, 64
+
+
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> list[int]:
+    """Hashes of the hot keys of a table of counts by key: at most HOT_SHARE of them, whatever the table's size."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) * HOT_SHARE > total).select(F.xxhash64(*on)).collect()] if total > HOT_SHARE else []
+
+
+def dealt(big: DataFrame, small: DataFrame, on: list[str], hot: list[int], spread: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which the rows of ``big`` with a hot key are dealt over SALTS tasks by a hash of ``spread``.
+
+    ``small`` has few rows a key; those of the hot keys are repeated for every salt.
+    """
+    if not hot:
+        return big.join(small, on, how)
+    is_hot = F.xxhash64(*on).isin(hot)
+    b = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    s = small.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return b.join(s, [*on, "_salt"], how).drop("_salt")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in the one column ``own``, where no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("own"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, *results: str) -> DataFrame:
+    """The columns of ``docs``, in order, and the results; a column with the name of a result gives way to it."""
+    mine = {c.lower() for c in results}
+    kept = [F.col(c) if c in ("doc_id", "text") else F.col("own").getField(c).alias(c) for c in docs.columns if c.lower() not in mine]
+    return df.select(*kept, *results)
+
+
+def plain(df: DataFrame, *results: str) -> DataFrame:
+    """``df`` without columns that have the name of a result, whose place the operator's takes."""
+    mine = {c.lower() for c in results}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in mine])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, plain, row_keys, sliced, written
+from .common import beside, dealt, hot_keys, packed, row_keys, sliced, unpacked, written
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _SEG = 16  # bits of a place within a segment of the filter
@@ -122,7 +122,7 @@ def filter_bits(documents: int, most: int) -> int:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits: int = 30) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text.
+    """``docs`` with n_lines, n_dropped and kept_text, which take the place of columns of these names.
 
     A line's key is the line without the white space at its ends, A-Z in lower case.  Keys of at least min_chars code
     points that at least min_docs documents hold lose all their lines but those of the largest doc_id that holds it.
@@ -130,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bit
     one document too, which keeps a line only if no other does.  The filters hold at most 2**max_bits bits (128 MB),
     which is what is broadcast, and let through every repeated line: the exact count follows on what they let through.
     """
-    docs = plain(docs, "n_lines", "n_dropped", "kept_text")
+    given, docs = docs, packed(docs)
     spark = docs.sparkSession
     bits = filter_bits(docs.count(), max_bits)
     shared = spark.sparkContext.broadcast(twice_filter(docs, bits, min_chars))
@@ -138,15 +138,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bit
     keyed = row_keys(docs)
     schema = f"k1 long, k2 long, doc_id {id_type}, _id string, _th long, lines array<int>"
     suspects = written(keyed.select("doc_id", "text", "_id", "_th").mapInArrow(_suspected(shared, bits, min_chars), schema), "suspects")
-    holders = suspects.groupBy("k1", "k2", "_id").agg(F.max("doc_id").alias("doc_id"))
-    found = holders.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("k1", "k2", "keep")
-    gone = suspects.join(found, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    holders = suspects.groupBy("k1", "k2", "_id").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    found = holders.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"), F.sum("rows").alias("rows")).where(F.col("n") >= min_docs)
+    found = written(found.select("k1", "k2", "keep", "rows"), "found")
+    hot = hot_keys(found, ["k1", "k2"], "rows")
+    gone = dealt(suspects, found.drop("rows"), ["k1", "k2"], hot, ["_id", "_th"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     gone = gone.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("_gone"))
     out = beside(keyed, written(gone, "gone"), ["_id", "_th"], "left", "_gone")
-    out = out.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    out = out.withColumn("_kept", F.expr("IF(_gone IS NULL, _lines, filter(_lines, (x, i) -> NOT array_contains(_gone, i)))"))
-    out = out.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), "kept_text": F.array_join("_kept", "\n")})
-    return out.drop("_id", "_th", "_gone", "_lines", "_kept")
+    # the lines are bound once; what stays is a set difference of places
+    kept = "IF(_gone IS NULL, l, transform(array_except(sequence(0, size(l) - 1), _gone), i -> l[i]))"
+    out = out.withColumn("_l", F.expr(f"transform(array(split(coalesce(text, ''), '\\\\n')), l -> struct(cast(size(l) AS bigint) AS n, {kept} AS kept))[0]"))
+    out = out.withColumns({"n_lines": F.col("_l.n"), "n_dropped": F.col("_l.n") - F.size("_l.kept"), "kept_text": F.array_join("_l.kept", "\n")})
+    return unpacked(out, given, "n_lines", "n_dropped", "kept_text")
 
 
 SQL = """
