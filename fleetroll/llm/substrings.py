@@ -16,8 +16,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Words, as_signed, beside, plain, row_keys, shingle_hash, sliced, span_hash, written
+from .common import Words, as_signed, beside, dealt, hot_keys, packed, row_keys, shingle_hash, sliced, span_hash, unpacked, written
 
 GRAM = 8
 _CHUNK = 1 << 22
@@ -69,10 +70,9 @@ class FMIndex:
         far = np.append(at_power, np.full(off + 1, -1, np.int64))
         same = (at_power[sa[1:]] == at_power[sa[:-1]]) & (far[sa[1:] + off] == far[sa[:-1] + off])
         start = np.flatnonzero(np.append(True, ~same))
-        cls = np.cumsum(np.append(True, ~same)) - 1
-        self.first = start[cls]
-        self.end = np.append(start[1:], len(text))[cls]
-        self.least = np.minimum.reduceat(np.repeat(value, size)[sa], start)[cls]
+        self.opens = Bits(np.append(True, ~same))  # one bit a suffix; the rest is one number a class
+        self.start = np.append(start, len(text)).astype(np.int32)
+        self.least = np.minimum.reduceat(np.repeat(value, size)[sa], start).astype(np.int32)
         bwt = text[sa - 1]
         top = int(text.max()) + 1
         self.before = np.searchsorted(np.sort(text), np.arange(top + 1))
@@ -113,6 +113,10 @@ class FMIndex:
             i = np.where(c >> shift & 1, bits.zeros + ones, i - ones)
         return i
 
+    def class_of(self, i: np.ndarray) -> np.ndarray:
+        """The number of the class (suffixes with the same first ``depth`` symbols) of the i-th suffix."""
+        return self.opens.rank(i + 1) - 1
+
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of c followed by what lo:hi match."""
         at = self.before[c] - self.base[c]
@@ -134,10 +138,10 @@ class FMIndex:
             lanes = lanes[size[lanes] > t]
             a, b = self.extend(flat[at[lanes] - t], lo[lanes], hi[lanes])
             if t >= self.depth:  # one symbol too long: all suffixes with the window's words
-                a, b = self.first[a], self.end[b - 1]
+                a, b = self.start[self.class_of(a)].astype(np.int64), self.start[self.class_of(b - 1) + 1].astype(np.int64)
             lo[lanes], hi[lanes] = a, b
             if t >= self.depth - 1:
-                for lane, v in zip(lanes.tolist(), self.least[a].tolist()):
+                for lane, v in zip(lanes.tolist(), self.least[self.class_of(a)].tolist()):
                     out[lane][size[lane] - 1 - t] = v
         return out
 
@@ -268,7 +272,7 @@ def _cleaned(window: int, names: list[str]):
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, hot: int = 2000, shard_passages: int = 4000) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_text (kept words joined by one space).
+    """``docs`` with n_words, n_removed and kept_text (kept words joined by one space), which take the place of columns of these names.
 
     A word goes if it lies in a window of ``window`` words that also starts in a document with a smaller doc_id.
     Windows are judged on the input.  Null and empty texts have no words.  Rows with the same doc_id are one document
@@ -276,33 +280,35 @@ def dedup_substrings(docs: DataFrame, window: int = 50, hot: int = 2000, shard_p
     counted once before they reach a shard.  Passages of an anchor that more than ``hot`` different passages share
     are judged window by window, by the same hashes; nothing is left out.
     """
-    docs = plain(docs, "n_words", "n_removed", "kept_text", "spans", "need")
+    given, docs = docs, packed(docs)
     keyed = row_keys(docs)
     id_type = dict(docs.dtypes)["doc_id"]
     found = keyed.where("doc_id is not null").select("doc_id", "text", "_id", "_th").mapInArrow(_anchored(window), f"h long, sh long, doc_id {id_type}, _id string, _th long, start int, n int")
     found = written(found, "anchors")
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    runs = written(found.join(shared, "h", "left_semi"), "runs")
-    first = runs.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "_id", "_th", "start", "n")).alias("at"))
+    shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    shared = written(shared.select("h", "rows"), "shared")
+    hot_anchors = hot_keys(shared, ["h"], "rows")
+    runs = written(dealt(found, shared.select("h"), ["h"], hot_anchors, ["_id", "_th", "start"], "left_semi"), "runs")
+    first = runs.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "_id", "_th", "start", "n")).alias("at"), F.count("*").alias("rows"))
     first = written(first, "first")
     many = first.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1").withColumn("hot", F.col("variants") > hot)
-    need = first.join(many, "h").groupBy(F.col("at._id").alias("_id"), F.col("at._th").alias("_th")).agg(F.collect_list(F.struct("h", "sh", "at.start", "at.n", "hot")).alias("need"))
+    variants = dealt(first.drop("rows"), many, ["h"], hot_keys(many, ["h"], "variants"), ["sh"])
+    need = variants.groupBy(F.col("at._id").alias("_id"), F.col("at._th").alias("_th")).agg(F.collect_list(F.struct("h", "sh", "at.start", "at.n", "hot")).alias("need"))
     need = written(need, "need")
     passages = written(beside(keyed.select("doc_id", "text", "_id", "_th"), need, ["_id", "_th"], "inner", "need").mapInArrow(_passages(window), f"h long, sh long, doc_id {id_type}, hot boolean, words array<long>").dropDuplicates(["h", "sh"]), "passages")
     shards = max(256, -(-passages.count() // shard_passages))
     by_index = passages.where("not hot").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInPandas(_searched(window), "h long, sh long, hits array<int>")
-    single = passages.where("hot").mapInArrow(_windows(window), f"wh long, h long, sh long, doc_id {id_type}, off int")
-    low = single.groupBy("wh").agg(F.min("doc_id").alias("low"))
-    by_window = single.join(low, "wh").where("low < doc_id").groupBy("h", "sh").agg(F.collect_list("off").alias("hits"))
+    single = written(passages.where("hot").mapInArrow(_windows(window), f"wh long, h long, sh long, doc_id {id_type}, off int"), "windows")
+    low = written(single.groupBy("wh").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")), "low")
+    by_window = dealt(single, low.select("wh", "low"), ["wh"], hot_keys(low, ["wh"], "rows"), ["h", "sh", "off"]).where("low < doc_id").groupBy("h", "sh").agg(F.collect_list("off").alias("hits"))
     hits = by_index.union(by_window)
     judged = first.select("h", "sh", F.col("at.doc_id").alias("low")).join(hits, ["h", "sh"], "left")
-    spans = runs.join(judged, ["h", "sh"]).where("low < doc_id or hits is not null")
+    spans = dealt(runs, judged, ["h", "sh"], hot_keys(first, ["h", "sh"], "rows"), ["_id", "_th", "start"]).where("low < doc_id or hits is not null")
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + window).alias("b")))
     each = F.transform("hits", lambda x: F.struct((F.col("start") + x).alias("a"), (F.col("start") + x + window).alias("b")))
     spans = spans.select("_id", "_th", F.when(F.col("low") < F.col("doc_id"), whole).otherwise(each).alias("s"))
     spans = written(spans.groupBy("_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans")), "spans")
-    names = docs.columns
-    out = keyed.select(*names, "_id", "_th").join(spans.hint("shuffle_hash"), ["_id", "_th"], "left").drop("_id", "_th")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
-    return out.mapInArrow(_cleaned(window, names), f"{schema}, n_words long, n_removed long, kept_text string")
-
+    names = ["doc_id", "text", "own"]
+    out = keyed.join(spans.hint("shuffle_hash"), ["_id", "_th"], "left").drop("_id", "_th").select(*names, "spans")
+    out = out.mapInArrow(_cleaned(window, names), StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]))
+    return unpacked(out, given, "n_words", "n_removed", "kept_text")
