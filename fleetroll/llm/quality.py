@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import packed, plain, unpacked
 
 #: Bit, name and condition of failure, on the measures below.
 RULES: list[tuple[int, str, str]] = [
@@ -80,11 +80,12 @@ def _measures() -> Column:
 def ledger(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` with its measures and ``fail_bits``; all other columns pass through.
 
+    Columns with the name of a measure, or of ``fail_bits`` or ``~measures``, give way.
     Null texts and texts of white space have no words and fail ``too_few_words``; every measure of them is 0.  Rows
     repeated in the input are repeated in the output.  Built-in functions only, and no shuffle.
     """
-    docs = plain(docs, *MEASURES, "fail_bits")
-    return docs.withColumn("_m", _measures()).select(*docs.columns, "_m.*")
+    docs = plain(docs, *MEASURES, "fail_bits", "~measures")
+    return docs.withColumn("~measures", _measures()).select(*[F.col(f"`{c}`") for c in docs.columns], "`~measures`.*")
 
 
 def verdict(policy: Policy) -> Column:
@@ -114,8 +115,7 @@ def ablations(led: DataFrame, policies: dict[int, Policy] = POLICIES) -> DataFra
 
 def quality_filter(docs: DataFrame, policy: Policy = POLICIES[1]) -> DataFrame:
     """``docs`` without the documents that ``policy`` rejects; the columns stay as they are."""
-    kept = ledger(docs.withColumns({f"own {c}": docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")})).where(verdict(policy))
-    return kept.select(*[F.col(f"`{c}`" if c in ("doc_id", "text") else f"`own {c}`").alias(c) for c in docs.columns])
+    return unpacked(ledger(packed(docs)).where(verdict(policy)), docs)
 
 
 def _sql() -> str:
@@ -140,3 +140,13 @@ def _sql() -> str:
 SQL_LEDGER = _sql() + f"""
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
            (fail_bits & {BASE.mask}) <> 0 AS base_failed, (fail_bits & {POLICIES[1].mask}) = 0 AS kept FROM b"""
+
+
+def _sql_ablation() -> str:
+    rows = ", ".join(f"({p.version}, '{name}', {1 << bit}, {p.mask})" for p in POLICIES.values() for bit, name, _ in RULES if p.mask >> bit & 1)
+    return _sql() + f"""
+    SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS failing, count(*) FILTER (fail_bits & mask = bit)::BIGINT AS failing_alone,
+           count(*) FILTER (fail_bits & mask & ~bit = 0)::BIGINT AS kept_without FROM b, (VALUES {rows}) v(policy, rule, bit, mask) GROUP BY policy, rule"""
+
+
+SQL_ABLATION = _sql_ablation()

@@ -114,5 +114,6 @@ ORACLES: dict[str, str] = {
     "op1_warc_derivatives": warc.SQL,
     "op2_quality_rules": quality.SQL_LEDGER,
     "op7_licence_scan": licences.SQL,
+    "quality_ablation": quality.SQL_ABLATION,
     "op8_line_dedup": lines.SQL,
 }
