@@ -151,7 +151,7 @@ def _scanned(shared, columns: list[str]):
         tm: Templates = shared.value
         k = len(tm.names)
         for b in sliced(batches):
-            texts = b.column("_lines")
+            texts = b.column("~lines")
             w = Words(texts, False)
             h = _bigrams(w)
             p, t = tm.hits(h)
@@ -204,14 +204,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES + TEXTS, pe
     templates that reach the mark, and runs apart from one another and from those: of runs that overlap the best
     counts.  Null and empty texts, and units of one word, match nothing.  ``templates`` is a bounded parameter that
     is broadcast.  Texts are normalised by built-in functions; bigrams are compared by 64-bit hashes.  No shuffle.
+    Columns with the name of a result, or ``~lines``, give way.
     """
-    docs = plain(docs, "licence", "dice", "line", "n_found")
+    docs = plain(docs, "licence", "dice", "line", "n_found", "~lines")
     spark = docs.sparkSession
     t = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(templates)], "t_no int, body string")
     bodies = [r.body for r in t.select("t_no", normalised(F.col("body")).alias("body")).orderBy("t_no").collect()]
     shared = spark.sparkContext.broadcast(Templates([a for a, _ in templates], bodies, percent))
     own = [StructField("licence", StringType()), StructField("dice", DoubleType()), StructField("line", IntegerType()), StructField("n_found", LongType())]
-    d = docs.withColumn("_lines", _by_line(F.col("text"))).mapInArrow(_scanned(shared, docs.columns), StructType([*docs.schema.fields, *own]))
+    d = docs.withColumn("~lines", _by_line(F.col("text"))).mapInArrow(_scanned(shared, docs.columns), StructType([*docs.schema.fields, *own]))
     return d.withColumn("dice", F.round("dice", 6))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_signed, beside, mix64, plain, row_keys, shingle_hash, sliced, written
+from .common import Words, as_signed, beside, mix64, packed, row_keys, shingle_hash, sliced, unpacked, written
 from .components import components
 
 _A = (mix64(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -230,6 +230,6 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
 
     A document without words is a component of its own and stays.
     """
-    docs = plain(docs)
+    given, docs = docs, packed(docs)
     marks = near_duplicates(docs, **params).where("not kept").select("_id", "_th").distinct()
-    return beside(row_keys(docs), written(marks, "dropped"), ["_id", "_th"], "left_anti").select(*docs.columns)
+    return unpacked(beside(row_keys(docs), written(marks, "dropped"), ["_id", "_th"], "left_anti"), given)

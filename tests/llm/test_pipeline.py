@@ -13,12 +13,15 @@ from .test_operators import classes, removed  # noqa: E402
 
 def test_stages_hand_on_documents(spark):
     rows = documents(3)
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    extra = ["_tag", "n_lines", "n_dropped", "n_words", "n_removed", "kept_text", "spans", "need", "own", "fail_bits"]
+    names = ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *[f"{c} {d}" for c in extra]) for d, t in rows], f"doc_id long, text string, lang string, source string, n_chars int, {names}")
     seen = [docs]
     for name, stage in corpus_pipeline.STAGES:
         out = written(stage(spark, seen[-1], ""), name)
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert all(r[c] == f"{c} {r['doc_id']}" for r in out.collect() for c in extra)
         seen.append(out)
     after_lines = [(r["doc_id"], r["text"]) for r in seen[2].collect()]
     want = Counter(d for d, _, _, kept in classes(after_lines, 5, 80) if kept)
