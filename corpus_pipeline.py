@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetroll.llm.common import table, written
+from fleetroll.llm.common import packed, table, unpacked, written
 from fleetroll.llm.lines import dedup_lines
 from fleetroll.llm.minhash import drop_near_duplicates
 from fleetroll.llm.packing import pack_documents
@@ -13,12 +15,10 @@ from fleetroll.llm.quality import quality_filter
 from fleetroll.llm.substrings import dedup_substrings
 
 
-def _with_text(df: DataFrame, like: DataFrame, text) -> DataFrame:
-    """The columns of ``like`` with another text, and its length where the table keeps one."""
-    df = df.withColumn("text", text)
-    if "n_chars" in like.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(dict(like.dtypes)["n_chars"]))
-    return df.select(*like.columns)
+def _with_text(operator: Callable[[DataFrame], DataFrame], docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with the text that an operator gives, and its length where the table keeps one; other columns, whatever their names, stay."""
+    out = unpacked(operator(packed(docs)).withColumn("text", text), docs)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold stay in one of them."""
-    return _with_text(dedup_lines(docs), docs, F.col("kept_text"))
+    return _with_text(dedup_lines, docs, F.col("kept_text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay in the first document that has them; untouched texts keep their white space."""
-    done = dedup_substrings(docs, window=50)
-    return _with_text(done, docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    return _with_text(lambda d: dedup_substrings(d, window=50), docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
