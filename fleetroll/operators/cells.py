@@ -59,12 +59,15 @@ def selectors(rows: DataFrame, cells: DataFrame, edges: DataFrame, pattern: str
     return g.where("n <= 2 and setting is not null").drop("n")
 
 
-def holding(cells: DataFrame, facts: DataFrame) -> DataFrame:
-    """Cells that hold a stated figure, or its hundredth, to 12 places; typed inputs before formulas, one a fact."""
-    f = facts.select("fact_id", F.explode(F.array_distinct(F.array(F.round("value", 12), F.round(F.col("value") / 100, 12)))).alias("k"))
-    j = cells.withColumn("k", F.round("value", 12)).join(f, "k")
-    w = Window.partitionBy("fact_id").orderBy(F.col("formula").isNotNull(), "cell_id")
-    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("fact_id", "cell_id")
+def holding(cells: DataFrame, facts: DataFrame, pattern: str = ".*") -> DataFrame:
+    """Cells of an engagement that hold a stated figure, or its hundredth, to 12 places under a label that matches.
+
+    One a fact: typed inputs before formulas, then the smallest cell_id.
+    """
+    f = facts.select("engagement_id", "fact_id", F.explode(F.array_distinct(F.array(F.round("value", 12), F.round(F.col("value") / 100, 12)))).alias("k"))
+    j = cells.where(F.col("label").rlike(pattern)).withColumn("k", F.round("value", 12)).join(f, ["engagement_id", "k"])
+    w = Window.partitionBy("engagement_id", "fact_id").orderBy(F.col("formula").isNotNull(), "cell_id")
+    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("engagement_id", "fact_id", "cell_id")
 
 
 def header_text(cells: DataFrame, rows: int = 4, sheets: int = 2, k: int = 6) -> DataFrame:
@@ -92,8 +95,12 @@ def amount_rows(series: DataFrame, labels: DataFrame, pattern: str = r"(?i)flag|
 
 
 def link_agreement(cached: DataFrame, cells: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """Per link and candidate workbook: cells compared and equal; the best candidate of each link by equal cells."""
-    key = ["sheet", "row_no", "col"]
+    """Per link: cells compared with the workbook it names, and equal ones; of several workbooks of the name the best.
+
+    ``cached(link, name, sheet, row_no, col, value)`` and ``cells(workbook_id, name, sheet, row_no, col, value)``: a link
+    meets the workbooks of its file name only, without version and date (``match.file_keys``).
+    """
+    key = ["name", "sheet", "row_no", "col"]
     j = cached.select("link", *key, F.col("value").alias("_c")).join(cells.select("workbook_id", *key, "value"), key)
     same = F.abs(F.col("_c") - F.col("value")) <= tol * F.greatest(F.lit(1.0), F.abs("_c"))
     g = j.groupBy("link", "workbook_id").agg(F.count("*").alias("compared"), F.count_if(same).alias("equal"))
@@ -122,16 +129,23 @@ def compare_selectors(last: DataFrame, this: DataFrame) -> DataFrame:
 
 
 def date_facts(facts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Facts that are dates with the cells that hold the date; located if a label speaks of a valuation."""
-    j = facts.join(cells, facts["fact_date"] == cells["cell_date"])
-    return j.groupBy("fact_id").agg(F.count("*").alias("cells"), F.count_if(F.lower("label").contains("valu")).alias("located"))
+    """Facts that are dates with the cells of their engagement that hold the date; located if a label speaks of a valuation."""
+    j = facts.join(cells.withColumnRenamed("cell_date", "fact_date"), ["engagement_id", "fact_date"])
+    return j.groupBy("engagement_id", "fact_id").agg(F.count("*").alias("cells"), F.count_if(F.lower("label").contains("valu")).alias("located"))
 
 
 def key_outputs(changed: DataFrame, edges: DataFrame, k: int = 40) -> DataFrame:
-    """Changed rows ranked: those nobody reads first, then by changed cells."""
-    read = edges.select(F.col("dst").alias("node")).distinct().withColumn("_read", F.lit(1))
-    d = changed.join(read, "node", "left").withColumn("is_read", F.coalesce("_read", F.lit(0)))
-    return d.orderBy("is_read", F.col("changed").desc(), "node").limit(k).select("node", "changed", "is_read")
+    """Changed rows of each workbook ranked: those nobody reads first, then by rows they read, then by changed cells.
+
+    ``changed(workbook_id, node, changed, old, new)`` has a row's first changed cell; its change in per cent goes along.
+    """
+    key = ["workbook_id", "node"]
+    read = edges.select("workbook_id", F.col("dst").alias("node")).distinct().withColumn("_read", F.lit(1))
+    up = edges.groupBy("workbook_id", F.col("src").alias("node")).agg(F.count_distinct("dst").alias("_up"))
+    d = changed.join(read, key, "left").join(up, key, "left").withColumns({"is_read": F.coalesce("_read", F.lit(0)), "upstream": F.coalesce("_up", F.lit(0))})
+    w = Window.partitionBy("workbook_id").orderBy("is_read", F.col("upstream").desc(), F.col("changed").desc(), "node")
+    pct = F.when(F.col("old") != 0, (F.col("new") / F.col("old") - 1) * 100)
+    return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(*key, "place", "changed", "upstream", "is_read", pct.alias("pct"))
 
 
 def parts(signed: DataFrame, values: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:

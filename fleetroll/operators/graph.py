@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetroll.sources.tables import written
 
-#: Strength of a kind of edge.
+#: Strength of a kind of edge.
 RANK = {"direct": 3, "offset": 2, "active": 1, "inactive": 0}
 
 

@@ -164,7 +164,7 @@ def by_neighbours(edges: DataFrame, prior_rows: DataFrame, current_rows: DataFra
     return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-#: Weights of the kinds of evidence.
+#: Weights of the kinds of evidence.
 WEIGHTS = {"label": 0.3, "history": 0.35, "words": 0.2, "neighbours": 0.15, "banner": 0.25, "trace": 0.5, "block": 0.3, "lineage": 0.2}
 
 

@@ -126,13 +126,15 @@ def rolled(prior: DataFrame, current: DataFrame, matches: DataFrame, months: int
 
 
 def find(rows: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """Rows whose label or section holds the text, case and spacing aside, in order of place."""
+    """Rows whose label or section holds the text, case and spacing aside: the first ``limit`` of each workbook, in order of place."""
     from fleetroll.functions.text import squash
 
     t = text.lower()
     s = squash(F.lit(text))
     hit = lambda c: F.lower(c).contains(t) | squash(F.col(c)).contains(s)
-    return rows.where(F.coalesce(hit("label"), F.lit(False)) | F.coalesce(hit("section"), F.lit(False))).orderBy("sheet", "row_no").limit(limit)
+    found = rows.where(F.coalesce(hit("label"), F.lit(False)) | F.coalesce(hit("section"), F.lit(False)))
+    w = Window.partitionBy("workbook_id").orderBy("sheet", "row_no")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 
 
 def ranked(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -151,18 +153,53 @@ def tag_terms(texts: DataFrame, terms: dict[str, str], by: str, place: str) -> D
     return d.groupBy(by, "term").agg(F.min(place).alias("first_place"), F.count("*").alias("times"))
 
 
-def facts_to_cells(facts: DataFrame, cells: DataFrame, scales: list[float] = [1.0, 1e3, 1e6], k: int = 5) -> DataFrame:
-    """Figures as printed and the cells that could hold them: within half a unit of the last digit, at a scale and sign.
+#: What a figure may be multiplied by, by the words of its unit; the first that fits.
+UNIT_SCALES: list[tuple[str, list[float]]] = [
+    (r"%", [0.01, 1.0]),
+    (r"bn|billion", [1.0, 1e3, 1e6, 1e9]),
+    (r"(^|[^a-z])m$|million|\$m|mn", [1.0, 1e3, 1e6]),
+    (r"'000|000s|\bk\b|thousand", [1.0, 1e3]),
+]
 
-    ``facts(fact_id, printed, half)``; a figure's intervals and the cells meet in logarithmic buckets of a hundredth.
+
+def scales_of(unit: Column) -> Column:
+    """The scales of a unit, as an array; 1 alone where its words say nothing."""
+    u = F.lower(F.coalesce(unit, F.lit("")))
+    arrays = [(p, F.array(*[F.lit(x) for x in xs])) for p, xs in UNIT_SCALES]
+    out = F.when(u.rlike(arrays[0][0]), arrays[0][1])
+    for p, xs in arrays[1:]:
+        out = out.when(u.rlike(p), xs)
+    return out.otherwise(F.array(F.lit(1.0)))
+
+
+def facts_to_cells(facts: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
+    """Report figures and the cells of their engagement that could hold them: the best ``k``, and how many there are.
+
+    ``facts(engagement_id, fact_id, label, unit, category, value_text, low_text, high_text)`` are as printed;
+    ``cells(engagement_id, cell_id, label, value, is_formula, is_anchor)``.  A cell fits a part of a fact (its value,
+    low or high) if it lies within half a unit of the last printed digit at one of the unit's scales, of either sign.
+    Score: 3 times the share of the fact's words that the cell's label has, 1.5 for an anchor, half for a formula where
+    the fact is a result (or a typed cell where it isn't), half for the same sign, .3 for the value itself.  Intervals
+    and cells meet in logarithmic buckets of a hundredth.
     """
-    s = F.explode(F.array(*[F.struct(F.lit(x * g).alias("scale")) for x in scales for g in (1, -1)]))
-    f = facts.withColumn("s", s).select("fact_id", F.col("s.scale").alias("scale"), (F.col("printed") * F.col("s.scale")).alias("x"), F.abs(F.col("half") * F.col("s.scale")).alias("h")).where("x <> 0")
-    bucket = lambda v: F.floor(F.log(F.abs(v)) * 100).cast("long")
-    lo, hi = F.greatest(F.abs("x") - F.col("h"), F.abs("x") * 1e-3), F.abs("x") + F.col("h")
-    f = f.withColumn("b", F.explode(F.sequence(bucket(lo), bucket(hi))))
-    c = cells.where("value <> 0").withColumn("b", bucket(F.col("value")))
-    hit = c.join(f, "b").where(F.abs(F.col("value") - F.col("x")) <= F.col("h"))
-    w = Window.partitionBy("fact_id").orderBy(F.abs("scale"), F.col("scale").desc(), "cell_id")
-    n = F.count("*").over(Window.partitionBy("fact_id"))
-    return hit.withColumn("n", n).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("fact_id", "cell_id", "scale", "n")
+    from .match import tokens
+
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"{p}_text").alias("text")) for p in ("value", "low", "high")])
+    f = facts.withColumn("p", F.explode(parts)).withColumn("digits", F.regexp_extract(F.coalesce("p.text", F.lit("")), r"\d[\d,]*(?:\.\d+)?", 0)).where("digits <> ''")
+    x, decimals = F.replace("digits", F.lit(","), F.lit("")).cast("double"), F.length(F.regexp_extract("digits", r"\.(\d+)", 1))
+    scale = F.explode(scales_of(F.coalesce(F.nullif("unit", F.lit("")), F.col("p.text"))))
+    f = f.select("engagement_id", "fact_id", F.col("p.part").alias("part"), tokens(F.col("label")).alias("want"), F.coalesce(F.col("category").isin("conclusion", "sensitivity"), F.lit(False)).alias("result"), x.alias("x"), (0.5 * F.pow(F.lit(10.0), -decimals)).alias("half"), scale.alias("scale"))
+    f = f.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumns({"lo": F.least(F.col("sign") * (F.col("x") - F.col("half")) * F.col("scale"), F.col("sign") * (F.col("x") + F.col("half")) * F.col("scale")), "hi": F.greatest(F.col("sign") * (F.col("x") - F.col("half")) * F.col("scale"), F.col("sign") * (F.col("x") + F.col("half")) * F.col("scale"))})
+    bucket = lambda v: F.when(F.abs(v) < 1e-6, F.lit(-2000)).otherwise(F.floor(F.log(F.abs(v)) * 100)).cast("long")
+    # an interval around 0 is that of a figure printed as 0: it meets all buckets up to its end
+    near, far = F.when(F.col("lo") * F.col("hi") <= 0, 0.0).otherwise(F.least(F.abs("lo"), F.abs("hi"))), F.greatest(F.abs("lo"), F.abs("hi"))
+    f = f.withColumn("b", F.explode(F.sequence(bucket(near), bucket(far))))
+    c = cells.where("value <> 0").select("engagement_id", "cell_id", F.col("label").alias("cell_label"), "value", "is_formula", "is_anchor", bucket(F.col("value")).alias("b"))
+    hit = c.join(f, ["engagement_id", "b"]).where("value between lo and hi")
+    overlap = F.size(F.array_intersect("want", tokens(F.col("cell_label")))) / F.greatest(F.lit(1), F.size("want"))
+    score = 3 * overlap + F.when(F.col("is_anchor"), 1.5).otherwise(0.0) + F.when(F.col("is_formula") == F.col("result"), 0.5).otherwise(0.0) + F.when(F.col("sign") == 1, 0.5).otherwise(0.0) + F.when(F.col("part") == "value", 0.3).otherwise(0.0)
+    hit = hit.withColumn("located", (overlap > 0) | F.col("is_anchor")).withColumn("score", F.round(score, 2))
+    by = ["engagement_id", "fact_id"]
+    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), "cell_id", "part", "scale", F.col("sign").desc())
+    d = hit.withColumn("n", F.count("*").over(Window.partitionBy(*by))).withColumn("place", F.row_number().over(w))
+    return d.where(F.col("place") <= k).select(*by, "place", "cell_id", "part", "scale", "sign", "score", "located", "n")

@@ -51,13 +51,14 @@ def j31(spark, sf):
     return cells.heading(_cells(spark, sf).withColumn("text", t))
 
 
-@query("f5_holding", """WITH f AS (SELECT p_partkey AS fact_id, p_retailprice AS v FROM part WHERE p_partkey % 20 = 0), c AS (SELECT o_orderkey AS cell_id, round(900 + (o_orderkey % 2000) * 0.1, 2) / CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 1 END AS value, o_orderkey % 2 = 0 AS formula FROM orders)
-    SELECT fact_id, cell_id FROM c JOIN f ON round(value, 12) IN (round(v, 12), round(v / 100, 12)) QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY formula, cell_id) = 1""")
+@query("f5_holding", """WITH f AS (SELECT o_custkey AS e, o_orderkey AS fact_id, round(o_totalprice, -4) AS v FROM orders), c AS (SELECT o_custkey AS e, o_orderkey AS cell_id, round(o_totalprice, -4) / CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 1 END AS value, o_orderkey % 2 = 0 AS formula FROM orders WHERE o_orderpriority <> '5-LOW')
+    SELECT e AS engagement_id, fact_id, cell_id FROM c JOIN f USING (e) WHERE round(value, 12) IN (round(v, 12), round(v / 100, 12)) QUALIFY row_number() OVER (PARTITION BY e, fact_id ORDER BY formula, cell_id) = 1""")
 def f5(spark, sf):
-    f = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("fact_id"), F.col("p_retailprice").alias("value"))
-    k = F.col("o_orderkey")
-    c = spark.read.parquet(f"{sf}/orders.parquet").select(k.alias("cell_id"), (F.round(900 + (k % 2000) * 0.1, 2) / F.when(k % 3 == 0, 100).otherwise(1)).alias("value"), F.when(k % 2 == 0, "f").alias("formula"))
-    return cells.holding(c, f)
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k, v = F.col("o_orderkey"), F.round("o_totalprice", -4)
+    f = o.select(F.col("o_custkey").alias("engagement_id"), k.alias("fact_id"), v.alias("value"))
+    c = o.select(F.col("o_custkey").alias("engagement_id"), k.alias("cell_id"), F.col("o_orderpriority").alias("label"), (v / F.when(k % 3 == 0, 100).otherwise(1)).alias("value"), F.when(k % 2 == 0, "f").alias("formula"))
+    return cells.holding(c, f, r"(?i)urgent|high|medium|not specified")
 
 
 @query("f8_header_text", "SELECT workbook_id, text, sheets FROM (SELECT p_size % 10 AS workbook_id, p_name AS text, count(DISTINCT p_brand)::BIGINT AS sheets FROM part WHERE p_partkey % 9 <= 4 GROUP BY 1, 2) WHERE sheets >= 2 QUALIFY row_number() OVER (PARTITION BY workbook_id ORDER BY sheets DESC, text) <= 6")
@@ -76,11 +77,13 @@ def f9(spark, sf):
     return cells.amount_rows(s.withColumn("value", v), labels)
 
 
-@query("j20_link_agreement", f"""WITH {_C}, l AS (SELECT workbook_id AS link, sheet, row_no, col, CASE WHEN col = 3 THEN value + 1 ELSE value END AS v FROM c WHERE value IS NOT NULL)
-    SELECT link, workbook_id, compared, equal FROM (SELECT link, c.workbook_id, count(*)::BIGINT AS compared, count(*) FILTER (abs(v - value) <= 1e-6 * greatest(1.0, abs(v)))::BIGINT AS equal FROM l JOIN c USING (sheet, row_no, col) WHERE value IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY link ORDER BY equal DESC, workbook_id) = 1""")
+@query("j20_link_agreement", f"""WITH {_C}, d AS (SELECT workbook_id, workbook_id // 4 AS name, sheet, row_no % 50 AS row_no, col, max(value) AS value FROM c WHERE value IS NOT NULL GROUP BY ALL),
+    l AS (SELECT workbook_id AS link, name, sheet, row_no, col, CASE WHEN col = 3 THEN value + 1 ELSE value END AS v FROM d)
+    SELECT link, workbook_id, compared, equal FROM (SELECT link, d.workbook_id, count(*)::BIGINT AS compared, count(*) FILTER (abs(v - value) <= 1e-6 * greatest(1.0, abs(v)))::BIGINT AS equal FROM l JOIN d USING (name, sheet, row_no, col) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY link ORDER BY equal DESC, workbook_id) = 1""")
 def j20(spark, sf):
     c = _cells(spark, sf).where("value is not null")
-    return cells.link_agreement(c.select(F.col("workbook_id").alias("link"), "sheet", "row_no", "col", F.when(F.col("col") == 3, F.col("value") + 1).otherwise(F.col("value")).alias("value")), c)
+    c = c.groupBy("workbook_id", F.floor(F.col("workbook_id") / 4).alias("name"), "sheet", (F.col("row_no") % 50).alias("row_no"), "col").agg(F.max("value").alias("value"))
+    return cells.link_agreement(c.withColumnRenamed("workbook_id", "link").withColumn("value", F.when(F.col("col") == 3, F.col("value") + 1).otherwise(F.col("value"))), c)
 
 
 @query("a16_link_reads", f"WITH {_C} SELECT workbook_id AS link, count(*)::BIGINT AS cells, count(*) FILTER (value <> 0)::BIGINT AS nonzero FROM c GROUP BY 1")
@@ -94,18 +97,27 @@ def j26(spark, sf):
     return cells.compare_selectors(p.where("key % 7 <> 0"), p.where("key % 5 <> 0").withColumn("setting", F.when(F.col("key") % 3 == 0, F.col("setting") + 1).otherwise(F.col("setting"))))
 
 
-@query("j18_date_facts", "SELECT f.c_custkey AS fact_id, count(*)::BIGINT AS cells, count(*) FILTER (o_orderkey % 3 = 0)::BIGINT AS located FROM customer f JOIN orders ON o_orderdate::DATE = DATE '1996-01-01' + (c_custkey % 900)::INT GROUP BY 1")
+@query("j18_date_facts", """WITH f AS (SELECT o_custkey AS engagement_id, o_orderkey AS fact_id, o_orderdate::DATE + (o_orderkey % 3)::INT AS d FROM orders), c AS (SELECT o_custkey AS engagement_id, o_orderdate::DATE + (o_orderkey % 2)::INT AS d, o_orderkey % 3 = 0 AS valu FROM orders)
+    SELECT engagement_id, fact_id, count(*)::BIGINT AS cells, count(*) FILTER (valu)::BIGINT AS located FROM f JOIN c USING (engagement_id, d) GROUP BY 1, 2""")
 def j18(spark, sf):
-    f = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("fact_id"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int")).alias("fact_date"))
-    c = spark.read.parquet(f"{sf}/orders.parquet").select(F.to_date("o_orderdate").alias("cell_date"), F.when(F.col("o_orderkey") % 3 == 0, "Valuation date").otherwise("Date").alias("label"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("d", F.to_date("o_orderdate"))
+    k = F.col("o_orderkey")
+    f = o.select(F.col("o_custkey").alias("engagement_id"), k.alias("fact_id"), F.date_add("d", (k % 3).cast("int")).alias("fact_date"))
+    c = o.select(F.col("o_custkey").alias("engagement_id"), F.date_add("d", (k % 2).cast("int")).alias("cell_date"), F.when(k % 3 == 0, "Valuation date").otherwise("Date").alias("label"))
     return cells.date_facts(f, c)
 
 
-@query("g6_key_outputs", f"""{cte('edges')}, ch AS (SELECT src AS node, count(*)::BIGINT AS changed FROM edges WHERE src % 3 = 0 AND src <> dst GROUP BY 1), r AS (SELECT DISTINCT dst AS node FROM edges WHERE src <> dst)
-    SELECT node, changed, CASE WHEN node IN (SELECT node FROM r) THEN 1 ELSE 0 END::INT AS is_read FROM ch ORDER BY is_read, changed DESC, node LIMIT 40""")
+@query("g6_key_outputs", f"""{cte('model_edges', 'model_points', 'model_points_now')}, ch AS (SELECT o.workbook_id, o.row_no AS node, count(*)::BIGINT AS changed, arg_min(o.value, o.period_end) AS old, arg_min(n.value, o.period_end) AS new FROM model_points o JOIN model_points_now n USING (workbook_id, row_no, period_end) WHERE abs(o.value - n.value) > 1e-9 * greatest(1, abs(o.value), abs(n.value)) GROUP BY ALL),
+    r AS (SELECT DISTINCT workbook_id, dst AS node, 1 AS rd FROM model_edges), u AS (SELECT workbook_id, src AS node, count(DISTINCT dst) AS up FROM model_edges GROUP BY ALL)
+    SELECT workbook_id, node, (row_number() OVER w)::INT AS place, changed, coalesce(up, 0)::BIGINT AS upstream, coalesce(rd, 0)::INT AS is_read, round(CASE WHEN old <> 0 THEN (new / old - 1) * 100 END, 6) AS pct FROM ch LEFT JOIN r USING (workbook_id, node) LEFT JOIN u USING (workbook_id, node)
+    WINDOW w AS (PARTITION BY workbook_id ORDER BY coalesce(rd, 0), coalesce(up, 0) DESC, changed DESC, node) QUALIFY row_number() OVER w <= 40""")
 def g6(spark, sf):
-    e = graph.edges(view(spark, sf, "edges"))
-    return cells.key_outputs(e.where("src % 3 = 0").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("changed")), e)
+    from fleetroll.operators.checks import close
+
+    old, new = view(spark, sf, "model_points"), view(spark, sf, "model_points_now").withColumnRenamed("value", "new")
+    d = old.join(new, ["workbook_id", "row_no", "period_end"]).where(~close(F.col("value"), F.col("new")))
+    ch = d.groupBy("workbook_id", F.col("row_no").alias("node")).agg(F.count("*").alias("changed"), F.min_by("value", "period_end").alias("old"), F.min_by("new", "period_end").alias("new"))
+    return cells.key_outputs(ch, view(spark, sf, "model_edges")).withColumn("pct", F.round("pct", 6))
 
 
 @query("g7_parts", """WITH e AS (SELECT 1000000 + c_nationkey AS src, c_custkey AS dst, CASE WHEN c_custkey % 3 = 0 THEN -1.0 ELSE 1.0 END AS sign FROM customer UNION ALL SELECT 2000000 + n_regionkey, 1000000 + n_nationkey, 1.0 FROM nation)

@@ -72,9 +72,18 @@ def x14(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.basis_counts(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 
-@query("t8_formula_shape", """SELECT p_partkey, 'R[]C#+!R#C#*R[]C[]' AS shape FROM part""")
+_F8 = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'R[-' || p_size || ']C' || p_size || '+''My ' || p_type || '''!R' || p_partkey || 'C3*R[2]C[-1]'
+    WHEN 1 THEN 'SUM(R[-' || p_size || ']C:R[-1]C)/Costs.2!R5C' || p_size ELSE 'IF(RC[-' || p_size || ']>0,ROUND(R' || p_partkey || 'C,2),FACTOR(C7)*RATE1)' END AS f FROM part"""
+
+
+@query("t8_formula_shape", f"""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '(''[^'']+''|[A-Za-z_][A-Za-z0-9_.]*)!', '!', 'g'), '\\[-?[0-9]+\\]', '[]', 'g'), '\\bR[0-9]+', 'R#', 'g'), 'C[0-9]+\\b', 'C#', 'g') AS shape FROM ({_F8})""")
 def t8(spark, sf):
-    f = F.format_string("R[-%d]C%d+'My %s'!R%dC3*R[2]C[-1]", F.col("p_size"), F.col("p_size"), F.col("p_type"), F.col("p_partkey"))
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    f = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("R[-"), n, F.lit("]C"), n, F.lit("+'My "), F.col("p_type"), F.lit("'!R"), k, F.lit("C3*R[2]C[-1]")))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("SUM(R[-"), n, F.lit("]C:R[-1]C)/Costs.2!R5C"), n))
+        .otherwise(F.concat(F.lit("IF(RC[-"), n, F.lit("]>0,ROUND(R"), k, F.lit("C,2),FACTOR(C7)*RATE1)")))
+    )
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", text.formula_shape(f).alias("shape"))
 
 

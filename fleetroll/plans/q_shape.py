@@ -81,9 +81,9 @@ def t16(spark, sf):
     return shape.phases(d.withColumn("label", label), ["workbook_id", "sheet"])
 
 
-@query("f1_find", f"{cte('rows_prior')} SELECT sheet, row_no, label FROM rows_prior WHERE lower(label) LIKE '%red w%' OR regexp_replace(lower(label), '[ _./&()''-]', '', 'g') LIKE '%redw%' ORDER BY sheet, row_no LIMIT 50")
+@query("f1_find", f"{cte('rows_prior')} SELECT workbook_id, sheet, row_no, label FROM rows_prior WHERE lower(label) LIKE '%red w%' OR regexp_replace(lower(label), '[ _./&()''-]', '', 'g') LIKE '%redw%' QUALIFY row_number() OVER (PARTITION BY workbook_id ORDER BY sheet, row_no) <= 50")
 def f1(spark, sf):
-    return shape.find(view(spark, sf, "rows_prior"), "Red w").select("sheet", "row_no", "label")
+    return shape.find(view(spark, sf, "rows_prior"), "Red w").select("workbook_id", "sheet", "row_no", "label")
 
 
 @query("f2_ranked", f"""{cte('rows_prior')}, q AS (SELECT DISTINCT query, unnest(string_split(query, ' ')) AS w FROM (VALUES ('small ring'), ('red widget of'), ('blue')) v(query)), r AS (SELECT DISTINCT sheet, row_no, unnest(string_split(lower(label), ' ')) AS w FROM rows_prior)
@@ -101,13 +101,26 @@ def f3(spark, sf):
     return shape.tag_terms(spark.read.parquet(f"{sf}/documents.parquet"), TERMS, "source", "doc_id")
 
 
-@query("j17_facts_to_cells", f"""WITH f AS (SELECT o_orderkey AS fact_id, round(o_totalprice / CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 1000 END, 1) AS printed, 0.05 AS half FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT o_orderkey AS cell_id, o_totalprice AS value FROM orders WHERE o_totalprice <> 0),
-    s AS (SELECT * FROM (VALUES (1.0::DOUBLE), (1e3), (1e6), (-1.0), (-1e3), (-1e6)) v(scale)), h AS (SELECT fact_id, cell_id, scale, count(*) OVER (PARTITION BY fact_id) AS n FROM f, s, c WHERE abs(value - printed * scale) <= abs(half * scale) AND printed <> 0)
-    SELECT fact_id, cell_id, scale, n::BIGINT AS n FROM h QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY abs(scale), scale DESC, cell_id) <= 5""")
+_T = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '([a-z][a-z0-9]+)', 1), lambda x: x NOT IN ('the', 'and', 'of', 'for', 'to', 'in')))"
+_FACTS = """SELECT o_custkey AS engagement_id, o_orderkey AS fact_id, concat('The ', o_orderpriority, ' value of order status ', o_orderstatus) AS label,
+    CASE o_orderkey % 5 WHEN 0 THEN '%' WHEN 1 THEN '$bn' WHEN 2 THEN 'AUD m' WHEN 3 THEN '$''000' ELSE '' END AS unit, CASE WHEN o_orderkey % 2 = 0 THEN 'conclusion' ELSE 'assumption' END AS category,
+    round(o_totalprice / CASE o_orderkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 1000000 WHEN 2 THEN 1000 WHEN 3 THEN 1000 ELSE 1 END, 1) AS v FROM {orders}"""
+_CELLS = """SELECT o_custkey AS engagement_id, o_orderkey AS cell_id, concat(o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN ' value' ELSE '' END) AS label,
+    CASE WHEN o_orderkey % 4 = 1 THEN -o_totalprice ELSE o_totalprice END AS value, o_orderkey % 3 = 0 AS is_formula, o_orderkey % 7 = 0 AS is_anchor FROM {orders}"""
+
+
+@query("j17_facts_to_cells", f"""WITH f AS ({_FACTS.format(orders="orders")}), c AS ({_CELLS.format(orders="orders")}), p AS (SELECT engagement_id, fact_id, {_T('label')} AS want, unit, category = 'conclusion' AS result, part, v + d AS x FROM f, (VALUES ('value', 0.0), ('low', -1.5), ('high', 1.5)) k(part, d) WHERE part = 'value' OR fact_id % 4 = 0),
+    s AS (SELECT * EXCLUDE (sc, unit), unnest(sc) AS scale FROM (SELECT *, CASE WHEN unit = '%' THEN [0.01, 1.0] WHEN unit = '$bn' THEN [1.0, 1e3, 1e6, 1e9] WHEN unit = 'AUD m' THEN [1.0, 1e3, 1e6] WHEN unit = '$''000' THEN [1.0, 1e3] ELSE [1.0] END AS sc FROM p WHERE x >= 0)),
+    h AS (SELECT s.engagement_id, fact_id, cell_id, part, scale::DOUBLE AS scale, sign::INT AS sign, len(list_intersect(want, {_T('label')})) / greatest(1, len(want)) AS overlap, is_formula = result AS kind, is_anchor FROM s, (VALUES (1), (-1)) g(sign), c WHERE c.engagement_id = s.engagement_id AND value <> 0 AND abs(value - sign * x * scale) <= 0.05 * scale + 1e-9 * abs(value) AND value BETWEEN least(sign * (x - 0.05) * scale, sign * (x + 0.05) * scale) AND greatest(sign * (x - 0.05) * scale, sign * (x + 0.05) * scale)),
+    q AS (SELECT *, round(3 * overlap + CASE WHEN is_anchor THEN 1.5 ELSE 0 END + CASE WHEN kind THEN 0.5 ELSE 0 END + CASE WHEN sign = 1 THEN 0.5 ELSE 0 END + CASE WHEN part = 'value' THEN 0.3 ELSE 0 END, 2)::DOUBLE AS score, overlap > 0 OR is_anchor AS located, count(*) OVER (PARTITION BY engagement_id, fact_id)::BIGINT AS n FROM h)
+    SELECT engagement_id, fact_id, (row_number() OVER w)::INT AS place, cell_id, part, scale, sign, score, located, n FROM q WINDOW w AS (PARTITION BY engagement_id, fact_id ORDER BY score DESC, cell_id, part, scale, sign DESC) QUALIFY row_number() OVER w <= 5""")
 def j17(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    f = o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("fact_id"), F.round(F.col("o_totalprice") / F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(1000), 1).alias("printed"), F.lit(0.05).alias("half"))
-    return shape.facts_to_cells(f, o.select(F.col("o_orderkey").alias("cell_id"), F.col("o_totalprice").alias("value")))
+    f = spark.sql(_FACTS, orders=o)
+    part = lambda d, ok: F.when(ok & (F.col("v") + d >= 0), F.concat(F.lit("about $"), F.format_number(F.col("v") + d, 1)))
+    some = F.col("fact_id") % 4 == 0
+    f = f.withColumns({"value_text": part(0.0, F.lit(True)), "low_text": part(-1.5, some), "high_text": part(1.5, some)})
+    return shape.facts_to_cells(f, spark.sql(_CELLS, orders=o))
 
 
 @query("j23_rolled", f"""{cte('series', 'series_now')}, m AS (SELECT DISTINCT {K}, sheet AS cur_sheet, row_no AS cur_row FROM series WHERE workbook_id % 11 <> 4), l AS (SELECT {K}, max(period_end) AS last FROM series_now GROUP BY ALL),

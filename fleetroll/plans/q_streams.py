@@ -15,10 +15,11 @@ from .registry import query
 
 
 def stream(spark, sf: str, name: str) -> DataFrame:
-    """A view of the event log as a stream of its file."""
+    """A view of the event log as a stream: its rows are put into a folder of the shared place, from which the stream reads."""
     raw = spark.read.parquet(f"{sf}/events.parquet")
-    s = spark.readStream.schema(raw.schema).format("parquet").load(f"{sf}/events.parquet*") if not sf.startswith("viewfs") else spark.readStream.schema(raw.schema).parquet(f"{sf}/events.parquet")
-    return spark.sql(VIEWS[name][1], events=s)
+    folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    raw.write.parquet(folder)
+    return spark.sql(VIEWS[name][1], events=spark.readStream.schema(raw.schema).parquet(folder))
 
 
 def drained(spark, df: DataFrame, mode: str = "append") -> DataFrame:

@@ -50,10 +50,10 @@ def w7(spark, sf):
     return windows.top_k(d, ["workbook_id"], [F.col("figure").desc(), F.col("row_no")], 3)
 
 
-@query("w8_first_seen", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(substr(text, 1, 120)) ORDER BY source, doc_id) AS k FROM documents) WHERE k = 1")
+@query("w8_first_seen", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY source, doc_id) AS k FROM documents) WHERE k = 1")
 def w8(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    return windows.first_seen(d, F.lower(F.substring("text", 1, 120)), ["source", "doc_id"]).select("doc_id", "source")
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    return windows.first_seen(d, F.lower("text"), ["source", "doc_id"]).select("doc_id", "source")
 
 
 @query("o1_changes", f"""{cte('series', 'series_now')}, o AS (SELECT DISTINCT workbook_id, sheet, 1 AS o FROM series), n AS (SELECT DISTINCT workbook_id, sheet, 1 AS n FROM series_now)

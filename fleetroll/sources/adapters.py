@@ -56,6 +56,44 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN p_size = 7 THEN concat(p_name, ' revised') ELSE p_name END AS label, p_type AS section,
            round(p_retailprice * CASE WHEN p_size > 40 THEN 1.1 ELSE 1.0 END, 4) AS figure FROM {part} WHERE p_size <> 13""",
     ),
+    # models of fifty rows each on three sheets: rows, what reads what, and values; and this year's version of them, where
+    # rows are dropped, relabelled, moved (not the banners above row 11) and revised, and one sheet is renamed
+    "model_rows": (
+        ("part",),
+        """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, concat('S', CAST(p_size % 3 AS STRING)) AS sheet, p_partkey % 50 + 1 AS row_no,
+           concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' costs of ' ELSE ' ' END, lower(p_type)) AS label, p_type AS section FROM {part}""",
+    ),
+    "model_rows_now": (
+        ("part",),
+        """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, CASE WHEN p_size % 3 = 2 AND CAST(floor(p_partkey / 50) AS BIGINT) % 4 = 1 THEN 'S2 new' ELSE concat('S', CAST(p_size % 3 AS STRING)) END AS sheet,
+           p_partkey % 50 + 1 + CASE WHEN p_partkey % 50 >= 10 AND CAST(floor(p_partkey / 50) AS BIGINT) % 3 > 0 THEN 3 ELSE 0 END AS row_no,
+           concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' costs of ' ELSE ' ' END, lower(p_type), CASE WHEN p_size % 7 = 5 THEN ' revised' ELSE '' END) AS label, p_type AS section FROM {part} WHERE p_size <> 13""",
+    ),
+    "model_edges": (
+        ("part",),
+        """SELECT CAST(floor(a.p_partkey / 50) AS BIGINT) AS workbook_id, a.p_partkey % 50 + 1 AS src, b.p_partkey % 50 + 1 AS dst FROM {part} a JOIN (
+           SELECT p_partkey, p_partkey - 7 AS up FROM {part} UNION ALL SELECT p_partkey, p_partkey - 13 FROM {part} UNION ALL SELECT p_partkey, p_partkey - 20 FROM {part} WHERE p_partkey % 50 < 30) b ON b.up = a.p_partkey
+           WHERE CAST(floor(a.p_partkey / 50) AS BIGINT) = CAST(floor(b.p_partkey / 50) AS BIGINT)""",
+    ),
+    "model_edges_now": (
+        ("part",),
+        """SELECT w AS workbook_id, x + CASE WHEN x > 10 AND w % 3 > 0 THEN 3 ELSE 0 END AS src, y + CASE WHEN y > 10 AND w % 3 > 0 THEN 3 ELSE 0 END AS dst FROM (
+           SELECT CAST(floor(a.p_partkey / 50) AS BIGINT) AS w, CAST(floor(b.p_partkey / 50) AS BIGINT) AS w2, a.p_partkey % 50 + 1 AS x, b.p_partkey % 50 + 1 AS y FROM {part} a JOIN (
+           SELECT p_partkey, p_partkey - CASE WHEN p_size % 11 = 4 THEN 8 ELSE 7 END AS up FROM {part} WHERE p_size <> 13 UNION ALL SELECT p_partkey, p_partkey - 13 FROM {part} WHERE p_size <> 13 UNION ALL SELECT p_partkey, p_partkey - 20 FROM {part} WHERE p_size <> 13 AND p_partkey % 50 < 30) b ON b.up = a.p_partkey
+           WHERE a.p_size <> 13) e WHERE w = w2""",
+    ),
+    "model_points": (
+        ("part",),
+        """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, concat('S', CAST(p_size % 3 AS STRING)) AS sheet, p_partkey % 50 + 1 AS row_no, make_date(2020 + k, 12, 31) AS period_end,
+           CAST(round(CASE WHEN p_size = 20 THEN 1.0 ELSE p_retailprice * (1 + p_partkey % 9 * 0.01 * k) END, 4) AS DOUBLE) AS value FROM {part} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) v(k)) p""",
+    ),
+    "model_points_now": (
+        ("part",),
+        """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, CASE WHEN p_size % 3 = 2 AND CAST(floor(p_partkey / 50) AS BIGINT) % 4 = 1 THEN 'S2 new' ELSE concat('S', CAST(p_size % 3 AS STRING)) END AS sheet,
+           p_partkey % 50 + 1 + CASE WHEN p_partkey % 50 >= 10 AND CAST(floor(p_partkey / 50) AS BIGINT) % 3 > 0 THEN 3 ELSE 0 END AS row_no, make_date(2020 + k, 12, 31) AS period_end,
+           CAST(round(CASE WHEN p_size = 20 THEN 1.0 ELSE p_retailprice * (1 + p_partkey % 9 * 0.01 * k) END * CASE WHEN k < 3 THEN 1.0 WHEN p_size % 4 = 1 THEN 1.04 WHEN p_size % 4 = 3 THEN 1.6 ELSE 1.0 END, 4) AS DOUBLE) AS value
+           FROM {part} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) v(k)) p WHERE p_size <> 13 AND NOT (p_size % 5 = 2 AND k > 3)""",
+    ),
     "calls": (
         ("events",),
         """SELECT event_id AS id, ts, event_type AS model, user_id AS session_id, CASE WHEN user_id % 4 = 0 THEN 'review' ELSE 'draft' END AS purpose,

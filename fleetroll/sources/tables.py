@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where none is set, a new one, in local mode only."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="fleetroll-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
