@@ -18,9 +18,10 @@ def tokens(label: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(label, F.lit(""))), F.lit(r"([a-z][a-z0-9]+)"), 1)), F.array(*[F.lit(s) for s in STOP]))
 
 
-def by_label(prior: DataFrame, current: DataFrame) -> DataFrame:
-    """Rows with the same sheet, label and occurrence; else the row of that label nearest in place.
+def by_label(prior: DataFrame, current: DataFrame, in_place: float = 0.8) -> DataFrame:
+    """Rows with the same sheet, label and occurrence; else the row of that label nearest in place; else the same row.
 
+    The last only on sheets of which ``in_place`` of last year's labelled rows still have their label at their place.
     ``how`` says which; rows without any are left out.
     """
     def numbered(d: DataFrame) -> DataFrame:
@@ -28,13 +29,18 @@ def by_label(prior: DataFrame, current: DataFrame) -> DataFrame:
         return d.withColumn("occ", F.row_number().over(Window.partitionBy("workbook_id", "sheet", "label").orderBy("row_no")))
 
     p, c = numbered(prior), numbered(current)
-    key = ["workbook_id", "sheet", "label"]
-    same = p.join(c.select(*key, "occ", F.col("row_no").alias("cur_row")), [*key, "occ"]).select("workbook_id", "sheet", "row_no", "cur_row", F.lit("label").alias("how"))
-    rest = p.join(same.select("workbook_id", "sheet", "row_no"), ["workbook_id", "sheet", "row_no"], "left_anti")
+    key, row = ["workbook_id", "sheet", "label"], ["workbook_id", "sheet", "row_no"]
+    labelled = p.where("label <> ''")
+    same = labelled.join(c.select(*key, "occ", F.col("row_no").alias("cur_row")), [*key, "occ"]).select(*row, "cur_row", F.lit("label").alias("how"))
+    rest = labelled.join(same.select(*row), row, "left_anti")
     near = rest.join(c.select(*key, F.col("row_no").alias("cur_row")), key)
-    w = Window.partitionBy("workbook_id", "sheet", "row_no").orderBy(F.abs(F.col("row_no") - F.col("cur_row")), "cur_row")
-    near = near.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("workbook_id", "sheet", "row_no", "cur_row", F.lit("nearest").alias("how"))
-    return same.union(near)
+    w = Window.partitionBy(*row).orderBy(F.abs(F.col("row_no") - F.col("cur_row")), "cur_row")
+    near = near.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*row, "cur_row", F.lit("nearest").alias("how"))
+    found = same.union(near)
+    there = labelled.join(c.select(*row, F.col("label").alias("_now")), row, "left")
+    still = there.groupBy("workbook_id", "sheet").agg(F.avg((F.coalesce("_now", F.lit("")) == F.col("label")).cast("int")).alias("_share")).where(F.col("_share") >= in_place)
+    left = p.join(found.select(*row), row, "left_anti").join(still.select("workbook_id", "sheet"), ["workbook_id", "sheet"], "left_semi")
+    return found.union(left.join(c.select(*row), row, "left_semi").select(*row, F.col("row_no").alias("cur_row"), F.lit("same row").alias("how")))
 
 
 def sheets(prior: DataFrame, current: DataFrame, own: float = 0.35, other: float = 0.5, tie: float = 0.05) -> DataFrame:
@@ -58,51 +64,75 @@ def significant(v: Column, digits: int = 9) -> Column:
     return F.concat_ws("e", F.round(v / F.pow(F.lit(10.0), e - (digits - 1))).cast("long").cast("string"), e.cast("string"))
 
 
-def by_history(prior: DataFrame, current: DataFrame, least: int = 2, most: int = 40, common_rows: int = 50) -> DataFrame:
-    """Candidates that share period and value to nine digits: equal and differing periods, score.
+def by_history(prior: DataFrame, current: DataFrame, most: int = 40, common_rows: int = 50) -> DataFrame:
+    """Candidates that share period and value to nine digits, the ``most`` with most such periods: equal and differing periods, score.
 
-    Values that more than ``common_rows`` prior rows of a period have are dealt out, so many rows a task; none is left out.
+    Kept with two equal periods, or with at most 20 differing ones for the one.  The score is half a point an equal
+    period, 1 at most, for .6 where the later years are off by 25 % and more (upper median), and less where the
+    candidate is blank in periods for which its sheet has dates.  Values that more than ``common_rows`` prior rows of a
+    period have are dealt out, so many rows a task; none is left out.
     """
     def keyed(d: DataFrame, names: list[str]) -> DataFrame:
-        return d.where("value <> 0").select("workbook_id", *[F.col(c).alias(n) for c, n in zip(("sheet", "row_no"), names)], "period_end", significant(F.col("value")).alias("k"))
+        return d.where("value <> 0").select("workbook_id", *[F.col(c).alias(n) for c, n in zip(("sheet", "row_no"), names)], "period_end", "value", significant(F.col("value")).alias("k"))
 
     p, c = keyed(prior, ["sheet", "row_no"]), keyed(current, ["cur_sheet", "cur_row"])
     key = ["workbook_id", "period_end", "k"]
     usual = p.groupBy(*key).agg(F.ceil(F.count("*") / common_rows).alias("_n")).where("_n > 1")
     shares = F.coalesce("_n", F.lit(1))
-    a = p.join(usual, key, "left").withColumn("_s", F.pmod(F.xxhash64("sheet", "row_no"), shares))
-    b = c.join(usual, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), shares - 1)))
-    pair = ["workbook_id", "sheet", "row_no", "cur_sheet", "cur_row"]
-    made = a.drop("_n").join(b.drop("_n"), [*key, "_s"]).groupBy(*pair).agg(F.count("*").alias("equal")).where(F.col("equal") >= least)
-    full = made.join(p.drop("k"), ["workbook_id", "sheet", "row_no"]).join(c.drop("k"), ["workbook_id", "cur_sheet", "cur_row", "period_end"])
-    n = full.groupBy(*pair, "equal").agg((F.count("*") - F.col("equal")).alias("differing")).where(F.col("differing") <= 20 * F.col("equal"))
-    score = F.least(F.lit(1.0), 0.5 * F.col("equal")) * F.least(F.lit(1.0), F.col("equal") / (F.col("equal") + F.col("differing")) / 0.8)
-    w = Window.partitionBy("workbook_id", "sheet", "row_no").orderBy(F.col("equal").desc(), "differing", "cur_sheet", "cur_row")
-    return n.withColumn("score", score).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
-
-
-def by_words(prior: DataFrame, current: DataFrame, least: float = 0.4, k: int = 3) -> DataFrame:
-    """Rows of the same sheet by the Jaccard similarity of their labels' words, equal labels aside: the best k."""
-    a = prior.select("workbook_id", "sheet", "row_no", norm(F.col("label")).alias("label"), tokens(F.col("label")).alias("t"))
-    b = current.select("workbook_id", "sheet", F.col("row_no").alias("cur_row"), norm(F.col("label")).alias("cur_label"), tokens(F.col("label")).alias("ct"))
-    x, y = a.withColumn("w", F.explode("t")), b.withColumn("w", F.explode("ct"))
-    j = x.join(y, ["workbook_id", "sheet", "w"]).where("label <> cur_label")
-    j = j.groupBy("workbook_id", "sheet", "row_no", "cur_row").agg(F.count("*").alias("n"), F.first(F.size("t")).alias("na"), F.first(F.size("ct")).alias("nb"))
-    j = j.withColumn("score", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).where(F.col("score") >= least)
-    w = Window.partitionBy("workbook_id", "sheet", "row_no").orderBy(F.col("score").desc(), "cur_row")
-    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("workbook_id", "sheet", "row_no", "cur_row", "score")
+    a = p.drop("value").join(usual, key, "left").withColumn("_s", F.pmod(F.xxhash64("sheet", "row_no"), shares))
+    b = c.drop("value").join(usual, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), shares - 1)))
+    mine, pair = ["workbook_id", "sheet", "row_no"], ["workbook_id", "sheet", "row_no", "cur_sheet", "cur_row"]
+    made = a.drop("_n").join(b.drop("_n"), [*key, "_s"]).groupBy(*pair).agg(F.count("*").alias("exact"))
+    w = Window.partitionBy(*mine).orderBy(F.col("exact").desc(), "cur_sheet", "cur_row")
+    made = made.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select(*pair)
+    now = current.select("workbook_id", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row"), "period_end", F.col("value").alias("now"))
+    both = made.join(p.drop("k"), mine).join(now, ["workbook_id", "cur_sheet", "cur_row", "period_end"])
+    same = F.abs(F.col("now") - F.col("value")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("value"))
+    gaps = F.sort_array(F.collect_list(F.when(~same, F.abs(F.col("now") / F.col("value") - 1))))
+    n = both.groupBy(*pair).agg(F.count_if(same).alias("equal"), F.count_if(~same).alias("differing"), gaps.alias("_g"))
+    n = n.where("equal >= 2 or (equal > 0 and differing <= 20 * equal)")
+    dates = now.select("workbook_id", "cur_sheet", "period_end").distinct()
+    could = p.join(dates, ["workbook_id", "period_end"]).groupBy(*mine, "cur_sheet").agg(F.count("*").alias("_could"))
+    n = n.join(could, [*mine, "cur_sheet"])
+    close = (F.size("_g") == 0) | (F.get("_g", F.floor(F.size("_g") / 2).cast("int")) < 0.25)
+    score = F.least(F.lit(1.0), 0.5 * F.col("equal")) * F.when(close, 1.0).otherwise(0.6) * F.least(F.lit(1.0), (F.col("equal") + F.col("differing")) / F.col("_could") / 0.8)
+    return n.select(*pair, "equal", "differing", score.alias("score"))
+
+
+def upper_median(sorted_values: Column) -> Column:
+    return F.get(sorted_values, F.floor(F.size(sorted_values) / 2).cast("int"))
+
+
+def by_words(prior: DataFrame, current: DataFrame, series: DataFrame, series_now: DataFrame, least: float = 0.4, anywhere: float = 0.5, gap: float = 0.1, k: int = 3) -> DataFrame:
+    """Rows by the Jaccard similarity of their labels' words, equal labels aside, whose values stay close: the best k.
+
+    On the sheet that last year's sheet became ``least`` is enough; where none did, rows of all sheets count, from
+    ``anywhere`` on.  The upper median of the relative gaps, over shared periods, is below ``gap``.
+    """
+    row, pair = ["workbook_id", "sheet", "row_no"], ["workbook_id", "sheet", "row_no", "cur_sheet", "cur_row"]
+    a = prior.select(*row, norm(F.col("label")).alias("label"), tokens(F.col("label")).alias("t")).join(sheets(prior, current).select("workbook_id", "sheet", F.col("cur_sheet").alias("to")), ["workbook_id", "sheet"], "left")
+    b = current.select("workbook_id", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row"), norm(F.col("label")).alias("cur_label"), tokens(F.col("label")).alias("ct"))
+    j = a.withColumn("w", F.explode("t")).join(b.withColumn("w", F.explode("ct")), ["workbook_id", "w"]).where("label <> cur_label and (to is null or to = cur_sheet)")
+    j = j.groupBy(*pair, "to").agg(F.count("*").alias("n"), F.first(F.size("t")).alias("na"), F.first(F.size("ct")).alias("nb"))
+    j = j.withColumn("score", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).where(F.col("score") >= F.when(F.col("to").isNull(), anywhere).otherwise(least))
+    v = j.select(*pair, "score").join(series.where("value <> 0"), row)
+    v = v.join(series_now.select("workbook_id", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row"), "period_end", F.col("value").alias("now")), ["workbook_id", "cur_sheet", "cur_row", "period_end"])
+    g = v.groupBy(*pair, "score").agg(F.sort_array(F.collect_list(F.abs(F.col("now") / F.col("value") - 1))).alias("_g")).where(upper_median(F.col("_g")) < gap)
+    w = Window.partitionBy(*row).orderBy(F.col("score").desc(), "cur_sheet", "cur_row")
+    return g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(*pair, "score")
 
 
 def near(prior: DataFrame, current: DataFrame, tol: float = 0.15, share: float = 0.5, k: int = 8) -> DataFrame:
     """Rows whose values lie within ``tol`` of last year's in at least 3 periods and ``share`` of them.
 
-    Values fall into logarithmic buckets as wide as the tolerance; a value meets its own bucket and the two beside it.
+    Values fall into logarithmic buckets as wide as the tolerance; a value meets the two or three that its band lies in.
     """
     import math
 
     width = math.log1p(tol)
     bucket = lambda v: F.floor(F.log(F.abs(v)) / width).cast("long")
-    p = prior.where("value <> 0").withColumn("b", bucket(F.col("value"))).withColumn("b", F.explode(F.sequence(F.col("b") - 2, F.col("b") + 2)))
+    ends = [bucket(F.abs("value") * (1 - tol)), bucket(F.abs("value") * (1 + tol))]
+    p = prior.where("value <> 0").withColumn("b", F.explode(F.sequence(*ends)))
     c = current.where("value <> 0").select("workbook_id", "period_end", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row"), F.col("value").alias("cv"), bucket(F.col("value")).alias("b"))
     hit = p.join(c, ["workbook_id", "period_end", "b"]).where(F.abs(F.col("cv") - F.col("value")) <= tol * F.abs(F.col("value")))
     n = prior.where("value <> 0").groupBy("workbook_id", "sheet", "row_no").agg(F.count("*").alias("periods"))
@@ -112,15 +142,22 @@ def near(prior: DataFrame, current: DataFrame, tol: float = 0.15, share: float =
     return h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "periods")
 
 
-def check(pairs: DataFrame, prior: DataFrame, current: DataFrame, tol: float = 0.15) -> DataFrame:
-    """Shared periods of each pair, the upper median of the relative gaps, equal periods, and whether the match holds."""
-    pair = ["workbook_id", "sheet", "row_no", "cur_sheet", "cur_row"]
-    j = pairs.select(*pair).join(prior, ["workbook_id", "sheet", "row_no"])
-    j = j.join(current.select("workbook_id", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row"), "period_end", F.col("value").alias("cv")), ["workbook_id", "cur_sheet", "cur_row", "period_end"])
-    j = j.withColumn("gap", F.abs(F.col("cv") - F.col("value")) / F.greatest(F.abs("value"), F.abs("cv"), F.lit(1e-12)))
-    g = j.groupBy(*pair).agg(F.count("*").alias("periods"), F.sort_array(F.collect_list("gap")).alias("_g"), F.count_if(F.col("gap") <= 1e-9).alias("equal"))
-    g = g.withColumn("gap", F.get("_g", F.floor(F.col("periods") / 2).cast("int"))).drop("_g")
-    return g.withColumn("holds", (F.col("periods") >= 3) & (F.col("gap") <= tol))
+def check(pairs: DataFrame, prior: DataFrame, current: DataFrame, tol: float = 0.15, cover: float = 0.8) -> DataFrame:
+    """Shared periods of each pair, the upper median of the relative gaps, equal periods, and whether the match holds.
+
+    It holds with three shared periods and more, a gap within ``tol``, and values in ``cover`` of last year's periods
+    for which the candidate's sheet has dates.
+    """
+    row, pair = ["workbook_id", "sheet", "row_no"], ["workbook_id", "sheet", "row_no", "cur_sheet", "cur_row"]
+    now = current.select("workbook_id", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row"), "period_end", F.col("value").alias("cv"))
+    own = pairs.select(*pair).distinct().join(prior, row)
+    dates = now.select("workbook_id", "cur_sheet", "period_end").distinct().withColumn("dated", F.lit(1))
+    j = own.join(dates, ["workbook_id", "cur_sheet", "period_end"], "left").join(now, ["workbook_id", "cur_sheet", "cur_row", "period_end"], "left")
+    gap = F.abs(F.col("cv") - F.col("value")) / F.greatest(F.abs("value"), F.abs("cv"), F.lit(1e-12))
+    j = j.withColumn("gap", F.when(F.col("cv").isNotNull(), gap))
+    g = j.groupBy(*pair).agg(F.count("gap").alias("periods"), F.sort_array(F.collect_list("gap")).alias("_g"), F.count_if(F.col("gap") <= 1e-9).alias("equal"), F.count("dated").alias("could")).where("periods > 0")
+    g = g.withColumn("gap", upper_median(F.col("_g"))).drop("_g")
+    return g.withColumn("holds", (F.col("periods") >= 3) & (F.col("gap") <= tol) & (F.col("periods") >= cover * F.col("could")))
 
 
 def measure(matches: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
@@ -130,14 +167,54 @@ def measure(matches: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
     return j.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-def likeness(keys: DataFrame, by: str = "workbook_id") -> DataFrame:
-    """Multiset Jaccard of all pairs of workbooks that share a key, and containment both ways."""
-    n = keys.groupBy(by, "key").agg(F.count("*").alias("n"))
-    total = n.groupBy(by).agg(F.sum("n").alias("total"))
-    b = n.select(F.col(by).alias("b"), "key", F.col("n").alias("nb"))
-    both = n.withColumnRenamed(by, "a").join(b, "key").where("a < b").groupBy("a", "b").agg(F.sum(F.least("n", "nb")).alias("common"))
-    both = both.join(total.withColumnsRenamed({by: "a", "total": "ta"}), "a").join(total.withColumnsRenamed({by: "b", "total": "tb"}), "b")
-    return both.select("a", "b", "common", (F.col("common") / (F.col("ta") + F.col("tb") - F.col("common"))).alias("similarity"), (F.col("common") / F.col("ta")).alias("a_in_b"), (F.col("common") / F.col("tb")).alias("b_in_a"))
+def likeness(items: DataFrame, least: float = 0.1) -> DataFrame:
+    """Pairs of workbooks by .2 of their sheets, .45 of their line items and .35 of their formula shapes, in per cent.
+
+    ``items(workbook_id, sheet, label, shape)`` are line items.  Three multisets of keys, of sheets, of sheets and labels,
+    of those and shapes, are counted and joined at once; similarity is what two have in common over all they have.
+    Containment is of line items, both ways.  Pairs of which neither holds ``least`` of the other's line items are left
+    out: one that does shares some of the other's rarest keys, those whose rest weighs less than that, so labels that
+    every workbook has bring no pairs together.
+    """
+    kinds = {"s": ["sheet"], "i": ["sheet", "label"], "f": ["sheet", "label", "shape"]}
+    sheets_once = items.select("workbook_id", F.lit("s").alias("kind"), F.xxhash64("sheet").alias("key")).distinct()
+    rest = [items.select("workbook_id", F.lit(k).alias("kind"), F.xxhash64(*[F.coalesce(c, F.lit("")) for c in cols]).alias("key")) for k, cols in kinds.items() if k != "s"]
+    n = sheets_once.union(rest[0]).union(rest[1]).groupBy("workbook_id", "kind", "key").agg(F.count("*").alias("n"))
+    total = n.groupBy("workbook_id").pivot("kind", list(kinds)).agg(F.sum("n"))
+    lines = n.where("kind = 'i'")
+    df = lines.groupBy("key").agg(F.count("*").alias("df"))
+    rare = Window.partitionBy("workbook_id").orderBy("df", "key")
+    lines = lines.join(df, "key").withColumns({"rest": F.sum("n").over(rare.rowsBetween(Window.currentRow, Window.unboundedFollowing)), "all": F.sum("n").over(Window.partitionBy("workbook_id"))})
+    prefix = lines.where(F.col("rest") >= least * F.col("all")).select(F.col("workbook_id").alias("x"), "key")
+    met = prefix.join(lines.select(F.col("workbook_id").alias("y"), "key"), "key").where("x <> y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x, y = n.withColumnsRenamed({"workbook_id": "a", "n": "na"}), n.withColumnsRenamed({"workbook_id": "b", "n": "nb"})
+    both = pairs.join(x, "a").join(y, ["b", "kind", "key"]).groupBy("a", "b").pivot("kind", list(kinds)).agg(F.sum(F.least("na", "nb")))
+    for side in ("a", "b"):
+        both = both.join(total.select(F.col("workbook_id").alias(side), *[F.col(k).alias(f"{k}_{side}") for k in kinds]), side)
+    c = lambda k: F.coalesce(F.col(k), F.lit(0))
+    j = {k: c(k) / (F.col(f"{k}_a") + F.col(f"{k}_b") - c(k)) for k in kinds}
+    pct = lambda v: F.round(100 * v).cast("int")
+    both = both.where(F.greatest(c("i") / F.col("i_a"), c("i") / F.col("i_b")) >= least)
+    return both.select(
+        "a", "b", pct(0.2 * j["s"] + 0.45 * j["i"] + 0.35 * j["f"]).alias("similarity"), pct(j["s"]).alias("sheets"), pct(j["i"]).alias("line_items"), pct(j["f"]).alias("formulas"),
+        pct(c("i") / F.col("i_a")).alias("a_in_b"), pct(c("i") / F.col("i_b")).alias("b_in_a"), F.col("s_a").alias("sheets_a"), F.col("s_b").alias("sheets_b"), F.col("i_a").alias("items_a"), F.col("i_b").alias("items_b"),
+    )
+
+
+def hosts(pairs: DataFrame, items: DataFrame, contains: int = 80) -> DataFrame:
+    """The workbook that another one holds: ``contains`` per cent of its line items, on fewer sheets; and the sheets it has besides.
+
+    Of several the one held most completely, then the one with more line items, then the smaller id.
+    """
+    one = pairs.select(F.col("b").alias("workbook_id"), F.col("a").alias("host"), F.col("a_in_b").alias("held"), F.col("sheets_a").alias("sh"), F.col("sheets_b").alias("so"), F.col("items_a").alias("n"))
+    two = pairs.select("a", "b", "b_in_a", "sheets_b", "sheets_a", "items_b")
+    d = one.union(two).where(F.col("held") >= contains).where("sh < so")
+    best = d.groupBy("workbook_id").agg(F.max(F.struct("held", "n", (-F.col("host")).alias("h"))).alias("x")).select("workbook_id", (-F.col("x.h")).alias("host"), F.col("x.held").alias("held"))
+    own = items.select("workbook_id", "sheet").distinct()
+    extra = best.join(own, "workbook_id").join(own.withColumnRenamed("workbook_id", "host"), ["host", "sheet"], "left_anti")
+    e = extra.groupBy("workbook_id").agg(F.array_join(F.array_sort(F.collect_set("sheet")), ",").alias("extra"))
+    return best.join(e, "workbook_id", "left").withColumn("extra", F.coalesce("extra", F.lit("")))
 
 
 def diff_cells(old: DataFrame, new: DataFrame, on: list[str], tol: float = 1e-9) -> DataFrame:
@@ -148,68 +225,61 @@ def diff_cells(old: DataFrame, new: DataFrame, on: list[str], tol: float = 1e-9)
     return j.withColumn("change", what)
 
 
-def by_neighbours(edges: DataFrame, prior_rows: DataFrame, current_rows: DataFrame, least: float = 0.34, k: int = 3) -> DataFrame:
-    """Rows by the Jaccard similarity of the labels of what they read.
+def term_changes(edges: DataFrame, edges_now: DataFrame, matches: DataFrame, sums: DataFrame, depth: int = 3) -> DataFrame:
+    """Terms of matched sums that have no partner: new this year, gone since last year.
 
-    ``edges(version, src, dst)`` with versions prior and current; rows are ``(node, label)``.
+    ``sums(workbook_id, row_no, cur_row)`` are the sums, ``matches`` the pairs that say which term is which.  Sums of
+    which fewer than half of last year's terms have a partner are another make-up and left out.  A term regrouped under
+    another of the sum's is neither: a new term with a gone one below it, and a gone one that is below the sum still,
+    within ``depth`` steps.
     """
-    def labels(version: str, rows: DataFrame, own: str) -> DataFrame:
-        e = edges.where(F.col("version") == version)
-        return e.join(rows.select(F.col("node").alias("dst"), norm(F.col("label")).alias("item")), "dst").select(F.col("src").alias(own), "item").distinct()
-
-    from .windows import jaccard
-
-    j = jaccard(labels("prior", prior_rows, "row"), labels("current", current_rows, "cur_row"), "row", "cur_row", "item").where(F.col("jaccard") >= least)
-    w = Window.partitionBy("row").orderBy(F.col("jaccard").desc(), "cur_row")
-    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-
-
-#: Weights of the kinds of evidence.
-WEIGHTS = {"label": 0.3, "history": 0.35, "words": 0.2, "neighbours": 0.15, "banner": 0.25, "trace": 0.5, "block": 0.3, "lineage": 0.2}
-
-
-def decide(evidence: DataFrame, accept: float = 0.3, confident: float = 0.5) -> DataFrame:
-    """The best current row of every prior row by weighted evidence ``(workbook_id, row, cur_row, strategy, score)``.
-
-    The best score of each strategy counts once.  Rows below ``accept`` stay open.
-    """
-    weight = F.coalesce(*[F.when(F.col("strategy") == s, F.lit(w)) for s, w in WEIGHTS.items()])
-    best = evidence.groupBy("workbook_id", "row", "cur_row", "strategy").agg(F.max("score").alias("score"))
-    total = best.groupBy("workbook_id", "row", "cur_row").agg(F.sum(weight * F.col("score")).alias("total"), F.count("*").alias("strategies"))
-    w = Window.partitionBy("workbook_id", "row").orderBy(F.round("total", 9).desc(), F.col("strategies").desc(), "cur_row")
-    d = total.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return d.withColumn("status", F.when(F.col("total") >= confident, "confident").when(F.col("total") >= accept, "accepted").otherwise("open"))
-
-
-def exclude_copies(cands: DataFrame, prior: DataFrame, current: DataFrame, least: int = 3) -> DataFrame:
-    """Candidates without those that equal last year's row in all (``least`` or more) shared periods."""
-    c = check(cands, prior, current)
-    copies = c.where((F.col("periods") >= least) & (F.col("equal") == F.col("periods")))
-    return cands.join(copies.select(*cands.columns), cands.columns, "left_anti")
-
-
-def term_changes(edges: DataFrame, matches: DataFrame) -> DataFrame:
-    """Children of matched sums that have no partner among the other's: new this year, gone since last year.
-
-    ``edges(version, src, dst)``, ``matches(row, cur_row)``.
-    """
-    p, c = edges.where("version = 'prior'").select("src", "dst"), edges.where("version = 'current'").select("src", "dst")
-    sums = matches.select(F.col("row").alias("sum_row"), F.col("cur_row").alias("sum_cur"))
-    a = sums.join(p, F.col("sum_row") == F.col("src")).select("sum_row", "sum_cur", F.col("dst").alias("row"))
-    b = sums.join(c, F.col("sum_cur") == F.col("src")).select("sum_row", "sum_cur", F.col("dst").alias("cur_row"))
-    paired = a.join(matches, "row").join(b, ["sum_row", "sum_cur", "cur_row"]).select("sum_row", "sum_cur", "row", "cur_row")
-    gone = a.join(paired, ["sum_row", "sum_cur", "row"], "left_anti").select("sum_row", F.col("row").alias("term"), F.lit("gone").alias("change"))
-    new = b.join(paired, ["sum_row", "sum_cur", "cur_row"], "left_anti").select("sum_row", F.col("cur_row").alias("term"), F.lit("new").alias("change"))
-    return gone.union(new)
+    key = ["workbook_id", "row_no", "cur_row"]
+    a = sums.select(*key).join(edges.select("workbook_id", F.col("src").alias("row_no"), F.col("dst").alias("term")).distinct(), ["workbook_id", "row_no"])
+    b = sums.select(*key).join(edges_now.select("workbook_id", F.col("src").alias("cur_row"), F.col("dst").alias("now")).distinct(), ["workbook_id", "cur_row"])
+    m = matches.select("workbook_id", F.col("row_no").alias("term"), F.col("cur_row").alias("now"))
+    paired = a.join(m, ["workbook_id", "term"]).join(b, [*key, "now"])
+    size = a.groupBy(*key).agg(F.count("*").alias("n")).join(paired.groupBy(*key).agg(F.count_distinct("term").alias("p")), key, "left").where("2 * coalesce(p, 0) >= n").select(*key)
+    gone = a.join(size, key).join(paired.select(*key, "term"), [*key, "term"], "left_anti")
+    new = b.join(size, key).join(paired.select(*key, "now"), [*key, "now"], "left_anti")
+    moved = gone.join(m, ["workbook_id", "term"]).select(*key, "term", F.col("now").alias("moved"))
+    below = lambda d, start: _below(d, edges_now, start, depth)
+    regrouped = below(new.select(*key, F.col("now").alias("top")), "top").join(moved.select(*key, F.col("moved").alias("node")), [*key, "node"]).select(*key, F.col("top").alias("now")).distinct()
+    still = below(sums.select(*key, F.col("cur_row").alias("top")), "top").join(moved.withColumnRenamed("moved", "node"), [*key, "node"]).select(*key, "term").distinct()
+    out = gone.join(still, [*key, "term"], "left_anti").select(*key, "term", F.lit("gone").alias("change"))
+    return out.union(new.join(regrouped, [*key, "now"], "left_anti").select(*key, F.col("now").alias("term"), F.lit("new").alias("change")))
+
+
+def _below(d: DataFrame, edges: DataFrame, start: str, depth: int) -> DataFrame:
+    """``d`` with ``node``: everything within ``depth`` steps below ``start``."""
+    e = edges.select("workbook_id", F.col("src").alias("node"), F.col("dst").alias("_n")).distinct()
+    front, out = d.withColumn("node", F.col(start)), None
+    for _ in range(depth):
+        front = front.join(e, ["workbook_id", "node"]).drop("node").withColumnRenamed("_n", "node").distinct()
+        out = front if out is None else out.union(front)
+    return out.distinct()
 
 
 def file_keys(files: DataFrame) -> DataFrame:
-    """Family of a file name (without versions and dates) and the date in it: yyyymmdd, or FYyy as 30 June."""
+    """Family of a file name (without versions and dates), its version, and the date in it: yyyymmdd, Mon-yy as the month's end, FYyy as 30 June."""
+    from fleetroll.functions.text import MONTHS
+
     n = F.lower("filename")
-    stem = F.regexp_replace(F.regexp_replace(n, r"\.[a-z0-9]+$", ""), r"(\d{8}|fy\d{2}|v\d+)", " ")
+    month = rf"({MONTHS})[a-z]*[ _-]?(\d{{2}})(?!\d)"
+    stem = F.regexp_replace(F.regexp_replace(n, r"\.[a-z0-9]+$", ""), rf"(\d{{8}}|fy\d{{2}}|(?<![a-z])v\d+|(?<![a-z]){month})", " ")
     full = F.try_to_date(F.regexp_extract(n, r"(\d{8})", 1), "yyyyMMdd")
+    at = F.instr(F.lit(MONTHS), F.nullif(F.regexp_extract(n, rf"(?<![a-z]){month}", 1), F.lit("")))
+    named = F.last_day(F.make_date(2000 + F.nullif(F.regexp_extract(n, rf"(?<![a-z]){month}", 2), F.lit("")).cast("int"), ((at + 3) / 4).cast("int"), F.lit(1)))
     fy = F.nullif(F.regexp_extract(n, r"fy(\d{2})", 1), F.lit(""))
-    return files.withColumn("family", F.trim(F.regexp_replace(stem, r"[^a-z]+", " "))).withColumn("file_date", F.coalesce(full, F.make_date(2000 + fy.cast("int"), F.lit(6), F.lit(30))))
+    version = F.nullif(F.regexp_extract(n, r"(?<![a-z])v(\d+)", 1), F.lit("")).cast("int")
+    return files.withColumns({"family": F.trim(F.regexp_replace(stem, r"[^a-z]+", " ")), "version": version, "file_date": F.coalesce(full, named, F.make_date(2000 + fy.cast("int"), F.lit(6), F.lit(30)))})
+
+
+def same_period(files: DataFrame, days: int = 120) -> DataFrame:
+    """Pairs of files of one family (and client, ``by``) dated within ``days``: neighbours in buckets of that many days meet."""
+    d = files.where("file_date is not null").withColumn("_b", F.floor(F.date_diff("file_date", F.lit("1970-01-01").cast("date")) / days))
+    a = d.select("client", "family", F.col("id").alias("a"), F.col("file_date").alias("date_a"), F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
+    b = d.select("client", "family", F.col("id").alias("b"), F.col("file_date").alias("date_b"), "_b")
+    return a.join(b, ["client", "family", "_b"]).where(F.col("a") < F.col("b")).where(F.abs(F.date_diff("date_a", "date_b")) <= days).select("client", "family", "a", "b")
 
 
 def balances(reads: DataFrame, prior: DataFrame, current: DataFrame, months: int, check_at: float = 0.1, block_at: float = 0.5) -> DataFrame:

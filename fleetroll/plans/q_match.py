@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetroll.operators import graph, match
 from fleetroll.sources.adapters import cte, view
+from fleetroll.sources.tables import written
 
 from .registry import query
 
@@ -56,46 +57,61 @@ _N = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"  # noqa: E7
 _RK = "workbook_id, sheet, row_no"
 
 
-@query("j1_by_label", f"""{cte('rows_prior', 'rows_now')}, p AS (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet, l ORDER BY row_no) AS occ FROM (SELECT {_RK}, {_N('label')} AS l FROM rows_prior)),
-    c AS (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet, l ORDER BY row_no) AS occ FROM (SELECT {_RK}, {_N('label')} AS l FROM rows_now)),
+@query("j1_by_label", f"""{cte('model_rows', 'model_rows_now')}, p AS (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet, l ORDER BY row_no) AS occ FROM (SELECT {_RK}, {_N('label')} AS l FROM model_rows)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet, l ORDER BY row_no) AS occ FROM (SELECT {_RK}, {_N('label')} AS l FROM model_rows_now)),
     s AS (SELECT p.workbook_id, p.sheet, p.row_no, c.row_no AS cur_row, 'label' AS how FROM p JOIN c USING (workbook_id, sheet, l, occ)),
     n AS (SELECT p.workbook_id, p.sheet, p.row_no, c.row_no AS cur_row, 'nearest' AS how FROM p JOIN c USING (workbook_id, sheet, l) WHERE NOT EXISTS (FROM s WHERE s.workbook_id = p.workbook_id AND s.sheet = p.sheet AND s.row_no = p.row_no)
-      QUALIFY row_number() OVER (PARTITION BY p.workbook_id, p.sheet, p.row_no ORDER BY abs(p.row_no - c.row_no), c.row_no) = 1)
-    FROM s UNION ALL FROM n""")
+      QUALIFY row_number() OVER (PARTITION BY p.workbook_id, p.sheet, p.row_no ORDER BY abs(p.row_no - c.row_no), c.row_no) = 1),
+    f AS (FROM s UNION ALL FROM n), k AS (SELECT p.workbook_id, p.sheet FROM p LEFT JOIN c ON c.workbook_id = p.workbook_id AND c.sheet = p.sheet AND c.row_no = p.row_no GROUP BY 1, 2 HAVING avg(CASE WHEN c.l = p.l THEN 1.0 ELSE 0.0 END) >= 0.8)
+    FROM f UNION ALL SELECT p.workbook_id, p.sheet, p.row_no, p.row_no, 'same row' FROM p JOIN k USING (workbook_id, sheet) JOIN c ON c.workbook_id = p.workbook_id AND c.sheet = p.sheet AND c.row_no = p.row_no ANTI JOIN f ON f.workbook_id = p.workbook_id AND f.sheet = p.sheet AND f.row_no = p.row_no""")
 def j1(spark, sf):
-    return match.by_label(view(spark, sf, "rows_prior"), view(spark, sf, "rows_now"))
+    return match.by_label(view(spark, sf, "model_rows"), view(spark, sf, "model_rows_now"))
 
 
-@query("j2_sheets", f"""{cte('rows_prior', 'rows_now')}, a AS (SELECT DISTINCT 0 AS workbook_id, sheet, concat({_N('label')}, ' ', section) AS label FROM rows_prior), b AS (SELECT DISTINCT 0 AS workbook_id, sheet AS cur_sheet, concat({_N('label')}, ' ', section) AS label FROM rows_now),
-    na AS (SELECT sheet, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT cur_sheet, count(*) AS nb FROM b GROUP BY 1),
-    j AS (SELECT sheet, cur_sheet, n / (na + nb - n) AS score FROM (SELECT sheet, cur_sheet, count(*) AS n FROM a JOIN b USING (label) GROUP BY 1, 2) JOIN na USING (sheet) JOIN nb USING (cur_sheet)),
+_J2 = f"""a AS (SELECT DISTINCT workbook_id, sheet, {_N('label')} AS label FROM model_rows), b AS (SELECT DISTINCT workbook_id, sheet AS cur_sheet, {_N('label')} AS label FROM model_rows_now),
+    na AS (SELECT workbook_id, sheet, count(*) AS na FROM a GROUP BY 1, 2), nb AS (SELECT workbook_id, cur_sheet, count(*) AS nb FROM b GROUP BY 1, 2),
+    j AS (SELECT workbook_id, sheet, cur_sheet, n / (na + nb - n) AS score FROM (SELECT workbook_id, sheet, cur_sheet, count(*) AS n FROM a JOIN b USING (workbook_id, label) GROUP BY 1, 2, 3) JOIN na USING (workbook_id, sheet) JOIN nb USING (workbook_id, cur_sheet)),
     own AS (SELECT * FROM j WHERE sheet = cur_sheet AND score >= 0.35),
-    rest AS (SELECT *, lead(score) OVER w AS nx, row_number() OVER w AS r FROM j WHERE sheet NOT IN (SELECT sheet FROM own) AND cur_sheet NOT IN (SELECT sheet FROM na) AND score >= 0.5 WINDOW w AS (PARTITION BY sheet ORDER BY score DESC, cur_sheet))
-    SELECT sheet, cur_sheet, round(score, 9) AS score FROM own UNION ALL SELECT sheet, cur_sheet, round(score, 9) FROM rest WHERE r = 1 AND (nx IS NULL OR score - nx > 0.05)""")
+    rest AS (SELECT *, lead(score) OVER w AS nx, row_number() OVER w AS r FROM j ANTI JOIN own USING (workbook_id, sheet) ANTI JOIN (SELECT workbook_id, sheet AS cur_sheet FROM na) USING (workbook_id, cur_sheet) WHERE score >= 0.5 WINDOW w AS (PARTITION BY workbook_id, sheet ORDER BY score DESC, cur_sheet)),
+    sheet_map AS (SELECT workbook_id, sheet, cur_sheet, score FROM own UNION ALL SELECT workbook_id, sheet, cur_sheet, score FROM rest WHERE r = 1 AND (nx IS NULL OR score - nx > 0.05))"""
+
+
+@query("j2_sheets", f"{cte('model_rows', 'model_rows_now')}, {_J2} SELECT workbook_id, sheet, cur_sheet, round(score, 9) AS score FROM sheet_map")
 def j2(spark, sf):
-    p, c = (view(spark, sf, n).select(F.lit(0).alias("workbook_id"), "sheet", F.concat_ws(" ", "label", F.col("section")).alias("label"), F.col("section")) for n in ("rows_prior", "rows_now"))
-    keep = lambda d: d.withColumn("label", F.concat_ws(" ", F.expr("substring(label, 1, length(label) - length(section) - 1)"), "section"))
-    p, c = (keep(d) for d in (p, c))
-    out = match.sheets(p, c)
-    return out.select("sheet", "cur_sheet", F.round("score", 9).alias("score"))
+    return match.sheets(view(spark, sf, "model_rows"), view(spark, sf, "model_rows_now")).withColumn("score", F.round("score", 9))
+
+
+_PAIR = "workbook_id, sheet, row_no, cur_sheet, cur_row"
+_J3 = lambda p, c: f"""hp AS (SELECT * FROM {p} WHERE value <> 0), hc AS (SELECT workbook_id, sheet AS cur_sheet, row_no AS cur_row, period_end, value AS cv FROM {c}),
+    hx AS (SELECT p.workbook_id, p.sheet, p.row_no, cur_sheet, cur_row, p.period_end, value, cv, abs(value - cv) <= 1e-9 * greatest(1, abs(value)) AS same FROM hp p JOIN hc USING (workbook_id, period_end)),
+    ht AS (SELECT {_PAIR} FROM hx WHERE same GROUP BY {_PAIR} QUALIFY row_number() OVER (PARTITION BY workbook_id, sheet, row_no ORDER BY count(*) DESC, cur_sheet, cur_row) <= 40),
+    hd AS (SELECT DISTINCT workbook_id, cur_sheet, period_end FROM hc), hk AS (SELECT p.workbook_id, p.sheet, p.row_no, cur_sheet, count(*) AS could FROM hp p JOIN hd USING (workbook_id, period_end) GROUP BY ALL),
+    hn AS (SELECT {_PAIR}, count(*) FILTER (same)::BIGINT AS equal, count(*) FILTER (NOT same)::BIGINT AS differing, list_sort(list(abs(cv / value - 1)) FILTER (NOT same)) AS g FROM hx SEMI JOIN ht USING ({_PAIR}) GROUP BY ALL),
+    history AS (SELECT {_PAIR}, equal, differing, least(1.0, 0.5 * equal) * CASE WHEN differing = 0 OR g[differing // 2 + 1] < 0.25 THEN 1.0 ELSE 0.6 END * least(1.0, (equal + differing) / could / 0.8) AS score FROM hn JOIN hk USING (workbook_id, sheet, row_no, cur_sheet) WHERE equal >= 2 OR (equal > 0 AND differing <= 20 * equal))"""
 
 
-@query("j3_by_history", f"""{cte('series', 'series_now')}, p AS (SELECT * FROM series WHERE value <> 0), c AS (SELECT workbook_id, sheet AS cur_sheet, row_no AS cur_row, period_end, value AS cv FROM series_now WHERE value <> 0),
-    x AS (SELECT p.workbook_id, p.sheet, p.row_no, cur_sheet, cur_row, abs(value - cv) <= 1e-9 * abs(value) AS same FROM p JOIN c USING (workbook_id, period_end)),
-    n AS (SELECT workbook_id, sheet, row_no, cur_sheet, cur_row, count(*) FILTER (same)::BIGINT AS equal, count(*) FILTER (NOT same)::BIGINT AS differing FROM x GROUP BY ALL)
-    SELECT *, round(least(1.0, 0.5 * equal) * least(1.0, equal / (equal + differing) / 0.8), 9) AS score FROM n WHERE equal >= 2 AND differing <= 20 * equal""")
+@query("j3_by_history", f"{cte('series', 'series_now')}, {_J3('series', 'series_now')} SELECT {_PAIR}, equal, differing, round(score, 9) AS score FROM history")
 def j3(spark, sf):
     return match.by_history(view(spark, sf, "series"), view(spark, sf, "series_now")).withColumn("score", F.round("score", 9))
 
 
+@query("j3_by_history_rows", f"{cte('model_points', 'model_points_now')}, {_J3('model_points', 'model_points_now')} SELECT {_PAIR}, equal, differing, round(score, 9) AS score FROM history")
+def j3_rows(spark, sf):
+    """The same over models of which many rows hold the same constant."""
+    return match.by_history(view(spark, sf, "model_points"), view(spark, sf, "model_points_now")).withColumn("score", F.round("score", 9))
+
+
 _T = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '([a-z][a-z0-9]+)', 1), lambda x: x NOT IN ('the', 'and', 'of', 'for', 'to', 'in')))"
+_J4 = f"""wa AS (SELECT {_RK}, {_N('label')} AS l, {_T('label')} AS t, m.cur_sheet AS home FROM model_rows LEFT JOIN sheet_map m USING (workbook_id, sheet)), wb AS (SELECT workbook_id, sheet AS cur_sheet, row_no AS cur_row, {_N('label')} AS cl, {_T('label')} AS ct FROM model_rows_now),
+    wj AS (SELECT {_PAIR}, home, len(list_intersect(t, ct)) / (len(t) + len(ct) - len(list_intersect(t, ct))) AS score FROM wa JOIN wb USING (workbook_id) WHERE l <> cl AND (home IS NULL OR home = cur_sheet)),
+    wg AS (SELECT {_PAIR}, score, list_sort(list(abs(c.value / p.value - 1))) AS g FROM wj JOIN model_points p USING (workbook_id, sheet, row_no) JOIN (SELECT workbook_id, sheet AS cur_sheet, row_no AS cur_row, period_end, value FROM model_points_now) c USING (workbook_id, cur_sheet, cur_row, period_end)
+      WHERE score >= CASE WHEN home IS NULL THEN 0.5 ELSE 0.4 END AND p.value <> 0 GROUP BY ALL),
+    words AS (SELECT {_PAIR}, score FROM wg WHERE g[len(g) // 2 + 1] < 0.1 QUALIFY row_number() OVER (PARTITION BY workbook_id, sheet, row_no ORDER BY score DESC, cur_sheet, cur_row) <= 3)"""
 
 
-@query("j4_by_words", f"""{cte('rows_prior', 'rows_now')}, a AS (SELECT {_RK}, {_N('label')} AS l, {_T('label')} AS t FROM rows_prior), b AS (SELECT workbook_id, sheet, row_no AS cur_row, {_N('label')} AS cl, {_T('label')} AS ct FROM rows_now),
-    j AS (SELECT workbook_id, sheet, row_no, cur_row, len(list_intersect(t, ct)) AS n, len(t) AS na, len(ct) AS nb FROM a JOIN b USING (workbook_id, sheet) WHERE l <> cl)
-    SELECT workbook_id, sheet, row_no, cur_row, round(n / (na + nb - n), 9) AS score FROM j WHERE n / (na + nb - n) >= 0.4 QUALIFY row_number() OVER (PARTITION BY workbook_id, sheet, row_no ORDER BY n / (na + nb - n) DESC, cur_row) <= 3""")
+@query("j4_by_words", f"{cte('model_rows', 'model_rows_now', 'model_points', 'model_points_now')}, {_J2}, {_J4} SELECT {_PAIR}, round(score, 9) AS score FROM words")
 def j4(spark, sf):
-    return match.by_words(view(spark, sf, "rows_prior"), view(spark, sf, "rows_now")).withColumn("score", F.round("score", 9))
+    return match.by_words(*[view(spark, sf, n) for n in ("model_rows", "model_rows_now", "model_points", "model_points_now")]).withColumn("score", F.round("score", 9))
 
 
 @query("j13_near", f"""{cte('series', 'series_now')}, n AS (SELECT {_RK}, count(*) AS periods FROM series WHERE value <> 0 GROUP BY ALL),
@@ -105,12 +121,16 @@ def j13(spark, sf):
     return match.near(view(spark, sf, "series"), view(spark, sf, "series_now"))
 
 
-@query("j14_check", f"""{cte('series', 'series_now')}, j AS (SELECT p.workbook_id, p.sheet, p.row_no, c.sheet AS cur_sheet, c.row_no AS cur_row, abs(c.value - p.value) / greatest(abs(p.value), abs(c.value), 1e-12) AS gap FROM series p JOIN series_now c USING (workbook_id, sheet, row_no, period_end)),
-    g AS (SELECT workbook_id, sheet, row_no, cur_sheet, cur_row, count(*)::BIGINT AS periods, list_sort(list(gap)) AS l, count(*) FILTER (gap <= 1e-9)::BIGINT AS equal FROM j GROUP BY ALL)
-    SELECT * EXCLUDE (l), round(l[periods // 2 + 1], 9) AS gap, periods >= 3 AND l[periods // 2 + 1] <= 0.15 AS holds FROM g""")
+@query("j14_check", f"""{cte('model_points', 'model_points_now')}, pr AS (SELECT DISTINCT p.workbook_id, p.sheet, p.row_no, c.sheet AS cur_sheet, c.row_no AS cur_row FROM model_points p JOIN model_points_now c ON c.workbook_id = p.workbook_id AND c.row_no IN (p.row_no, p.row_no + 3)),
+    d AS (SELECT DISTINCT workbook_id, sheet AS cur_sheet, period_end FROM model_points_now),
+    j AS (SELECT {_PAIR}, d.period_end IS NOT NULL AS dated, abs(c.value - p.value) / greatest(abs(p.value), abs(c.value), 1e-12) AS gap FROM pr JOIN model_points p USING (workbook_id, sheet, row_no) LEFT JOIN d USING (workbook_id, cur_sheet, period_end)
+      LEFT JOIN (SELECT workbook_id, sheet AS cur_sheet, row_no AS cur_row, period_end, value FROM model_points_now) c USING (workbook_id, cur_sheet, cur_row, period_end)),
+    g AS (SELECT {_PAIR}, count(gap)::BIGINT AS periods, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS l, count(*) FILTER (gap <= 1e-9)::BIGINT AS equal, count(*) FILTER (dated)::BIGINT AS could FROM j GROUP BY ALL HAVING count(gap) > 0)
+    SELECT * EXCLUDE (l), round(l[periods // 2 + 1], 9) AS gap, periods >= 3 AND l[periods // 2 + 1] <= 0.15 AND periods >= 0.8 * could AS holds FROM g""")
 def j14(spark, sf):
-    p, c = view(spark, sf, "series"), view(spark, sf, "series_now")
-    pairs = p.select("workbook_id", "sheet", "row_no", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row")).distinct()
+    p, c = view(spark, sf, "model_points"), view(spark, sf, "model_points_now")
+    now = c.select("workbook_id", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row")).distinct()
+    pairs = p.select("workbook_id", "sheet", "row_no", F.explode(F.array("row_no", F.col("row_no") + 3)).alias("cur_row")).distinct().join(now, ["workbook_id", "cur_row"])
     return match.check(pairs, p, c).withColumn("gap", F.round("gap", 9))
 
 
@@ -127,25 +147,29 @@ def a13(spark, sf):
     return d.groupBy("workbook_id", "sheet").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")])
 
 
-_LIKE = f"""{cte('signatures')}, n AS (SELECT workbook_id AS w, concat(sheet, '|', label) AS key, count(*) AS n FROM signatures GROUP BY 1, 2), t AS (SELECT w, sum(n) AS t FROM n GROUP BY 1),
-    j AS (SELECT x.w AS a, y.w AS b, sum(least(x.n, y.n)) AS common FROM n x JOIN n y USING (key) WHERE x.w < y.w GROUP BY 1, 2),
-    s AS (SELECT a, b, common::BIGINT AS common, round(common / (p.t + q.t - common), 9) AS similarity, round(common / p.t, 9) AS a_in_b, round(common / q.t, 9) AS b_in_a FROM j JOIN t p ON p.w = a JOIN t q ON q.w = b)"""
-
-
-def _likeness(spark, sf):
-    s = view(spark, sf, "signatures").select("workbook_id", F.concat_ws("|", "sheet", "label").alias("key"))
-    return match.likeness(s).withColumns({c: F.round(c, 9) for c in ("similarity", "a_in_b", "b_in_a")})
+_LIKE = lambda least: f"""{cte('fleet_items')}, k AS (SELECT DISTINCT workbook_id AS w, 's' AS kind, sheet AS key FROM fleet_items UNION ALL SELECT workbook_id, 'i', concat(sheet, chr(1), label) FROM fleet_items UNION ALL SELECT workbook_id, 'f', concat(sheet, chr(1), label, chr(1), shape) FROM fleet_items),
+    n AS (SELECT w, kind, key, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT w, sum(n) FILTER (kind = 's') AS s, sum(n) FILTER (kind = 'i') AS i, sum(n) FILTER (kind = 'f') AS f FROM n GROUP BY 1),
+    j AS (SELECT x.w AS a, y.w AS b, coalesce(sum(least(x.n, y.n)) FILTER (kind = 's'), 0) AS s, coalesce(sum(least(x.n, y.n)) FILTER (kind = 'i'), 0) AS i, coalesce(sum(least(x.n, y.n)) FILTER (kind = 'f'), 0) AS f FROM n x JOIN n y USING (kind, key) WHERE x.w < y.w GROUP BY 1, 2),
+    v AS (SELECT a, b, j.s / (p.s + q.s - j.s) AS sj, j.i / (p.i + q.i - j.i) AS ij, j.f / (p.f + q.f - j.f) AS fj, j.i / p.i AS ab, j.i / q.i AS ba, p.s AS sheets_a, q.s AS sheets_b, p.i AS items_a, q.i AS items_b FROM j JOIN t p ON p.w = a JOIN t q ON q.w = b),
+    l AS (SELECT a, b, round(100 * (0.2 * sj + 0.45 * ij + 0.35 * fj))::INT AS similarity, round(100 * sj)::INT AS sheets, round(100 * ij)::INT AS line_items, round(100 * fj)::INT AS formulas, round(100 * ab)::INT AS a_in_b, round(100 * ba)::INT AS b_in_a,
+      sheets_a::BIGINT AS sheets_a, sheets_b::BIGINT AS sheets_b, items_a::BIGINT AS items_a, items_b::BIGINT AS items_b FROM v WHERE greatest(ab, ba) >= {least})"""
 
 
-@query("j27_likeness", f"{_LIKE} SELECT * FROM s")
+@query("j27_likeness", f"{_LIKE(0.1)} SELECT * FROM l")
 def j27(spark, sf):
-    return _likeness(spark, sf)
+    return match.likeness(view(spark, sf, "fleet_items"))
 
 
-@query("j28_families", f"""{_LIKE.replace('WITH ', 'WITH RECURSIVE ', 1)}, p AS (SELECT a, b FROM s WHERE similarity >= 0.02 AND a % 3 = b % 3 UNION SELECT b, a FROM s WHERE similarity >= 0.02 AND a % 3 = b % 3),
-    r AS (SELECT a AS m, a AS f FROM p UNION SELECT p.b, r.f FROM r JOIN p ON p.a = r.m) SELECT m AS member, min(f) AS family FROM r GROUP BY 1""")
+@query("j28_families", f"""{_LIKE(0.35).replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT a, b FROM l WHERE similarity >= 50 UNION SELECT b, a FROM l WHERE similarity >= 50), r AS (SELECT a AS m, a AS f FROM e UNION SELECT e.b, r.f FROM r JOIN e ON e.a = r.m), fam AS (SELECT m AS w, min(f) AS family FROM r GROUP BY 1),
+    o AS (SELECT b AS w, a AS host, a_in_b AS held, items_a AS n FROM l WHERE a_in_b >= 80 AND sheets_a < sheets_b UNION ALL SELECT a, b, b_in_a, items_b FROM l WHERE b_in_a >= 80 AND sheets_b < sheets_a),
+    h AS (FROM o QUALIFY row_number() OVER (PARTITION BY w ORDER BY held DESC, n DESC, host) = 1), own AS (SELECT DISTINCT workbook_id AS w, sheet FROM fleet_items),
+    x AS (SELECT h.w, string_agg(own.sheet, ',' ORDER BY own.sheet) AS extra FROM h JOIN own ON own.w = h.w ANTI JOIN own q ON q.w = h.host AND q.sheet = own.sheet GROUP BY 1)
+    SELECT coalesce(fam.w, h.w) AS member, family, host, held, CASE WHEN h.w IS NOT NULL THEN coalesce(extra, '') END AS extra FROM fam FULL JOIN h ON h.w = fam.w LEFT JOIN x ON x.w = h.w""")
 def j28(spark, sf):
-    return graph.families(_likeness(spark, sf).where("similarity >= 0.02 and a % 3 = b % 3"), "a", "b")
+    items = view(spark, sf, "fleet_items")
+    pairs = written(match.likeness(items, 0.35), "likeness")
+    fam = graph.families(pairs.where("similarity >= 50"), "a", "b")
+    return fam.join(match.hosts(pairs, items).withColumnRenamed("workbook_id", "member"), "member", "full")
 
 
 @query("a14_signature_counts", f"{cte('signatures')} SELECT workbook_id, sheet, label, shape, count(*)::BIGINT AS n FROM signatures GROUP BY ALL")

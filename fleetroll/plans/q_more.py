@@ -93,59 +93,6 @@ def v28(spark, sf):
     return value.forecast_end(f.where("core_id % 2 = 0 or period_end < '2000-01-01'").withColumn("feed", F.lit("last")).union(f.withColumn("feed", F.lit("this"))))
 
 
-_EV = f"""ev AS (SELECT p.workbook_id, p.row_no AS "row", n.row_no AS cur_row, CASE WHEN p.label = n.label THEN 'label' ELSE 'words' END AS strategy, CASE WHEN p.section = n.section THEN 1.0 ELSE 0.5 END AS score FROM rows_prior p JOIN rows_now n ON p.workbook_id = n.workbook_id AND p.sheet = n.sheet
-    UNION ALL SELECT p.workbook_id, p.row_no, n.row_no, 'history', 1.0 FROM rows_prior p JOIN rows_now n ON p.workbook_id = n.workbook_id AND p.figure = n.figure)"""
-
-
-@query("j10_decide", f"""{cte('rows_prior', 'rows_now')}, {_EV}, b AS (SELECT workbook_id, "row", cur_row, strategy, max(score) AS score FROM ev GROUP BY 1, 2, 3, 4),
-    t AS (SELECT workbook_id, "row", cur_row, sum(score * CASE strategy WHEN 'label' THEN 0.3 WHEN 'words' THEN 0.2 ELSE 0.35 END)::DOUBLE AS total, count(*)::BIGINT AS strategies FROM b GROUP BY 1, 2, 3)
-    SELECT workbook_id, "row", cur_row, round(total, 6) AS total, strategies, CASE WHEN round(total, 6) >= 0.5 THEN 'confident' WHEN round(total, 6) >= 0.3 THEN 'accepted' ELSE 'open' END AS status FROM t QUALIFY row_number() OVER (PARTITION BY workbook_id, "row" ORDER BY round(total, 9) DESC, strategies DESC, cur_row) = 1""")
-def j10(spark, sf):
-    p, n = view(spark, sf, "rows_prior"), view(spark, sf, "rows_now")
-    a = p.select("workbook_id", "sheet", F.col("row_no").alias("row"), F.col("label").alias("pl"), F.col("section").alias("ps"), F.col("figure").alias("pf"))
-    b = n.select("workbook_id", "sheet", F.col("row_no").alias("cur_row"), "label", "section", "figure")
-    x = a.join(b, ["workbook_id", "sheet"]).select("workbook_id", "row", "cur_row", F.when(F.col("pl") == F.col("label"), "label").otherwise("words").alias("strategy"), F.when(F.col("ps") == F.col("section"), 1.0).otherwise(0.5).alias("score"))
-    h = a.withColumn("figure", F.col("pf")).join(b.select("workbook_id", "cur_row", "figure"), ["workbook_id", "figure"]).select("workbook_id", "row", "cur_row", F.lit("history"), F.lit(1.0))
-    return match.decide(x.union(h)).withColumn("total", F.round("total", 6))
-
-
-_GR = "ed AS (SELECT 'prior' AS version, l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey % 10 = 0 UNION SELECT 'current', l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber <> 2 UNION SELECT 'current', l_orderkey, l_partkey + 1000000 FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber = 3)"
-
-
-def _graph(spark, sf):
-    x = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey % 10 = 0")
-    e = x.select(F.lit("prior").alias("version"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    e = e.union(x.where("l_linenumber <> 2").select(F.lit("current"), "l_orderkey", "l_partkey"))
-    return e.union(x.where("l_linenumber = 3").select(F.lit("current"), "l_orderkey", F.col("l_partkey") + 1000000)).distinct()
-
-
-@query("j15_term_changes", f"""WITH {_GR}, m AS (SELECT p_partkey AS "row", p_partkey AS cur_row FROM part UNION SELECT DISTINCT src, src FROM ed), s AS (SELECT DISTINCT src FROM ed)
-    SELECT src AS sum_row, dst AS term, 'gone' AS change FROM ed p WHERE version = 'prior' AND NOT EXISTS (FROM ed c WHERE c.version = 'current' AND c.src = p.src AND c.dst = p.dst)
-    UNION ALL SELECT src, dst, 'new' FROM ed c WHERE version = 'current' AND NOT EXISTS (FROM ed p WHERE p.version = 'prior' AND p.src = c.src AND p.dst = c.dst)""")
-def j15(spark, sf):
-    # sums are numbered apart from parts, as rows are
-    e = _graph(spark, sf).withColumn("src", F.col("src") + 10_000_000)
-    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("row"), F.col("p_partkey").alias("cur_row"))
-    m = parts.union(e.select("src", "src").distinct())
-    return match.term_changes(e, m).withColumn("sum_row", F.col("sum_row") - 10_000_000)
-
-
-@query("j5_by_neighbours", f"""WITH {_GR}, a AS (SELECT DISTINCT src AS "row", p_name AS item FROM ed JOIN part ON p_partkey = dst WHERE version = 'prior' AND src % 50 = 0), b AS (SELECT DISTINCT src AS cur_row, p_name AS item FROM ed JOIN part ON p_partkey = dst WHERE version = 'current' AND src % 50 = 0),
-    na AS (SELECT "row", count(*) AS na FROM a GROUP BY 1), nb AS (SELECT cur_row, count(*) AS nb FROM b GROUP BY 1), j AS (SELECT "row", cur_row, count(*)::BIGINT AS common FROM a JOIN b USING (item) GROUP BY 1, 2)
-    SELECT "row", cur_row, common, round(common / (na + nb - common), 9) AS jaccard FROM j JOIN na USING ("row") JOIN nb USING (cur_row) WHERE common / (na + nb - common) >= 0.34 QUALIFY row_number() OVER (PARTITION BY "row" ORDER BY common / (na + nb - common) DESC, cur_row) <= 3""")
-def j5(spark, sf):
-    r = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("label"))
-    return match.by_neighbours(_graph(spark, sf).where("src % 50 = 0"), r, r).withColumn("jaccard", F.round("jaccard", 9))
-
-
-@query("j11_exclude_copies", f"""{cte('series', 'series_now')}, j AS (SELECT {K}, bool_and(abs(p.value - c.value) <= 1e-9 * greatest(abs(p.value), abs(c.value))) AS same, count(*) AS n FROM series p JOIN series_now c USING (workbook_id, sheet, row_no, period_end) GROUP BY ALL)
-    SELECT DISTINCT {K}, sheet AS cur_sheet, row_no AS cur_row FROM series s WHERE NOT EXISTS (FROM j WHERE j.workbook_id = s.workbook_id AND j.sheet = s.sheet AND j.row_no = s.row_no AND same AND n >= 3)""")
-def j11(spark, sf):
-    p = view(spark, sf, "series")
-    c = p.select(*KEY, F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row")).distinct()
-    return match.exclude_copies(c, p, view(spark, sf, "series_now"))
-
-
 @query("j24_balances", f"""{cte('series', 'series_now')}, r AS (SELECT {K}, period_end, last_day((period_end + INTERVAL 12 MONTH)::DATE) AS to_end FROM series WHERE period_end BETWEEN DATE '1999-06-30' AND DATE '1999-08-31')
     SELECT r.*, p.value AS forecast, c.value AS actual, CASE WHEN c.value IS NULL THEN 'missing' WHEN p.value IS NULL THEN 'no forecast' WHEN abs(c.value - p.value) / abs(p.value) >= 0.5 THEN 'block' WHEN abs(c.value - p.value) / abs(p.value) >= 0.03 THEN 'check' ELSE 'ok' END AS status
     FROM r LEFT JOIN series p ON p.workbook_id = r.workbook_id AND p.sheet = r.sheet AND p.row_no = r.row_no AND p.period_end = to_end LEFT JOIN series_now c ON c.workbook_id = r.workbook_id AND c.sheet = r.sheet AND c.row_no = r.row_no AND c.period_end = to_end""")

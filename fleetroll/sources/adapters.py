@@ -94,6 +94,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            CAST(round(CASE WHEN p_size = 20 THEN 1.0 ELSE p_retailprice * (1 + p_partkey % 9 * 0.01 * k) END * CASE WHEN k < 3 THEN 1.0 WHEN p_size % 4 = 1 THEN 1.04 WHEN p_size % 4 = 3 THEN 1.6 ELSE 1.0 END, 4) AS DOUBLE) AS value
            FROM {part} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) v(k)) p WHERE p_size <> 13 AND NOT (p_size % 5 = 2 AND k > 3)""",
     ),
+    # line items of all models of both years, as one fleet of workbooks
+    "fleet_items": (
+        ("part",),
+        """SELECT CAST(floor(p_partkey / 50) AS BIGINT) + v AS workbook_id, CASE WHEN v > 0 AND p_partkey % 50 > 44 THEN 'Value' ELSE concat('S', CAST(p_size % 3 AS STRING)) END AS sheet,
+           concat(p_name, CASE WHEN v > 0 AND p_size % 7 = 5 THEN ' revised' ELSE '' END) AS label, CASE WHEN p_size % 5 = v % 7 THEN concat('R[]C', CAST(p_size AS STRING)) ELSE p_type END AS shape
+           FROM {part} CROSS JOIN (SELECT * FROM (VALUES (0), (1000000)) x(v)) y WHERE NOT (v = 0 AND p_partkey % 50 > 44) AND NOT (v > 0 AND CAST(floor(p_partkey / 50) AS BIGINT) % 3 = 1 AND p_size % 2 = 0)""",
+    ),
     "calls": (
         ("events",),
         """SELECT event_id AS id, ts, event_type AS model, user_id AS session_id, CASE WHEN user_id % 4 = 0 THEN 'review' ELSE 'draft' END AS purpose,
