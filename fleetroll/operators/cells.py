@@ -173,17 +173,6 @@ def source_rate(reads: DataFrame, rates: DataFrame, tol: float = 1e-9) -> DataFr
     return g.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("core_id", "cell")
 
 
-def exact_zero_roll(values: DataFrame, changes: DataFrame, tol: float = 1e-4) -> DataFrame:
-    """Values that roll to themselves although rows changed."""
-    j = values.join(changes, "workbook_id")
-    return j.withColumn("suspect", (F.abs(F.col("ratio") - 1) < tol) & (F.col("changed_rows") > 0))
-
-
-def equity_ends(values: DataFrame, tol: float = 1e-12) -> DataFrame:
-    """Ends that are typed cells and stand still from last year to this."""
-    return values.withColumn("still", F.col("typed") & (F.abs(F.col("last") - F.col("this")) <= tol * F.greatest(F.lit(1.0), F.abs("last"))))
-
-
 def heading(cells: DataFrame) -> DataFrame:
     """The nearest text above each numeric cell in its column, at most 15 rows up, without years."""
     w = Window.partitionBy("workbook_id", "sheet", "col").orderBy("row_no").rangeBetween(-15, -1)

@@ -36,20 +36,6 @@ def mid_period(flows: DataFrame, dates: DataFrame, slack: int = 3) -> DataFrame:
     return p.select("core_id", "start", "period_end", (F.date_diff("new_date", "start") / F.date_diff("period_end", "start")).alias("elapsed"))
 
 
-def pasted(prior: DataFrame, current: DataFrame, by: list[str], share: float = 0.8, distinct: int = 3) -> DataFrame:
-    """Rows whose values equal last year's in ``share`` of the shared periods, of ``distinct`` values or more."""
-    j = prior.select(*by, "period_end", F.col("value").alias("_p")).join(current.select(*by, "period_end", F.col("value").alias("_c")), [*by, "period_end"])
-    same = close(F.col("_p"), F.col("_c"))
-    g = j.groupBy(*by).agg(F.count("*").alias("periods"), F.count_if(same).alias("equal"), F.count_distinct(F.when(same, F.col("_c"))).alias("values"))
-    return g.withColumn("pasted", (F.col("equal") >= share * F.col("periods")) & (F.col("values") >= distinct))
-
-
-def gates(values: DataFrame, check_at: float = 1e-6, block_at: float = 1e-3) -> DataFrame:
-    """How far the rebuilt value lies from the saved one: ok, check or block."""
-    off = F.abs(F.col("rebuilt") - F.col("saved")) / F.greatest(F.abs("saved"), F.lit(1e-12))
-    return values.withColumn("off", off).withColumn("gate", F.when(off > block_at, "block").when(off > check_at, "check").otherwise("ok"))
-
-
 def inputs_moved(last: DataFrame, this: DataFrame, on: list[str]) -> DataFrame:
     """Input cells that differ between the versions."""
     j = last.select(*on, F.col("value").alias("last")).join(this.select(*on, F.col("value").alias("this")), on)

@@ -59,12 +59,6 @@ def time_check(a: DataFrame, b: DataFrame, years: float) -> DataFrame:
     return g.withColumn("implied", F.when(F.col("pa") / F.col("pb") > 0, F.pow(F.col("pb") / F.col("pa"), F.lit(1 / years)) - 1))
 
 
-def drivers(flows: DataFrame, factored: DataFrame, bump: float = 0.01, k: int = 40) -> DataFrame:
-    """The effect on the value of one per cent on each linear input, largest first."""
-    e = factored.groupBy("core_id").agg((F.sum(F.col("cf") * F.col("factor")) * bump).alias("effect"))
-    return e.orderBy(F.abs("effect").desc(), "core_id").limit(k)
-
-
 def methods(flows: DataFrame, discountings: DataFrame) -> DataFrame:
     """PV under each timing and day count and with cash flows on the date kept, and its difference to the default."""
     from . import fin

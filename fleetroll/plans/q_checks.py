@@ -177,19 +177,6 @@ def c6(spark, sf):
     return checks.mid_period(view(spark, sf, "flows"), d).withColumn("elapsed", F.round("elapsed", 9))
 
 
-@query("c9_pasted", f"""{cte('series', 'series_now')}, j AS (SELECT workbook_id, sheet, row_no, c.value, abs(p.value - c.value) <= 1e-9 * greatest(1.0, abs(p.value), abs(c.value)) AS same FROM series p JOIN series_now c USING (workbook_id, sheet, row_no, period_end))
-    SELECT workbook_id, sheet, row_no, count(*)::BIGINT AS periods, count(*) FILTER (same)::BIGINT AS equal, count(DISTINCT value) FILTER (same)::BIGINT AS "values", count(*) FILTER (same) >= 0.8 * count(*) AND count(DISTINCT value) FILTER (same) >= 3 AS pasted FROM j GROUP BY 1, 2, 3""")
-def c9(spark, sf):
-    return checks.pasted(view(spark, sf, "series"), view(spark, sf, "series_now"), KEY)
-
-
-@query("c10_gates", f"""{cte('series', 'series_now')}, v AS (SELECT workbook_id, a AS saved, b AS rebuilt FROM (SELECT workbook_id, round(sum(value), 4) AS a FROM series GROUP BY 1) JOIN (SELECT workbook_id, round(sum(value), 4) AS b FROM series_now GROUP BY 1) USING (workbook_id))
-    SELECT workbook_id, CASE WHEN abs(rebuilt - saved) / abs(saved) > 1e-3 THEN 'block' WHEN abs(rebuilt - saved) / abs(saved) > 1e-6 THEN 'check' ELSE 'ok' END AS gate FROM v""")
-def c10(spark, sf):
-    a, b = (view(spark, sf, n).groupBy("workbook_id").agg(F.round(F.sum("value"), 4).alias(c)) for n, c in (("series", "saved"), ("series_now", "rebuilt")))
-    return checks.gates(a.join(b, "workbook_id")).select("workbook_id", "gate")
-
-
 @query("c12_inputs_moved", f"{cte('rows_prior', 'rows_now')} SELECT p.workbook_id, p.row_no, p.figure AS last, n.figure AS this FROM rows_prior p JOIN rows_now n ON p.row_no = n.row_no - 2 WHERE abs(p.figure - n.figure) > 1e-9 * greatest(1.0, abs(p.figure), abs(n.figure))")
 def c12(spark, sf):
     p = view(spark, sf, "rows_prior").select("workbook_id", "row_no", F.col("figure").alias("value"))
