@@ -49,14 +49,19 @@ def model_shape(cells: DataFrame) -> DataFrame:
     )
 
 
-def selectors(rows: DataFrame, cells: DataFrame, edges: DataFrame, pattern: str = r"(?i)scenario|case|switch|select") -> DataFrame:
-    """Scenario switches: rows labelled as such that some row reads, typed, of at most two numbers; the first whole one of 0 to 20."""
+def selectors(rows: DataFrame, cells: DataFrame, edges: DataFrame, pattern: str = r"(?i)scenario|case|switch|select", amount: str = r"[$€£]|%") -> DataFrame:
+    """Scenario switches: rows labelled as such, not an amount by their units, that some row reads, of two typed numbers at most.
+
+    The setting is the first whole number of 0 to 20, else the one short text.
+    """
     row = ["workbook_id", "row_no"]
     read = edges.select("workbook_id", F.col("dst").alias("row_no")).distinct()
-    r = rows.where(F.col("label").rlike(pattern)).join(read, row, "left_semi")
-    c = cells.where("formula is null and value is not null").join(r.select(*row, "label"), row)
-    g = c.groupBy(*row, "label").agg(F.count("*").alias("n"), F.min_by("value", F.when((F.col("value") == F.floor("value")) & F.col("value").between(0, 20), F.col("col"))).alias("setting"))
-    return g.where("n <= 2 and setting is not null").drop("n")
+    r = rows.where(F.col("label").rlike(pattern) & ~F.coalesce("units", F.lit("")).rlike(amount)).join(read, row, "left_semi")
+    c = cells.where("formula is null").join(r.select(*row, "label"), row)
+    whole = F.min_by("value", F.when((F.col("value") == F.floor("value")) & F.col("value").between(0, 20), F.col("col")))
+    g = c.groupBy(*row, "label").agg(F.count("value").alias("n"), whole.alias("v"), F.count("text").alias("k"), F.min("text").alias("t"))
+    setting = F.coalesce(F.col("v").cast("int").cast("string"), F.when((F.col("k") == 1) & (F.length("t") <= 20), F.col("t")))
+    return g.withColumn("setting", setting).where("n <= 2 and setting is not null").select(*row, "label", "setting")
 
 
 def holding(cells: DataFrame, facts: DataFrame, pattern: str = ".*") -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetroll.functions.text import fold, numbers
@@ -41,14 +45,134 @@ def mentions(pages: DataFrame, figures: DataFrame) -> DataFrame:
     return n.withColumn("k", F.round("v", 9)).join(f, "k").select("figure_id", "doc_id", "page", "n").distinct()
 
 
+def _squeezed(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), r"\s+", "")
+
+
 def check_quotes(facts: DataFrame, pages: DataFrame) -> DataFrame:
     """``on_page``: the quote stands on its page, spacing aside; ``stated``: the fact's value text is in the quote."""
-    squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     j = facts.join(pages.select("doc_id", "page", F.col("text").alias("_t")), ["doc_id", "page"], "left")
-    on = F.coalesce(F.contains(squeeze(F.col("_t")), squeeze(F.col("quote"))), F.lit(False))
+    on = F.coalesce(F.contains(_squeezed(F.col("_t")), _squeezed(F.col("quote"))), F.lit(False))
     return j.select("fact_id", on.alias("on_page"), F.coalesce(F.contains(F.col("quote"), F.col("value_text")), F.lit(False)).alias("stated"))
 
 
+def quotes_in(quotes: DataFrame, pages: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+    """(quote_id, doc_id, page) for every page on which a quote stands, spacing and case aside.
+
+    ``quotes(quote_id long, quote)`` are a query set: they are put in blocks of about ``block_bytes``, one after the other,
+    and each block goes over all pages as one automaton, so a page is read once a block and never meets a quote it
+    doesn't hold.  Empty quotes stand nowhere.
+    """
+    q = quotes.select("quote_id", _squeezed(F.col("quote")).alias("q")).where("q <> ''")
+    size = q.agg(F.coalesce(F.sum(F.octet_length("q") + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    text = pages.select("doc_id", "page", _squeezed(F.col("text")).alias("t")).where("t is not null")
+    schema = f"quote_id long, doc_id {dict(pages.dtypes)['doc_id']}, page {dict(pages.dtypes)['page']}"
+    out = None
+    for i in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == i).groupBy("q").agg(F.collect_list("quote_id").alias("ids")).collect()
+        found = text.mapInArrow(_holding(quotes.sparkSession.sparkContext.broadcast([(r["q"], r["ids"]) for r in rows])), schema)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _holding(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for q, ids in shared.value:
+            a.add_word(q, (q, ids))
+        if len(a):
+            a.make_automaton()
+        for b in batches:
+            at, ids = [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
+                for _, own in {q: own for _, (q, own) in a.iter(t)}.items() if len(a) else ():
+                    at += [i] * len(own)
+                    ids += own
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("doc_id").take(take), b.column("page").take(take)], names=["quote_id", "doc_id", "page"])
+
+    return run
+
+
+def check_labels(facts: DataFrame, terms: dict[str, str], others: str) -> DataFrame:
+    """``under``: the term under which a fact's figure stands in its quote, if never under its own; ``off``: scale or currency.
+
+    ``facts(fact_id, key, stated, quote)``; ``terms`` are the patterns of the keys, ``others`` those of labels that are
+    none.  A figure's label is the one right before it, back to the figure before; with none there, the one after it or
+    the nearest further back, of which its own will do.  The patterns are in lower case.
+    """
+    from fleetroll.functions.text import scale_off
+
+    known = {k: re.compile(p) for k, p in terms.items()}
+    rest = {k: re.compile("|".join([p for o, p in terms.items() if p != terms[k]] + [others])) for k in terms}
+
+    @F.pandas_udf("string")
+    def under(key: pd.Series, stated: pd.Series, quote: pd.Series) -> pd.Series:
+        return pd.Series([_under(known, rest, k, s, q) for k, s, q in zip(key, stated, quote)], dtype=object)
+
+    return facts.select("fact_id", under("key", "stated", "quote").alias("under"), scale_off(F.col("stated"), F.col("quote")).alias("off"))
+
+
+_FIGURE = re.compile(r"\d[\d,]*(?:\.\d+)?")
+
+
+def _under(known: dict, rest: dict, key: str | None, stated: str | None, quote: str | None) -> str | None:
+    if key not in known or not stated or not quote:
+        return None
+    q = quote.lower()
+    spots = [(m.start(), m.end(), float(m[0].replace(",", ""))) for m in _FIGURE.finditer(q)]
+
+    def label(a: int, b: int) -> str | None:
+        if known[key].search(q, a, b):
+            return "own"
+        m = rest[key].search(q, a, b)
+        return m[0] if m else None
+
+    for m in _FIGURE.finditer(stated):
+        want, verdicts = float(m[0].replace(",", "")), []
+        for i, (start, end, value) in enumerate(spots):
+            if abs(value - want) > 1e-9 * max(1.0, abs(want)):
+                continue
+            said = label(spots[i - 1][1] if i else 0, start)
+            if said is None:
+                after = label(end, spots[i + 1][0] if i + 1 < len(spots) else len(q))
+                back = next((x for j in range(i - 1, -1, -1) if (x := label(spots[j - 1][1] if j else 0, spots[j][0]))), None)
+                said = "own" if "own" in (after, back) else after or back
+            verdicts.append(said)
+        if verdicts and all(v not in (None, "own") for v in verdicts):
+            return verdicts[-1]
+    return None
+
+
+def check_text_layer(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """A table as read against the page's own lines: (table_id, not_in_source, not_read, words_not_in_source, words_not_read, rows_out_of_order, ok).
+
+    ``cells(table_id, row_no, col_no, text)``, ``lines(table_id, line_no, text)``.  Numbers and words are multisets; a
+    row's numbers must stand in order on one line.
+    """
+    own = lambda d, f, n: d.select("table_id", F.explode(f(F.col("text"))).alias("x")).groupBy("table_id", "x").agg(F.count("*").alias(n))
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z]{2,})"), 1)
+
+    def apart(f, a: str, b: str) -> DataFrame:
+        j = own(cells, f, "n").join(own(lines, f, "m"), ["table_id", "x"], "full").withColumns({"n": F.coalesce("n", F.lit(0)), "m": F.coalesce("m", F.lit(0))})
+        return j.groupBy("table_id").agg(F.sum(F.greatest(F.col("n") - F.col("m"), F.lit(0))).alias(a), F.sum(F.greatest(F.col("m") - F.col("n"), F.lit(0))).alias(b))
+
+    rows = cells.groupBy("table_id", "row_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("col_no", numbers(F.col("text")).alias("n")))), lambda x: x["n"])).alias("want")).where(F.size("want") > 0)
+    have = lines.select("table_id", numbers(F.col("text")).alias("have")).where(F.size("have") > 0)
+    # a row meets the lines that hold its first number; the place after each number found moves on
+    first = rows.withColumn("x", F.get("want", F.lit(0))).join(have.select("table_id", "have", F.explode(F.array_distinct("have")).alias("x")), ["table_id", "x"])
+    place = F.aggregate("want", F.lit(0), lambda at, w: F.when(at < 0, at).otherwise(F.coalesce(F.array_min(F.filter(F.transform("have", lambda h, i: F.when((h == w) & (i >= at), i + 1)), lambda p: p.isNotNull())), F.lit(-1))))
+    fine = first.where(place > 0).select("table_id", "row_no").distinct()
+    bad = rows.join(fine, ["table_id", "row_no"], "left_anti").groupBy("table_id").agg(F.count("*").alias("rows_out_of_order"))
+    t = cells.select("table_id").distinct().join(apart(numbers, "not_in_source", "not_read"), "table_id", "left").join(apart(words, "words_not_in_source", "words_not_read"), "table_id", "left").join(bad, "table_id", "left")
+    names = ["not_in_source", "not_read", "words_not_in_source", "words_not_read", "rows_out_of_order"]
+    t = t.select("table_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+    return t.withColumn("ok", sum((F.col(c) for c in names[1:]), F.col(names[0])) == 0)
+
+
 def compare_reads(cells: DataFrame) -> DataFrame:
     """Rows of a table read twice, by the first cell and its occurrence: same, numbers differ, or in one read only."""
     r = cells.groupBy("table_id", "read_no", "row_no").agg(F.min_by("text", "col_no").alias("head"), F.sort_array(F.flatten(F.collect_list(F.when(F.col("col_no") > 0, numbers(F.col("text")))))).alias("nums"))
@@ -87,24 +211,28 @@ def similar_rules(rules: DataFrame, least: float = 0.75) -> DataFrame:
     return j.withColumn("jaccard", both / (F.size("t") + F.size("u") - both)).where(F.col("jaccard") >= least).select("rule_id", "other", "jaccard")
 
 
+def paged(docs: DataFrame, lines: int = 40) -> DataFrame:
+    """(doc_id, page, text): a document's lines, so many to a page, from 1. A null text is one empty page."""
+    d = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    g = d.groupBy("doc_id", (F.floor(F.col("i") / lines) + 1).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
+    return g.select("doc_id", "page", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
 def select_pages(pages: DataFrame, keywords: list[str], limit: int = 150_000, first: int = 3) -> DataFrame:
     """Pages of each document by keyword hits, the first pages before all others, as many as fit: what doesn't is skipped.
 
-    The fill depends on its order, so a document's page lengths, not their texts, meet in one group.
+    The fill goes over an array of a document's page numbers and lengths, not their texts.
     """
     hits = sum((F.regexp_count(F.lower("text"), F.lit(k)) for k in keywords), F.lit(0))
-    d = pages.select("doc_id", "page", F.length("text").alias("chars"), hits.alias("hits"))
-
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(late=rows["page"] > first).sort_values(["late", "hits", "page"], ascending=[True, False, True])
-        left, kept = limit, []
-        for page, chars, n in rows[["page", "chars", "hits"]].itertuples(index=False):
-            if chars <= left:
-                left -= chars
-                kept.append((key[0], page, n))
-        return pd.DataFrame(kept, columns=["doc_id", "page", "hits"])
-
-    return d.groupBy("doc_id").applyInPandas(fill, "doc_id long, page int, hits int")
+    d = pages.select("doc_id", (F.col("page") > first).alias("late"), (-hits).alias("less"), "page", F.length("text").alias("chars"))
+    g = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("late", "less", "page", "chars"))).alias("p"))
+    start = F.struct(F.lit(limit).alias("left"), F.expr("cast(array() as array<struct<page:int,hits:int>>)").alias("kept"))
+
+    def fill(s: Column, x: Column) -> Column:
+        fits = x["chars"] <= s["left"]
+        return F.struct(F.when(fits, s["left"] - x["chars"]).otherwise(s["left"]).alias("left"), F.when(fits, F.concat(s["kept"], F.array(F.struct(x["page"].cast("int").alias("page"), (-x["less"]).cast("int").alias("hits"))))).otherwise(s["kept"]).alias("kept"))
+
+    return g.select("doc_id", F.explode(F.aggregate("p", start, fill)["kept"]).alias("k")).select("doc_id", "k.page", "k.hits")
 
 
 def terminal_method(passages: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -152,8 +152,8 @@ def by_trace(edges: DataFrame, edges_now: DataFrame, anchors: DataFrame, scores:
             alone = top.where("p >= 0.6 and (size(_p) = 1 or _p[1] < p)").select(*way, "nx", "c", "p")
             # the one left: each of the others has a partner of .8 of its own, and one row of this year's has none
             firm = top.where("p >= 0.8 and (size(_p) = 1 or _p[1] < p)").groupBy(*way).agg(F.count("*").alias("firm"), F.collect_set("nx").alias("has"), F.collect_set("c").alias("used"))
-            rest = firm.join(size[0], ["workbook_id", "x"]).join(size[1], ["workbook_id", "y"]).where("sibs = cands and firm = sibs - 1 and size(used) = firm")
-            left = rest.join(e, ["workbook_id", "x"]).where("not array_contains(has, nx)").join(n, ["workbook_id", "y"]).where("not array_contains(used, c)")
+            rest = front.join(size[0], ["workbook_id", "x"]).join(size[1], ["workbook_id", "y"]).where("sibs = cands").join(firm, way, "left").where("coalesce(firm, 0) = sibs - 1 and coalesce(size(used), 0) = coalesce(firm, 0)")
+            left = rest.join(e, ["workbook_id", "x"]).where("not coalesce(array_contains(has, nx), false)").join(n, ["workbook_id", "y"]).where("not coalesce(array_contains(used, c), false)")
             left = left.join(alone.select(*way, "nx"), [*way, "nx"], "left_anti").select(*way, "nx", "c", F.lit(0.6).alias("p"))
             new = alone.union(left).select("workbook_id", "anchor", F.col("nx").alias("x"), F.col("c").alias("y"), (F.col("q") * F.col("p")).alias("q"))
             # a row is walked to from an anchor by its shortest way, the best on a tie

@@ -66,6 +66,30 @@ def degree(e: DataFrame) -> DataFrame:
     return i.join(o, "node", "full").select("node", F.coalesce("read_by", F.lit(0)).alias("read_by"), F.coalesce("reads", F.lit(0)).alias("reads"))
 
 
+def summary(e: DataFrame, rows: DataFrame, k: int = 15) -> DataFrame:
+    """The dependencies of a workbook in one table: (workbook_id, what, name, n, sheets).
+
+    'kind': edges by kind; 'flow': live edges from sheet to sheet, of different sheets; 'most read' and 'most reading': the
+    k rows with most live edges, and with how many sheets.  ``e(workbook_id, src, dst, kind)``, ``rows(workbook_id, row_no,
+    sheet)``.
+    """
+    from pyspark.sql import Window
+
+    at = lambda c: rows.select("workbook_id", F.col("row_no").alias(c), F.col("sheet").alias(f"{c}_sheet"))
+    d = e.join(at("src"), ["workbook_id", "src"]).join(at("dst"), ["workbook_id", "dst"])
+    live = d.where("kind <> 'inactive'")
+    none = F.lit(None).cast("long")
+    out = d.groupBy("workbook_id", F.lit("kind").alias("what"), F.col("kind").alias("name")).agg(F.count("*").alias("n")).withColumn("sheets", none)
+    flow = live.where("src_sheet <> dst_sheet").groupBy("workbook_id", F.lit("flow").alias("what"), F.concat_ws(">", "src_sheet", "dst_sheet").alias("name")).agg(F.count("*").alias("n")).withColumn("sheets", none)
+    out = out.union(flow)
+    for what, own, other in (("most read", "dst", "src_sheet"), ("most reading", "src", "dst_sheet")):
+        g = live.groupBy("workbook_id", F.col(own).alias("row")).agg(F.count("*").alias("n"), F.count_distinct(other).alias("sheets"))
+        w = Window.partitionBy("workbook_id").orderBy(F.col("n").desc(), "row")
+        top = g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        out = out.union(top.select("workbook_id", F.lit(what), F.col("row").cast("string"), "n", "sheets"))
+    return out
+
+
 def families(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(member, family): components of similar pairs, named by their smallest member. Labels fall until none changes."""
     both = written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(b, a)).distinct(), "pairs")

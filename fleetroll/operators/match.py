@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetroll.sources.tables import written
+
 STOP = ["the", "and", "of", "for", "to", "in"]
 
 
@@ -225,6 +230,61 @@ def diff_cells(old: DataFrame, new: DataFrame, on: list[str], tol: float = 1e-9)
     return j.withColumn("change", what)
 
 
+def align_labels(old: list, new: list) -> list[tuple[int | None, int | None, str]]:
+    """Places of two label sequences as matched, renamed (replaced runs of one length), removed or added."""
+    out: list[tuple[int | None, int | None, str]] = []
+    for tag, i, i2, j, j2 in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+        if tag == "equal" or (tag == "replace" and i2 - i == j2 - j):
+            out += [(i + k, j + k, "matched" if tag == "equal" else "renamed") for k in range(i2 - i)]
+        else:
+            out += [(k, None, "removed") for k in range(i, i2)] + [(None, k, "added") for k in range(j, j2)]
+    return out
+
+
+def align_rows(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(workbook_id, sheet, row_no, cur_row, what) of the sheets both versions have: matched, renamed, removed or added rows.
+
+    ``old`` and ``new`` are ``(workbook_id, sheet, row_no, label)``.  The alignment of two sequences can't be said in joins:
+    a sheet's labels, which are short, meet in one row as two arrays.
+    """
+    seq = lambda d, n: d.groupBy("workbook_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_no", F.coalesce("label", F.lit("")).alias("label")))).alias(n))
+    j = seq(old, "a").join(seq(new, "b"), ["workbook_id", "sheet"])
+    j = j.select("workbook_id", "sheet", *[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("a", "b") for f in ("row_no", "label")])
+
+    @F.pandas_udf("array<struct<row_no:bigint,cur_row:bigint,what:string>>")
+    def aligned(r: pd.Series, l: pd.Series, r2: pd.Series, l2: pd.Series) -> pd.Series:
+        one = lambda rows, k: None if k is None else int(rows[k])
+        return pd.Series([[{"row_no": one(a, i), "cur_row": one(b, k), "what": what} for i, k, what in align_labels(list(x), list(y))] for a, x, b, y in zip(r, l, r2, l2)])
+
+    d = j.select("workbook_id", "sheet", F.explode(aligned("a_row_no", "a_label", "b_row_no", "b_label")).alias("m"))
+    return d.select("workbook_id", "sheet", "m.*")
+
+
+def diff_models(old_rows: DataFrame, new_rows: DataFrame, old: DataFrame, new: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """What changed between two versions: (workbook_id, sheet, row_no, cur_row, period_end, what, old, new).
+
+    Rows are aligned by their sheets' label sequences; cells ``(workbook_id, sheet, row_no, period_end, value, formula)`` of
+    matched rows meet by period, so a timeline that has moved compares like with like, and periods of one version alone
+    aren't compared.  Cells: 'formula to typed', 'typed to formula', 'blanked', 'output changed' (a formula), 'input changed';
+    rows: 'row renamed', 'row removed', 'row added'.
+    """
+    m = written(align_rows(old_rows, new_rows), "aligned")
+    pairs = m.where("what in ('matched', 'renamed')").drop("what")
+    key = ["workbook_id", "sheet", "period_end"]
+    a = pairs.join(old.select(*key, "row_no", F.col("value").alias("old"), F.col("formula").alias("f0")), ["workbook_id", "sheet", "row_no"])
+    j = a.join(new.select(*key, F.col("row_no").alias("cur_row"), F.col("value").alias("new"), F.col("formula").alias("f1")), [*key, "cur_row"])
+    same = F.abs(F.col("old") - F.col("new")) <= tol * F.greatest(F.lit(1.0), F.abs("old"), F.abs("new"))
+    typed = lambda f: F.col(f).isNull()
+    what = (
+        F.when(typed("f1") & ~typed("f0"), "formula to typed").when(~typed("f1") & typed("f0"), "typed to formula").when(F.col("new").isNull() & F.col("old").isNotNull(), "blanked")
+        .when(F.coalesce(same, F.col("old").isNull() & F.col("new").isNull()), F.lit(None)).when(~typed("f1"), "output changed").otherwise("input changed")
+    )
+    cells = j.withColumn("what", what).where("what is not null").select("workbook_id", "sheet", "row_no", "cur_row", "period_end", "what", "old", "new")
+    none = F.lit(None).cast("double")
+    rows = m.where("what <> 'matched'").select("workbook_id", "sheet", "row_no", "cur_row", F.lit(None).cast("date"), F.concat(F.lit("row "), "what"), none, none)
+    return cells.union(rows)
+
+
 def term_changes(edges: DataFrame, edges_now: DataFrame, matches: DataFrame, sums: DataFrame, depth: int = 3) -> DataFrame:
     """Terms of matched sums that have no partner: new this year, gone since last year.
 

@@ -50,11 +50,14 @@ def a8(spark, sf):
 _DOCS = "FROM documents"
 
 
-@query("x1_normal_forms", f"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g'), ' ')) AS fold, md5(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS letters,
-    md5(regexp_replace(lower(text), '[ \\t\\n\\f\\r\\x0B\\-_./&()'']+', '', 'g')) AS squash {_DOCS}""")
+@query("x1_normal_forms", f"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g'), ' ')) AS fold, md5(trim(regexp_replace(regexp_replace(lower(text), '\\b(?:19|20)\\d\\d\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' ')) AS bare,
+    md5(regexp_replace(lower(text), '[ \\t\\n\\f\\r\\x0B\\-_./&()'']+', '', 'g')) AS squash, md5(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z][a-z0-9]+)', 1), lambda x: x NOT IN ('the', 'and', 'of', 'for', 'to', 'in')))), ' ')) AS tokens {_DOCS}""")
 def x1(spark, sf):
-    d, t = spark.read.parquet(f"{sf}/documents.parquet"), F.col("text")
-    return d.select("doc_id", *[F.md5(f(t)).alias(n) for n, f in (("fold", text.fold), ("letters", text.letters), ("squash", text.squash))])
+    from fleetroll.operators.match import tokens
+
+    d, t = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null"), F.col("text")
+    forms = {"fold": text.fold(t), "bare": text.bare_label(t), "squash": text.squash(t), "tokens": F.array_join(F.array_sort(tokens(t)), " ")}
+    return d.select("doc_id", *[F.md5(c).alias(n) for n, c in forms.items()])
 
 
 @query("x2_numbers", f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(\\(?-?[$€£]?\\d[\\d,]*(?:\\.\\d+)?%?\\)?)', 1), lambda x: CASE WHEN (x LIKE '(%' AND x LIKE '%)') OR x LIKE '%-%' THEN '-' ELSE '' END || regexp_replace(x, '[(),$€£\\-]', '', 'g')), '|') AS numbers {_DOCS}""")

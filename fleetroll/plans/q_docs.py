@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetroll.functions import text
@@ -12,7 +11,7 @@ from .registry import query
 
 
 def _pages(spark, sf):
-    """A document's lines, forty to a page."""
+    """Each document as one page."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
     return d.select("doc_id", F.lit(1).alias("page"), "text")
 
@@ -37,12 +36,27 @@ def x8(spark, sf):
     return docs.passages(_pages(spark, sf), r"(?i)licen[cs]|\bthe\b").select("doc_id", "n", "sentence")
 
 
-@query("x10_check_quotes", """SELECT b.item_id * 1000000 + d.doc_id AS fact_id, contains(regexp_replace(lower(d.text), '[ \\t\\n\\f\\r\\x0B]+', '', 'g'), regexp_replace(lower(b.text), '[ \\t\\n\\f\\r\\x0B]+', '', 'g')) AS on_page, contains(b.text, substr(b.text, 5, 8)) AS stated
-    FROM benchmark b JOIN documents d ON d.doc_id % 25 = b.item_id % 25""")
+_SQ = lambda c: f"regexp_replace(lower({c}), '[ \\t\\n\\f\\r\\x0B]+', '', 'g')"
+
+
+@query("x10_quotes_in", f"""WITH b AS (SELECT item_id, {_SQ('text')} AS q FROM benchmark), d AS (SELECT doc_id, {_SQ('text')} AS t FROM documents), f AS (SELECT item_id, doc_id FROM b JOIN d ON contains(t, q) WHERE q <> '')
+    SELECT item_id, count(doc_id)::BIGINT AS documents, min(doc_id) AS first_doc FROM benchmark LEFT JOIN f USING (item_id) GROUP BY 1""")
+def x10_in(spark, sf):
+    """In which documents each benchmark passage stands: all passages over all documents."""
+    b, d = spark.read.parquet(f"{sf}/benchmark.parquet"), _pages(spark, sf)
+    found = docs.quotes_in(b.select(F.col("item_id").cast("long").alias("quote_id"), F.col("text").alias("quote")), d)
+    return b.select("item_id").join(found.withColumnRenamed("quote_id", "item_id"), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
+@query("x10_check_quotes", f"""WITH f AS (SELECT doc_id AS fact_id, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END AS doc, replace(substr(text, 11, 60), ' ', '  ') AS quote, replace(substr(text, 21, 8 + (doc_id % 2 * 60)::INT), ' ', '  ') AS v FROM documents)
+    SELECT fact_id, coalesce(contains({_SQ('d.text')}, {_SQ('quote')}), false) AS on_page, coalesce(contains(quote, v), false) AS stated FROM f LEFT JOIN documents d ON d.doc_id = f.doc""")
 def x10(spark, sf):
-    b, d = spark.read.parquet(f"{sf}/benchmark.parquet"), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text")
-    f = b.select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 25).alias("k"), F.substring("text", 5, 8).alias("value_text")).join(d.select("doc_id", "page", (F.col("doc_id") % 25).alias("k")), "k")
-    return docs.check_quotes(f.withColumn("fact_id", F.col("item_id") * 1000000 + F.col("doc_id")), d)
+    d = _pages(spark, sf)
+    at = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    wide = lambda c: F.replace(c, F.lit(" "), F.lit("  "))
+    v = wide(F.expr("substring(text, 21, cast(8 + doc_id % 2 * 60 as int))"))
+    f = d.select(F.col("doc_id").alias("fact_id"), at.alias("doc_id"), F.lit(1).alias("page"), wide(F.substring("text", 11, 60)).alias("quote"), v.alias("value_text"))
+    return docs.check_quotes(f, d)
 
 
 @query("x12_compare_reads", """WITH d AS (SELECT o_custkey % 100 AS t, o_orderkey AS r, 'row ' || o_orderkey % 30 AS head, floor(o_totalprice)::INT % 100 AS q, o_orderkey % 9 AS s FROM orders),
@@ -59,10 +73,10 @@ def x12(spark, sf):
     return docs.compare_reads(read(1, o.where(s != 1), F.col("q")).union(read(2, o.where(s != 3), F.col("q") + F.when(s == 2, 1).otherwise(0))))
 
 
-@query("x17_similar_rules", """WITH t AS (SELECT p_partkey AS r, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type || ' size ' || CASE WHEN p_size < 9 THEN 'small' ELSE 'other' || p_size END || ' ' || p_brand), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS t FROM part WHERE p_partkey % 4 = 0)
+@query("x17_similar_rules", """WITH t AS (SELECT p_partkey AS r, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type || ' size ' || CASE WHEN p_size < 9 THEN 'small' ELSE 'other' || p_size END || ' ' || p_brand), '[a-z0-9_]+'), lambda x: length(x) > 2)) AS t FROM part)
     SELECT a.r AS rule_id, b.r AS other, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) AS jaccard FROM t a JOIN t b ON a.r < b.r WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.75""")
 def x17(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 4 = 0")
+    p = spark.read.parquet(f"{sf}/part.parquet")
     t = F.concat_ws(" ", "p_name", "p_type", F.lit("size"), F.when(F.col("p_size") < 9, "small").otherwise(F.concat(F.lit("other"), F.col("p_size").cast("string"))), "p_brand")
     return docs.similar_rules(p.select(F.col("p_partkey").alias("rule_id"), t.alias("text"))).withColumn("jaccard", F.round("jaccard", 9))
 
@@ -74,20 +88,92 @@ def x5(spark, sf):
     return o.select("o_orderkey", text.range_of(F.regexp_replace(t, r"\$", "")).alias("r")).select("o_orderkey", "r.*")
 
 
-@query("x3_dates", """SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') || ',' || strftime((o_orderdate::DATE + 40)::DATE, '%Y-%m-%d') AS dates FROM orders""")
+@query("x3_dates", """SELECT o_orderkey, concat_ws(',', strftime((o_orderdate::DATE + 3)::DATE, '%Y-%m-%d'), strftime(o_orderdate::DATE, '%Y-%m-%d'), strftime((o_orderdate::DATE + 40)::DATE, '%Y-%m-%d'), CASE WHEN o_orderkey % 2 = 0 THEN strftime((o_orderdate::DATE + 9)::DATE, '%Y-%m-%d') ELSE strftime((o_orderdate::DATE + 10000)::DATE, '%Y-%m-%d') END) AS dates FROM orders""")
 def x3(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    t = F.concat(F.lit("As at "), F.date_format("d", "d MMMM yyyy"), F.lit(" and 31 Feb 2020, "), F.date_format(F.date_add("d", 40), "yyyy-MM-dd"), F.lit("; not 2020-13-01"))
-    return o.select("o_orderkey", F.array_join(F.transform(text.iso_dates(t), lambda x: x.cast("string")), ",").alias("dates"))
+    short = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(F.date_add("d", 9), "d/M/yyyy")).otherwise(F.date_format(F.date_add("d", 10000), "d/M/yy"))
+    t = F.concat(F.date_format(F.date_add("d", 3), "MMMM d, yyyy"), F.lit(" as at "), F.date_format("d", "d MMM yyyy"), F.lit(" and 31 Feb 2020, "), F.date_format(F.date_add("d", 40), "yyyy-MM-dd"), F.lit("; not 2020-13-01 but "), short, F.lit(" or 45/1/2020"))
+    return o.select("o_orderkey", F.array_join(F.transform(text.dates(t), lambda x: x.cast("string")), ",").alias("dates"))
 
 
-@query("x16_proper_nouns")
+@query("x4_figures", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat_ws(' ', printf('%.1f', a) || '|m|A$', printf('%.1f', a + 5) || '|bn|A$', '12.5||', '850.0||') WHEN 1 THEN concat_ws(' ', printf('%.1f', a * 1.0) || '||NZ$', printf('%.1f', o_orderkey * 1.0) || '|thousand|', '7.25||', '7.75||') ELSE concat_ws(' ', printf('%.1f', a) || '|k|€', '3.0||') END AS figures
+    FROM (SELECT o_orderkey, floor(o_totalprice / 100) / 2 AS a FROM orders)""")
+def x4(spark, sf):
+    a = F.floor(F.col("o_totalprice") / 100) / 2
+    n = lambda c: F.format_number(c, 1)
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    t = (
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("A$"), n(a), F.lit("m – A$"), n(a + 5), F.lit("bn at 30 June 2025, 12.5% less net debt - 850.0")))
+        .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("On 1/7/2024 NZ$"), n(a), F.lit(" of "), F.format_number("o_orderkey", 0), F.lit(" thousand at 7.25% - 7.75%")))
+        .otherwise(F.concat(F.lit("about €"), n(a), F.lit("k in 3 markets by 2023-05-06")))
+    )
+    show = lambda x: F.concat_ws("|", F.when(x["value"] == F.round(x["value"], 1), F.format_string("%.1f", x["value"])).otherwise(F.format_string("%.2f", x["value"])), F.coalesce(x["scale"], F.lit("")), F.coalesce(x["cur"], F.lit("")))
+    return o.select("o_orderkey", F.array_join(F.transform(text.figures(t), show), " ").alias("figures"))
+
+
+#: Labels of the example facts.
+_TERMS, _OTHER = {"rate": "discount rate", "equity": "equity value", "franking": "franking credits?"}, "net debt|enterprise value"
+
+
+@query("x11_check_labels", """SELECT o_orderkey AS fact_id, CASE o_orderkey % 6 WHEN 1 THEN 'net debt' WHEN 4 THEN 'enterprise value' END AS under, CASE o_orderkey % 6 WHEN 2 THEN 'scale' WHEN 3 THEN 'currency' END AS off FROM orders""")
+def x11(spark, sf):
+    k = F.col("o_orderkey")
+    v = F.concat(F.floor(F.col("o_totalprice") / 10).cast("string"), F.lit(".5"))
+    cases = [
+        (F.concat(F.lit("Equity value of A$"), v, F.lit("m and net debt of A$3.1m")), "A$%sm"),
+        (F.concat(F.lit("Net debt A$"), v, F.lit("m; equity value A$9.9m")), "A$%sm"),
+        (F.concat(F.lit("equity value A$"), v, F.lit("bn")), "A$%sm"),
+        (F.concat(F.lit("equity value NZ$"), v, F.lit("m")), "A$%sm"),
+        (F.concat(F.lit("discount rate 7%, enterprise value "), v, F.lit(" in total")), "%s"),
+        (F.concat(F.lit("The "), v, F.lit(" of equity value, franking credits 80%")), "%s"),
+    ]
+    quote, stated = F.coalesce(*[F.when(k % 6 == i, q) for i, (q, _) in enumerate(cases)]), F.coalesce(*[F.when(k % 6 == i, F.format_string(s, v)) for i, (_, s) in enumerate(cases)])
+    f = spark.read.parquet(f"{sf}/orders.parquet").select(k.alias("fact_id"), F.lit("equity").alias("key"), stated.alias("stated"), quote.alias("quote"))
+    return docs.check_labels(f, _TERMS, _OTHER)
+
+
+@query("x13_check_text_layer", """WITH o AS (SELECT o_custkey AS t, o_orderkey AS k, floor(o_totalprice / 1000)::BIGINT AS a, o_orderkey % 90 + 10 AS b FROM orders),
+    c AS (SELECT t, k, unnest([a, b])::VARCHAR AS x FROM o), l AS (SELECT t, k, unnest(CASE WHEN k % 7 = 0 THEN [a + 1, b] ELSE [a, b] END)::VARCHAR AS x FROM o),
+    n AS (SELECT coalesce(c.t, l.t) AS t, greatest(coalesce(c.n, 0) - coalesce(l.n, 0), 0) AS u, greatest(coalesce(l.n, 0) - coalesce(c.n, 0), 0) AS v FROM (SELECT t, x, count(*) AS n FROM c GROUP BY 1, 2) c FULL JOIN (SELECT t, x, count(*) AS n FROM l GROUP BY 1, 2) l ON c.t = l.t AND c.x = l.x),
+    w AS (SELECT t, count(*) FILTER (k % 6 = 0) AS lost FROM o GROUP BY 1),
+    z AS (SELECT o.t, o.k FROM o WHERE NOT EXISTS (FROM o p WHERE p.t = o.t AND list_position(CASE WHEN p.k % 5 = 0 THEN [p.b, CASE WHEN p.k % 7 = 0 THEN p.a + 1 ELSE p.a END] ELSE [CASE WHEN p.k % 7 = 0 THEN p.a + 1 ELSE p.a END, p.b] END, o.a) = 1 AND (CASE WHEN p.k % 5 = 0 THEN [p.b, CASE WHEN p.k % 7 = 0 THEN p.a + 1 ELSE p.a END] ELSE [CASE WHEN p.k % 7 = 0 THEN p.a + 1 ELSE p.a END, p.b] END)[2] = o.b)),
+    q AS (SELECT t, count(*) AS bad FROM z GROUP BY 1)
+    SELECT t AS table_id, sum(u)::BIGINT AS not_in_source, sum(v)::BIGINT AS not_read, any_value(lost)::BIGINT AS words_not_in_source, 0::BIGINT AS words_not_read, coalesce(any_value(bad), 0)::BIGINT AS rows_out_of_order, sum(u) + sum(v) + any_value(lost) + coalesce(any_value(bad), 0) = 0 AS ok FROM n JOIN w USING (t) LEFT JOIN q USING (t) GROUP BY 1""")
+def x13(spark, sf):
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("table_id"), k.alias("row_no"), F.floor(F.col("o_totalprice") / 1000).cast("string").alias("a"), (k % 90 + 10).cast("string").alias("b"), (F.floor(F.col("o_totalprice") / 1000) + F.when(k % 7 == 0, 1).otherwise(0)).cast("string").alias("c"))
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("col_no"), t.alias("text")) for i, t in enumerate((F.lit("Total revenue"), F.col("a"), F.col("b")))]))
+    r = F.col("row_no")
+    line = F.concat_ws(" ", F.when(r % 6 == 0, "Total").otherwise("Total revenue"), F.when(r % 5 == 0, F.col("b")).otherwise(F.col("c")), F.when(r % 5 == 0, F.col("c")).otherwise(F.col("b")))
+    return docs.check_text_layer(o.select("table_id", "row_no", cell.alias("x")).select("table_id", "row_no", "x.*"), o.select("table_id", F.col("row_no").alias("line_no"), line.alias("text")))
+
+
+_KINDS = {"gordon": r"(?i)perpetu|gordon", "multiple": r"(?i)exit multiple|ev/ebitda", "nil": r"(?i)no terminal"}
+
+
+@query("x15_terminal_method", """WITH s AS (SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END AS source, CASE o_orderkey % 9 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS k FROM orders), b AS (SELECT doc_id, min(struct_pack(source, k)) AS b FROM s WHERE k IS NOT NULL GROUP BY 1)
+    SELECT doc_id, ['gordon', 'multiple', 'nil'][b.k + 1] AS method FROM b""")
+def x15(spark, sf):
+    k = F.col("o_orderkey")
+    words = F.when(k % 9 == 0, "A growing perpetuity, and an exit multiple").when(k % 9 == 1, "An EV/EBITDA of 12x").when(k % 9 == 2, "There is no terminal value").otherwise("Nothing of it")
+    p = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.when(k % 4 == 0, 0).otherwise(1).alias("source"), words.alias("sentence"))
+    return docs.terminal_method(p, _KINDS)
+
+
+_W = "'[ \\t\\n\\f\\r\\x0B]+'"
+
+
+@query("x16_proper_nouns", f"""WITH w AS (SELECT doc_id, i, l[i] AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {_W}) AS l FROM documents))),
+    m AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS b, regexp_replace(w, '[^\\p{{L}}]', '', 'g') AS word FROM w)
+    SELECT doc_id, word, count(*)::BIGINT AS n FROM m WHERE b IS NOT NULL AND b <> '' AND NOT regexp_matches(b, '[.!?]$') AND regexp_matches(word, '^\\p{{Lu}}\\p{{Ll}}+$') AND NOT EXISTS (FROM m x WHERE x.doc_id = m.doc_id AND x.word = lower(m.word) AND regexp_matches(x.word, '^\\p{{Ll}}+$')) GROUP BY 1, 2""")
 def x16(spark, sf):
     return docs.proper_nouns(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
-@query("x9_select_pages")
+@query("x9_select_pages", """WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+    p AS (SELECT doc_id, (floor(i / 5) + 1)::INT AS page, string_agg(line, chr(10) ORDER BY i) AS t FROM l GROUP BY 1, 2), h AS (SELECT doc_id, page, length(t) AS chars, (len(regexp_extract_all(lower(t), 'the')) + len(regexp_extract_all(lower(t), 'ti')))::INT AS hits FROM p),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page > 3, hits DESC, page) AS k FROM h),
+    f AS (SELECT doc_id, 0::BIGINT AS k, 3000::BIGINT AS room, 0 AS page, 0 AS hits, false AS kept FROM (SELECT DISTINCT doc_id FROM o) UNION ALL SELECT o.doc_id, o.k, CASE WHEN chars <= room THEN room - chars ELSE room END, o.page, o.hits, chars <= room FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)
+    SELECT doc_id, page, hits FROM f WHERE kept""")
 def x9(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    p = d.withColumn("page", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).cast("int"))
-    return docs.select_pages(p.select((F.substring("source", 4, 9).cast("long")).alias("doc_id"), "page", "text"), ["the", "ti"], 20_000)
+    return docs.select_pages(docs.paged(spark.read.parquet(f"{sf}/documents.parquet"), 5), ["the", "ti"], 3000)

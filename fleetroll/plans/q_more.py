@@ -102,32 +102,149 @@ def j24(spark, sf):
     return match.balances(r, p, view(spark, sf, "series_now"), 12, check_at=0.03)
 
 
-@query("j29_file_keys", """SELECT o_orderkey AS id, 'model client' AS family, o_orderdate::DATE AS file_date FROM orders""")
+_NAMES = "CASE o_orderkey % 4 WHEN 0 THEN 'Model_v' || o_orderkey % 9 || '_' || strftime(o_orderdate, '%Y%m%d') || ' Client.xlsx' WHEN 1 THEN 'Toll road ' || strftime(o_orderdate, '%b-%y') || ' v' || o_orderkey % 5 || '.xlsm' WHEN 2 THEN 'Report FY' || strftime(o_orderdate, '%y') || '.pdf' ELSE 'Final model.xlsx' END"
+
+
+def _files(spark, sf):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    n = (
+        F.when(k % 4 == 0, F.concat(F.lit("Model_v"), (k % 9).cast("string"), F.lit("_"), F.date_format(d, "yyyyMMdd"), F.lit(" Client.xlsx")))
+        .when(k % 4 == 1, F.concat(F.lit("Toll road "), F.date_format(d, "MMM-yy"), F.lit(" v"), (k % 5).cast("string"), F.lit(".xlsm")))
+        .when(k % 4 == 2, F.concat(F.lit("Report FY"), F.date_format(d, "yy"), F.lit(".pdf")))
+        .otherwise("Final model.xlsx")
+    )
+    return match.file_keys(spark.read.parquet(f"{sf}/orders.parquet").select(k.alias("id"), F.col("o_custkey").alias("client"), n.alias("filename")))
+
+
+_J29 = f"""f AS (SELECT o_orderkey AS id, o_custkey AS client, {_NAMES} AS n, o_orderdate::DATE AS d FROM orders), k AS (SELECT id, client, CASE id % 4 WHEN 0 THEN 'model client' WHEN 1 THEN 'toll road' WHEN 2 THEN 'report' ELSE 'final model' END AS family, CASE id % 4 WHEN 0 THEN (id % 9)::INT WHEN 1 THEN (id % 5)::INT END AS version,
+    CASE id % 4 WHEN 0 THEN d WHEN 1 THEN last_day(make_date(2000 + year(d) % 100, month(d), 1)) WHEN 2 THEN make_date(2000 + year(d) % 100, 6, 30) END AS file_date FROM f)"""
+
+
+@query("j29_file_keys", f"WITH {_J29} SELECT id, family, version, file_date FROM k")
 def j29(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Model_v"), (F.col("o_orderkey") % 9).cast("string"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(" Client.xlsx")).alias("filename"))
-    return match.file_keys(o).select("id", "family", "file_date")
+    return _files(spark, sf).select("id", "family", "version", "file_date")
+
 
+@query("j29_same_period", f"WITH {_J29} SELECT a.client, a.family, a.id AS a, b.id AS b FROM k a JOIN k b USING (client, family) WHERE a.id < b.id AND abs(a.file_date - b.file_date) <= 120")
+def j29_same(spark, sf):
+    return match.same_period(_files(spark, sf))
 
-@query("c1_acknowledgements", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'acknowledged' WHEN 1 THEN 'lapsed' ELSE 'open' END AS status FROM orders""")
+
+@query("c1_acknowledgements", """WITH f AS (SELECT o_orderkey AS id, o_totalprice AS v, o_orderpriority AS p FROM orders), a AS (SELECT id, v * CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1.0000000001 ELSE 1.01 END AS w, CASE WHEN id % 5 = 0 THEN 'other' ELSE p END AS q FROM f WHERE id % 3 > 0),
+    s AS (SELECT f.id, v, p, w, q, floor(log10(abs(v))) AS e, floor(log10(abs(w))) AS g FROM f LEFT JOIN a USING (id)) SELECT id, CASE WHEN w IS NULL THEN 'open' WHEN p = q AND e = g AND round(v / pow(10, e - 5)) = round(w / pow(10, g - 5)) THEN 'acknowledged' ELSE 'lapsed' END AS status FROM s""")
 def c1(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
-    f = o.select(F.col("o_orderkey").alias("id"), checks.fingerprint(F.array("o_totalprice", F.lit(0.0), F.lit(12.5)), F.col("o_orderpriority")).alias("key"))
-    a = f.where("id % 3 = 0").select("id", F.col("key").alias("ack_key")).union(o.where("o_orderkey % 3 = 1").select("o_orderkey", checks.fingerprint(F.array(F.col("o_totalprice") * 1.1 + 1, F.lit(0.0), F.lit(12.5)), F.col("o_orderpriority"))))
-    return checks.apply_acks(f, a).select("id", "status")
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.col("o_orderpriority").alias("p"))
+    key = lambda v, p: checks.fingerprint(F.array(v, F.lit(0.0), F.lit(12.5)), p)
+    w = F.col("v") * F.when(F.col("id") % 4 == 0, 1.0).when(F.col("id") % 4 == 1, 1.0000000001).otherwise(1.01)
+    a = o.where("id % 3 > 0").select("id", key(w, F.when(F.col("id") % 5 == 0, "other").otherwise(F.col("p"))).alias("ack_key"))
+    return checks.apply_acks(o.select("id", key(F.col("v"), F.col("p")).alias("key")), a).select("id", "status")
 
 
-@query("r1_budget")
+_TS = "SELECT id, ts::TIMESTAMP AS ts, model, session_id, tokens FROM calls"
+
+
+@query("r1_budget", f"""{cte('calls')}, c AS ({_TS}), w AS (SELECT model, tokens, to_timestamp(floor(epoch(ts) / 5) * 5 - 5 * i)::TIMESTAMP AS start FROM c, range(12) r(i)), m AS (SELECT max(ts) AS m FROM c),
+    g AS (SELECT model, start, sum(tokens)::BIGINT AS tokens, count(*)::BIGINT AS calls FROM w GROUP BY 1, 2), l AS (SELECT * FROM (VALUES ('view', 20000, 3), ('click', 10000, 2)) v(model, tl, cl))
+    SELECT model, start, tokens, calls, coalesce(tokens > tl * 0.9 OR calls > cl * 0.9, false) AS over FROM g LEFT JOIN l USING (model), m WHERE start + INTERVAL 60 SECOND <= date_trunc('millisecond', m) - INTERVAL 2 MINUTE""")
 def r1(spark, sf):
-    """A minute's tokens every five seconds; its test holds the result against a batch."""
+    """A minute's tokens every five seconds: the windows that the watermark has closed."""
     limits = spark.createDataFrame([("view", 20000, 3), ("click", 10000, 2)], "model string, token_limit long, call_limit long")
     return drained(spark, jobs.budget(stream(spark, sf, "calls").withColumn("ts", F.col("ts").cast("timestamp")), limits))
 
 
-@query("r3_sessions")
+@query("r3_sessions", f"""{cte('calls')}, c AS ({_TS}), n AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, id) > INTERVAL 30 MINUTE, true) AS nw FROM c), s AS (SELECT *, sum(nw::INT) OVER (PARTITION BY session_id ORDER BY ts, id) AS k FROM n)
+    SELECT session_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*)::BIGINT AS calls, sum(tokens)::BIGINT AS tokens FROM s GROUP BY session_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM c) - INTERVAL 30 MINUTE""")
 def r3(spark, sf):
     return drained(spark, jobs.sessions(stream(spark, sf, "calls").withColumn("ts", F.col("ts").cast("timestamp"))))
 
 
-@query("r4_stage_durations")
+@query("r4_stage_durations", f"""{cte('runlog')}, e AS (SELECT id, "at"::TIMESTAMP AS t, engagement_id, stage, event FROM runlog), r AS (SELECT * FROM e WHERE event IN ('start', 'end', 'failed')), l AS (SELECT *, lag(event) OVER w AS be, lag(t) OVER w AS bt, lead(event) OVER w AS ne FROM r WINDOW w AS (PARTITION BY engagement_id, stage ORDER BY t, id))
+    SELECT engagement_id, stage, bt AS started, epoch_us(t) - epoch_us(bt) AS micros, 'done' AS status FROM l WHERE event = 'end' AND be = 'start'
+    UNION ALL SELECT engagement_id, stage, t, NULL, 'stuck' FROM l WHERE event = 'start' AND ne IS NULL AND epoch_ms(t) + 3600000 < (SELECT max(epoch_ms(t)) FROM e) - 600000""")
 def r4(spark, sf):
     return drained(spark, jobs.stage_durations(stream(spark, sf, "runlog").withColumn("at", F.col("at").cast("timestamp"))))
+
+
+@query("r5_dedup_files", f"{cte('calls')} SELECT DISTINCT md5(concat(session_id, '-', model)) AS sha256 FROM calls")
+def r5(spark, sf):
+    s = stream(spark, sf, "calls").select(F.md5(F.concat(F.col("session_id").cast("string"), F.lit("-"), "model")).alias("sha256"), F.col("ts").cast("timestamp").alias("uploaded_at"))
+    return drained(spark, jobs.dedup_files(s)).select("sha256")
+
+
+@query("r6_upsert_decisions", f"""{cte('calls')} SELECT concat('k', session_id) AS key, arg_max(model, struct_pack(p := id % 5 = 0, t := ts::TIMESTAMP, i := id)) AS value FROM calls GROUP BY 1""")
+def r6(spark, sf):
+    import uuid
+
+    from fleetroll.sources.tables import shared_dir
+
+    at = f"{shared_dir(spark)}/decisions-{uuid.uuid4().hex}"
+    s = stream(spark, sf, "calls").select("id", F.concat(F.lit("k"), F.col("session_id").cast("string")).alias("key"), F.col("model").alias("value"), F.col("ts").cast("timestamp").alias("at"), (F.col("id") % 5 == 0).alias("is_person"))
+    q = s.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(jobs.upsert_decisions(f"{at}/table")).start()
+    q.awaitTermination()
+    return jobs.current_decisions(spark, f"{at}/table").select("key", "value")
+
+
+@query("s1_load_tables", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s1(spark, sf):
+    from pyspark.sql.types import StructField, StructType
+
+    from fleetroll.sources.tables import load_tables
+
+    kinds = {f.name: f.dataType for t in ("nation", "region") for f in spark.read.parquet(f"{sf}/{t}.parquet").schema}
+    t = load_tables(spark, sf, {f"{n}.parquet": StructType([StructField(c, kinds[c]) for c in cols]) for n, cols in (("nation", ["n_name", "n_regionkey"]), ("region", ["r_regionkey", "r_name"]))})
+    return t["nation.parquet"].join(t["region.parquet"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("s2_read_log", "SELECT event_id AS id, user_id AS session_id, event_type AS model FROM events WHERE event_id % 10 <> 3")
+def s2(spark, sf):
+    import uuid
+
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from fleetroll.sources.tables import read_log, shared_dir
+
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("model"))
+    e.select(F.when(F.col("id") % 10 == 3, F.lit('{"id": 3, cut')).otherwise(F.to_json(F.struct("id", "session_id", "model")))).write.text(path)
+    return read_log(spark, path, StructType([StructField("id", LongType()), StructField("session_id", LongType()), StructField("model", StringType())]))
+
+
+@query("f4_selectors", """WITH r AS (SELECT p_partkey // 50 AS workbook_id, p_partkey % 50 + 1 AS row_no, CASE p_size % 4 WHEN 0 THEN 'Scenario switch' WHEN 1 THEN 'Case selected' WHEN 2 THEN 'Scenario cost' ELSE 'Revenue' END AS label, CASE WHEN p_size % 4 = 2 THEN '$m' ELSE '' END AS units FROM part),
+    c AS (SELECT p_partkey // 50 AS workbook_id, p_partkey % 50 + 1 AS row_no, k AS col, CASE WHEN k < p_size % 5 THEN CASE WHEN k = 0 THEN p_retailprice ELSE (p_size % 30) END END AS value, CASE WHEN p_size % 5 = 0 AND k = 1 THEN 'Base' END AS text, CASE WHEN p_size % 9 = 1 THEN 'f' END AS formula FROM part, (VALUES (0), (1), (2)) v(k)),
+    t AS (SELECT * FROM c SEMI JOIN (SELECT * FROM r WHERE regexp_matches(label, '(?i)scenario|case|switch|select') AND NOT regexp_matches(units, '[$€£]|%')) x USING (workbook_id, row_no) WHERE formula IS NULL AND row_no % 6 <> 0),
+    g AS (SELECT workbook_id, row_no, count(value) AS n, arg_min(value, col) FILTER (value = floor(value) AND value BETWEEN 0 AND 20) AS v, count(text) AS k, min(text) AS t FROM t GROUP BY 1, 2)
+    SELECT workbook_id, row_no, label, coalesce(v::INT::VARCHAR, CASE WHEN k = 1 AND length(g.t) <= 20 THEN g.t END) AS setting FROM g JOIN r USING (workbook_id, row_no) WHERE n <= 2 AND coalesce(v::INT::VARCHAR, CASE WHEN k = 1 AND length(g.t) <= 20 THEN g.t END) IS NOT NULL""")
+def f4(spark, sf):
+    from fleetroll.operators import cells
+
+    p = spark.read.parquet(f"{sf}/part.parquet").withColumns({"workbook_id": F.floor(F.col("p_partkey") / 50), "row_no": F.col("p_partkey") % 50 + 1})
+    z = F.col("p_size")
+    rows = p.select("workbook_id", "row_no", F.when(z % 4 == 0, "Scenario switch").when(z % 4 == 1, "Case selected").when(z % 4 == 2, "Scenario cost").otherwise("Revenue").alias("label"), F.when(z % 4 == 2, "$m").otherwise("").alias("units"))
+    k = p.withColumn("col", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    c = k.select("workbook_id", "row_no", "col", F.when(F.col("col") < z % 5, F.when(F.col("col") == 0, F.col("p_retailprice")).otherwise((z % 30).cast("double"))).alias("value"), F.when((z % 5 == 0) & (F.col("col") == 1), "Base").alias("text"), F.when(z % 9 == 1, "f").alias("formula"))
+    return cells.selectors(rows, c, p.where("row_no % 6 <> 0").select("workbook_id", F.col("row_no").alias("dst")))
+
+
+@query("j21_chain", f"""{cte('model_points')}, o AS (SELECT p_partkey AS overlay_row, (p_partkey * 7) % 2000 AS client_row FROM part WHERE p_size % 2 = 0), m AS (SELECT DISTINCT (p_partkey * 7) % 2000 AS client_row, (p_partkey * 7) % 2000 AS cur_row FROM part WHERE p_size % 3 > 0),
+    s AS (SELECT workbook_id * 50 + row_no - 1 AS cur_row, period_end, value FROM model_points), v AS (SELECT overlay_row, client_row, cur_row, period_end, value FROM o JOIN m USING (client_row) JOIN s USING (cur_row) QUALIFY row_number() OVER (PARTITION BY overlay_row, client_row, cur_row ORDER BY period_end) <= 3)
+    SELECT overlay_row, client_row, cur_row, round(sum(value), 4) AS total, count(*)::INT AS n FROM v GROUP BY 1, 2, 3""")
+def j21(spark, sf):
+    from fleetroll.operators import cells
+
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    client = ((F.col("p_partkey") * 7) % 2000).alias("client_row")
+    s = view(spark, sf, "model_points").select((F.col("workbook_id") * 50 + F.col("row_no") - 1).alias("row"), "period_end", "value")
+    out = cells.chain(p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("overlay_row"), client), p.where("p_size % 3 > 0").select(client, ((F.col("p_partkey") * 7) % 2000).alias("cur_row")).distinct(), s)
+    v = F.transform(F.split("first_values", "\\|"), lambda x: x.cast("double"))
+    return out.select("overlay_row", "client_row", "cur_row", F.round(F.aggregate(v, F.lit(0.0), lambda a, b: a + b), 4).alias("total"), F.size(v).alias("n"))
+
+
+@query("v27_source_rate", """WITH r AS (SELECT c_custkey AS core_id, 0.05 + c_custkey % 7 * 0.01 AS rate FROM customer), x AS (SELECT o_custkey AS core_id, concat('c', o_orderkey % 5) AS cell, CASE WHEN o_orderkey % 2 = 0 THEN 'first' ELSE 'last' END AS walk, 0.05 + o_custkey % 7 * 0.01 + CASE WHEN o_orderkey % 5 = 3 THEN 0.001 ELSE 0 END AS value, o_orderkey % 5 < 2 AS f, o_orderkey % 4 AS depth FROM orders),
+    g AS (SELECT core_id, cell, max(f::INT) AS f, min(depth) AS depth FROM x JOIN r USING (core_id) WHERE abs(value - rate) <= 1e-9 GROUP BY 1, 2 HAVING count(DISTINCT walk) = 2) SELECT core_id, cell FROM g QUALIFY row_number() OVER (PARTITION BY core_id ORDER BY f, depth, cell) = 1""")
+def v27(spark, sf):
+    from fleetroll.operators import cells
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x = spark.read.parquet(f"{sf}/orders.parquet").select(c.alias("core_id"), F.concat(F.lit("c"), (k % 5).cast("string")).alias("cell"), F.when(k % 2 == 0, "first").otherwise("last").alias("walk"), (0.05 + c % 7 * 0.01 + F.when(k % 5 == 3, 0.001).otherwise(0.0)).alias("value"), (k % 5 < 2).alias("is_formula"), (k % 4).alias("depth"))
+    r = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("core_id"), (0.05 + F.col("c_custkey") % 7 * 0.01).alias("rate"))
+    return cells.source_rate(x, r)

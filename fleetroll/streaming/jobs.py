@@ -84,32 +84,49 @@ def cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return calls.join(prices, "model", "left").withColumn("cost", F.col("tokens") * F.col("price") / 1e6)
 
 
-def upsert_decisions(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the latest decision of each key.
+def upsert_decisions(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the decision that holds for each key: a person's before an agent's, then the latest.
 
-    A batch is joined with the current version, written to a folder of its own, and then named as current by a row in
-    ``path/versions``; a reader takes the newest row, so it sees a whole version or the one before.  A batch that is
-    run again names its own version again.
+    Keys are dealt into buckets.  A batch is joined with the current rows of the buckets it touches, and these are
+    written to a folder of its own and then named as current by rows in ``path/versions``; a reader takes the newest
+    row of every bucket, so it sees a whole version of it or the one before.  A batch that is run again names its own
+    version again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = current_decisions(spark, path, before=number)
-        both = batch if now is None else batch.unionByName(now)
-        latest = both.groupBy("key").agg(F.max_by(F.struct(*[c for c in both.columns if c != "key"]), F.struct("at", "id")).alias("d")).select("key", "d.*")
+        b = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in b.select("bucket").distinct().collect()]
+        now = _current(spark, path, number, touched)
+        both = b if now is None else b.unionByName(now)
+        order = F.struct("is_person", "at", "id")
+        held = both.groupBy("bucket", "key").agg(F.max_by(F.struct(*[c for c in both.columns if c not in ("key", "bucket")]), order).alias("d")).select("bucket", "key", "d.*")
         folder = f"{path}/data/{number}-{uuid.uuid4().hex}"
-        latest.select(*batch.columns).write.parquet(folder)
-        spark.createDataFrame([(number, folder)], "number long, folder string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        held.write.partitionBy("bucket").parquet(folder)
+        if touched:
+            spark.createDataFrame([(number, k, folder) for k in touched], "number long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        b.unpersist()
 
     return run
 
 
-def current_decisions(spark, path: str, before: int | None = None) -> DataFrame | None:
+def _current(spark, path: str, before: int | None, buckets: list[int] | None) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
-        v = spark.read.schema("number long, folder string").parquet(f"{path}/versions")
-        row = (v if before is None else v.where(F.col("number") < before)).orderBy(F.col("number").desc(), F.col("folder")).first()
+        v = spark.read.schema("number long, bucket int, folder string").parquet(f"{path}/versions")
+        v = v if before is None else v.where(F.col("number") < before)
+        rows = v.groupBy("bucket").agg(F.max(F.struct("number", "folder")).alias("v")).collect()
     except AnalysisException:
         return None
-    return None if row is None else spark.read.parquet(row["folder"])
+    wanted = [(r["bucket"], r["v"]["folder"]) for r in rows if buckets is None or r["bucket"] in buckets]
+    out = None
+    for k, folder in wanted:
+        d = spark.read.parquet(f"{folder}/bucket={k}").withColumn("bucket", F.lit(k))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def current_decisions(spark, path: str) -> DataFrame | None:
+    d = _current(spark, path, None, None)
+    return None if d is None else d.drop("bucket")

@@ -44,11 +44,13 @@ def test_dedup_keeps_one_of_a_hash(spark):
 def test_upsert_keeps_the_latest_decision(spark):
     path = f"{shared_dir(spark)}/decisions-{pd.Timestamp.now().value}"
     put = jobs.upsert_decisions(path)
-    frame = lambda rows: spark.createDataFrame(rows, "id long, key string, value string, at timestamp")
-    put(frame([(1, "x", "a", T0), (2, "y", "b", T0)]), 0)
-    put(frame([(3, "x", "c", T0 + timedelta(days=1)), (4, "y", "old", T0 - timedelta(days=1))]), 1)
-    put(frame([(3, "x", "c", T0 + timedelta(days=1)), (4, "y", "old", T0 - timedelta(days=1))]), 1)  # a batch run again
-    assert {r["key"]: r["value"] for r in jobs.current_decisions(spark, path).collect()} == {"x": "c", "y": "b"}
+    frame = lambda rows: spark.createDataFrame(rows, "id long, key string, value string, at timestamp, is_person boolean")
+    put(frame([(1, "x", "a", T0, False), (2, "y", "b", T0, False), (9, "z", "person", T0, True)]), 0)
+    second = frame([(3, "x", "c", T0 + timedelta(days=1), False), (4, "y", "old", T0 - timedelta(days=1), False), (5, "z", "agent", T0 + timedelta(days=2), False)])
+    put(second, 1)
+    put(second, 1)  # a batch run again
+    put(frame([(6, "w", "new", T0, True)]), 2)
+    assert {r["key"]: r["value"] for r in jobs.current_decisions(spark, path).collect()} == {"w": "new", "x": "c", "y": "b", "z": "person"}
 
 
 def test_fit_factors_reads_parameters_back(spark, sf):
