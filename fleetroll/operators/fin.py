@@ -13,11 +13,29 @@ TIMINGS = ["end", "mid", "mid-year"]
 DAY_COUNTS = ["actual/actual", "actual/365"]
 
 
-def _fraction(to: Column) -> Column:
-    day_count = F.col("day_count")
+def _fraction(to: Column, day_count: Column) -> Column:
     return F.when(day_count == "actual/365", yearfrac(F.col("valuation_date"), to, 3)).otherwise(yearfrac(F.col("valuation_date"), to, 1))
 
 
+def _years(timing: Column, day_count: Column) -> Column:
+    """Years to which a period is discounted; ``_start`` is the period's start, not before the valuation date."""
+    middle = F.date_add("_start", F.floor(F.date_diff("period_end", "_start") / 2).cast("int"))
+    return F.when(timing == "mid", _fraction(middle, day_count)).when(timing == "mid-year", _fraction(F.col("period_end"), day_count) - 0.5).otherwise(_fraction(F.col("period_end"), day_count))
+
+
+def _started(flows: DataFrame, discountings: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Flows with their discounting's parameters, the start of each period, and ``_off``: before the date or after the end."""
+    j = flows.join(discountings, "core_id")
+    w = Window.partitionBy("core_id", *extra).orderBy("period_end")
+    start = F.coalesce(F.date_add(F.lag("period_end").over(w), 1), F.date_sub("period_end", 90))
+    off = (F.col("period_end") <= F.col("valuation_date")) | (F.col("period_end") > F.coalesce("terminal_date", F.lit("9999-12-31").cast("date")))
+    return j.withColumn("_start", F.greatest(start, "valuation_date")).withColumn("_off", off)
+
+
+def _rate(r: Column) -> Column:
+    return F.when(r >= 1, r / 100).otherwise(r)
+
+
 def factors(flows: DataFrame, discountings: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """``flows(core_id, period_end, ...)`` with their discounting's parameters and ``factor``.
 
@@ -25,15 +43,9 @@ def factors(flows: DataFrame, discountings: DataFrame, extra: tuple[str, ...] =
     starts a day after the previous end (the first: 90 days before its end) and not before the valuation date;
     'mid-year' takes half a year off.  ``extra`` names parameters that set apart discountings of one core.
     """
-    j = flows.join(discountings, "core_id")
-    w = Window.partitionBy("core_id", *extra).orderBy("period_end")
-    start = F.coalesce(F.date_add(F.lag("period_end").over(w), 1), F.date_sub("period_end", 90))
-    j = j.withColumn("_start", F.greatest(start, "valuation_date"))
-    middle = F.date_add("_start", F.floor(F.date_diff("period_end", "_start") / 2).cast("int"))
-    t = F.when(F.col("timing") == "mid", _fraction(middle)).when(F.col("timing") == "mid-year", _fraction(F.col("period_end")) - 0.5).otherwise(_fraction(F.col("period_end")))
-    off = (F.col("period_end") <= F.col("valuation_date")) | (F.col("period_end") > F.coalesce("terminal_date", F.lit("9999-12-31").cast("date")))
-    rate = F.when(F.col("rate") >= 1, F.col("rate") / 100).otherwise(F.col("rate"))
-    return j.withColumn("factor", F.when(off, F.lit(0.0)).otherwise(1 / F.pow(1 + rate, t))).drop("_start")
+    j = _started(flows, discountings, extra)
+    t = _years(F.col("timing"), F.col("day_count"))
+    return j.withColumn("factor", F.when(F.col("_off"), F.lit(0.0)).otherwise(1 / F.pow(1 + _rate(F.col("rate")), t))).drop("_start", "_off")
 
 
 def dcf(flows: DataFrame, discountings: DataFrame, adjustments: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -55,22 +67,30 @@ def dcf(flows: DataFrame, discountings: DataFrame, adjustments: DataFrame | None
 
 
 def fit_convention(flows: DataFrame, discountings: DataFrame, target: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """The first timing and day count that give ``target(core_id, pv)``; the first tried if none does. Six for each core."""
-    spark = flows.sparkSession
-    combos = spark.createDataFrame([(i * 2 + k, t, d) for i, t in enumerate(TIMINGS) for k, d in enumerate(DAY_COUNTS)], "combo int, timing string, day_count string")
-    d = discountings.drop("timing", "day_count").crossJoin(F.broadcast(combos))
-    pv = dcf(flows, d, extra=("combo", "timing", "day_count")).select("core_id", "combo", "timing", "day_count", "pv")
-    t = pv.join(target.withColumnRenamed("pv", "target"), "core_id")
-    exact = F.abs(F.col("pv") - F.col("target")) <= tol * F.greatest(F.lit(1.0), F.abs("target"))
-    w = Window.partitionBy("core_id").orderBy(F.when(exact, 0).otherwise(1), "combo")
-    return t.withColumn("exact", exact).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "combo")
+    """The first timing and day count that give ``target(core_id, pv)``; the first tried if none does. Six for each core.
+
+    The six factors of a cash flow are worked out side by side, so flows aren't multiplied and one aggregation gives all
+    six values.
+    """
+    combos = [(t, d) for t in TIMINGS for d in DAY_COUNTS]
+    j = _started(flows.where("period_end is not null"), discountings.drop("timing", "day_count"))
+    j = j.where("not _off").withColumn("_middle", F.date_add("_start", F.floor(F.date_diff("period_end", "_start") / 2).cast("int")))
+    j = j.select("core_id", "cf", (1 + _rate(F.col("rate"))).alias("_g"), *[_fraction(F.col(c), F.lit(d)).alias(f"{c}{k}") for c in ("period_end", "_middle") for k, d in enumerate(DAY_COUNTS)])
+    years = {"end": lambda k: F.col(f"period_end{k}"), "mid": lambda k: F.col(f"_middle{k}"), "mid-year": lambda k: F.col(f"period_end{k}") - 0.5}
+    pv = lambda t, d: F.sum(F.col("cf") / F.pow(F.col("_g"), years[t](DAY_COUNTS.index(d))))
+    g = discountings.select("core_id").join(j.groupBy("core_id").agg(*[pv(t, d).alias(f"pv{i}") for i, (t, d) in enumerate(combos)]), "core_id", "left").na.fill(0.0).join(target.withColumnRenamed("pv", "target"), "core_id")
+    exact = lambda v: F.abs(v - F.col("target")) <= tol * F.greatest(F.lit(1.0), F.abs("target"))
+    tried = F.array(*[F.struct(F.lit(t).alias("timing"), F.lit(d).alias("day_count"), F.col(f"pv{i}").alias("pv"), exact(F.col(f"pv{i}")).alias("exact")) for i, (t, d) in enumerate(combos)])
+    g = g.withColumn("_t", tried).withColumn("_b", F.coalesce(F.get(F.filter("_t", lambda x: x["exact"]), F.lit(0)), F.get("_t", F.lit(0))))
+    return g.select("core_id", "_b.*", "target")
 
 
 def sensitivity(flows: DataFrame, discountings: DataFrame, shifts: list[float] = [-0.01, 0.0, 0.01]) -> DataFrame:
-    """PV at shifted rates, the cash flows fixed."""
-    s = flows.sparkSession.createDataFrame([(x,) for x in shifts], "shift double")
-    d = discountings.crossJoin(F.broadcast(s)).withColumn("rate", F.col("rate") + F.col("shift"))
-    return dcf(flows, d, extra=("shift",)).select("core_id", "shift", "pv")
+    """PV at shifted rates, the cash flows fixed: the years of a flow are worked out once, and its value at every rate."""
+    j = _started(flows.where("period_end is not null"), discountings).withColumn("_years", _years(F.col("timing"), F.col("day_count")))
+    pv = lambda x: F.sum(F.when(~F.col("_off"), F.col("cf") / F.pow(1 + _rate(F.col("rate") + x), F.col("_years"))).otherwise(0.0))
+    g = j.groupBy("core_id").agg(*[pv(x).alias(f"pv{i}") for i, x in enumerate(shifts)])
+    return g.select("core_id", F.explode(F.array(*[F.struct(F.lit(x).alias("shift"), F.col(f"pv{i}").alias("pv")) for i, x in enumerate(shifts)])).alias("s")).select("core_id", "s.*")
 
 
 def npv(flows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -116,14 +136,19 @@ def rate_of(cf: np.ndarray, t: np.ndarray, guess: float = 0.1) -> float:
 
 
 def irr(flows: DataFrame, dated: bool = False) -> DataFrame:
-    """irr per core: by period number, or by days/365 from the first date if ``dated``. Null without both signs."""
+    """irr per core: by period number, or by days/365 from the first date if ``dated``. Null without both signs.
+
+    A core's flows meet in one row, as an array in period order; a batch of cores goes through Python at once.
+    """
+    g = flows.groupBy("core_id").agg(F.array_sort(F.collect_list(F.struct("period_end", "cf"))).alias("f"))
+    days = F.transform("f", lambda x: F.date_diff(x["period_end"], F.get("f", F.lit(0))["period_end"]) / F.lit(365.0))
+    t = days if dated else F.transform("f", lambda x, i: i.cast("double"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("period_end")
-        t = (pd.to_datetime(rows["period_end"]) - pd.to_datetime(rows["period_end"].iloc[0])).dt.days.to_numpy() / 365.0 if dated else np.arange(len(rows), dtype=float)
-        return pd.DataFrame({"core_id": [key[0]], "irr": [rate_of(rows["cf"].to_numpy(), t)]})
+    @F.pandas_udf("double")
+    def solved(cf: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([rate_of(np.asarray(c), np.asarray(x)) for c, x in zip(cf, t)])
 
-    out = flows.select("core_id", "period_end", "cf").groupBy("core_id").applyInPandas(run, "core_id long, irr double")
+    out = g.select("core_id", solved(F.transform("f", lambda x: x["cf"]), t).alias("irr"))
     return out.withColumn("irr", F.nanvl("irr", F.lit(None)))
 
 

@@ -36,13 +36,25 @@ def periodicity(dates: DataFrame, by: list[str]) -> DataFrame:
 
 
 def row_kinds(s: DataFrame, by: list[str], least: int = 4) -> DataFrame:
-    """What a row of numbers is: figure, flags, share, factors, index, ratio or series, in that order."""
+    """What a row is, by its cells: the first that holds of dates, text, empty, figure, subtotal, flags, share, factors, index, ratio, series, inputs.
+
+    ``s(*by, period_end, value)`` and, where it has them, ``text``, ``date``, ``formula`` (R1C1); a row of formulas is a
+    series, one of typed figures inputs.  Without formulas all rows of figures are series.
+    """
+    have = set(s.columns)
+    s = s.withColumns({c: F.lit(None).cast(t) for c, t in (("text", "string"), ("date", "date")) if c not in have})
+    typed = "formula" in have
+    s = s if typed else s.withColumn("formula", F.lit("="))
     v, at = F.col("value"), Window.partitionBy(*by).orderBy("period_end")
     nz = F.when(v != 0, v)
     before = F.last(nz, ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1))
     d = s.withColumn("_b", before).withColumn("_step", F.when((v != 0) & (F.col("_b") != 0), v / F.col("_b")))
     a = d.groupBy(*by).agg(
         F.count(v).alias("n"),
+        F.count("text").alias("texts"),
+        F.count("date").alias("dates"),
+        F.count_if(F.col("formula").isNotNull() & v.isNotNull()).alias("formulas"),
+        F.min_by("formula", F.when(F.col("formula").isNotNull(), F.col("period_end"))).alias("first_formula"),
         F.count(nz).alias("n_nz"),
         F.every(v.isin(0.0, 1.0)).alias("only01"),
         F.max(v).alias("hi"),
@@ -61,17 +73,38 @@ def row_kinds(s: DataFrame, by: list[str], least: int = 4) -> DataFrame:
     c = F.col
     long = c("n") >= least
     kind = (
-        F.when(c("n") == 1, "figure")
+        F.when((c("dates") >= least) & (c("dates") >= c("n")), "dates")
+        .when(c("n") == 0, F.when(c("texts") > 0, "text").otherwise("empty"))
+        .when(c("n") == 1, "figure")
+        .when(c("first_formula").rlike(r"SUM\(R\[-\d+\]C(?:\[\d+\])?:R\[-1\]C|^=?\s*R\[-\d+\]C(?:\s*[+-]\s*R\[-\d+\]C){2,}"), "subtotal")
         .when(long & c("only01") & (c("hi") == 1), "flags")
         .when(long & (c("values") == 1) & (c("lo") > 0) & (c("hi") < 1), "share")
         .when(long & (c("n_nz") >= least) & (c("lo_nz") > 0) & (c("hi_nz") <= 1) & (c("first_nz") > 0.5) & c("falling") & (c("last_nz") < c("first_nz")), "factors")
         .when(long & (c("n_nz") >= 4) & c("first_nz").between(0.5, 2) & (c("lo_nz") > 0) & (c("lo_step") >= 0.995) & (c("hi_step") <= 1.2) & (c("dev") < 0.01), "index")
         .when(long & (c("abs_nz") < 1), "ratio")
-        .otherwise("series")
+        .when(c("formulas") >= F.greatest(F.lit(1), c("n") - c("formulas")), "series")
+        .otherwise("inputs")
     )
     return a.select(*by, kind.alias("kind"))
 
 
+def text_columns(texts: DataFrame, timelines: DataFrame, scan: int = 8) -> DataFrame:
+    """The label and the units column of each sheet: (workbook_id, sheet, label_col, units_col).
+
+    ``texts(workbook_id, sheet, row_no, col, text)``; columns left of the timeline count, or the ``scan`` first of a sheet
+    without one.  Label: most texts times their mean length, which counts up to 20 (the first on a tie).  Units: right of
+    it, a fifth as many texts at least, of 12 characters on average at most, of which at most .6 are distinct: the most.
+    """
+    sheet = ["workbook_id", "sheet"]
+    first = texts.groupBy(*sheet).agg(F.min("col").alias("_first"))
+    t = texts.join(timelines.select(*sheet, "tl_first"), sheet, "left").join(first, sheet).where(F.col("col") < F.coalesce("tl_first", F.col("_first") + scan))
+    c = t.where("trim(text) <> ''").groupBy(*sheet, "col").agg(F.count("*").alias("n"), F.avg(F.length(F.trim("text"))).alias("len"), (F.count_distinct(F.trim("text")) / F.count("*")).alias("distinct"))
+    label = c.groupBy(*sheet).agg(F.max_by(F.struct("col", "n"), F.struct(F.round(F.col("n") * F.least("len", F.lit(20.0)), 9), -F.col("col"))).alias("l")).select(*sheet, F.col("l.col").alias("label_col"), F.col("l.n").alias("_n"))
+    u = c.join(label, sheet).where("col > label_col and n >= 0.2 * _n and len <= 12 and `distinct` <= 0.6")
+    units = u.groupBy(*sheet).agg(F.max_by("col", F.struct("n", -F.col("col"))).alias("units_col"))
+    return label.join(units, sheet, "left").select(*sheet, "label_col", "units_col")
+
+
 def blocks(rows: DataFrame, by: list[str], gap: int = 2) -> DataFrame:
     """Line items under one section with at most one blank row between them: first, last, count, labels in order."""
     w = Window.partitionBy(*by).orderBy("row_no")

@@ -13,6 +13,33 @@ def split(factored: DataFrame, terminal: Column) -> DataFrame:
     return g.withColumn("terminal_share", F.when(F.col("forecast") + F.col("terminal") != 0, F.col("terminal") / (F.col("forecast") + F.col("terminal"))))
 
 
+#: Labels of streams of franking credits.
+FRANKING = r"(?i)frank|imputation|gamma"
+
+
+def split_value(streams: DataFrame) -> DataFrame:
+    """The parts of a value: forecast, terminal, franking and other PV per engagement, and their shares of the whole.
+
+    ``streams(engagement_id, core_id, label, period_end, cf, tv, factor)`` hold all discountings of a value.  Of those not
+    labelled as franking the main one is that of the largest PV; its terminal value, and all of another one of a single
+    live period with a terminal value, are terminal; the rest of the main one is the forecast, all else is other.
+    """
+    key = ["engagement_id", "core_id"]
+    live = F.col("factor") != 0
+    g = streams.groupBy(*key).agg(F.max(F.coalesce(F.col("label").rlike(FRANKING), F.lit(False))).alias("frank"), F.sum(F.col("cf") * F.col("factor")).alias("pv"), F.sum(F.col("tv") * F.col("factor")).alias("tv"), F.count_if(live & ((F.col("cf") != 0) | (F.col("tv") != 0))).alias("periods"))
+    w = Window.partitionBy("engagement_id").orderBy("frank", F.abs("pv").desc(), "core_id")
+    g = g.withColumn("main", (F.row_number().over(w) == 1) & ~F.col("frank"))
+    part = {
+        "forecast": F.when(F.col("main"), F.col("pv") - F.col("tv")),
+        "terminal": F.when(F.col("main"), F.col("tv")).when(~F.col("frank") & (F.col("periods") == 1) & (F.col("tv") != 0), F.col("pv")),
+        "franking": F.when(F.col("frank"), F.col("pv")),
+        "other": F.when(~F.col("main") & ~F.col("frank") & ~((F.col("periods") == 1) & (F.col("tv") != 0)), F.col("pv")),
+    }
+    v = g.groupBy("engagement_id").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in part.items()])
+    total = sum((F.col(n) for n in list(part)[1:]), F.col("forecast"))
+    return v.withColumn("total", total).withColumns({f"{n}_share": F.when(total != 0, F.col(n) / total) for n in part})
+
+
 def reconcile(parts: DataFrame, scales: list[float] = [1.0, 1e-3, 1e-6, 1e3], tol: float = 0.005) -> DataFrame:
     """The scale at which most of a group's computed parts tie to the reported ones; the first on a tie."""
     s = parts.sparkSession.createDataFrame(list(enumerate(scales)), "scale_no int, scale double")
@@ -30,6 +57,41 @@ def bridge(points: DataFrame, steps: list[str], by: list[str]) -> DataFrame:
     return p.withColumn("change", F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)))
 
 
+#: The steps of a roll-forward bridge, in order; the first, fourth and last are totals.
+STEPS = ["report", "rounding", "prior_feed", "rebuilt", "time", "cash", "forecast", "held", "rate", "this_year"]
+TOTALS = ["report", "rebuilt", "this_year"]
+ROLL = ["time", "cash", "forecast"]
+
+
+def bridges(ends: DataFrame, mids: DataFrame) -> DataFrame:
+    """The bridge of an engagement from last year's report to this year, low, mid and high: (engagement_id, end, step_no, step, value).
+
+    ``ends(engagement_id, end, report, saved, rebuilt, at_time, at_cash, before, at_rate, this_year, held)`` of low and high
+    are values as far as they are known: the saved one, rebuilt, moved in time, without the cash of the year, on this
+    year's forecast, with this year's held inputs, and at this year's rate.  Steps are differences; where the value is
+    held the bridge stops at rebuilt.  An end whose time and cash aren't known has its roll-forward as one step, and then
+    so has the other.  Mid is the average, step by step; its report is ``mids(engagement_id, mid)``.
+    """
+    d = lambda a, b: F.col(a) - F.col(b)
+    go = ~F.col("held") & F.col("this_year").isNotNull() & F.col("rebuilt").isNotNull()
+    split = F.col("at_time").isNotNull() & F.col("at_cash").isNotNull()
+    step = lambda n, v, when=F.lit(True): F.when(when & v.isNotNull(), F.struct(F.lit(n).alias("step"), v.alias("value")))
+    w = Window.partitionBy("engagement_id")
+    e = ends.withColumn("_split", F.min(split).over(w))
+    steps = F.array_compact(
+        F.array(
+            step("report", F.col("report")), step("rounding", d("saved", "report")), step("prior_feed", d("rebuilt", "saved")), step("rebuilt", F.col("rebuilt")),
+            step("time", d("at_time", "rebuilt"), go & F.col("_split")), step("cash", d("at_cash", "at_time"), go & F.col("_split")), step("forecast", d("before", "at_cash"), go & F.col("_split")), step("roll", d("before", "rebuilt"), go & ~F.col("_split")),
+            step("held", d("at_rate", "before"), go & (F.col("at_rate") != F.col("before"))), step("rate", d("this_year", "at_rate"), go), step("this_year", F.col("this_year"), go),
+        )
+    )
+    s = e.select("engagement_id", "end", F.explode(steps).alias("s")).select("engagement_id", "end", "s.*")
+    mid = s.groupBy("engagement_id", "step").agg(F.count("*").alias("n"), F.avg("value").alias("value")).where("n = 2")
+    mid = mid.join(mids, "engagement_id", "left").select("engagement_id", F.lit("mid").alias("end"), "step", F.when(F.col("step") == "report", F.coalesce("mid", "value")).otherwise(F.col("value")).alias("value"))
+    order = F.array(*[F.lit(x) for x in [*STEPS[:4], "roll", *STEPS[4:]]])
+    return s.union(mid).select("engagement_id", "end", F.array_position(order, F.col("step")).cast("int").alias("step_no"), "step", "value")
+
+
 def waterfall(steps: DataFrame, by: list[str]) -> DataFrame:
     """Bars of a bridge: running value after each step, base, up and down; a total starts the run anew."""
     w = Window.partitionBy(*by).orderBy("step_no")
@@ -39,13 +101,27 @@ def waterfall(steps: DataFrame, by: list[str]) -> DataFrame:
     return d.select(*steps.columns, "after", F.least("_before", "after").alias("base"), F.greatest(F.col("after") - F.col("_before"), F.lit(0.0)).alias("up"), F.greatest(F.col("_before") - F.col("after"), F.lit(0.0)).alias("down"))
 
 
-def split_step(rolled: DataFrame, this: DataFrame, factor: DataFrame) -> DataFrame:
-    """The forecast step by period: revised, added and dropped cash flows at this year's factors."""
+def split_step(rolled: DataFrame, this: DataFrame, factor: DataFrame, values: DataFrame | None = None, check_at: float = 0.005, block_at: float = 0.02) -> DataFrame:
+    """The forecast step by period: revised, added, dropped and terminal cash flows at this year's factors.
+
+    Feeds are ``(core_id, period_end, cf, tv)``, tv being the part of cf that is terminal value (none without the column).
+    With ``values(core_id, step, balances, reference)`` also ``outside``: what of the step neither the cash flows nor the
+    balances explain, and ``finding``: block or check by its share of the reference, or 'opposite' where the cash flows
+    move the other way.
+    """
     key = ["core_id", "period_end"]
-    j = rolled.select(*key, F.col("cf").alias("r")).join(this.select(*key, F.col("cf").alias("t")), key, "full").join(factor.select(*key, "factor"), key)
+    side = lambda d, n: d.select(*key, F.col("cf").alias(n), (F.col("tv") if "tv" in d.columns else F.lit(0.0)).alias(f"{n}tv"))
+    j = side(rolled, "r").join(side(this, "t"), key, "full").join(factor.select(*key, "factor"), key)
     part = lambda cond, v: F.sum(F.when(cond, v * F.col("factor")).otherwise(0.0))
-    r, t = F.col("r"), F.col("t")
-    return j.groupBy("core_id").agg(part(r.isNotNull() & t.isNotNull(), t - r).alias("revised"), part(r.isNull(), t).alias("added"), part(t.isNull(), -r).alias("dropped"))
+    has_r, has_t, z = F.col("r").isNotNull(), F.col("t").isNotNull(), F.lit(0.0)
+    r, t, rtv, ttv = F.col("r") - F.col("rtv"), F.col("t") - F.col("ttv"), F.coalesce("rtv", z), F.coalesce("ttv", z)
+    g = j.groupBy("core_id").agg(part(has_r & has_t, t - r).alias("revised"), part(~has_r, t).alias("added"), part(~has_t, -r).alias("dropped"), part(F.lit(True), ttv - rtv).alias("terminal"))
+    if values is None:
+        return g
+    cash = F.col("revised") + F.col("added") + F.col("dropped") + F.col("terminal")
+    v = g.join(values, "core_id").withColumn("outside", F.col("step") - cash - F.col("balances"))
+    share, moves = F.abs("outside") / F.abs("reference"), F.abs(cash) / F.abs("reference") > 0.001
+    return v.withColumn("finding", F.when(share > block_at, "block").when(share > check_at, "check").when(moves & (F.col("step") * cash < 0), "opposite").otherwise("ok"))
 
 
 def time_check(a: DataFrame, b: DataFrame, years: float) -> DataFrame:
@@ -148,6 +224,34 @@ def roll_months(prior: DataFrame, current: DataFrame) -> DataFrame:
     return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def roll_plan(dates: DataFrame, prior: DataFrame, current: DataFrame, most: int = 24, sheets: int = 5) -> DataFrame:
+    """How far each engagement rolls, and how that is known: (workbook_id, months, how, new_date).
+
+    ``dates(workbook_id, overlay_date, prior_date, current_date, this_date)``.  In order: to the date set for this year
+    (set); from the overlay's to this year's model's, if later (model), and no roll if it isn't (check); between the two
+    models' (models); the move of most sheets' first periods, forward and of ``most`` months, the fewer on a tie, where
+    ``sheets`` are seen (timelines); 12 (assumed).
+    """
+    a = prior.groupBy("workbook_id", "sheet").agg(F.min("period_end").alias("a"))
+    b = current.groupBy("workbook_id", "sheet").agg(F.min("period_end").alias("b"))
+    apart = lambda x, y: ((F.year(y) - F.year(x)) * 12 + F.month(y) - F.month(x)).cast("int")
+    m = a.join(b, ["workbook_id", "sheet"]).withColumn("months", apart("a", "b"))
+    n = m.groupBy("workbook_id", "months").agg(F.count("*").alias("n")).withColumn("seen", F.sum("n").over(Window.partitionBy("workbook_id")))
+    moved = n.where((F.col("months") > 0) & (F.col("months") <= most) & (F.col("seen") >= sheets)).groupBy("workbook_id").agg(F.min_by("months", F.struct(-F.col("n"), "months")).alias("moved"))
+    d = dates.join(moved, "workbook_id", "left")
+    base = F.coalesce("overlay_date", "prior_date")
+    how = (
+        F.when(F.col("this_date") > base, "set").when(F.col("current_date") > F.col("overlay_date"), "model").when(F.col("overlay_date").isNotNull() & F.col("current_date").isNotNull(), "check")
+        .when(F.col("overlay_date").isNull() & (F.col("current_date") > F.col("prior_date")), "models").when(F.col("moved").isNotNull(), "timelines").otherwise("assumed")
+    )
+    d = d.withColumn("how", how)
+    h = F.col("how")
+    to = F.when(h == "set", F.col("this_date")).when(h.isin("model", "models"), F.col("current_date")).when(h == "check", F.col("overlay_date"))
+    months = F.when(h.isin("set", "model", "models"), apart(base, to)).when(h == "check", 0).when(h == "timelines", F.col("moved")).otherwise(12)
+    end = F.when(base == F.last_day(base), F.last_day(F.add_months(base, months))).otherwise(F.add_months(base, months))
+    return d.select("workbook_id", months.alias("months"), "how", F.coalesce(to, end).alias("new_date"))
+
+
 def conclusion(facts: DataFrame) -> DataFrame:
     """low, mid and high of an engagement: ex unless cum is spoken of three times as often; ends put in order."""
     f = facts.withColumn("basis", F.when(F.col("cum_mentions") >= 3 * F.greatest("ex_mentions", F.lit(1)), "cum").otherwise("ex"))

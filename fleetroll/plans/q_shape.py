@@ -23,6 +23,19 @@ def t1(spark, sf):
     return shape.timeline(view(spark, sf, "series").select(*KEY, (F.year("period_end") * 12 + F.month("period_end")).alias("col")))
 
 
+_TX = """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, 'S' AS sheet, p_partkey % 50 + 1 AS row_no, c AS col, CASE c WHEN 1 THEN CASE WHEN p_size % 3 = 0 THEN p_type END WHEN 2 THEN concat(p_name, ' ', p_type) WHEN 3 THEN CASE WHEN p_size % 5 = 0 THEN '$m' ELSE '%' END WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN 'A$' END ELSE p_name END AS text
+    FROM {part} CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3), (4), (5), (11)) v(c)) k WHERE CASE c WHEN 1 THEN p_size % 3 = 0 WHEN 4 THEN p_size % 2 = 0 ELSE true END"""
+
+
+@query("t1_text_columns", f"""WITH t AS ({_TX.format(part='part')}), l AS (SELECT * FROM t WHERE col < CASE WHEN workbook_id % 3 = 0 THEN 3 ELSE 1 + 8 END), c AS (SELECT workbook_id, sheet, col, count(*) AS n, avg(length(text)) AS ln, count(DISTINCT text) / count(*) AS d FROM l GROUP BY ALL),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY round(n * least(ln, 20.0), 9) DESC, col) = 1), u AS (SELECT c.* FROM c JOIN b USING (workbook_id, sheet) WHERE c.col > b.col AND c.n >= 0.2 * b.n AND c.ln <= 12 AND c.d <= 0.6 QUALIFY row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY c.n DESC, c.col) = 1)
+    SELECT workbook_id, sheet, b.col AS label_col, u.col AS units_col FROM b LEFT JOIN u USING (workbook_id, sheet)""")
+def t1_text(spark, sf):
+    t = spark.sql(_TX, part=spark.read.parquet(f"{sf}/part.parquet"))
+    tl = t.select("workbook_id", "sheet").distinct().where("workbook_id % 3 = 0").withColumn("tl_first", F.lit(3))
+    return shape.text_columns(t, tl)
+
+
 @query("t2_periodicity", f"""{cte('series')}, g AS (SELECT {K}, median(gap) AS gap FROM (SELECT {K}, period_end - lag(period_end) OVER (PARTITION BY {K} ORDER BY period_end) AS gap FROM series WHERE (month(period_end) + workbook_id) % 3 = 0 OR workbook_id % 2 = 0) WHERE gap IS NOT NULL GROUP BY ALL)
     SELECT {K}, gap, CASE WHEN gap BETWEEN 26 AND 33 THEN 'monthly' WHEN gap BETWEEN 85 AND 95 THEN 'quarterly' WHEN gap BETWEEN 178 AND 187 THEN 'semi-annual' WHEN gap BETWEEN 360 AND 370 THEN 'annual' ELSE 'irregular' END AS periodicity FROM g""")
 def t2(spark, sf):
@@ -45,10 +58,21 @@ def _shaped(spark, sf):
     return view(spark, sf, "series").withColumn("value", v)
 
 
-@query("t7_row_kinds", f"""{_S}, a AS (SELECT {K}, count(*) AS n, bool_and(value IN (0, 1)) AS o, max(value) AS hi, min(value) AS lo, count(DISTINCT round(value, 12)) AS d, arg_min(value, period_end) AS f, arg_max(value, period_end) AS l, max(abs(value)) AS m,
+_T7 = """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, p_partkey % 50 + 1 AS row_no, make_date(2020 + k, 12, 31) AS period_end,
+    CASE WHEN p_size % 16 = 0 THEN NULL WHEN p_size % 16 = 1 AND k > 0 THEN NULL WHEN p_size % 16 = 2 THEN CASE WHEN k > 2 THEN 1.0 ELSE 0.0 END WHEN p_size % 16 = 3 THEN 0.35 WHEN p_size % 16 = 4 THEN 1.0 - 0.05 * k WHEN p_size % 16 = 5 THEN 1.0 + 0.025 * k WHEN p_size % 16 = 6 THEN p_retailprice / 1e5 * (k - 2) WHEN p_size % 16 IN (7, 8) THEN NULL ELSE p_retailprice * (k + 1) END AS value,
+    CASE WHEN p_size % 16 = 7 THEN 'note' END AS text, CASE WHEN p_size % 16 = 8 THEN make_date(2020 + k, 6, 30) END AS date, CASE WHEN p_size % 16 = 9 THEN 'SUM(R[-4]C:R[-1]C)' WHEN p_size % 16 = 10 THEN '=R[-1]C + R[-2]C - R[-3]C' WHEN p_size % 16 = 11 AND k < 3 THEN NULL WHEN p_size % 16 = 12 THEN NULL ELSE 'RC[-1]*2' END AS formula
+    FROM {part} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) v(k)) x"""
+
+
+@query("t7_row_kinds", """SELECT p_partkey // 50 AS workbook_id, p_partkey % 50 + 1 AS row_no, CASE p_size % 16 WHEN 0 THEN 'empty' WHEN 1 THEN 'figure' WHEN 2 THEN 'flags' WHEN 3 THEN 'share' WHEN 4 THEN 'factors' WHEN 5 THEN 'index' WHEN 6 THEN 'ratio' WHEN 7 THEN 'text' WHEN 8 THEN 'dates' WHEN 9 THEN 'subtotal' WHEN 10 THEN 'subtotal' WHEN 12 THEN 'inputs' ELSE 'series' END AS kind FROM part""")
+def t7(spark, sf):
+    return shape.row_kinds(spark.sql(_T7, part=spark.read.parquet(f"{sf}/part.parquet")), ["workbook_id", "row_no"])
+
+
+@query("t7_series_kinds", f"""{_S}, a AS (SELECT {K}, count(*) AS n, bool_and(value IN (0, 1)) AS o, max(value) AS hi, min(value) AS lo, count(DISTINCT round(value, 12)) AS d, arg_min(value, period_end) AS f, arg_max(value, period_end) AS l, max(abs(value)) AS m,
       bool_and(b IS NULL OR value <= b + 1e-12) AS falling FROM (SELECT *, lag(value) OVER (PARTITION BY {K} ORDER BY period_end) AS b FROM s) GROUP BY ALL)
     SELECT {K}, CASE WHEN n = 1 THEN 'figure' WHEN n >= 4 AND o AND hi = 1 THEN 'flags' WHEN n >= 4 AND d = 1 AND lo > 0 AND hi < 1 THEN 'share' WHEN n >= 4 AND lo > 0 AND hi <= 1 AND f > 0.5 AND falling AND l < f THEN 'factors' WHEN n >= 4 AND m < 1 THEN 'ratio' ELSE 'series' END AS kind FROM a""")
-def t7(spark, sf):
+def t7_series(spark, sf):
     return shape.row_kinds(_shaped(spark, sf), KEY)
 
 
