@@ -130,11 +130,11 @@ def g7(spark, sf):
     return cells.parts(e, c.select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("value")), roots, 2).withColumn("part", F.round("part", 4))
 
 
-@query("v24_share_check", "SELECT c_custkey AS engagement_id, CASE WHEN c_custkey % 5 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'differs' ELSE 'ok' END AS status FROM customer")
+@query("v24_share_check", "WITH r AS (SELECT c_custkey AS e, c_custkey % 100 / 100 AS reported, c_custkey % 100 / 100 + c_acctbal / 5e9 AS applied FROM customer) SELECT e AS engagement_id, CASE WHEN e % 5 = 0 THEN 'missing' WHEN abs(reported - applied) <= 1e-6 THEN 'ok' ELSE 'differs' END AS status FROM r")
 def v24(spark, sf):
-    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("engagement_id"), (F.col("c_custkey") % 100 / 100).alias("reported"))
-    a = c.where("engagement_id % 5 <> 0").select("engagement_id", (F.col("reported") + F.when(F.col("engagement_id") % 7 == 0, 0.01).otherwise(0.0)).alias("applied"))
-    return cells.share_check(c, a).select("engagement_id", "status")
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("engagement_id"), (F.col("c_custkey") % 100 / 100).alias("reported"), F.col("c_acctbal").alias("a"))
+    a = c.where("engagement_id % 5 <> 0").select("engagement_id", (F.col("reported") + F.col("a") / 5e9).alias("applied"))
+    return cells.share_check(c.drop("a"), a).select("engagement_id", "status")
 
 
 @query("a9_overview", """WITH n AS (SELECT o_custkey AS e, count(*) FILTER (o_orderpriority = '1-URGENT' AND o_totalprice > 450000)::BIGINT AS blocks, count(*) FILTER (o_orderpriority = '5-LOW')::BIGINT AS checks FROM orders GROUP BY 1),

@@ -162,9 +162,9 @@ def c2(spark, sf):
     return checks.stale(view(spark, sf, "series"), view(spark, sf, "series_now"), KEY, F.lit("1999-12-31").cast("date"))
 
 
-@query("c4_sign_flip", f"""{_PV} SELECT core_id, a < 0 AND b > 0 OR a > 0 AND b < 0 AS flips FROM (SELECT core_id, round(sum(cf * factor), 4) AS a, round(sum(cf * factor) - 500000, 4) AS b FROM f GROUP BY 1)""")
+@query("c4_sign_flip", f"""{_PV} SELECT core_id, (a < 0 AND b > 0 OR a > 0 AND b < 0) AND abs(a) > 20000 AND abs(b) > 20000 AS flips FROM (SELECT core_id, round(sum(cf * factor), 4) AS a, round(sum(cf * factor) - 500000, 4) AS b FROM f GROUP BY 1)""")
 def c4(spark, sf):
-    pv = fin.dcf(view(spark, sf, "flows"), view(spark, sf, "discountings")).select("core_id", F.round("pv", 4).alias("a"), F.round(F.col("pv") - 500000, 4).alias("b")).withColumn("t", F.lit(0.0))
+    pv = fin.dcf(view(spark, sf, "flows"), view(spark, sf, "discountings")).select("core_id", F.round("pv", 4).alias("a"), F.round(F.col("pv") - 500000, 4).alias("b")).withColumn("t", F.lit(2e6))
     return checks.sign_flip(pv, "a", "b", "t").select("core_id", "flips")
 
 

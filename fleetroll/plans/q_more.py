@@ -48,11 +48,19 @@ def v5(spark, sf):
     return value.fit_factors(f.select("core_id", "period_end", "start", "factor"), c).select("core_id", "date", "timing", "day_count", F.round("rate", 6).alias("rate"))
 
 
-@query("v10_fit_terminal", f"""{cte('discountings')} SELECT core_id, 'grown' AS form, 'x' AS x_cell, 'r' AS r_cell, 'g' AS g_cell FROM discountings""")
+_V10 = f"""{cte('discountings')}, d AS (SELECT core_id, rate AS r, 0.011 + core_id % 4 * 0.005 AS g, 100.0 + core_id AS x FROM discountings), c AS (SELECT core_id, unnest(['x', 'r', 'g', 'other', 'share', 'nil']) AS cell, unnest([x, r, g, 7.5, 0.5, 0.0]) AS value FROM d),
+    t AS (SELECT core_id, CASE core_id % 3 WHEN 0 THEN x * (1 + g) / (r - g) WHEN 1 THEN x / (r - g) ELSE x / r * 1.001 END AS tv FROM d)"""
+
+
+@query("v10_fit_terminal", f"""{_V10}, j AS (SELECT t.core_id, tv, a.cell AS x_cell, a.value AS x, b.cell AS r_cell, b.value AS r, e.cell AS g_cell, e.value AS g FROM t JOIN c a USING (core_id) JOIN c b USING (core_id) JOIN c e USING (core_id) WHERE abs(a.value) >= 0.3 AND b.value >= 0 AND b.value < 0.3 AND e.value >= 0 AND e.value < 0.3 AND e.value < b.value AND e.cell <> b.cell),
+    k AS (SELECT *, CASE WHEN abs(x * (1 + g) / (r - g) - tv) <= 1e-6 * greatest(1, abs(tv)) THEN 'grown' WHEN abs(x / (r - g) - tv) <= 1e-6 * greatest(1, abs(tv)) THEN 'flat' END AS form FROM j)
+    SELECT core_id, form, x_cell, r_cell, g_cell FROM k WHERE form IS NOT NULL QUALIFY row_number() OVER (PARTITION BY core_id ORDER BY form, x_cell, r_cell, g_cell) = 1""")
 def v10(spark, sf):
-    d = view(spark, sf, "discountings").select("core_id", "rate").withColumn("g", F.lit(0.021)).withColumn("x", 100.0 + F.col("core_id"))
-    cells = d.select("core_id", F.explode(F.array(*[F.struct(F.lit(n).alias("cell"), v.alias("value")) for n, v in (("x", F.col("x")), ("r", F.col("rate")), ("g", F.col("g")), ("other", F.lit(7.5)), ("share", F.lit(0.5)))])).alias("c")).select("core_id", "c.*")
-    return value.fit_terminal(cells, d.select("core_id", (F.col("x") * (1 + F.col("g")) / (F.col("rate") - F.col("g"))).alias("tv")))
+    d = view(spark, sf, "discountings").select("core_id", F.col("rate").alias("r"), (0.011 + F.col("core_id") % 4 * 0.005).alias("g"), (100.0 + F.col("core_id")).alias("x"))
+    cells = d.select("core_id", F.explode(F.array(*[F.struct(F.lit(n).alias("cell"), v.alias("value")) for n, v in (("x", F.col("x")), ("r", F.col("r")), ("g", F.col("g")), ("other", F.lit(7.5)), ("share", F.lit(0.5)), ("nil", F.lit(0.0)))])).alias("c")).select("core_id", "c.*")
+    gap = F.col("r") - F.col("g")
+    tv = F.when(F.col("core_id") % 3 == 0, F.col("x") * (1 + F.col("g")) / gap).when(F.col("core_id") % 3 == 1, F.col("x") / gap).otherwise(F.col("x") / F.col("r") * 1.001)
+    return value.fit_terminal(cells, d.select("core_id", tv.alias("tv")))
 
 
 @query("v17_time_check", f"""{_PV}, k AS (SELECT * REPLACE ((valuation_date + INTERVAL 12 MONTH)::DATE AS valuation_date) FROM discountings), g AS ({sql_factors('flows', 'k')}),
