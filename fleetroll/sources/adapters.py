@@ -98,7 +98,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fleet_items": (
         ("part",),
         """SELECT CAST(floor(p_partkey / 50) AS BIGINT) + v AS workbook_id, CASE WHEN v > 0 AND p_partkey % 50 > 44 THEN 'Value' ELSE concat('S', CAST(p_size % 3 AS STRING)) END AS sheet,
-           concat(p_name, CASE WHEN v > 0 AND p_size % 7 = 5 THEN ' revised' ELSE '' END) AS label, CASE WHEN p_size % 5 = v % 7 THEN concat('R[]C', CAST(p_size AS STRING)) ELSE p_type END AS shape
+           concat(p_name, ' of ', p_brand, CASE WHEN v > 0 AND p_size % 7 = 5 THEN ' revised' ELSE '' END) AS label, CASE WHEN p_size % 5 = v % 7 THEN concat('R[]C', CAST(p_size AS STRING)) ELSE p_type END AS shape
            FROM {part} CROSS JOIN (SELECT * FROM (VALUES (0), (1000000)) x(v)) y WHERE NOT (v = 0 AND p_partkey % 50 > 44) AND NOT (v > 0 AND CAST(floor(p_partkey / 50) AS BIGINT) % 3 = 1 AND p_size % 2 = 0)""",
     ),
     "calls": (
