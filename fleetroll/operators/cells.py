@@ -186,6 +186,22 @@ def heading(cells: DataFrame) -> DataFrame:
     return cells.withColumn("heading", F.when(h.isNotNull(), bare)).where("value is not null").select("workbook_id", "sheet", "row_no", "col", "heading")
 
 
+def heading_column(prior: DataFrame, current: DataFrame, matches: DataFrame) -> DataFrame:
+    """This year's column of single figures: (workbook_id, sheet, row_no, col, cur_row, cur_col, how).
+
+    ``prior`` and ``current`` are cells, as for ``heading``; ``matches(workbook_id, sheet, row_no, cur_row)``.  The same
+    column if it is headed alike there ('same'), else the one column of the row that is ('heading'), else none ('none',
+    or 'several').
+    """
+    at = ["workbook_id", "sheet", "row_no", "col"]
+    p = heading(prior).where("heading is not null").join(matches, ["workbook_id", "sheet", "row_no"])
+    c = heading(current).where("heading is not null").select("workbook_id", "sheet", F.col("row_no").alias("cur_row"), F.col("col").alias("cur_col"), "heading")
+    j = p.join(c, ["workbook_id", "sheet", "cur_row", "heading"], "left")
+    g = j.groupBy(*at, "cur_row").agg(F.count("cur_col").alias("n"), F.max(F.when(F.col("cur_col") == F.col("col"), F.col("col"))).alias("same"), F.min("cur_col").alias("one"))
+    how = F.when(F.col("same").isNotNull(), "same").when(F.col("n") == 1, "heading").when(F.col("n") > 1, "several").otherwise("none")
+    return g.select(*at, "cur_row", F.when(how == "same", F.col("same")).when(how == "heading", F.col("one")).alias("cur_col"), how.alias("how"))
+
+
 def overview(engagements: DataFrame, needs: DataFrame, stages: DataFrame) -> DataFrame:
     """empty, needs you, running, finished or waiting, and open needs by severity."""
     n = needs.groupBy("engagement_id").agg(F.count_if(F.col("severity") == "block").alias("blocks"), F.count_if(F.col("severity") == "check").alias("checks"))

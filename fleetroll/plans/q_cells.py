@@ -51,6 +51,20 @@ def j31(spark, sf):
     return cells.heading(_cells(spark, sf).withColumn("text", t))
 
 
+_HC = "SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, 'S' AS sheet, p_partkey % 50 + 1 AS row_no, c {shift} AS col, CASE WHEN p_partkey % 12 = 0 THEN concat('Case ', CAST((c + p_size {move}) % 4 AS STRING), ' ', CAST(1990 + p_size AS STRING)) END AS text, CASE WHEN p_partkey % 12 > 0 THEN p_retailprice * c END AS value FROM {{part}} CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3), (4)) v(c)) k"
+_HP, _HN = _HC.format(shift="", move=""), _HC.format(shift="+ CASE WHEN CAST(floor(p_partkey / 50) AS BIGINT) % 2 = 1 THEN 1 ELSE 0 END", move="+ CASE WHEN CAST(floor(p_partkey / 50) AS BIGINT) % 3 = 2 THEN p_partkey % 2 * c ELSE 0 END")
+_HH = lambda q: f"SELECT workbook_id, sheet, row_no, col, trim(regexp_replace(regexp_replace(lower(h), '\\b(19|20)\\d\\d\\b', '', 'g'), ' +', ' ', 'g')) AS heading FROM (SELECT *, last_value(text IGNORE NULLS) OVER (PARTITION BY workbook_id, sheet, col ORDER BY row_no RANGE BETWEEN 15 PRECEDING AND 1 PRECEDING) AS h FROM ({q.format(part='part').replace('AS STRING', 'AS VARCHAR')}) z) WHERE value IS NOT NULL AND h IS NOT NULL"
+
+
+@query("j31_column", f"""WITH p AS ({_HH(_HP)}), c AS ({_HH(_HN)}), g AS (SELECT p.workbook_id, p.sheet, p.row_no, p.col, count(c.col) AS n, max(CASE WHEN c.col = p.col THEN c.col END) AS same, min(c.col) AS one FROM p LEFT JOIN c ON c.workbook_id = p.workbook_id AND c.sheet = p.sheet AND c.row_no = p.row_no AND c.heading = p.heading GROUP BY 1, 2, 3, 4)
+    SELECT workbook_id, sheet, row_no, col, row_no AS cur_row, CASE WHEN same IS NOT NULL THEN same WHEN n = 1 THEN one END AS cur_col, CASE WHEN same IS NOT NULL THEN 'same' WHEN n = 1 THEN 'heading' WHEN n > 1 THEN 'several' ELSE 'none' END AS how FROM g""")
+def j31_column(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    p, c = spark.sql(_HP, part=part), spark.sql(_HN, part=part)
+    m = p.select("workbook_id", "sheet", "row_no", F.col("row_no").alias("cur_row")).distinct()
+    return cells.heading_column(p, c, m)
+
+
 @query("f5_holding", """WITH f AS (SELECT o_custkey AS e, o_orderkey AS fact_id, round(o_totalprice, -4) AS v FROM orders), c AS (SELECT o_custkey AS e, o_orderkey AS cell_id, round(o_totalprice, -4) / CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 1 END AS value, o_orderkey % 2 = 0 AS formula FROM orders WHERE o_orderpriority <> '5-LOW')
     SELECT e AS engagement_id, fact_id, cell_id FROM c JOIN f USING (e) WHERE round(value, 12) IN (round(v, 12), round(v / 100, 12)) QUALIFY row_number() OVER (PARTITION BY e, fact_id ORDER BY formula, cell_id) = 1""")
 def f5(spark, sf):

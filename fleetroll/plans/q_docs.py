@@ -36,6 +36,20 @@ def x8(spark, sf):
     return docs.passages(_pages(spark, sf), r"(?i)licen[cs]|\bthe\b").select("doc_id", "n", "sentence")
 
 
+@query("x8_mentions", """WITH d AS (SELECT o_custkey AS doc_id, string_agg('Order ' || o_orderkey || ' comes to $' || printf('%,.1f', floor(o_totalprice / 100) / 10) || 'k. It is ' || (o_orderkey % 7) || '% of all!', chr(10) ORDER BY o_orderkey) AS n FROM orders GROUP BY 1), o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, floor(o_totalprice / 100) / 10 AS v, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS i FROM orders),
+    f AS (SELECT c_custkey AS figure_id, c_custkey % 5 + 0.0 AS value FROM customer WHERE c_custkey < 5 UNION ALL SELECT 1000000 + c_custkey, floor(c_acctbal) / 10 FROM customer WHERE c_acctbal > 0), s AS (SELECT doc_id, 2 * i AS n, unnest([k * 1.0, v]) AS x FROM o UNION ALL SELECT doc_id, 2 * i + 1, (k % 7) * 1.0 FROM o)
+    SELECT DISTINCT figure_id, doc_id, 1 AS page, n::INT AS n FROM s JOIN f ON round(x, 9) = round(value, 9)""")
+def x8_mentions(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k, v = F.col("o_orderkey"), F.floor(F.col("o_totalprice") / 100) / 10
+    line = F.concat(F.lit("Order "), k.cast("string"), F.lit(" comes to $"), F.format_number(v, 1), F.lit("k. It is "), (k % 7).cast("string"), F.lit("% of all!"))
+    d = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("t")))).alias("l"))
+    pages = d.select("doc_id", F.lit(1).alias("page"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    few = c.where("c_custkey < 5").select(F.col("c_custkey").alias("figure_id"), (F.col("c_custkey") % 5).cast("double").alias("value"))
+    return docs.mentions(pages, few.union(c.where("c_acctbal > 0").select(F.col("c_custkey") + 1_000_000, (F.floor("c_acctbal") / 10))))
+
+
 _SQ = lambda c: f"regexp_replace(lower({c}), '[ \\t\\n\\f\\r\\x0B]+', '', 'g')"
 
 
