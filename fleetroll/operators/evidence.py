@@ -139,8 +139,9 @@ def by_trace(edges: DataFrame, edges_now: DataFrame, anchors: DataFrame, scores:
     out = None
     for down in (True, False):
         e, n = (edges, edges_now) if down else (_turned(edges), _turned(edges_now))
-        e = e.select("workbook_id", F.col("src").alias("x"), F.col("dst").alias("nx")).distinct()
-        n = n.select("workbook_id", F.col("src").alias("y"), F.col("dst").alias("c")).distinct()
+        # every hop reads these several times
+        e = written(e.select("workbook_id", F.col("src").alias("x"), F.col("dst").alias("nx")).distinct(), "reads")
+        n = written(n.select("workbook_id", F.col("src").alias("y"), F.col("dst").alias("c")).distinct(), "reads")
         size = e.groupBy("workbook_id", "x").agg(F.count("*").alias("sibs")), n.groupBy("workbook_id", "y").agg(F.count("*").alias("cands"))
         front = anchors.select("workbook_id", F.col("row_no").alias("anchor"), F.col("row_no").alias("x"), F.col("cur_row").alias("y"), F.lit(1.0).alias("q"))
         ways = None
