@@ -96,6 +96,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dialogues import damaged, report
+
+    conversations = table(spark, sf_dir, "conversations")
+    return report(conversations, damaged(conversations))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +120,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_lpt_shards": op9_lpt_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_quality_classifier": op13_quality_classifier,
     "quality_ablation": quality_ablation,
 }
 
