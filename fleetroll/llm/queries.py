@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, lines, quality, warc
+from . import collocations, licences, lines, quality, warc
 from .common import table
 
 
@@ -96,6 +96,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dialogues import damaged, report
 
@@ -120,6 +126,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_lpt_shards": op9_lpt_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_collocations": op11_collocations,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_quality_classifier": op13_quality_classifier,
     "quality_ablation": quality_ablation,
@@ -131,4 +138,5 @@ ORACLES: dict[str, str] = {
     "op7_licence_scan": licences.SQL,
     "quality_ablation": quality.SQL_ABLATION,
     "op8_line_dedup": lines.SQL,
+    "op11_collocations": collocations.SQL,
 }
