@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Words, as_signed, mix64, sliced, utf8_of, written
 
 _LONGEST = 4
-#: Into how many ranges the phrases of one first word may be cut, and words of the corpus for each range.
+#: Into how many ranges at most the phrases of one first word are cut, and words of the corpus for each range.
 _SUB, _RANGE_WORDS = 256, 1 << 20
 #: Phrases that a task counts before it hands them on.
 _HELD = 2_000_000
@@ -100,8 +100,13 @@ def ranges(columns: list[np.ndarray], parts: int) -> np.ndarray:
     first = chained(columns[:2])
     if len(columns) == 2:
         return (first % np.uint64(parts)).astype(np.int32)
-    sub = chained(columns[2:4])
-    return (first % np.uint64(max(parts // _SUB, 1)) * np.uint64(_SUB) + sub % np.uint64(_SUB)).astype(np.int32)
+    own = min(parts, _SUB)
+    return (first % np.uint64(parts // own) * np.uint64(own) + chained(columns[2:4]) % np.uint64(own)).astype(np.int32)
+
+
+def ranges_for(words: int) -> int:
+    """A power of two, so that a range has half a million to a million words of the corpus; 8 at least."""
+    return 1 << max(3, (words // _RANGE_WORDS).bit_length())
 
 
 # ---------------------------------------------------------------- transducers
@@ -344,7 +349,7 @@ def phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     words = written(counted.groupBy("lang", "label", "h", "key", "word").agg(F.sum("n").alias("f")), "words")
     frequent = words.where(F.col("f") >= least)
     total = words.agg(F.sum("f")).first()[0] or 0
-    parts = _SUB * max(1, -(-total // (_SUB * _RANGE_WORDS)))
+    parts = ranges_for(total)
 
     def level(sizes: tuple[int, ...], keys: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(key_filter(spark, keys, keys.count()))
