@@ -26,7 +26,9 @@ _LONGEST = 4
 #: Into how many ranges at most the phrases of one first word are cut, and words of the corpus for each range.
 _SUB, _RANGE_WORDS = 256, 1 << 20
 #: Phrases that a task counts before it hands them on.
-_HELD = 2_000_000
+_HELD = 1_000_000
+#: Bytes of text that a task takes at a time.
+_SLICE = 4 << 20
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -189,7 +191,7 @@ class Transducer:
 
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches, 8 << 20):
+    for b in sliced(batches, _SLICE):
         p = Pieces(b.column("text"))
         if not len(p.starts):
             continue
@@ -227,7 +229,9 @@ def _shards(shared, sizes: tuple[int, ...], parts: int):
     """Transducers of a task's phrases by range: pairs of words that the filter knows, or longer phrases all of whose pairs it knows."""
 
     def handed_on(size: int, held: list) -> Iterator[pa.RecordBatch]:
-        columns, n = tallied([np.concatenate(c) for c in zip(*(x for x, _ in held))], np.concatenate([n for _, n in held]))
+        whole, n = [np.concatenate(c) for c in zip(*(x for x, _ in held))], np.concatenate([n for _, n in held])
+        held.clear()
+        columns, n = tallied(whole, n)
         part = ranges(columns, parts)
         order = np.argsort(part, kind="stable")
         part, columns, n = part[order], [c[order] for c in columns], n[order]
@@ -238,7 +242,7 @@ def _shards(shared, sizes: tuple[int, ...], parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = shared.value
         held: dict[int, list] = {s: [] for s in sizes}
-        for b in sliced(batches, 8 << 20):
+        for b in sliced(batches, _SLICE):
             p = Pieces(b.column("text"))
             if len(p.starts) < 2:
                 continue
@@ -260,7 +264,6 @@ def _shards(shared, sizes: tuple[int, ...], parts: int):
                     held[s].append(tallied([label[at], *(h[at - s + 1 + i] for i in range(s))]))
                 if sum(len(n) for _, n in held[s]) > _HELD:
                     yield from handed_on(s, held[s])
-                    held[s] = []
         for s, own in held.items():
             if own:
                 yield from handed_on(s, own)
