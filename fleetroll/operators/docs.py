@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetroll.functions.text import fold, numbers
+from fleetroll.functions.text import fold, numbers, squeezed
 
 
 def sections(pages: DataFrame, heading: str = r"^#+ ") -> DataFrame:
@@ -39,112 +34,37 @@ def passages(pages: DataFrame, pattern: str, most: int = 12) -> DataFrame:
 
 
 def mentions(pages: DataFrame, figures: DataFrame) -> DataFrame:
-    """Sentences that state one of the figures ``(figure_id, value)``, compared as values."""
-    n = sentences(pages).withColumn("v", F.explode(numbers(F.col("sentence")))).withColumn("v", F.regexp_replace("v", "[%]|[.]$", "").cast("double"))
-    f = figures.withColumn("k", F.round("value", 9))
-    return n.withColumn("k", F.round("v", 9)).join(f, "k").select("figure_id", "doc_id", "page", "n").distinct()
-
-
-def _squeezed(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"\s+", "")
+    """Sentences that state one of the figures ``(engagement_id, figure_id, value)`` of their engagement, compared as values.
 
-
-def check_quotes(facts: DataFrame, pages: DataFrame) -> DataFrame:
-    """``on_page``: the quote stands on its page, spacing aside; ``stated``: the fact's value text is in the quote."""
-    j = facts.join(pages.select("doc_id", "page", F.col("text").alias("_t")), ["doc_id", "page"], "left")
-    on = F.coalesce(F.contains(_squeezed(F.col("_t")), _squeezed(F.col("quote"))), F.lit(False))
-    return j.select("fact_id", on.alias("on_page"), F.coalesce(F.contains(F.col("quote"), F.col("value_text")), F.lit(False)).alias("stated"))
+    ``pages(engagement_id, doc_id, page, text)``: a figure is looked for in its own engagement's pages only.
+    """
+    s = sentences(pages.withColumn("doc_id", F.struct("engagement_id", "doc_id")))
+    n = s.select("doc_id.*", "page", "n", F.explode(numbers(F.col("sentence"))).alias("v")).withColumn("v", F.regexp_replace("v", "[%]|[.]$", "").cast("double"))
+    f = figures.withColumn("k", F.round("value", 9))
+    return n.withColumn("k", F.round("v", 9)).join(f, ["engagement_id", "k"]).select("figure_id", "doc_id", "page", "n").distinct()
 
 
-def quotes_in(quotes: DataFrame, pages: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+def quotes_in(quotes: DataFrame, pages: DataFrame, widest: int = 16) -> DataFrame:
     """(quote_id, doc_id, page) for every page on which a quote stands, spacing and case aside.
 
-    ``quotes(quote_id long, quote)`` are a query set: they are put in blocks of about ``block_bytes``, one after the other,
-    and each block goes over all pages as one automaton, so a page is read once a block and never meets a quote it
-    doesn't hold.  Empty quotes stand nowhere.
-    """
-    q = quotes.select("quote_id", _squeezed(F.col("quote")).alias("q")).where("q <> ''")
-    size = q.agg(F.coalesce(F.sum(F.octet_length("q") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    text = pages.select("doc_id", "page", _squeezed(F.col("text")).alias("t")).where("t is not null")
-    schema = f"quote_id long, doc_id {dict(pages.dtypes)['doc_id']}, page {dict(pages.dtypes)['page']}"
-    out = None
-    for i in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == i).groupBy("q").agg(F.collect_list("quote_id").alias("ids")).collect()
-        found = text.mapInArrow(_holding(quotes.sparkSession.sparkContext.broadcast([(r["q"], r["ids"]) for r in rows])), schema)
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _holding(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        for q, ids in shared.value:
-            a.add_word(q, (q, ids))
-        if len(a):
-            a.make_automaton()
-        for b in batches:
-            at, ids = [], []
-            for i, t in enumerate(b.column("t").to_pylist()):
-                for _, own in {q: own for _, (q, own) in a.iter(t)}.items() if len(a) else ():
-                    at += [i] * len(own)
-                    ids += own
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("doc_id").take(take), b.column("page").take(take)], names=["quote_id", "doc_id", "page"])
-
-    return run
-
-
-def check_labels(facts: DataFrame, terms: dict[str, str], others: str) -> DataFrame:
-    """``under``: the term under which a fact's figure stands in its quote, if never under its own; ``off``: scale or currency.
-
-    ``facts(fact_id, key, stated, quote)``; ``terms`` are the patterns of the keys, ``others`` those of labels that are
-    none.  A figure's label is the one right before it, back to the figure before; with none there, the one after it or
-    the nearest further back, of which its own will do.  The patterns are in lower case.
+    ``quotes(quote_id, quote)``.  A page is cut into blocks of k characters, and a quote of 2k - 1 or more holds one of
+    the page's blocks whole, at one of its own first k places; there they meet, and the quote is compared where it would
+    stand.  k is the largest power of two that fits, ``widest`` at most, so a page gives len / k rows for each k that
+    some quote needs.  Empty quotes stand nowhere.
     """
-    from fleetroll.functions.text import scale_off
-
-    known = {k: re.compile(p) for k, p in terms.items()}
-    rest = {k: re.compile("|".join([p for o, p in terms.items() if p != terms[k]] + [others])) for k in terms}
-
-    @F.pandas_udf("string")
-    def under(key: pd.Series, stated: pd.Series, quote: pd.Series) -> pd.Series:
-        return pd.Series([_under(known, rest, k, s, q) for k, s, q in zip(key, stated, quote)], dtype=object)
-
-    return facts.select("fact_id", under("key", "stated", "quote").alias("under"), scale_off(F.col("stated"), F.col("quote")).alias("off"))
-
-
-_FIGURE = re.compile(r"\d[\d,]*(?:\.\d+)?")
-
-
-def _under(known: dict, rest: dict, key: str | None, stated: str | None, quote: str | None) -> str | None:
-    if key not in known or not stated or not quote:
-        return None
-    q = quote.lower()
-    spots = [(m.start(), m.end(), float(m[0].replace(",", ""))) for m in _FIGURE.finditer(q)]
-
-    def label(a: int, b: int) -> str | None:
-        if known[key].search(q, a, b):
-            return "own"
-        m = rest[key].search(q, a, b)
-        return m[0] if m else None
-
-    for m in _FIGURE.finditer(stated):
-        want, verdicts = float(m[0].replace(",", "")), []
-        for i, (start, end, value) in enumerate(spots):
-            if abs(value - want) > 1e-9 * max(1.0, abs(want)):
-                continue
-            said = label(spots[i - 1][1] if i else 0, start)
-            if said is None:
-                after = label(end, spots[i + 1][0] if i + 1 < len(spots) else len(q))
-                back = next((x for j in range(i - 1, -1, -1) if (x := label(spots[j - 1][1] if j else 0, spots[j][0]))), None)
-                said = "own" if "own" in (after, back) else after or back
-            verdicts.append(said)
-        if verdicts and all(v not in (None, "own") for v in verdicts):
-            return verdicts[-1]
-    return None
+    q = quotes.select("quote_id", squeezed(F.col("quote")).alias("q")).where("q <> ''")
+    sizes = [1 << i for i in range(widest.bit_length())]
+    k = F.coalesce(*[F.when(F.length("q") >= 2 * n - 1, n) for n in sizes[::-1]])
+    own = q.select("quote_id", "q", k.alias("k"), F.explode(F.sequence(F.lit(0), k - 1)).alias("off"))
+    own = own.select("quote_id", "q", "k", "off", F.expr("substring(q, off + 1, k)").alias("block"))
+    text = pages.select("doc_id", "page", squeezed(F.col("text")).alias("t")).where("t <> ''")
+    # blocks come with what lies around them, as long as the longest quote, and no page is shuffled whole for each
+    used = own.select("k").distinct()
+    most = q.agg(F.coalesce(F.max(F.length("q")), F.lit(0)).alias("most"))
+    blocks = text.join(F.broadcast(used)).select("doc_id", "page", "t", "k", F.posexplode(F.expr("transform(sequence(0, greatest(length(t) div k - 1, 0)), i -> substring(t, i * k + 1, k))")).alias("i", "block"))
+    blocks = blocks.join(F.broadcast(most)).select("doc_id", "page", "k", "block", F.expr("i * k").alias("at"), F.expr("substring(t, greatest(i * k - k + 2, 1), most + 2 * k)").alias("around"))
+    found = blocks.join(own, ["k", "block"]).where("at >= off AND substring(around, at - off - greatest(at - k + 1, 0) + 1, length(q)) = q")
+    return found.select("quote_id", "doc_id", "page").distinct()
 
 
 def check_text_layer(cells: DataFrame, lines: DataFrame) -> DataFrame:

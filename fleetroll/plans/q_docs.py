@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetroll.functions import text
-from fleetroll.operators import docs
+from fleetroll.functions.figures import figures
+from fleetroll.operators import docs, facts
 
 from .registry import query
 
@@ -36,18 +37,19 @@ def x8(spark, sf):
     return docs.passages(_pages(spark, sf), r"(?i)licen[cs]|\bthe\b").select("doc_id", "n", "sentence")
 
 
-@query("x8_mentions", """WITH d AS (SELECT o_custkey AS doc_id, string_agg('Order ' || o_orderkey || ' comes to $' || printf('%,.1f', floor(o_totalprice / 100) / 10) || 'k. It is ' || (o_orderkey % 7) || '% of all!', chr(10) ORDER BY o_orderkey) AS n FROM orders GROUP BY 1), o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, floor(o_totalprice / 100) / 10 AS v, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS i FROM orders),
-    f AS (SELECT c_custkey AS figure_id, c_custkey % 5 + 0.0 AS value FROM customer WHERE c_custkey < 5 UNION ALL SELECT 1000000 + c_custkey, floor(c_acctbal) / 10 FROM customer WHERE c_acctbal > 0), s AS (SELECT doc_id, 2 * i AS n, unnest([k * 1.0, v]) AS x FROM o UNION ALL SELECT doc_id, 2 * i + 1, (k % 7) * 1.0 FROM o)
-    SELECT DISTINCT figure_id, doc_id, 1 AS page, n::INT AS n FROM s JOIN f ON round(x, 9) = round(value, 9)""")
+@query("x8_mentions", """WITH d AS (SELECT o_custkey AS doc_id, o_orderkey AS k, floor(o_totalprice / 100) / 10 AS v, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS i FROM orders),
+    f AS (SELECT c_custkey AS figure_id, c_custkey AS e, c_custkey % 7 + 0.0 AS value FROM customer UNION ALL SELECT 1000000 + k, doc_id, v FROM d WHERE k % 2 = 0), s AS (SELECT doc_id, 2 * i AS n, unnest([k * 1.0, v]) AS x FROM d UNION ALL SELECT doc_id, 2 * i + 1, (k % 7) * 1.0 FROM d)
+    SELECT DISTINCT figure_id, doc_id, 1 AS page, n::INT AS n FROM s JOIN f ON doc_id = e AND round(x, 9) = round(value, 9)""")
 def x8_mentions(spark, sf):
+    """A customer's figures in the report of its orders: a count for every customer, the price of every second order."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
     k, v = F.col("o_orderkey"), F.floor(F.col("o_totalprice") / 100) / 10
     line = F.concat(F.lit("Order "), k.cast("string"), F.lit(" comes to $"), F.format_number(v, 1), F.lit("k. It is "), (k % 7).cast("string"), F.lit("% of all!"))
     d = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("t")))).alias("l"))
-    pages = d.select("doc_id", F.lit(1).alias("page"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
+    pages = d.select(F.col("doc_id").alias("engagement_id"), "doc_id", F.lit(1).alias("page"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
     c = spark.read.parquet(f"{sf}/customer.parquet")
-    few = c.where("c_custkey < 5").select(F.col("c_custkey").alias("figure_id"), (F.col("c_custkey") % 5).cast("double").alias("value"))
-    return docs.mentions(pages, few.union(c.where("c_acctbal > 0").select(F.col("c_custkey") + 1_000_000, (F.floor("c_acctbal") / 10))))
+    few = c.select(F.col("c_custkey").alias("engagement_id"), F.col("c_custkey").alias("figure_id"), (F.col("c_custkey") % 7).cast("double").alias("value"))
+    return docs.mentions(pages, few.union(o.where(k % 2 == 0).select("o_custkey", k + 1_000_000, v)))
 
 
 _SQ = lambda c: f"regexp_replace(lower({c}), '[ \\t\\n\\f\\r\\x0B]+', '', 'g')"
@@ -62,15 +64,46 @@ def x10_in(spark, sf):
     return b.select("item_id").join(found.withColumnRenamed("quote_id", "item_id"), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
-@query("x10_check_quotes", f"""WITH f AS (SELECT doc_id AS fact_id, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END AS doc, replace(substr(text, 11, 60), ' ', '  ') AS quote, replace(substr(text, 21, 8 + (doc_id % 2 * 60)::INT), ' ', '  ') AS v FROM documents)
-    SELECT fact_id, coalesce(contains({_SQ('d.text')}, {_SQ('quote')}), false) AS on_page, coalesce(contains(quote, v), false) AS stated FROM f LEFT JOIN documents d ON d.doc_id = f.doc""")
+#: Labels of the example facts.
+_TERMS, _OTHER = {"rate": "discount rate", "equity": "equity value", "franking": "franking credits?"}, "net debt|enterprise value"
+
+
+@query("x10_check_quotes", """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 19 AS c, floor(o_totalprice) / 10 AS x, o_orderdate::DATE AS d FROM orders),
+    t AS (SELECT *, 'A$' || printf('%,.1f', x) || 'm' AS v, printf('%,.1f', x) AS bare FROM o), i AS (SELECT k, c,
+    CASE WHEN c = 1 THEN 'quote-quote is on page ' || k || ', not ' || (k + 1) WHEN c = 2 THEN 'quote+quote on page ' || k || ', spacing ignored' WHEN c IN (12, 13) THEN 'quote-quote not found' WHEN c = 17 THEN 'quote-no quote' ELSE 'quote+quote on page ' || k END AS q,
+    CASE WHEN c = 3 THEN 'figure-A$' || printf('%,.1f', x + 1) || 'm is not in the quote' WHEN c = 4 THEN 'figure+A$' || bare || 'bn in the quote; figure-A$' || bare || 'bn has another scale in the quote' WHEN c = 5 THEN 'figure+NZ$' || bare || 'm in the quote; figure-NZ$' || bare || 'm has another currency in the quote'
+      WHEN c = 6 THEN 'figure+80% in the quote' WHEN c = 7 THEN 'figure-80% is not in the quote' WHEN c = 8 THEN 'figure+7.25% in the quote; figure+7.75% in the quote' WHEN c = 9 THEN 'figure+7.25% in the quote; range-only the low end is given' WHEN c = 10 THEN 'figure+' || strftime(d, '%Y-%m-%d') || ' in the quote'
+      WHEN c = 11 THEN 'figure-' || strftime((d + 1)::DATE, '%Y-%m-%d') || ' is not in the quote' WHEN c = 16 THEN 'figure+''Franking  credits valued'' in the quote' WHEN c IN (12, 13, 17) THEN NULL ELSE 'figure+' || v || ' in the quote' END AS f,
+    CASE WHEN c IN (8, 9, 12, 13, 16, 17) THEN NULL WHEN c = 15 THEN 'figure-value is not as its text' ELSE 'figure+value as its text' END AS w,
+    CASE WHEN c = 14 THEN 'figure-value is under equity value' WHEN c = 18 THEN CASE WHEN k % 2 = 0 THEN 'table+table ' || k || ' is verified' ELSE 'table-table ' || k || ' is draft' END END AS l FROM t)
+    SELECT k AS fact_id, concat_ws('; ', q, f, w, l) AS items, NOT (c IN (1, 3, 4, 5, 7, 9, 11, 12, 13, 14, 15, 17) OR (c = 18 AND k % 2 = 1)) AS ok FROM i""")
 def x10(spark, sf):
-    d = _pages(spark, sf)
-    at = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
-    wide = lambda c: F.replace(c, F.lit(" "), F.lit("  "))
-    v = wide(F.expr("substring(text, 21, cast(8 + doc_id % 2 * 60 as int))"))
-    f = d.select(F.col("doc_id").alias("fact_id"), at.alias("doc_id"), F.lit(1).alias("page"), wide(F.substring("text", 11, 60)).alias("quote"), v.alias("value_text"))
-    return docs.check_quotes(f, d)
+    """A fact of every order against a page of its customer's report: right, and wrong in each of the ways that are checked."""
+    k = F.col("o_orderkey")
+    c = k % 19
+    o = spark.read.parquet(f"{sf}/orders.parquet").withColumns({"x": F.floor("o_totalprice") / 10, "d": F.to_date("o_orderdate")})
+    v = lambda n, cur="A$", scale="m": F.concat(F.lit(cur), F.format_number(F.col("x") + n, 1), F.lit(scale))
+    dated = F.concat(F.lit("As at "), F.date_format("d", "d MMM yyyy"), F.lit(" "))
+    body = F.concat(F.lit("the equity value is "), v(0), F.lit(", discount rate 7.25% to 7.75% and franking credits valued at 0.80 for order "), k.cast("string"))
+    pages = o.select(F.col("o_custkey").alias("doc_id"), k.alias("page"), F.concat(dated, body, F.lit(".\nThe next page.")).alias("text"))
+    quote = (
+        F.when(c == 2, F.replace(F.replace(body, F.lit("the equity"), F.lit("theequity")), F.lit(" is "), F.lit("  is ")))
+        .when(c.isin(10, 11), F.concat(dated, body))
+        .when(c == 12, F.concat(F.lit("no such words "), k.cast("string")))
+        .when(c == 13, F.concat(F.lit("the equity value is A$"), F.format_number(F.floor("x"), 0)))
+        .when(c == 17, "  ")
+        .otherwise(body)
+    )
+    said = F.when(c == 3, v(1)).when(c == 4, v(0, scale="bn")).when(c == 5, v(0, "NZ$")).when(c.isin(6, 7), "80%").when(c == 10, F.date_format("d", "yyyy-MM-dd")).when(c == 11, F.date_format(F.date_add("d", 1), "d/M/yyyy")).when(c == 16, "Franking  credits valued").when(~c.isin(8, 9, 12, 13, 17), v(0))
+    day = lambda d: F.date_format(d, "yyyyMMdd").cast("double")
+    value = F.when(c.isin(8, 9, 12, 13, 16, 17), None).when(c.isin(6, 7), 80.0).when(c == 10, day("d")).when(c == 11, day(F.date_add("d", 1))).otherwise(F.col("x") + F.when(c.isin(3, 15), 1).otherwise(0))
+    facts_ = o.select(
+        k.alias("fact_id"), F.col("o_custkey").alias("doc_id"), F.when(c == 1, k + 1).otherwise(k).alias("page"), F.when(c.isin(8, 9, 14), "rate").when(c.isin(6, 7, 16), "franking").otherwise("equity").alias("key"), F.when(c == 16, "identity").alias("category"),
+        F.when(c.isin(10, 11), "date").alias("unit"), (c == 6).alias("percent"), value.alias("value"), said.alias("value_text"), F.when(c.isin(8, 9), "7.25%").alias("low_text"), F.when(c == 8, "7.75%").alias("high_text"), quote.alias("quote"),
+    )
+    tables = pages.where(F.col("page") % 19 == 18).select("doc_id", "page", F.col("page").alias("table_id"), F.when(F.col("page") % 2 == 0, "verified").otherwise("draft").alias("status"), "text")
+    show = lambda x: F.concat(x["kind"], F.when(x["ok"], "+").otherwise("-"), x["text"])
+    return facts.check_quotes(facts_, pages, _TERMS, _OTHER, tables).select("fact_id", F.array_join(F.transform("items", show), "; ").alias("items"), "ok")
 
 
 @query("x12_compare_reads", """WITH d AS (SELECT o_custkey % 100 AS t, o_orderkey AS r, 'row ' || o_orderkey % 30 AS head, floor(o_totalprice)::INT % 100 AS q, o_orderkey % 9 AS s FROM orders),
@@ -122,17 +155,14 @@ def x4(spark, sf):
         .otherwise(F.concat(F.lit("about €"), n(a), F.lit("k in 3 markets by 2023-05-06")))
     )
     show = lambda x: F.concat_ws("|", F.when(x["value"] == F.round(x["value"], 1), F.format_string("%.1f", x["value"])).otherwise(F.format_string("%.2f", x["value"])), F.coalesce(x["scale"], F.lit("")), F.coalesce(x["cur"], F.lit("")))
-    return o.select("o_orderkey", F.array_join(F.transform(text.figures(t), show), " ").alias("figures"))
-
-
-#: Labels of the example facts.
-_TERMS, _OTHER = {"rate": "discount rate", "equity": "equity value", "franking": "franking credits?"}, "net debt|enterprise value"
+    return o.select("o_orderkey", F.array_join(F.transform(figures(t), show), " ").alias("figures"))
 
 
-@query("x11_check_labels", """SELECT o_orderkey AS fact_id, CASE o_orderkey % 6 WHEN 1 THEN 'net debt' WHEN 4 THEN 'enterprise value' END AS under, CASE o_orderkey % 6 WHEN 2 THEN 'scale' WHEN 3 THEN 'currency' END AS off FROM orders""")
+@query("x11_check_labels", """SELECT o_orderkey AS fact_id, CASE o_orderkey % 9 WHEN 1 THEN 'net debt' WHEN 4 THEN 'enterprise value' WHEN 6 THEN 'net debt' END AS under, CASE o_orderkey % 9 WHEN 2 THEN 'scale' WHEN 3 THEN 'currency' END AS off FROM orders""")
 def x11(spark, sf):
     k = F.col("o_orderkey")
     v = F.concat(F.floor(F.col("o_totalprice") / 10).cast("string"), F.lit(".5"))
+    n = (k % 87 + 11).cast("string")
     cases = [
         (F.concat(F.lit("Equity value of A$"), v, F.lit("m and net debt of A$3.1m")), "A$%sm"),
         (F.concat(F.lit("Net debt A$"), v, F.lit("m; equity value A$9.9m")), "A$%sm"),
@@ -140,10 +170,13 @@ def x11(spark, sf):
         (F.concat(F.lit("equity value NZ$"), v, F.lit("m")), "A$%sm"),
         (F.concat(F.lit("discount rate 7%, enterprise value "), v, F.lit(" in total")), "%s"),
         (F.concat(F.lit("The "), v, F.lit(" of equity value, franking credits 80%")), "%s"),
+        (F.concat(F.lit("equity value 9% – 10%, net debt 0."), n), "%s%%"),
+        (F.concat(F.lit("net debt of 1, equity value "), v, F.lit("–9e")), "%s"),
+        (F.concat(F.lit("net debt 3, "), v, F.lit(" is the equity value")), "%s"),
     ]
-    quote, stated = F.coalesce(*[F.when(k % 6 == i, q) for i, (q, _) in enumerate(cases)]), F.coalesce(*[F.when(k % 6 == i, F.format_string(s, v)) for i, (_, s) in enumerate(cases)])
-    f = spark.read.parquet(f"{sf}/orders.parquet").select(k.alias("fact_id"), F.lit("equity").alias("key"), stated.alias("stated"), quote.alias("quote"))
-    return docs.check_labels(f, _TERMS, _OTHER)
+    quote, stated = F.coalesce(*[F.when(k % 9 == i, q) for i, (q, _) in enumerate(cases)]), F.coalesce(*[F.when(k % 9 == i, F.format_string(s, n if i == 6 else v)) for i, (_, s) in enumerate(cases)])
+    f = spark.read.parquet(f"{sf}/orders.parquet").select(k.alias("fact_id"), F.lit("equity").alias("key"), stated.alias("stated"), quote.alias("quote"), (k % 9 == 6).alias("percent"))
+    return facts.check_labels(f, _TERMS, _OTHER)
 
 
 @query("x13_check_text_layer", """WITH o AS (SELECT o_custkey AS t, o_orderkey AS k, floor(o_totalprice / 1000)::BIGINT AS a, o_orderkey % 90 + 10 AS b FROM orders),
