@@ -132,13 +132,74 @@ def phases(flags: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where("_n > 1").drop("_g", "_n")
 
 
-def timing_rule(s: DataFrame, date: Column, by: list[str]) -> DataFrame:
-    """The one rule that holds for every period of a row: 1 after the date, 1 up to it, or constant; else null."""
-    v, after = F.col("value"), F.col("period_end") > date
-    g = s.groupBy(*by).agg(
-        F.every(v == F.when(after, 1.0).otherwise(0.0)).alias("a"), F.every(v == F.when(after, 0.0).otherwise(1.0)).alias("b"), (F.min(v) == F.max(v)).alias("c")
-    )
-    return g.select(*by, F.when(F.col("a"), "1 after date").when(F.col("b"), "1 up to date").when(F.col("c"), "constant").alias("rule"))
+#: Rules of a timing row, strongest first; bit i of a row's lattice is set while rule i holds for every period.
+TIMING = ["date", "end", "start", "year", "after", "up to", "constant"]
+
+
+def serial(d: Column) -> Column:
+    """A date as a spreadsheet's number."""
+    return F.date_diff(d, F.lit("1899-12-30").cast("date"))
+
+
+def from_serial(v: Column) -> Column:
+    return F.date_add(F.lit("1899-12-30").cast("date"), v.cast("int"))
+
+
+def _month_gaps(d: Column) -> Column:
+    months = lambda x: F.year(x) * 12 + F.month(x)
+    return F.zip_with(F.slice(d, 2, F.greatest(F.size(d) - 1, F.lit(0))), F.slice(d, 1, F.greatest(F.size(d) - 1, F.lit(0))), lambda y, x: months(y) - months(x))
+
+
+def _own_rule(values: Column) -> Column:
+    """The rule of a row that carries its own periods, learned from its values in order: year numbers one apart, or dates a
+    fixed number of months apart, on one day or at months' ends, of which the first and the last may be short stubs."""
+    n = F.size(values)
+    whole = F.forall(values, lambda v: v == F.floor(v))
+    years = F.forall(values, lambda v: v.between(1900, 2200))
+    one_apart = F.forall(F.zip_with(F.slice(values, 2, F.greatest(n - 1, F.lit(0))), F.slice(values, 1, F.greatest(n - 1, F.lit(0))), lambda y, x: y - x), lambda g: g == 1)
+    as_dates = F.forall(values, lambda v: (v > 3000) & (v < 120000))
+    d = F.transform(values, lambda v: from_serial(v))
+    gaps = _month_gaps(d)
+    inner = lambda x, k: F.when(F.size(x) > k, F.slice(x, 2, F.greatest(F.size(x) - 2, F.lit(0)))).otherwise(x)
+    body, days = inner(gaps, 2), inner(d, 3)
+    step = F.get(body, F.lit(0))
+    even = F.forall(body, lambda g: g == step) & (step > 0) & F.get(gaps, F.lit(0)).between(1, step) & F.get(gaps, F.size(gaps) - 1).between(1, step)
+    regular = F.forall(days, lambda x: x == F.last_day(x)) | (F.size(F.array_distinct(F.transform(days, lambda x: F.dayofmonth(x)))) == 1)
+    rule = F.when(years, F.when(one_apart, F.struct(F.lit("own years").alias("rule"), F.lit(12).alias("months")))).when(as_dates & even & regular, F.struct(F.lit("own dates").alias("rule"), step.cast("int").alias("months")))
+    return F.when((n >= 3) & whole, rule)
+
+
+def timing_rules(s: DataFrame, date: Column, by: list[str], sheet: list[str]) -> DataFrame:
+    """The one rule by which a row's values follow from its periods: (by, rule, offset, months), rule null if there is none.
+
+    ``s(by, period_end, value)``, ``period_end`` the date at the head of the column, ``sheet`` the columns of ``by`` that name its
+    sheet.  The rules, of which the first counts: the period's date, its end, its start; the year it ends in with an
+    ``offset`` of one at most; 1 after ``date`` or up to it; one constant; the row's own dates, ``months`` apart; its own years.
+    Where all dates of a sheet are firsts of a month they start the periods, whose length is the upper median of the
+    gaps.  Rows with one value have no rule.
+    """
+    g = s.select(*sheet, "period_end").distinct()
+    g = g.withColumn("_gap", F.date_diff("period_end", F.lag("period_end").over(Window.partitionBy(*sheet).orderBy("period_end"))))
+    g = g.groupBy(*sheet).agg(F.sort_array(F.collect_list("_gap")).alias("_g"), F.every(F.dayofmonth("period_end") == 1).alias("_starts"))
+    middle = F.get("_g", F.floor(F.size("_g") / 2).cast("int"))
+    g = g.select(*sheet, "_starts", F.coalesce(F.greatest(F.lit(1), F.round(middle / 30.44).cast("int")), F.lit(12)).alias("_len"))
+    d = s.where("value is not null").join(g, sheet)
+    t, v = F.col("period_end"), F.col("value")
+    end = F.when(F.col("_starts"), F.date_sub(F.add_months(t, F.col("_len")), 1)).otherwise(t)
+    start = F.when(F.col("_starts"), t).otherwise(F.date_add(F.add_months(t, -F.col("_len")), 1))
+    near = lambda x: F.abs(serial(x) - v) < 0.5
+    flag = lambda c: v == F.when(c, 1.0).otherwise(0.0)
+    offset = v - F.year(end)
+    holds = [near(t), near(end), near(start), F.abs(offset) <= 1, flag(end > date), flag(end <= date)]
+    bits = sum((F.when(F.coalesce(h, F.lit(False)), 1 << i).otherwise(0) for i, h in enumerate(holds)), F.lit(0))
+    d = d.withColumns({"_bits": bits, "_off": offset})
+    g = d.groupBy(*by).agg(F.count("*").alias("_n"), F.bit_and("_bits").alias("_bits"), F.min("_off").alias("_lo"), F.max("_off").alias("_hi"), F.min("value").alias("_v0"), F.max("value").alias("_v1"), F.array_sort(F.collect_list(F.struct("period_end", "value"))).alias("_p"))
+    on = lambda i: F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0
+    year = on(3) & (F.col("_lo") == F.col("_hi"))
+    known = [on(0), on(1), on(2), year, on(4), on(5), F.col("_v0") == F.col("_v1")]
+    rule = F.coalesce(*[F.when(c, F.lit(n)) for c, n in zip(known, TIMING)])
+    g = g.withColumn("_rule", F.when(F.col("_n") >= 2, rule)).withColumn("_own", F.when((F.col("_n") >= 2) & F.col("_rule").isNull(), _own_rule(F.transform("_p", lambda x: x["value"]))))
+    return g.select(*by, F.coalesce("_rule", F.col("_own.rule")).alias("rule"), F.when(F.col("_rule") == "year", F.col("_lo").cast("int")).alias("offset"), F.col("_own.months").alias("months"))
 
 
 def rolled(prior: DataFrame, current: DataFrame, matches: DataFrame, months: int) -> DataFrame:

@@ -124,15 +124,28 @@ def split_step(rolled: DataFrame, this: DataFrame, factor: DataFrame, values: Da
     return v.withColumn("finding", F.when(share > block_at, "block").when(share > check_at, "check").when(moves & (F.col("step") * cash < 0), "opposite").otherwise("ok"))
 
 
-def time_check(a: DataFrame, b: DataFrame, years: float) -> DataFrame:
-    """Cash flows of two runs matched by amount, in order: the rate that their values imply."""
+#: A discounting that moves on by a rate this far from its own, a year, is a point to check, or holds the value back.
+TIME_CHECK, TIME_HOLD = 0.005, 0.015
+
+
+def time_check(a: DataFrame, b: DataFrame, rates: DataFrame, years: float) -> DataFrame:
+    """Whether a roll moves each discounting on by its own rate: (core_id, pa, pb, matched, implied, off, finding).
+
+    ``a`` and ``b`` are two runs' cash flows and factors, ``years`` apart; ``rates(core_id, rate)``.  Cash flows meet by amount, to
+    nine significant digits, an amount that comes again in order; what one run alone has isn't matched.  Their present
+    values imply a rate; 'check' if it is over half a per cent from the discounting's own, 'hold' over one and a half.
+    """
+
     def numbered(d: DataFrame, pv: str) -> DataFrame:
-        d = d.where("cf <> 0 and factor <> 0").withColumn("amount", F.round("cf", 4))
+        d = d.where("cf <> 0 and factor <> 0").withColumn("amount", F.format_string("%.8e", "cf"))
         return d.withColumn("n", F.row_number().over(Window.partitionBy("core_id", "amount").orderBy("period_end"))).select("core_id", "amount", "n", (F.col("cf") * F.col("factor")).alias(pv))
 
     j = numbered(a, "pa").join(numbered(b, "pb"), ["core_id", "amount", "n"])
     g = j.groupBy("core_id").agg(F.sum("pa").alias("pa"), F.sum("pb").alias("pb"), F.count("*").alias("matched"))
-    return g.withColumn("implied", F.when(F.col("pa") / F.col("pb") > 0, F.pow(F.col("pb") / F.col("pa"), F.lit(1 / years)) - 1))
+    g = g.withColumn("implied", F.when(F.col("pa") / F.col("pb") > 0, F.pow(F.col("pb") / F.col("pa"), F.lit(1 / years)) - 1)).join(rates.select("core_id", "rate"), "core_id", "left")
+    off = F.col("implied") - F.col("rate")
+    finding = F.when(off.isNull(), F.lit(None)).when(F.abs(off) > TIME_HOLD, "hold").when(F.abs(off) > TIME_CHECK, "check").otherwise("ok")
+    return g.withColumns({"off": off, "finding": finding}).drop("rate")
 
 
 def methods(flows: DataFrame, discountings: DataFrame) -> DataFrame:
@@ -186,20 +199,29 @@ def fit_factors(factors: DataFrame, candidates: DataFrame, tol: float = 1e-9) ->
 
 
 def fit_terminal(cells: DataFrame, values: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """Which read cells make a terminal value: x (1 + g) / (r - g) or x / (r - g), with 0 <= g < r < 0.3.
+    """Which read cells make a terminal value: (core_id, form, x_cell, r_cell, g_cell, m_cell), one form for each value.
 
-    ``cells(core_id, cell, value)`` are the few cells that a terminal value reads; small cells are rates.
+    'flat' x / (r - g), 'grown' x (1 + g) / (r - g), with 0 <= g < r < 0.3, or else 'multiple' m x, with 0 < m < 100: the
+    multiple whose label speaks of one, then the smallest.  ``cells(core_id, cell, value, label)`` are what a terminal
+    value reads, ``values(core_id, tv)``.  Every form is a factor on x, so a value's logarithm is a factor's and x's
+    together: factors and cells meet in buckets of the logarithm, never as triples.
     """
-    rates = cells.where("value >= 0 and value < 0.3")
-    r = rates.select("core_id", F.col("cell").alias("r_cell"), F.col("value").alias("r"))
-    g = rates.select("core_id", F.col("cell").alias("g_cell"), F.col("value").alias("g"))
-    x = cells.where("abs(value) >= 0.3").select("core_id", F.col("cell").alias("x_cell"), F.col("value").alias("x"))
-    j = values.join(x, "core_id").join(r, "core_id").join(g, "core_id").where("g < r and g_cell <> r_cell")
-    near = lambda v: F.abs(v - F.col("tv")) <= tol * F.greatest(F.lit(1.0), F.abs("tv"))
-    grown, flat = near(F.col("x") * (1 + F.col("g")) / (F.col("r") - F.col("g"))), near(F.col("x") / (F.col("r") - F.col("g")))
-    j = j.withColumn("form", F.when(grown, "grown").when(flat, "flat")).where("form is not null")
-    w = Window.partitionBy("core_id").orderBy("form", "x_cell", "r_cell", "g_cell")
-    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("core_id", "form", "x_cell", "r_cell", "g_cell")
+    c = cells.join(values, "core_id").where("value <> 0 or value = 0 and tv <> 0").withColumn("_w", 2 * tol * F.greatest(F.lit(1.0), 1 / F.abs("tv")))
+    bucket = lambda v: F.floor(F.log(v) / F.col("_w"))
+    x = c.where("value <> 0 and sign(value) = sign(tv)").select("core_id", F.col("cell").alias("x_cell"), F.col("value").alias("x"), F.explode(F.sequence(bucket(F.abs("value")) - 1, bucket(F.abs("value")) + 1)).alias("b"))
+    rate = c.where("value >= 0 and value < 0.3")
+    r = rate.select("core_id", "tv", "_w", F.col("cell").alias("r_cell"), F.col("value").alias("r"))
+    g = rate.select("core_id", F.col("cell").alias("g_cell"), F.col("value").alias("g"))
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    form = F.explode(F.array(F.struct(F.lit("flat").alias("form"), (1 / (F.col("r") - F.col("g"))).alias("k")), F.struct(F.lit("grown").alias("form"), ((1 + F.col("g")) / (F.col("r") - F.col("g"))).alias("k"))))
+    gordon = r.join(g, "core_id").where("g < r and g_cell <> r_cell").select("core_id", "tv", "_w", form.alias("f"), "r_cell", "g_cell").select("core_id", "tv", "_w", "f.form", "f.k", "r_cell", "g_cell", text.alias("m_cell"), none.alias("m"), F.lit(0).alias("unnamed"))
+    unnamed = (~F.coalesce(F.col("label"), F.lit("")).rlike(r"(?i)multiple|exit|ev\s*/|\bx\b|times")).cast("int")
+    multiple = c.where("value > 0 and value < 100").select("core_id", "tv", "_w", F.lit("multiple").alias("form"), F.col("value").alias("k"), text.alias("r_cell"), text.alias("g_cell"), F.col("cell").alias("m_cell"), F.col("value").alias("m"), unnamed.alias("unnamed"))
+    f = gordon.union(multiple).withColumn("b", bucket(F.abs("tv") / F.col("k")))
+    j = f.join(x, ["core_id", "b"]).where(F.abs(F.col("k") * F.col("x") - F.col("tv")) <= tol * F.greatest(F.lit(1.0), F.abs("tv")))
+    j = j.where("(r_cell is null or x_cell <> r_cell) and (g_cell is null or x_cell <> g_cell) and (m_cell is null or x_cell <> m_cell)")
+    order = F.struct((F.col("form") == "multiple").alias("later"), "form", "unnamed", "m", "m_cell", "x_cell", "r_cell", "g_cell")
+    return j.groupBy("core_id").agg(F.min(order).alias("o")).select("core_id", "o.form", "o.x_cell", "o.r_cell", "o.g_cell", "o.m_cell")
 
 
 def zero_roll(values: DataFrame) -> DataFrame:
@@ -225,7 +247,7 @@ def roll_months(prior: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def roll_plan(dates: DataFrame, prior: DataFrame, current: DataFrame, most: int = 24, sheets: int = 5) -> DataFrame:
-    """How far each engagement rolls, and how that is known: (workbook_id, months, how, new_date).
+    """How far each engagement rolls, how that is known, and its horizon: (workbook_id, months, how, new_date, base, horizon).
 
     ``dates(workbook_id, overlay_date, prior_date, current_date, this_date)``.  In order: to the date set for this year
     (set); from the overlay's to this year's model's, if later (model), and no roll if it isn't (check); between the two
@@ -249,7 +271,41 @@ def roll_plan(dates: DataFrame, prior: DataFrame, current: DataFrame, most: int
     to = F.when(h == "set", F.col("this_date")).when(h.isin("model", "models"), F.col("current_date")).when(h == "check", F.col("overlay_date"))
     months = F.when(h.isin("set", "model", "models"), apart(base, to)).when(h == "check", 0).when(h == "timelines", F.col("moved")).otherwise(12)
     end = F.when(base == F.last_day(base), F.last_day(F.add_months(base, months))).otherwise(F.add_months(base, months))
-    return d.select("workbook_id", months.alias("months"), "how", F.coalesce(to, end).alias("new_date"))
+    d = d.join(horizons(prior, current).select("workbook_id", "horizon"), "workbook_id", "left")
+    return d.select("workbook_id", months.alias("months"), "how", F.coalesce(to, end).alias("new_date"), base.alias("base"), "horizon")
+
+
+def horizons(prior: DataFrame, current: DataFrame) -> DataFrame:
+    """(workbook_id, horizon, fixed, rolling): whether this year's periods end where last year's did.
+
+    Every sheet that both years have with two periods and more votes: fixed if its last period is the same, else
+    rolling; the workbook is fixed if more sheets are.  Without such sheets it has no row.
+    """
+    span = lambda d, n: d.groupBy("workbook_id", "sheet").agg(F.max("period_end").alias(n), F.count_distinct("period_end").alias(f"_{n}")).where(F.col(f"_{n}") >= 2)
+    j = span(prior, "a").join(span(current, "b"), ["workbook_id", "sheet"])
+    g = j.groupBy("workbook_id").agg(F.count_if(F.col("a") == F.col("b")).alias("fixed"), F.count_if(F.col("a") != F.col("b")).alias("rolling"))
+    return g.select("workbook_id", F.when(F.col("fixed") > F.col("rolling"), "fixed").otherwise("rolling").alias("horizon"), "fixed", "rolling")
+
+
+def period_shifts(prior: DataFrame, plan: DataFrame) -> DataFrame:
+    """(workbook_id, sheet, months, shift): how far each sheet's periods move, the whole ones that end between the dates.
+
+    ``plan(workbook_id, base, months, horizon)``: the date rolled from, how far, and whether the horizon is fixed, in which
+    case nothing moves.  Periods headed by firsts of a month end the day before the next starts.  Without a base date as
+    many whole periods move as fit.  A sheet with one period stays.
+    """
+    d = prior.select("workbook_id", "sheet", "period_end").distinct()
+    d = d.withColumn("_gap", F.date_diff("period_end", F.lag("period_end").over(Window.partitionBy("workbook_id", "sheet").orderBy("period_end"))))
+    g = d.groupBy("workbook_id", "sheet").agg(F.sort_array(F.collect_list("_gap")).alias("_g"), F.every(F.dayofmonth("period_end") == 1).alias("_starts"))
+    length = F.greatest(F.lit(1), F.round(F.get("_g", F.floor(F.size("_g") / 2).cast("int")) / 30.44).cast("int"))
+    g = g.select("workbook_id", "sheet", "_starts", length.alias("len")).join(plan, "workbook_id")
+    x = d.join(g, ["workbook_id", "sheet"])
+    end = F.when(F.col("_starts"), F.date_sub(F.add_months("period_end", F.col("len")), 1)).otherwise(F.col("period_end"))
+    to = F.when(F.col("base") == F.last_day("base"), F.last_day(F.add_months("base", F.col("months")))).otherwise(F.add_months("base", F.col("months")))
+    n = x.groupBy("workbook_id", "sheet").agg(F.count_if((end > F.col("base")) & (end <= to)).alias("n"), *[F.first(c).alias(c) for c in ("len", "base", "months", "horizon")])
+    whole = F.when(F.col("base").isNotNull(), F.col("n")).otherwise(F.floor(F.greatest(F.col("months"), F.lit(0)) / F.col("len")))
+    still = (F.col("months") == 0) | (F.col("horizon") == "fixed") | F.col("len").isNull()
+    return n.select("workbook_id", "sheet", "months", F.when(F.coalesce(still, F.lit(False)), 0).otherwise(F.col("len") * whole).cast("int").alias("shift"))
 
 
 def conclusion(facts: DataFrame) -> DataFrame:

@@ -181,27 +181,27 @@ def a13(spark, sf):
     return d.groupBy("workbook_id", "sheet").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")])
 
 
-_LIKE = lambda least: f"""{cte('fleet_items')}, k AS (SELECT DISTINCT workbook_id AS w, 's' AS kind, sheet AS key FROM fleet_items UNION ALL SELECT workbook_id, 'i', concat(sheet, chr(1), label) FROM fleet_items UNION ALL SELECT workbook_id, 'f', concat(sheet, chr(1), label, chr(1), shape) FROM fleet_items),
+_LIKE = f"""{cte('fleet_items')}, k AS (SELECT DISTINCT workbook_id AS w, 's' AS kind, sheet AS key FROM fleet_items UNION ALL SELECT workbook_id, 'i', concat(sheet, chr(1), label) FROM fleet_items UNION ALL SELECT workbook_id, 'f', concat(sheet, chr(1), label, chr(1), shape) FROM fleet_items),
     n AS (SELECT w, kind, key, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT w, sum(n) FILTER (kind = 's') AS s, sum(n) FILTER (kind = 'i') AS i, sum(n) FILTER (kind = 'f') AS f FROM n GROUP BY 1),
     j AS (SELECT x.w AS a, y.w AS b, coalesce(sum(least(x.n, y.n)) FILTER (kind = 's'), 0) AS s, coalesce(sum(least(x.n, y.n)) FILTER (kind = 'i'), 0) AS i, coalesce(sum(least(x.n, y.n)) FILTER (kind = 'f'), 0) AS f FROM n x JOIN n y USING (kind, key) WHERE x.w < y.w GROUP BY 1, 2),
     v AS (SELECT a, b, j.s / (p.s + q.s - j.s) AS sj, j.i / (p.i + q.i - j.i) AS ij, j.f / (p.f + q.f - j.f) AS fj, j.i / p.i AS ab, j.i / q.i AS ba, p.s AS sheets_a, q.s AS sheets_b, p.i AS items_a, q.i AS items_b FROM j JOIN t p ON p.w = a JOIN t q ON q.w = b),
     l AS (SELECT a, b, round(100 * (0.2 * sj + 0.45 * ij + 0.35 * fj))::INT AS similarity, round(100 * sj)::INT AS sheets, round(100 * ij)::INT AS line_items, round(100 * fj)::INT AS formulas, round(100 * ab)::INT AS a_in_b, round(100 * ba)::INT AS b_in_a,
-      sheets_a::BIGINT AS sheets_a, sheets_b::BIGINT AS sheets_b, items_a::BIGINT AS items_a, items_b::BIGINT AS items_b FROM v WHERE greatest(ab, ba) >= {least})"""
+      sheets_a::BIGINT AS sheets_a, sheets_b::BIGINT AS sheets_b, items_a::BIGINT AS items_a, items_b::BIGINT AS items_b FROM v)"""
 
 
-@query("j27_likeness", f"{_LIKE(0.1)} SELECT * FROM l")
+@query("j27_likeness", f"{_LIKE} SELECT * FROM l WHERE similarity >= 30 OR greatest(a_in_b, b_in_a) >= 80")
 def j27(spark, sf):
     return match.likeness(view(spark, sf, "fleet_items"))
 
 
-@query("j28_families", f"""{_LIKE(0.35).replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT a, b FROM l WHERE similarity >= 50 UNION SELECT b, a FROM l WHERE similarity >= 50), r AS (SELECT a AS m, a AS f FROM e UNION SELECT e.b, r.f FROM r JOIN e ON e.a = r.m), fam AS (SELECT m AS w, min(f) AS family FROM r GROUP BY 1),
+@query("j28_families", f"""{_LIKE.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT a, b FROM l WHERE similarity >= 50 UNION SELECT b, a FROM l WHERE similarity >= 50), r AS (SELECT a AS m, a AS f FROM e UNION SELECT e.b, r.f FROM r JOIN e ON e.a = r.m), fam AS (SELECT m AS w, min(f) AS family FROM r GROUP BY 1),
     o AS (SELECT b AS w, a AS host, a_in_b AS held, items_a AS n FROM l WHERE a_in_b >= 80 AND sheets_a < sheets_b UNION ALL SELECT a, b, b_in_a, items_b FROM l WHERE b_in_a >= 80 AND sheets_b < sheets_a),
     h AS (FROM o QUALIFY row_number() OVER (PARTITION BY w ORDER BY held DESC, n DESC, host) = 1), own AS (SELECT DISTINCT workbook_id AS w, sheet FROM fleet_items),
     x AS (SELECT h.w, string_agg(own.sheet, ',' ORDER BY own.sheet) AS extra FROM h JOIN own ON own.w = h.w ANTI JOIN own q ON q.w = h.host AND q.sheet = own.sheet GROUP BY 1)
     SELECT coalesce(fam.w, h.w) AS member, family, host, held, CASE WHEN h.w IS NOT NULL THEN coalesce(extra, '') END AS extra FROM fam FULL JOIN h ON h.w = fam.w LEFT JOIN x ON x.w = h.w""")
 def j28(spark, sf):
     items = view(spark, sf, "fleet_items")
-    pairs = written(match.likeness(items, 0.35), "likeness")
+    pairs = written(match.likeness(items, similar=50), "likeness")
     fam = graph.families(pairs.where("similarity >= 50"), "a", "b")
     return fam.join(match.hosts(pairs, items).withColumnRenamed("workbook_id", "member"), "member", "full")
 

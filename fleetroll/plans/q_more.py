@@ -48,30 +48,37 @@ def v5(spark, sf):
     return value.fit_factors(f.select("core_id", "period_end", "start", "factor"), c).select("core_id", "date", "timing", "day_count", F.round("rate", 6).alias("rate"))
 
 
-_V10 = f"""{cte('discountings')}, d AS (SELECT core_id, rate AS r, 0.011 + core_id % 4 * 0.005 AS g, 100.0 + core_id AS x FROM discountings), c AS (SELECT core_id, unnest(['x', 'r', 'g', 'other', 'share', 'nil']) AS cell, unnest([x, r, g, 7.5, 0.5, 0.0]) AS value FROM d),
-    t AS (SELECT core_id, CASE core_id % 3 WHEN 0 THEN x * (1 + g) / (r - g) WHEN 1 THEN x / (r - g) ELSE x / r * 1.001 END AS tv FROM d)"""
+_V10 = f"""{cte('discountings')}, d AS (SELECT core_id, rate AS r, 0.011 + core_id % 4 * 0.005 AS g, 100.0 + core_id AS x FROM discountings), c AS (SELECT core_id, unnest(['x', 'r', 'g', 'other', 'share', 'nil', 'm', 'n']) AS cell, unnest([x, r, g, 7.5, 0.5, 0.0, 8.25 + core_id % 5, x / 4]) AS value, unnest(['Cash flow', 'Rate', 'Growth', 'Other', 'Share', '', 'Exit multiple', 'Capacity']) AS label FROM d),
+    t AS (SELECT core_id, CASE core_id % 5 WHEN 0 THEN x * (1 + g) / (r - g) WHEN 1 THEN x / (r - g) WHEN 2 THEN x * (8.25 + core_id % 5) WHEN 3 THEN x * 7.5 ELSE x / r * 1.001 END AS tv FROM d)"""
 
 
-@query("v10_fit_terminal", f"""{_V10}, j AS (SELECT t.core_id, tv, a.cell AS x_cell, a.value AS x, b.cell AS r_cell, b.value AS r, e.cell AS g_cell, e.value AS g FROM t JOIN c a USING (core_id) JOIN c b USING (core_id) JOIN c e USING (core_id) WHERE abs(a.value) >= 0.3 AND b.value >= 0 AND b.value < 0.3 AND e.value >= 0 AND e.value < 0.3 AND e.value < b.value AND e.cell <> b.cell),
-    k AS (SELECT *, CASE WHEN abs(x * (1 + g) / (r - g) - tv) <= 1e-6 * greatest(1, abs(tv)) THEN 'grown' WHEN abs(x / (r - g) - tv) <= 1e-6 * greatest(1, abs(tv)) THEN 'flat' END AS form FROM j)
-    SELECT core_id, form, x_cell, r_cell, g_cell FROM k WHERE form IS NOT NULL QUALIFY row_number() OVER (PARTITION BY core_id ORDER BY form, x_cell, r_cell, g_cell) = 1""")
+@query("v10_fit_terminal", f"""{_V10}, j AS (SELECT t.core_id, tv, a.cell AS x_cell, a.value AS x, b.cell AS r_cell, b.value AS r, e.cell AS g_cell, e.value AS g FROM t JOIN c a USING (core_id) JOIN c b USING (core_id) JOIN c e USING (core_id) WHERE a.value <> 0 AND b.value >= 0 AND b.value < 0.3 AND e.value >= 0 AND e.value < 0.3 AND e.value < b.value AND e.cell <> b.cell AND a.cell <> b.cell AND a.cell <> e.cell),
+    k AS (SELECT *, CASE WHEN abs(x / (r - g) - tv) <= 1e-6 * greatest(1, abs(tv)) THEN 'flat' WHEN abs(x * (1 + g) / (r - g) - tv) <= 1e-6 * greatest(1, abs(tv)) THEN 'grown' END AS form FROM j),
+    m AS (SELECT t.core_id, a.cell AS x_cell, b.cell AS m_cell, b.value AS m, NOT regexp_matches(b.label, '(?i)multiple|exit|ev *\\/|\\bx\\b|times') AS u FROM t JOIN c a USING (core_id) JOIN c b USING (core_id) WHERE a.cell <> b.cell AND b.value > 0 AND b.value < 100 AND abs(a.value * b.value - tv) <= 1e-6 * greatest(1, abs(tv))),
+    o AS (SELECT core_id, 0 AS l, form, false AS u, NULL AS m, NULL AS m_cell, x_cell, r_cell, g_cell FROM k WHERE form IS NOT NULL UNION ALL SELECT core_id, 1, 'multiple', u, m, m_cell, x_cell, NULL, NULL FROM m)
+    SELECT core_id, form, x_cell, r_cell, g_cell, m_cell FROM o QUALIFY row_number() OVER (PARTITION BY core_id ORDER BY l, form, u, m, m_cell, x_cell, r_cell, g_cell) = 1""")
 def v10(spark, sf):
-    d = view(spark, sf, "discountings").select("core_id", F.col("rate").alias("r"), (0.011 + F.col("core_id") % 4 * 0.005).alias("g"), (100.0 + F.col("core_id")).alias("x"))
-    cells = d.select("core_id", F.explode(F.array(*[F.struct(F.lit(n).alias("cell"), v.alias("value")) for n, v in (("x", F.col("x")), ("r", F.col("r")), ("g", F.col("g")), ("other", F.lit(7.5)), ("share", F.lit(0.5)), ("nil", F.lit(0.0)))])).alias("c")).select("core_id", "c.*")
+    """Growing and flat perpetuities, multiples with a name and without, and values that nothing makes."""
+    k = F.col("core_id")
+    d = view(spark, sf, "discountings").select("core_id", F.col("rate").alias("r"), (0.011 + k % 4 * 0.005).alias("g"), (100.0 + k).alias("x"), (8.25 + k % 5).alias("m"))
+    names = [("x", F.col("x"), "Cash flow"), ("r", F.col("r"), "Rate"), ("g", F.col("g"), "Growth"), ("other", F.lit(7.5), "Other"), ("share", F.lit(0.5), "Share"), ("nil", F.lit(0.0), ""), ("m", F.col("m"), "Exit multiple"), ("n", F.col("x") / 4, "Capacity")]
+    cells = d.select("core_id", F.explode(F.array(*[F.struct(F.lit(n).alias("cell"), v.alias("value"), F.lit(l).alias("label")) for n, v, l in names])).alias("c")).select("core_id", "c.*")
     gap = F.col("r") - F.col("g")
-    tv = F.when(F.col("core_id") % 3 == 0, F.col("x") * (1 + F.col("g")) / gap).when(F.col("core_id") % 3 == 1, F.col("x") / gap).otherwise(F.col("x") / F.col("r") * 1.001)
+    tv = F.when(k % 5 == 0, F.col("x") * (1 + F.col("g")) / gap).when(k % 5 == 1, F.col("x") / gap).when(k % 5 == 2, F.col("x") * F.col("m")).when(k % 5 == 3, F.col("x") * 7.5).otherwise(F.col("x") / F.col("r") * 1.001)
     return value.fit_terminal(cells, d.select("core_id", tv.alias("tv")))
 
 
-@query("v17_time_check", f"""{_PV}, k AS (SELECT * REPLACE ((valuation_date + INTERVAL 12 MONTH)::DATE AS valuation_date) FROM discountings), g AS ({sql_factors('flows', 'k')}),
-    a AS (SELECT core_id, round(cf, 4) AS amount, row_number() OVER (PARTITION BY core_id, round(cf, 4) ORDER BY period_end) AS n, cf * factor AS pa FROM f WHERE cf <> 0 AND factor <> 0),
-    b AS (SELECT core_id, round(cf, 4) AS amount, row_number() OVER (PARTITION BY core_id, round(cf, 4) ORDER BY period_end) AS n, cf * factor AS pb FROM g WHERE cf <> 0 AND factor <> 0),
-    s AS (SELECT core_id, sum(pa) AS pa, sum(pb) AS pb, count(*)::BIGINT AS matched FROM a JOIN b USING (core_id, amount, n) GROUP BY 1)
-    SELECT core_id, round(pa, 4) AS pa, round(pb, 4) AS pb, matched, CASE WHEN pa / pb > 0 THEN round(pb / pa - 1, 9) END AS implied FROM s""")
+@query("v17_time_check", f"""{_PV}, k AS (SELECT * REPLACE ((valuation_date + INTERVAL 12 MONTH)::DATE AS valuation_date, CASE core_id % 4 WHEN 1 THEN rate + 0.002 WHEN 2 THEN rate + 0.004 ELSE rate END AS rate) FROM discountings), g AS ({sql_factors('flows', 'k')}),
+    a AS (SELECT core_id, printf('%.8e', cf) AS amount, row_number() OVER (PARTITION BY core_id, printf('%.8e', cf) ORDER BY period_end) AS n, cf * factor AS pa FROM f WHERE cf <> 0 AND factor <> 0),
+    b AS (SELECT core_id, printf('%.8e', cf * 1.0000000000001) AS amount, row_number() OVER (PARTITION BY core_id, printf('%.8e', cf * 1.0000000000001) ORDER BY period_end) AS n, cf * 1.0000000000001 * factor AS pb FROM g WHERE cf <> 0 AND factor <> 0),
+    s AS (SELECT core_id, sum(pa) AS pa, sum(pb) AS pb, count(*)::BIGINT AS matched FROM a JOIN b USING (core_id, amount, n) GROUP BY 1), i AS (SELECT *, CASE WHEN pa / pb > 0 THEN pb / pa - 1 END AS implied FROM s)
+    SELECT core_id, round(pa, 4) AS pa, round(pb, 4) AS pb, matched, round(implied, 9) AS implied, round(implied - rate, 9) AS "off", CASE WHEN abs(implied - rate) > 0.015 THEN 'hold' WHEN abs(implied - rate) > 0.005 THEN 'check' WHEN implied IS NOT NULL THEN 'ok' END AS finding FROM i JOIN discountings USING (core_id)""")
 def v17(spark, sf):
+    """The second run's amounts differ from the ninth digit on, and some of its discountings move by another rate."""
     flows, d = view(spark, sf, "flows"), view(spark, sf, "discountings")
-    out = value.time_check(fin.factors(flows, d), fin.factors(flows, d.withColumn("valuation_date", F.add_months("valuation_date", 12))), 1.0)
-    return out.select("core_id", F.round("pa", 4).alias("pa"), F.round("pb", 4).alias("pb"), "matched", F.round("implied", 9).alias("implied"))
+    later = d.withColumns({"valuation_date": F.add_months("valuation_date", 12), "rate": F.col("rate") + F.when(F.col("core_id") % 4 == 1, 0.002).when(F.col("core_id") % 4 == 2, 0.004).otherwise(0.0)})
+    out = value.time_check(fin.factors(flows, d), fin.factors(flows.withColumn("cf", F.col("cf") * 1.0000000000001), later), d, 1.0)
+    return out.select("core_id", F.round("pa", 4).alias("pa"), F.round("pb", 4).alias("pb"), "matched", F.round("implied", 9).alias("implied"), F.round("off", 9).alias("off"), "finding")
 
 
 @query("v18_zero_roll", """SELECT c_custkey, round(1 + c_acctbal / 20000, 9) AS ratio, CASE WHEN NOT 1 + c_acctbal / 20000 BETWEEN 0.75 AND 1.33 THEN 'off' WHEN NOT 1 + c_acctbal / 20000 BETWEEN 0.87 AND 1.15 THEN 'confirm' ELSE 'ok' END AS verdict FROM customer""")

@@ -89,10 +89,34 @@ def t12(spark, sf):
     return shape.period_ends(s, ["o_custkey"])
 
 
-@query("t13_timing_rule", f"""{_S}, g AS (SELECT {K}, bool_and(value = CASE WHEN period_end > DATE '1998-06-30' THEN 1 ELSE 0 END) AS a, bool_and(value = CASE WHEN period_end > DATE '1998-06-30' THEN 0 ELSE 1 END) AS b, min(value) = max(value) AS c FROM s GROUP BY ALL)
-    SELECT {K}, CASE WHEN a THEN '1 after date' WHEN b THEN '1 up to date' WHEN c THEN 'constant' END AS rule FROM g""")
+@query("t13_timing_rule", f"""{_S}, g AS (SELECT {K}, count(*) AS n, bool_and(value = CASE WHEN period_end > DATE '1998-06-30' THEN 1 ELSE 0 END) AS a, bool_and(value = CASE WHEN period_end > DATE '1998-06-30' THEN 0 ELSE 1 END) AS b, min(value) = max(value) AS c FROM s GROUP BY ALL)
+    SELECT {K}, CASE WHEN n < 2 THEN NULL WHEN a THEN 'after' WHEN b THEN 'up to' WHEN c THEN 'constant' END AS rule FROM g""")
 def t13(spark, sf):
-    return shape.timing_rule(_shaped(spark, sf), F.lit("1998-06-30").cast("date"), KEY)
+    return shape.timing_rules(_shaped(spark, sf), F.lit("1998-06-30").cast("date"), KEY, ["workbook_id", "sheet"]).select(*KEY, "rule")
+
+
+#: Rows of parts by what their values are; periods are years' ends, or years' starts in every third workbook.
+_T13 = """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, 'S' AS sheet, p_partkey % 50 + 1 AS row_no, k, p_partkey % 13 AS c, p_size AS z, CASE WHEN CAST(floor(p_partkey / 50) AS BIGINT) % 3 = 0 THEN make_date(2020 + k, 1, 1) ELSE make_date(2019 + k, 12, 31) END AS period_end
+    FROM {part} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) v(k)) x"""
+
+
+@query("t13_timing_rules", f"""WITH r AS (SELECT DISTINCT workbook_id, sheet, row_no, c, z, workbook_id % 3 = 0 AS st FROM ({_T13.format(part="part")}) q)
+    SELECT workbook_id, sheet, row_no, CASE c WHEN 0 THEN 'date' WHEN 1 THEN CASE WHEN st THEN 'end' ELSE 'date' END WHEN 2 THEN CASE WHEN st THEN 'date' ELSE 'start' END WHEN 3 THEN 'year' WHEN 4 THEN 'after' WHEN 5 THEN 'up to' WHEN 6 THEN 'constant' WHEN 7 THEN 'own dates' WHEN 8 THEN 'own dates' WHEN 9 THEN 'own years' END AS rule,
+      CASE WHEN c = 3 THEN z % 3 - 1 END::INT AS "offset", CASE c WHEN 7 THEN 3 WHEN 8 THEN 6 WHEN 9 THEN 12 END::INT AS months FROM r""")
+def t13_rules(spark, sf):
+    """Every rule, and rows near one: a date of one period off, years with a gap, dates of uneven months."""
+    p = spark.sql(_T13, part=spark.read.parquet(f"{sf}/part.parquet"))
+    c, k, t = F.col("c"), F.col("k"), F.col("period_end")
+    starts = F.dayofmonth(t) == 1
+    end, start = F.when(starts, F.date_sub(F.add_months(t, 12), 1)).otherwise(t), F.when(starts, t).otherwise(F.date_add(F.add_months(t, -12), 1))
+    own = lambda first, months: shape.serial(F.last_day(F.add_months(F.lit(first).cast("date"), months)))
+    flag = F.when(end > "2022-06-30", 1.0).otherwise(0.0)
+    values = [
+        shape.serial(t), shape.serial(end), shape.serial(start), F.year(end) + F.col("z") % 3 - 1, flag, 1 - flag, F.col("z") + 2, own("2030-01-31", 3 * k), own("2030-02-28", 6 * k - F.when(k == 5, 2).otherwise(0)),
+        2001 + k, shape.serial(t) + F.when(k == 3, 1).otherwise(0), 2001 + k + F.when(k > 2, 1).otherwise(0), own("2030-01-31", k * (k + 1)),
+    ]
+    v = F.coalesce(*[F.when(c == i, x.cast("double")) for i, x in enumerate(values)])
+    return shape.timing_rules(p.withColumn("value", v), F.lit("2022-06-30").cast("date"), KEY, ["workbook_id", "sheet"])
 
 
 @query("t16_phases", f"""{cte('series')}, p AS (SELECT workbook_id, sheet, period_end, CASE WHEN period_end <= DATE '1996-12-31' THEN 'Actual' WHEN year(period_end) % 2 = 0 THEN 'Budget' ELSE 'Forecast' END AS phase FROM series WHERE row_no = 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetroll.operators import value
@@ -64,9 +65,34 @@ _V22 = "SELECT DISTINCT l_suppkey AS workbook_id, CASE WHEN l_suppkey % 3 > 0 TH
     m AS (SELECT workbook_id, (year(b) - year(a)) * 12 + month(b) - month(a) AS mo, count(*) AS n FROM a GROUP BY 1, 2), s AS (SELECT *, sum(n) OVER (PARTITION BY workbook_id) AS seen FROM m), mv AS (SELECT workbook_id, mo FROM s WHERE mo > 0 AND mo <= 24 AND seen >= 3 QUALIFY row_number() OVER (PARTITION BY workbook_id ORDER BY n DESC, mo) = 1),
     h AS (SELECT d.*, mo, coalesce(overlay_date, prior_date) AS base, CASE WHEN this_date > coalesce(overlay_date, prior_date) THEN 'set' WHEN model_date > overlay_date THEN 'model' WHEN overlay_date IS NOT NULL AND model_date IS NOT NULL THEN 'check' WHEN overlay_date IS NULL AND model_date > prior_date THEN 'models' WHEN mo IS NOT NULL THEN 'timelines' ELSE 'assumed' END AS how FROM d LEFT JOIN mv USING (workbook_id)),
     k AS (SELECT *, CASE how WHEN 'set' THEN this_date WHEN 'model' THEN model_date WHEN 'models' THEN model_date WHEN 'check' THEN overlay_date END AS t FROM h),
+    e AS (SELECT workbook_id, sheet, max(period_end) AS z0, last_day((max(period_end) + to_months((CASE WHEN sheet = 'R' THEN 6 WHEN workbook_id % 10 = 4 THEN 36 ELSE 12 END)::INT))::DATE) AS z1 FROM series GROUP BY 1, 2 HAVING count(DISTINCT period_end) > 1),
+    hz AS (SELECT workbook_id, CASE WHEN count(*) FILTER (workbook_id % 6 = 5 AND sheet <> 'R') > count(*) FILTER (NOT (workbook_id % 6 = 5 AND sheet <> 'R')) THEN 'fixed' ELSE 'rolling' END AS horizon FROM e GROUP BY 1),
     z AS (SELECT *, (CASE WHEN how IN ('set', 'model', 'models') THEN (year(t) - year(base)) * 12 + month(t) - month(base) WHEN how = 'check' THEN 0 WHEN how = 'timelines' THEN mo ELSE 12 END)::INT AS months FROM k)
-    SELECT workbook_id, months, how, coalesce(t, last_day((base + to_months(months))::DATE)) AS new_date FROM z""")
+    SELECT workbook_id, months, how, coalesce(t, last_day((base + to_months(months))::DATE)) AS new_date, horizon FROM z LEFT JOIN hz USING (workbook_id)""")
 def v22_plan(spark, sf):
+    return _plan(spark, sf).drop("base")
+
+
+def _plan(spark, sf):
     s = view(spark, sf, "series")
     by = F.when(F.col("sheet") == "R", 6).when(F.col("workbook_id") % 10 == 4, 36).otherwise(12)
-    return value.roll_plan(table(spark, sf, _V22).withColumnRenamed("model_date", "current_date"), s, s.withColumn("period_end", F.last_day(F.add_months("period_end", by))), sheets=3)
+    moved = F.last_day(F.add_months("period_end", by))
+    # some end where they did: periods that would go beyond the sheet's last are gathered on it
+    last = F.max("period_end").over(Window.partitionBy("workbook_id", "sheet"))
+    now = s.withColumn("period_end", F.when((F.col("workbook_id") % 6 == 5) & (F.col("sheet") != "R") & (moved > last), last).otherwise(moved))
+    return value.roll_plan(table(spark, sf, _V22).withColumnRenamed("model_date", "current_date"), s, now, sheets=3)
+
+
+@query("v22_period_shifts", f"""{cte('series')}, p AS (SELECT DISTINCT workbook_id, CASE WHEN workbook_id % 5 > 0 THEN make_date(1995, 3, 31) END AS base, (workbook_id % 7) * 3 AS months, CASE WHEN workbook_id % 4 = 1 THEN 'fixed' ELSE 'rolling' END AS horizon FROM series),
+    d AS (SELECT DISTINCT workbook_id, CASE sheet WHEN 'A' THEN 'years' WHEN 'N' THEN 'quarters' ELSE 'starts' END AS sheet, CASE sheet WHEN 'A' THEN make_date(year(period_end), 12, 31) WHEN 'N' THEN last_day(make_date(year(period_end), quarter(period_end) * 3, 1)) ELSE make_date(year(period_end), 7, 1) END AS period_end FROM series),
+    g AS (SELECT *, period_end - lag(period_end) OVER (PARTITION BY workbook_id, sheet ORDER BY period_end) AS gap FROM d), l AS (SELECT workbook_id, sheet, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gs FROM g GROUP BY 1, 2),
+    k AS (SELECT workbook_id, sheet, CASE WHEN len(gs) > 0 THEN greatest(1, round(gs[len(gs) // 2 + 1] / 30.44)::INT) END AS len FROM l),
+    x AS (SELECT d.workbook_id, d.sheet, len, base, months, horizon, CASE WHEN d.sheet = 'starts' THEN ((period_end + to_months(len))::DATE - 1)::DATE ELSE period_end END AS e, last_day((base + to_months(months::INT))::DATE) AS t FROM d JOIN k USING (workbook_id, sheet) JOIN p USING (workbook_id))
+    SELECT workbook_id, sheet, any_value(months)::INT AS months, CASE WHEN any_value(months) = 0 OR any_value(horizon) = 'fixed' OR any_value(len) IS NULL THEN 0 WHEN any_value(base) IS NULL THEN any_value(len) * (any_value(months) // any_value(len)) ELSE any_value(len) * count(*) FILTER (e > base AND e <= t) END::INT AS shift FROM x GROUP BY 1, 2""")
+def v22_shifts(spark, sf):
+    s = view(spark, sf, "series")
+    w, d, q = F.col("workbook_id"), F.col("period_end"), F.col("sheet")
+    plan = s.select("workbook_id").distinct().select("workbook_id", F.when(w % 5 > 0, F.lit("1995-03-31").cast("date")).alias("base"), (w % 7 * 3).cast("int").alias("months"), F.when(w % 4 == 1, "fixed").otherwise("rolling").alias("horizon"))
+    kind = F.when(q == "A", "years").when(q == "N", "quarters").otherwise("starts")
+    end = F.when(q == "A", F.make_date(F.year(d), F.lit(12), F.lit(31))).when(q == "N", F.last_day(F.make_date(F.year(d), F.quarter(d) * 3, F.lit(1)))).otherwise(F.make_date(F.year(d), F.lit(7), F.lit(1)))
+    return value.period_shifts(s.select("workbook_id", kind.alias("sheet"), end.alias("period_end")), plan)

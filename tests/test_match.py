@@ -1,8 +1,9 @@
 """Row matching against brute force."""
 
 import datetime
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from fleetroll.operators import evidence, match, structure
 
@@ -200,3 +201,36 @@ def test_diff_of_models(spark):
     want = {(2, None, None, "row removed"), (4, 4, None, "row renamed"), (None, 6, None, "row added")}
     want |= {(1, 2, day(t), "output changed") for t in (1, 2)} | {(4, 4, day(t), "input changed") for t in (1, 2)} | {(3, 3, day(2), "formula to typed"), (5, 5, day(1), "blanked")}
     assert got == want
+
+
+def test_likeness_recall(spark):
+    """Every pair of 30 per cent similarity or 80 per cent containment among 150 workbooks, against all pairs."""
+    rng = random.Random(13)
+    label = lambda: f"L{rng.randrange(400)}"
+    base = [[(f"S{rng.randrange(4)}", label(), rng.choice("xyz")) for _ in range(rng.randint(5, 60))] for _ in range(15)]
+    items = []
+    for w in range(150):
+        own = rng.choice(base)
+        keep = rng.choice([0.5, 0.7, 0.9, 1.0])
+        own = [r if rng.random() < keep else (r[0], label(), r[2]) for r in own if rng.random() < 0.85]
+        own += [(f"S{rng.randrange(6)}", label(), "y") for _ in range(rng.choice([0, 0, 30, 200]))] + own[:2] * rng.choice([0, 3])
+        items += [(w, *r) for r in own]
+    sets = {}
+    for w, s, l, f in items:
+        x = sets.setdefault(w, {"s": Counter(), "i": Counter(), "f": Counter()})
+        x["s"][s] = 1
+        x["i"][s, l] += 1
+        x["f"][s, l, f] += 1
+    half_up = lambda v: math.floor(v + 0.5)
+    want = {}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b:
+                both = {k: sum((x[k] & y[k]).values()) for k in x}
+                sim = half_up(100 * sum(w * both[k] / sum((x[k] | y[k]).values()) for k, w in match.WEIGHTS.items()) + 1e-9)
+                held = [half_up(100 * both["i"] / sum(z["i"].values()) + 1e-9) for z in (x, y)]
+                if sim >= 30 or max(held) >= 80:
+                    want[a, b] = (sim, *held)
+    got = match.likeness(spark.createDataFrame(items, "workbook_id int, sheet string, label string, shape string"))
+    assert len(want) > 300
+    assert {(r["a"], r["b"]): (r["similarity"], r["a_in_b"], r["b_in_a"]) for r in got.collect()} == want
