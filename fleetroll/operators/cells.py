@@ -99,20 +99,58 @@ def amount_rows(series: DataFrame, labels: DataFrame, pattern: str = r"(?i)flag|
     return j.select(*row, F.when(timing, "timing").otherwise("amount").alias("kind"))
 
 
-def link_agreement(cached: DataFrame, cells: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """Per link: cells compared with the workbook it names, and equal ones; of several workbooks of the name the best.
+def _sketch(cells: DataFrame, by: str, k: int) -> DataFrame:
+    """The k smallest hashes of (sheet, place, value) of each ``by``: two of much the same cells share some of them."""
+    h = cells.where("value is not null").select(by, F.xxhash64("sheet", "row_no", "col", F.round("value", 6)).alias("h")).distinct()
+    low = h.withColumn("_r", F.row_number().over(Window.partitionBy(by, F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("_r") <= k)
+    return low.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("h"))).where(F.col("_r") <= k).select(by, "h")
 
-    ``cached(link, name, sheet, row_no, col, value)`` and ``cells(workbook_id, name, sheet, row_no, col, value)``: a link
-    meets the workbooks of its file name only, without version and date (``match.file_keys``).
+
+def link_agreement(cached: DataFrame, cells: DataFrame, tol: float = 1e-6, k: int = 64) -> DataFrame:
+    """Per link: cells compared with its workbook, and equal ones; of several candidates the one with most equal cells.
+
+    ``cached(link, name, sheet, row_no, col, value)`` and ``cells(workbook_id, name, sheet, row_no, col, value)``.  A link's
+    candidates are the workbooks of its file name, without version and date (``match.file_keys``), and those whose content
+    it saw under another name: they share one of the k smallest hashes of their cells.  Two with a share j of cells in
+    common share none of them with a chance of about (1 - j)^k.
     """
-    key = ["name", "sheet", "row_no", "col"]
-    j = cached.select("link", *key, F.col("value").alias("_c")).join(cells.select("workbook_id", *key, "value"), key)
+    named = cached.select("link", "name").distinct().join(cells.select("workbook_id", "name").distinct(), "name").select("link", "workbook_id")
+    seen = _sketch(cached, "link", k).join(_sketch(cells, "workbook_id", k), "h").select("link", "workbook_id")
+    key = ["workbook_id", "sheet", "row_no", "col"]
+    j = cached.select("link", "sheet", "row_no", "col", F.col("value").alias("_c")).join(named.union(seen).distinct(), "link").join(cells.select(*key, "value"), key)
     same = F.abs(F.col("_c") - F.col("value")) <= tol * F.greatest(F.lit(1.0), F.abs("_c"))
     g = j.groupBy("link", "workbook_id").agg(F.count("*").alias("compared"), F.count_if(same).alias("equal"))
     w = Window.partitionBy("link").orderBy(F.col("equal").desc(), "workbook_id")
     return g.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def choose_link(books: DataFrame, cached: DataFrame, client: DataFrame, reads: DataFrame, share: float = 0.8, tol: float = 1e-6) -> DataFrame:
+    """Which link of each engagement's overlay is its client model: (engagement_id, link, how, equal, sheet_share).
+
+    ``books(engagement_id, link, name, sheets array<string>)``, ``cached(engagement_id, link, sheet, row_no, col, value)``,
+    ``client(engagement_id, name, sheet, row_no, col, value)``, ``reads(engagement_id, link, cells)``.  In order: the link of the
+    client's file name, then the one with most cached cells equal to the client's ('values'), each the one with more of
+    its sheets in the client on a tie, then the smaller; failing both, of the links with ``share`` of their sheets there the only
+    one, or the one the overlay reads more cells of than of any other ('sheets').  Without any, the engagement has no row.
+    """
+    at = ["engagement_id", "sheet", "row_no", "col"]
+    j = cached.withColumnRenamed("value", "_c").join(client.select(*at, "value"), at)
+    same = F.abs(F.col("_c") - F.col("value")) <= tol * F.greatest(F.lit(1.0), F.abs("_c"), F.abs("value"))
+    equal = j.groupBy("engagement_id", "link").agg(F.count_if(same).alias("equal"))
+    own = client.groupBy("engagement_id").agg(F.first("name").alias("_name"), F.collect_set("sheet").alias("_sheets"))
+    in_client = F.size(F.array_intersect("sheets", "_sheets")) / F.greatest(F.size("sheets"), F.lit(1))
+    b = books.join(own, "engagement_id").join(equal, ["engagement_id", "link"], "left").join(reads.withColumnRenamed("cells", "_reads"), ["engagement_id", "link"], "left")
+    b = b.select("engagement_id", "link", F.coalesce(F.col("name") == F.col("_name"), F.lit(False)).alias("named"), F.coalesce("equal", F.lit(0)).alias("equal"), in_client.alias("sheet_share"), F.coalesce("_reads", F.lit(0)).alias("_reads"))
+    w = Window.partitionBy("engagement_id")
+    first = F.row_number().over(w.orderBy(F.col("named").desc(), F.col("equal").desc(), F.col("sheet_share").desc(), "link")) == 1
+    like = F.col("sheet_share") >= share
+    b = b.withColumns({"first": first, "like": like, "any": F.max(F.col("named") | (F.col("equal") > 0)).over(w), "likes": F.count_if(like).over(w), "top": F.max(F.when(like, F.col("_reads"))).over(w)})
+    b = b.withColumn("tops", F.count_if(F.col("like") & (F.col("_reads") == F.col("top"))).over(w))
+    sheets = ~F.col("any") & F.col("like") & ((F.col("likes") == 1) | ((F.col("_reads") == F.col("top")) & (F.col("top") > 0) & (F.col("tops") == 1)))
+    how = F.when(F.col("first") & F.col("named"), "name").when(F.col("first") & (F.col("equal") > 0), "values").when(sheets, "sheets")
+    return b.withColumn("how", how).where("how is not null").select("engagement_id", "link", "how", "equal", F.round("sheet_share", 6).alias("sheet_share"))
+
+
 def link_reads(reads: DataFrame) -> DataFrame:
     return reads.groupBy("link").agg(F.count("*").alias("cells"), F.count_if(F.col("value") != 0).alias("nonzero"))
 

@@ -51,11 +51,56 @@ def paths(e: DataFrame, starts: DataFrame, goals: DataFrame, depth: int = 12) ->
     return seen.join(goals.select("node").distinct(), "node").select("start", F.col("node").alias("goal"), "path")
 
 
-def leaves(e: DataFrame, starts: DataFrame, depth: int = 12) -> DataFrame:
-    """(start, node): what the starts read in the end, that is, reached nodes that read nothing."""
+#: Kinds of rows that a value is made from, in the end.
+INPUT_KINDS = ("inputs", "figure", "index", "share")
+
+
+def leaves(e: DataFrame, starts: DataFrame, depth: int = 12, kinds: DataFrame | None = None) -> DataFrame:
+    """(start, node): what the starts read in the end, that is, reached nodes that read nothing; of INPUT_KINDS if ``kinds(node, kind)`` are given."""
     live = e.where("kind <> 'inactive'")
     r = reach(e, starts, "down", depth).where("depth > 0")
-    return r.join(live.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("start", "node")
+    out = r.join(live.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    if kinds is not None:
+        out = out.join(kinds.where(F.col("kind").isin(*INPUT_KINDS)).select("node").distinct(), "node", "left_semi")
+    return out.select("start", "node")
+
+
+def to_value(e: DataFrame, starts: DataFrame, targets: DataFrame, depth: int = 12) -> DataFrame:
+    """(start, path): a shortest path from each start up through its readers to a target, by the smallest nodes on ties.
+
+    Searched from both sides, half the depth each: starts go up to their readers and targets down to what they read, and
+    they meet on a node; each side is a table of (its end, node, path), so the far larger middle of the graph is never
+    walked from one side.  A start that is a target is its own path; a start that reaches none has no row.
+    """
+    live = e.where("kind <> 'inactive'").select(F.col("dst").alias("from"), F.col("src").alias("to")).distinct()
+
+    def grown(ends: DataFrame, at: str, to: str, add) -> DataFrame:
+        front = ends.select(F.col("node").alias("end"), "node", F.array("node").alias("path")).distinct()
+        seen = front
+        for _ in range((depth + 1) // 2):
+            step = front.join(live.select(F.col(at).alias("node"), F.col(to).alias("next")), "node").select("end", F.col("next").alias("node"), add().alias("path"))
+            step = step.groupBy("end", "node").agg(F.min("path").alias("path"))
+            front = written(step.join(seen.select("end", "node"), ["end", "node"], "left_anti"), "half")
+            if front.isEmpty():
+                break
+            seen = seen.union(front)
+        return seen
+
+    up = grown(starts, "from", "to", lambda: F.concat("path", F.array("next")))
+    down = grown(targets, "to", "from", lambda: F.concat(F.array("next"), "path"))
+    # of a node's ways to a target the nearest is enough
+    down = down.groupBy("node").agg(F.min(F.struct(F.size("path").alias("n"), F.col("path").alias("rest"))).alias("b"))
+    met = up.join(down, "node").select(F.col("end").alias("start"), F.concat("path", F.slice("b.rest", 2, F.size("b.rest"))).alias("path"))
+    return met.where(F.size("path") <= depth + 1).groupBy("start").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("b")).select("start", "b.path")
+
+
+def lineage(e: DataFrame, starts: DataFrame, kinds: DataFrame, targets: DataFrame, depth: int = 12) -> DataFrame:
+    """(start, upstream, inputs, reaches_value, via): how many rows a row is worked out from, its inputs at the ends, and
+    whether its figures reach the value rows, and by which rows."""
+    up = reach(e, starts, "down", depth).where("depth > 0").groupBy("start").agg(F.count("*").alias("upstream"))
+    own = leaves(e, starts, depth, kinds).groupBy("start").agg(F.array_sort(F.collect_list("node")).alias("inputs"))
+    d = starts.select(F.col("node").alias("start")).distinct().join(up, "start", "left").join(own, "start", "left").join(to_value(e, starts, targets, depth), "start", "left")
+    return d.select("start", F.coalesce("upstream", F.lit(0)).alias("upstream"), F.coalesce("inputs", F.array()).alias("inputs"), F.col("path").isNotNull().alias("reaches_value"), F.col("path").alias("via"))
 
 
 def degree(e: DataFrame) -> DataFrame:

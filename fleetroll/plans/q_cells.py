@@ -91,13 +91,42 @@ def f9(spark, sf):
     return cells.amount_rows(s.withColumn("value", v), labels)
 
 
-@query("j20_link_agreement", f"""WITH {_C}, d AS (SELECT workbook_id, workbook_id // 4 AS name, sheet, row_no % 50 AS row_no, col, max(value) AS value FROM c WHERE value IS NOT NULL GROUP BY ALL),
-    l AS (SELECT workbook_id AS link, name, sheet, row_no, col, CASE WHEN col = 3 THEN value + 1 ELSE value END AS v FROM d)
-    SELECT link, workbook_id, compared, equal FROM (SELECT link, d.workbook_id, count(*)::BIGINT AS compared, count(*) FILTER (abs(v - value) <= 1e-6 * greatest(1.0, abs(v)))::BIGINT AS equal FROM l JOIN d USING (name, sheet, row_no, col) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY link ORDER BY equal DESC, workbook_id) = 1""")
-def j20(spark, sf):
+_J20 = f"""{_C}, d AS (SELECT workbook_id, workbook_id // 4 AS name, sheet, row_no % 50 AS row_no, col, max(value) AS value FROM c WHERE value IS NOT NULL GROUP BY ALL)"""
+
+
+def _j20(spark, sf):
     c = _cells(spark, sf).where("value is not null")
-    c = c.groupBy("workbook_id", F.floor(F.col("workbook_id") / 4).alias("name"), "sheet", (F.col("row_no") % 50).alias("row_no"), "col").agg(F.max("value").alias("value"))
-    return cells.link_agreement(c.withColumnRenamed("workbook_id", "link").withColumn("value", F.when(F.col("col") == 3, F.col("value") + 1).otherwise(F.col("value"))), c)
+    return c.groupBy("workbook_id", F.floor(F.col("workbook_id") / 4).alias("name"), "sheet", (F.col("row_no") % 50).alias("row_no"), "col").agg(F.max("value").alias("value"))
+
+
+@query("j20_link_agreement", f"""WITH {_J20}, l AS (SELECT workbook_id AS link, CASE WHEN workbook_id % 5 = 2 THEN -workbook_id ELSE name END AS name, sheet, row_no, col, CASE WHEN col = 3 THEN value + 1 ELSE value END AS v FROM d),
+    e AS (SELECT link, d.workbook_id, count(*)::BIGINT AS compared, count(*) FILTER (abs(v - value) <= 1e-6 * greatest(1.0, abs(v)))::BIGINT AS equal FROM l JOIN d USING (sheet, row_no, col) WHERE l.name = d.name OR l.name < 0 GROUP BY 1, 2)
+    SELECT link, workbook_id, compared, equal FROM e QUALIFY row_number() OVER (PARTITION BY link ORDER BY equal DESC, workbook_id) = 1""")
+def j20(spark, sf):
+    """Every fifth link's file has another name now; its workbook is found by what it holds."""
+    c = _j20(spark, sf)
+    link = F.col("workbook_id")
+    cached = c.select(link.alias("link"), F.when(link % 5 == 2, -link).otherwise(F.col("name")).alias("name"), "sheet", "row_no", "col", F.when(F.col("col") == 3, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
+    return cells.link_agreement(cached, c)
+
+
+@query("j20_choose_link", f"""WITH {_J20}, b AS (SELECT workbook_id // 4 AS e, workbook_id AS link, CASE WHEN workbook_id % 4 = 3 AND workbook_id // 4 % 3 = 0 THEN 'model' ELSE 'book ' || workbook_id END AS name, list_distinct(list(CASE WHEN workbook_id % 4 = 2 AND sheet = 'A' THEN 'Z' WHEN workbook_id % 4 = 2 AND sheet = 'N' THEN 'Y' ELSE sheet END)) AS sheets FROM d GROUP BY 1, 2),
+    k AS (SELECT workbook_id // 4 AS e, workbook_id AS link, sheet, row_no, col, value + CASE WHEN workbook_id // 4 % 3 = 2 THEN 1000 ELSE 0 END AS v FROM d), m AS (SELECT workbook_id // 4 AS e, sheet, row_no, col, value FROM d WHERE workbook_id % 4 = 1),
+    q AS (SELECT e, link, count(*) FILTER (abs(v - value) <= 1e-6 * greatest(1.0, abs(v), abs(value)))::BIGINT AS equal FROM k JOIN m USING (e, sheet, row_no, col) GROUP BY 1, 2), ms AS (SELECT e, list_distinct(list(sheet)) AS ss FROM m GROUP BY 1),
+    f AS (SELECT b.e, b.link, name = 'model' AS named, coalesce(equal, 0) AS equal, len(list_intersect(sheets, ss)) / len(sheets) AS sh, CASE b.link % 4 WHEN 0 THEN 5 WHEN 1 THEN 5 + b.e % 2 ELSE 2 END AS rd FROM b JOIN ms USING (e) LEFT JOIN q ON q.e = b.e AND q.link = b.link),
+    g AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY named DESC, equal DESC, sh DESC, link) = 1 AS fst, bool_or(named OR equal > 0) OVER (PARTITION BY e) AS anyone, count(*) FILTER (sh >= 0.8) OVER (PARTITION BY e) AS likes, max(rd) FILTER (sh >= 0.8) OVER (PARTITION BY e) AS tp FROM f),
+    h AS (SELECT *, count(*) FILTER (sh >= 0.8 AND rd = tp) OVER (PARTITION BY e) AS tops FROM g), r AS (SELECT *, CASE WHEN fst AND named THEN 'name' WHEN fst AND equal > 0 THEN 'values' WHEN NOT anyone AND sh >= 0.8 AND (likes = 1 OR (rd = tp AND tops = 1)) THEN 'sheets' END AS how FROM h)
+    SELECT e::BIGINT AS engagement_id, link, how, equal, round(sh, 6) AS sheet_share FROM r WHERE how IS NOT NULL""")
+def j20_choice(spark, sf):
+    """Four links an engagement: chosen by name, by values, or by sheets and reads, by engagement."""
+    c = _j20(spark, sf).withColumn("engagement_id", F.floor(F.col("workbook_id") / 4))
+    w, e = F.col("workbook_id"), F.col("engagement_id")
+    own = F.when((w % 4 == 2) & (F.col("sheet") == "A"), "Z").when((w % 4 == 2) & (F.col("sheet") == "N"), "Y").otherwise(F.col("sheet"))
+    books = c.groupBy("engagement_id", w.alias("link")).agg(F.collect_set(own).alias("sheets")).withColumn("name", F.when((F.col("link") % 4 == 3) & (e % 3 == 0), "model").otherwise(F.concat(F.lit("book "), F.col("link").cast("string"))))
+    cached = c.select("engagement_id", w.alias("link"), "sheet", "row_no", "col", (F.col("value") + F.when(e % 3 == 2, 1000).otherwise(0)).alias("value"))
+    client = c.where(w % 4 == 1).select("engagement_id", F.lit("model").alias("name"), "sheet", "row_no", "col", "value")
+    reads = books.select("engagement_id", "link", F.when(F.col("link") % 4 == 0, 5).when(F.col("link") % 4 == 1, 5 + e % 2).otherwise(2).alias("cells"))
+    return cells.choose_link(books, cached, client, reads)
 
 
 @query("a16_link_reads", f"WITH {_C} SELECT workbook_id AS link, count(*)::BIGINT AS cells, count(*) FILTER (value <> 0)::BIGINT AS nonzero FROM c GROUP BY 1")

@@ -23,16 +23,16 @@ def g1(spark, sf):
     return _edges(spark, sf)
 
 
-@query("g2_reach", f"{_RE}, r AS (SELECT src AS start, src AS node, 0 AS depth FROM live WHERE src > 2000000000 UNION SELECT r.start, live.dst, r.depth + 1 FROM r JOIN live ON r.node = live.src WHERE r.depth < 12) SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2")
+@query("g2_reach", f"{_RE}, r AS (SELECT src AS start, src AS node, 0 AS depth FROM live UNION SELECT r.start, live.dst, r.depth + 1 FROM r JOIN live ON r.node = live.src WHERE r.depth < 12) SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2")
 def g2(spark, sf):
     e = _edges(spark, sf)
-    return graph.reach(e, e.where("src > 2000000000").select(F.col("src").alias("node")))
+    return graph.reach(e, e.where("kind <> 'inactive'").select(F.col("src").alias("node")))
 
 
-@query("g2_reach_up", f"{_RE}, r AS (SELECT DISTINCT dst AS start, dst AS node, 0 AS depth FROM live WHERE dst < 100 UNION SELECT r.start, live.src, r.depth + 1 FROM r JOIN live ON r.node = live.dst WHERE r.depth < 12) SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2")
+@query("g2_reach_up", f"{_RE}, r AS (SELECT DISTINCT dst AS start, dst AS node, 0 AS depth FROM live UNION SELECT r.start, live.src, r.depth + 1 FROM r JOIN live ON r.node = live.dst WHERE r.depth < 12) SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2")
 def g2_up(spark, sf):
     e = _edges(spark, sf)
-    return graph.reach(e, e.where("dst < 100").select(F.col("dst").alias("node")), "up")
+    return graph.reach(e, e.where("kind <> 'inactive'").select(F.col("dst").alias("node")), "up")
 
 
 _DEEP = f"{cte('model_edges').replace('WITH ', 'WITH RECURSIVE ', 1)}, de AS (SELECT workbook_id * 100 + src AS src, workbook_id * 100 + dst AS dst FROM model_edges WHERE (src + dst) % 9 <> 4)"
@@ -44,21 +44,38 @@ def _deep(spark, sf):
     return e.select(at("src"), at("dst"), F.when((F.col("src") + F.col("dst")) % 9 == 4, "inactive").otherwise("direct").alias("kind"))
 
 
-@query("g3_paths", f"""{_DEEP}, p AS (SELECT DISTINCT src AS start, src AS node, [src] AS path FROM de WHERE src % 100 <= 3 UNION ALL SELECT p.start, de.dst, list_append(p.path, de.dst) FROM p JOIN de ON de.src = p.node WHERE len(p.path) <= 12)
-    SELECT start, node AS goal, array_to_string(path, '>') AS path FROM p WHERE node % 100 > 40 QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY len(path), path) = 1""")
+@query("g3_paths", f"""{_DEEP}, p AS (SELECT DISTINCT src AS start, src AS node, [src] AS path FROM de UNION ALL SELECT p.start, de.dst, list_append(p.path, de.dst) FROM p JOIN de ON de.src = p.node WHERE len(p.path) <= 12)
+    SELECT start, node AS goal, array_to_string(path, '>') AS path FROM p QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY len(path), path) = 1""")
 def g3(spark, sf):
     e = _deep(spark, sf)
     live = e.where("kind <> 'inactive'")
     nodes = live.select(F.col("src").alias("node")).union(live.select("dst"))
-    p = graph.paths(e, live.where("src % 100 <= 3").select(F.col("src").alias("node")), nodes.where("node % 100 > 40"))
+    p = graph.paths(e, live.select(F.col("src").alias("node")), nodes)
     return p.withColumn("path", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))))
 
 
-@query("g4_leaves", f"""{_DEEP}, p AS (SELECT DISTINCT src AS start, src AS node, 0 AS k FROM de WHERE src % 100 <= 3 UNION SELECT p.start, de.dst, p.k + 1 FROM p JOIN de ON de.src = p.node WHERE p.k < 12)
+@query("g4_leaves", f"""{_DEEP}, p AS (SELECT DISTINCT src AS start, src AS node, 0 AS k FROM de UNION SELECT p.start, de.dst, p.k + 1 FROM p JOIN de ON de.src = p.node WHERE p.k < 12)
     SELECT DISTINCT start, node FROM p WHERE k > 0 AND node NOT IN (SELECT src FROM de)""")
 def g4(spark, sf):
     e = _deep(spark, sf)
-    return graph.leaves(e, e.where("src % 100 <= 3 and kind <> 'inactive'").select(F.col("src").alias("node")))
+    return graph.leaves(e, e.where("kind <> 'inactive'").select(F.col("src").alias("node")))
+
+
+@query("g4_lineage", f"""{_DEEP}, n AS (SELECT src AS node FROM de UNION SELECT dst FROM de), k AS (SELECT node, ['inputs', 'series', 'share', 'subtotal'][(node % 4 + 1)::INT] AS kind FROM n),
+    p AS (SELECT node AS start, node, 0 AS k FROM n UNION SELECT p.start, de.dst, p.k + 1 FROM p JOIN de ON de.src = p.node WHERE p.k < 12), u AS (SELECT start, count(DISTINCT node)::BIGINT AS upstream FROM p WHERE k > 0 GROUP BY 1),
+    i AS (SELECT start, string_agg(DISTINCT p.node, ',' ORDER BY p.node) AS inputs FROM p JOIN k ON k.node = p.node WHERE p.k > 0 AND kind IN ('inputs', 'share') AND p.node NOT IN (SELECT src FROM de) GROUP BY 1),
+    w AS (SELECT node AS start, node, [node] AS path FROM n UNION ALL SELECT w.start, de.src, list_append(w.path, de.src) FROM w JOIN de ON de.dst = w.node WHERE len(w.path) <= 12),
+    v AS (SELECT start, path FROM w WHERE node % 100 IN (1, 2, 5, 40) QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(path), path) = 1)
+    SELECT n.node AS start, coalesce(upstream, 0) AS upstream, coalesce(inputs, '') AS inputs, path IS NOT NULL AS reaches_value, array_to_string(path, '>') AS via FROM n LEFT JOIN u ON u.start = n.node LEFT JOIN i ON i.start = n.node LEFT JOIN v ON v.start = n.node""")
+def g4_lineage(spark, sf):
+    """Every row's inputs, and its way to the value rows of its workbook."""
+    e = _deep(spark, sf)
+    live = e.where("kind <> 'inactive'")
+    nodes = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
+    kinds = nodes.withColumn("kind", F.get(F.array(*map(F.lit, ("inputs", "series", "share", "subtotal"))), F.pmod("node", F.lit(4)).cast("int")))
+    out = graph.lineage(e, nodes, kinds, nodes.where((F.col("node") % 100).isin(1, 2, 5, 40)))
+    show = lambda c, sep: F.concat_ws(sep, F.transform(c, lambda x: x.cast("string")))
+    return out.select("start", "upstream", show("inputs", ",").alias("inputs"), "reaches_value", F.when(F.col("reaches_value"), show("via", ">")).alias("via"))
 
 
 @query("g5_degree", f"{_E}, i AS (SELECT dst AS node, count(DISTINCT src) AS a FROM live GROUP BY 1), o AS (SELECT src AS node, count(DISTINCT dst) AS b FROM live GROUP BY 1) SELECT node, coalesce(a, 0)::BIGINT AS read_by, coalesce(b, 0)::BIGINT AS reads FROM i FULL JOIN o USING (node)")
