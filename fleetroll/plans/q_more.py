@@ -182,8 +182,26 @@ def r4(spark, sf):
 
 @query("r5_dedup_files", f"{cte('calls')} SELECT DISTINCT md5(concat(session_id, '-', model)) AS sha256 FROM calls")
 def r5(spark, sf):
-    s = stream(spark, sf, "calls").select(F.md5(F.concat(F.col("session_id").cast("string"), F.lit("-"), "model")).alias("sha256"), F.col("ts").cast("timestamp").alias("uploaded_at"))
-    return drained(spark, jobs.dedup_files(s)).select("sha256")
+    return drained(spark, jobs.dedup_files(_uploads(spark, sf))).select("sha256")
+
+
+def _uploads(spark, sf):
+    return stream(spark, sf, "calls").select("id", F.md5(F.concat(F.col("session_id").cast("string"), F.lit("-"), "model")).alias("sha256"), F.col("ts").cast("timestamp").alias("uploaded_at"))
+
+
+@query("r5_ingest_files", f"{cte('calls')} SELECT md5(concat(session_id, '-', model)) AS sha256, arg_min(id, struct_pack(t := ts::TIMESTAMP, i := id)) AS id FROM calls GROUP BY 1")
+def r5_ingest(spark, sf):
+    """The stream in two runs, the second with all of the first again: every file is taken once."""
+    import uuid
+
+    from fleetroll.sources.tables import shared_dir
+
+    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    for run in (1, 2):
+        put = jobs.ingest_files(f"{at}/table")
+        q = _uploads(spark, sf).writeStream.option("checkpointLocation", f"{at}/state-{run}").trigger(availableNow=True).foreachBatch(lambda b, n, put=put, run=run: put(b, 1000 * run + n)).start()
+        q.awaitTermination()
+    return jobs.known_files(spark, f"{at}/table").select("sha256", "id")
 
 
 @query("r6_upsert_decisions", f"""{cte('calls')} SELECT concat('k', session_id) AS key, arg_max(model, struct_pack(p := id % 5 = 0, t := ts::TIMESTAMP, i := id)) AS value FROM calls GROUP BY 1""")

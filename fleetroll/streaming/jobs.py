@@ -74,6 +74,44 @@ def dedup_files(files: DataFrame, delay: str = "1 hour") -> DataFrame:
     return files.withWatermark("uploaded_at", delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
+def ingest_files(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the first upload of every content hash, however much later a file comes again.
+
+    The hashes seen are a table under ``path``, by batch and bucket; a batch is held against the buckets it touches, in the
+    batches before it, and its new files are written to a folder of its own number.  A batch that is run again sees the
+    same ones before it and overwrites its folder, so each file is taken once.  Of equal files in one batch the earliest
+    upload counts, then the smaller id.  ``known_files`` reads the table.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        order = F.struct("uploaded_at", "id")
+        rest = [c for c in batch.columns if c != "sha256"]
+        first = batch.groupBy("sha256").agg(F.min_by(F.struct(*rest), order).alias("d")).select("sha256", "d.*")
+        first = first.withColumn("bucket", F.pmod(F.xxhash64("sha256"), F.lit(buckets)).cast("int")).persist()
+        known = known_files(batch.sparkSession, path, number)
+        if known is not None:
+            touched = [r[0] for r in first.select("bucket").distinct().collect()]
+            new = first.join(known.where(F.col("bucket").isin(touched)).select("bucket", "sha256"), ["bucket", "sha256"], "left_anti")
+        else:
+            new = first
+        new.select(*first.columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+        first.unpersist()
+
+    return run
+
+
+def known_files(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The files taken, with their batch and bucket, of the batches before a number; null where there are none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        d = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    d = d if before is None else d.where(F.col("batch") < before)
+    return d if {"batch", "bucket"} <= set(d.columns) else None
+
+
 def calibration(evidence: DataFrame) -> DataFrame:
     """For complete mode."""
     return evidence.groupBy("agreed").agg(F.count("*").alias("n"), F.sum("correct").cast("long").alias("correct"))
@@ -84,13 +122,16 @@ def cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return calls.join(prices, "model", "left").withColumn("cost", F.col("tokens") * F.col("price") / 1e6)
 
 
-def upsert_decisions(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+_VERSION = "number long, turn int, bucket int, version string"
+
+
+def upsert_decisions(path: str, buckets: int = 64, compact_every: int = 16) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the decision that holds for each key: a person's before an agent's, then the latest.
 
     Keys are dealt into buckets.  A batch is joined with the current rows of the buckets it touches, and these are
-    written to a folder of its own and then named as current by rows in ``path/versions``; a reader takes the newest
+    written to a version of their own and then named as current by rows in ``path/versions``; a reader takes the newest
     row of every bucket, so it sees a whole version of it or the one before.  A batch that is run again names its own
-    version again.
+    version again.  Every ``compact_every`` batches ``compact_decisions`` folds the versions.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -101,32 +142,74 @@ def upsert_decisions(path: str, buckets: int = 64) -> Callable[[DataFrame, int],
         both = b if now is None else b.unionByName(now)
         order = F.struct("is_person", "at", "id")
         held = both.groupBy("bucket", "key").agg(F.max_by(F.struct(*[c for c in both.columns if c not in ("key", "bucket")]), order).alias("d")).select("bucket", "key", "d.*")
-        folder = f"{path}/data/{number}-{uuid.uuid4().hex}"
-        held.write.partitionBy("bucket").parquet(folder)
         if touched:
-            spark.createDataFrame([(number, k, folder) for k in touched], "number long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+            _publish(spark, path, held, number, 0, touched)
         b.unpersist()
+        if number % compact_every == compact_every - 1:
+            compact_decisions(spark, path)
 
     return run
 
 
-def _current(spark, path: str, before: int | None, buckets: list[int] | None) -> DataFrame | None:
+def _publish(spark, path: str, held: DataFrame, number: int, turn: int, touched: list[int]) -> None:
+    version = f"{number}-{turn}-{uuid.uuid4().hex}"
+    held.write.partitionBy("bucket").parquet(f"{path}/data/version={version}")
+    spark.createDataFrame([(number, turn, k, version) for k in touched], _VERSION).coalesce(1).write.parquet(f"{path}/versions/of={version}")
+
+
+def _newest(spark, path: str, before: int | None) -> list:
+    """The newest version of every bucket, of the batches before a number: a row a bucket."""
     from pyspark.errors import AnalysisException
 
     try:
-        v = spark.read.schema("number long, bucket int, folder string").parquet(f"{path}/versions")
+        v = spark.read.schema(_VERSION).parquet(f"{path}/versions")
         v = v if before is None else v.where(F.col("number") < before)
-        rows = v.groupBy("bucket").agg(F.max(F.struct("number", "folder")).alias("v")).collect()
+        return v.groupBy("bucket").agg(F.max(F.struct("number", "turn", "version")).alias("v")).collect()
     except AnalysisException:
-        return None
-    wanted = [(r["bucket"], r["v"]["folder"]) for r in rows if buckets is None or r["bucket"] in buckets]
-    out = None
-    for k, folder in wanted:
-        d = spark.read.parquet(f"{folder}/bucket={k}").withColumn("bucket", F.lit(k))
-        out = d if out is None else out.unionByName(d)
-    return out
+        return []
+
+
+def _current(spark, path: str, before: int | None, buckets: list[int] | None) -> DataFrame | None:
+    """The current rows of the buckets, in one read of their folders."""
+    at = [f"{path}/data/version={r['v']['version']}/bucket={r['bucket']}" for r in _newest(spark, path, before) if buckets is None or r["bucket"] in buckets]
+    return spark.read.option("basePath", f"{path}/data").parquet(*at).drop("version") if at else None
 
 
 def current_decisions(spark, path: str) -> DataFrame | None:
     d = _current(spark, path, None, None)
     return None if d is None else d.drop("bucket")
+
+
+def compact_decisions(spark, path: str) -> None:
+    """Folds the versions of all buckets into one, and removes what the fold before this one had left behind.
+
+    What this fold supersedes stays until the next, so that a reader that has begun, and a batch that is run again, still
+    find the versions they name.  A fold that fails half-way has named nothing, or leaves folders for a later one.
+    """
+    newest = _newest(spark, path, None)
+    if not newest:
+        return
+    last = max((r["v"]["number"], r["v"]["turn"]) for r in newest)
+    old = {f.getPath().getName() for f in _folder(spark, f"{path}/versions")}
+    _publish(spark, path, _current(spark, path, None, None), last[0], last[1] + 1, [r["bucket"] for r in newest])
+    fs, at = _file_system(spark, path)
+    stale = set()
+    for f in _folder(spark, f"{path}/retired"):
+        stale |= {r[0] for r in spark.read.schema("name string").parquet(str(f.getPath())).collect()}
+        fs.delete(f.getPath(), True)
+    for name in stale:
+        for d in (f"{path}/versions/{name}", f"{path}/data/{name.replace('of=', 'version=', 1)}"):
+            fs.delete(at(d), True)
+    left = sorted(n for n in old - stale if n.startswith("of="))
+    if left:
+        spark.createDataFrame([(n,) for n in left], "name string").coalesce(1).write.parquet(f"{path}/retired/{last[0]}-{last[1] + 1}-{uuid.uuid4().hex}")
+
+
+def _file_system(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _folder(spark, path: str) -> list:
+    fs, at = _file_system(spark, path)
+    return list(fs.listStatus(at(path))) if fs.exists(at(path)) else []

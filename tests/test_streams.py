@@ -53,6 +53,40 @@ def test_upsert_keeps_the_latest_decision(spark):
     assert {r["key"]: r["value"] for r in jobs.current_decisions(spark, path).collect()} == {"w": "new", "x": "c", "y": "b", "z": "person"}
 
 
+def test_ingest_takes_a_file_once_however_late_it_comes_again(spark):
+    path = f"{shared_dir(spark)}/files-{pd.Timestamp.now().value}"
+    put = jobs.ingest_files(path, buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, sha256 string, uploaded_at timestamp")
+    put(frame([(1, "a", T0), (2, "b", T0), (3, "a", T0 - timedelta(minutes=1))]), 0)
+    again = frame([(4, "a", T0 + timedelta(days=9)), (5, "c", T0 + timedelta(days=9)), (6, None, T0)])
+    put(again, 1)
+    put(again, 1)  # a batch run again
+    put(frame([]), 2)
+    put(frame([(7, "b", T0 + timedelta(days=99)), (8, "c", T0 + timedelta(days=99))]), 3)
+    assert sorted((r["sha256"] or "", r["id"]) for r in jobs.known_files(spark, path).collect()) == [("", 6), ("a", 3), ("b", 2), ("c", 5)]
+
+
+def test_folding_decisions_keeps_the_table_and_one_older_snapshot(spark):
+    path = f"{shared_dir(spark)}/decisions-{pd.Timestamp.now().value}"
+    put = jobs.upsert_decisions(path, buckets=4, compact_every=1000)
+    batch = lambda n: spark.createDataFrame([(10 * n + i, f"k{(n + i) % 7}", f"v{n}.{i}", T0 + timedelta(hours=n), False) for i in range(3)], "id long, key string, value string, at timestamp, is_person boolean")
+    want = {}
+    for n in range(9):
+        put(batch(n), n)
+        want |= {f"k{(n + i) % 7}": f"v{n}.{i}" for i in range(3)}
+        if n in (2, 5):
+            reader = jobs.current_decisions(spark, path)
+            before = dict(want)
+            jobs.compact_decisions(spark, path)
+            assert {r["key"]: r["value"] for r in reader.collect()} == before  # a reader from before the fold
+            put(batch(n), n)  # a batch run again after it
+        assert {r["key"]: r["value"] for r in jobs.current_decisions(spark, path).collect()} == want
+    for _ in range(3):
+        jobs.compact_decisions(spark, path)
+    assert {r["key"]: r["value"] for r in jobs.current_decisions(spark, path).collect()} == want
+    assert len(jobs._folder(spark, f"{path}/data")) <= 3
+
+
 def test_fit_factors_reads_parameters_back(spark, sf):
     from fleetroll.plans import registry
     from fleetroll.sources.adapters import view
