@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from .common import plain
 
 CRLF = "\r\n"
-_DROP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<noscript\b.*?</noscript\s*>"
+#: What is dropped with its content. Every pattern here also ends with the text: what is opened and never closed is one
+#: match to the end, as in HTML, and no opener is tried again from the next one on.
+_DROP = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "template", "noscript"))
 #: The rest of a tag: values in quotes may hold ``>``.
-_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-_BLOCK = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|main|title|head|body|blockquote|pre)|br)\b" + _ATTRIBUTES + ">"
-_TAG = "</?[a-zA-Z]" + _ATTRIBUTES + ">|<[a-zA-Z/!?][^>]*>"
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?:>|\z)"""
+_BLOCK = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|main|title|head|body|blockquote|pre)|br)\b" + _ATTRIBUTES
+_TAG = "</?[a-zA-Z]" + _ATTRIBUTES + "|<[/!?][^>]*+(?:>|\\z)"
+_LINK = r"(?i)<a\b" + _ATTRIBUTES
+_HREF = r"(?i)\bhref\s*="
+_HTML = r"(?i)<html\b" + _ATTRIBUTES
+_LANG = r"""(?i)\blang=["']?([a-zA-Z-]+)"""
 _BUCKETS = 512
 #: Names that HTML also reads without a semicolon, longest first.
 _BARE = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
@@ -75,7 +81,10 @@ def record_id(kind: str, *parts: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles, comments or tags; blocks on lines of their own; references put back (``unescaped``)."""
+    """The text of a page: no scripts, styles, comments or tags; blocks on lines of their own; references put back (``unescaped``).
+
+    What is opened and never closed, of tags too, takes the rest of the page.  Linear in the page's length.
+    """
     t = F.regexp_replace(html, _DROP, " ")
     t = F.regexp_replace(t, _BLOCK, "\n")
     t = F.regexp_replace(t, _TAG, "")
@@ -131,8 +140,8 @@ def derivatives(resp: DataFrame) -> DataFrame:
     payload = F.coalesce("payload", F.lit(""))
     d = resp.withColumn("text", plain_text(payload))
     d = d.withColumn("conversion_id", record_id("conversion", F.col("record_id"))).withColumn("metadata_id", record_id("metadata", F.col("record_id")))
-    d = d.withColumn("lang", F.nullif(F.lower(F.regexp_extract(payload, r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z-]+)", 1)), F.lit("")))
-    d = d.withColumn("n_links", F.regexp_count(payload, F.lit(r"(?i)<a\b[^>]*\bhref\s*=")).cast("long"))
+    d = d.withColumn("lang", F.nullif(F.lower(F.regexp_extract(F.regexp_extract(payload, _HTML, 0), _LANG, 1)), F.lit("")))
+    d = d.withColumn("n_links", F.size(F.filter(F.regexp_extract_all(payload, F.lit(_LINK), 0), lambda t: t.rlike(_HREF))).cast("long"))
     lines = F.split(F.rtrim(F.col("http_headers"), F.lit(CRLF)), CRLF)
     headers = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i == 0, "source-http-status: ").otherwise("source-http-header: "), x)), CRLF)
     fields = F.concat_ws(
@@ -174,8 +183,9 @@ def _sql_unescaped(text: str) -> str:
 def _sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     text = "payload"
+    plain_form = lambda pat: pat.replace("++", "+").replace("*+", "*").replace("?+", "?")  # noqa: E731  no possessive forms there
     for pat, to in ((_DROP, "' '"), (_BLOCK, "chr(10)"), (_TAG, "''")):
-        pat = pat.replace("++", "+").replace("*+", "*").replace("?+", "?")  # no possessive forms there
+        pat = plain_form(pat)
         text = f"regexp_replace({text}, {q(pat)}, {to}, 'g')"
     names = ", ".join(f"({q(k)}, {q(v.replace(chr(160), ' '))})" for k, v in html5.items())
     bare_tags = text
@@ -194,8 +204,8 @@ def _sql() -> str:
     i AS (SELECT *, sha256('response' || {nl} || coalesce(page_id::VARCHAR, '~null') || {nl} || target_uri || {nl} || payload_digest) AS h FROM r),
     j AS (SELECT *, {uid("h")} AS record_id, {bare_tags} AS untagged FROM i),
     k AS (SELECT *, sha256('conversion' || {nl} || record_id) AS hc, sha256('metadata' || {nl} || record_id) AS hm, {text} AS text,
-          nullif(lower(regexp_extract(payload, {q('(?i)<html\\b[^>]*\\blang=["\x27]?([a-zA-Z-]+)')}, 1)), '') AS lang,
-          len(regexp_extract_all(payload, {q('(?i)<a\\b[^>]*\\bhref\\s*=')}))::BIGINT AS n_links FROM j, e),
+          nullif(lower(regexp_extract(regexp_extract(payload, {q(plain_form(_HTML))}), {q(_LANG)}, 1)), '') AS lang,
+          len(list_filter(regexp_extract_all(payload, {q(plain_form(_LINK))}), lambda t: regexp_matches(t, {q(_HREF)})))::BIGINT AS n_links FROM j, e),
     l AS (SELECT *, {uid("hc")} AS conversion_id, {uid("hm")} AS metadata_id FROM k),
     m AS (SELECT *, 'source-payload-digest: ' || payload_digest || {crlf} || 'source-length: ' || strlen(payload) || {crlf} ||
           'source-http-status: HTTP/1.1 200 OK' || {crlf} || 'source-http-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'source-http-header: Content-Length: ' || strlen(payload) || {crlf} ||

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -469,6 +470,17 @@ def test_warc_null_payload_and_attributes(spark):
     assert two["text"].endswith("x\nt\nu <\n1 < 2")
 
 
+def test_warc_openers_that_never_close(spark):
+    """40,000 of a kind on one page: each takes the rest of the page, in time linear in its length."""
+    openers = ["<script ", "<!-- ", '<a b="c ', "<p ", "<html ", "<a href=", "<style>", "</p ", "<!x ", "<a href='", '="', "<template", "</script "]
+    pages = [(i, "u", f"before <b>it</b> {x * 40_000}") for i, x in enumerate(openers)]
+    began = time.time()
+    got = {r["page_id"]: r for r in warc.derivatives(warc.responses(spark.createDataFrame(pages, "page_id int, url string, html string"))).select("page_id", "text", "n_links").collect()}
+    assert time.time() - began < 60
+    assert [got[i]["text"] for i in range(10)] == ["before it"] * 10 and got[10]["text"].startswith('before it ="=') and got[12]["text"] == "before it"
+    assert (got[5]["n_links"], got[9]["n_links"], got[0]["n_links"]) == (1, 1, 0)
+
+
 def test_warc_references(spark):
     from html import unescape
     from html.entities import html5
