@@ -180,10 +180,10 @@ def beside(big: DataFrame, small: DataFrame, on: list[str], how: str, lists: str
 HOT_SHARE, SALTS = 200, 64
 
 
-def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> list[int]:
-    """Hashes of the hot keys of a table of counts by key: at most HOT_SHARE of them, whatever the table's size."""
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n", share: int = HOT_SHARE, least: int = 0) -> list[int]:
+    """Hashes of the hot keys of a table of counts by key, of more than ``least`` rows: at most ``share`` of them, whatever the table's size."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.where(F.col(n) * HOT_SHARE > total).select(F.xxhash64(*on)).collect()] if total > HOT_SHARE else []
+    return [r[0] for r in counts.where((F.col(n) * share > total) & (F.col(n) > least)).select(F.xxhash64(*on)).collect()] if total > share else []
 
 
 def dealt(big: DataFrame, small: DataFrame, on: list[str], hot: list[int], spread: list[str], how: str = "inner") -> DataFrame:

@@ -8,7 +8,9 @@ pair has one error at most, and the allowed errors are enumerated by leaving out
 
 Buckets are never expanded into all their pairs.  A few rounds compare each member with one hub of its bucket, and
 members already in the hub's component aren't compared at all; what then still lies in different components of one
-bucket is compared in full, so no link is lost.  Every link is confirmed on the full sets.
+bucket is compared in full, so no link is lost.  Every link is confirmed on the full sets.  A class has as many keys as a
+signature has symbols, so a group of near copies with a third of all classes makes keys with a two-hundredth of all rows:
+in the joins by key, and in those of pairs with their hub's set, keys with a two-thousandth are dealt over salts.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_signed, beside, mix64, packed, row_keys, shingle_hash, sliced, unpacked, written
+from .common import Words, as_signed, beside, dealt, hot_keys, mix64, packed, row_keys, shingle_hash, sliced, unpacked, written
 from .components import components
 
 _A = (mix64(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 #: Places of the parity sketch of a set: how many of its items fall on each place, modulo 2.
 PARITY = 1024
+#: A key with more than one in so many rows, and so many rows, is hot: dealing it out repeats the other side's row.
+_HOT = {"share": 2000, "least": 1000}
 _B = mix64(np.arange(1001, 1513, dtype=np.uint64)).astype(np.uint32)
 
 
@@ -175,17 +179,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes
     )
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(F.struct("_id", "_th")).alias("at"), F.first("sig").alias("sig"))
     keys = classes.select("cls", "sig").mapInArrow(_keyed(chunks, hashes), "key long, chunk byte, gap byte, cls long")
-    shared = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    members = written(keys.join(shared, "key", "left_semi"), "members")
+    shared = written(keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "shared")
+    hot = hot_keys(shared, ["key"], **_HOT)
+    members = written(dealt(keys, shared.select("key"), ["key"], hot, ["cls"], "left_semi"), "members")
     active = members.select("cls").distinct().join(classes, "cls").select("cls", F.col("at._id").alias("_id"), F.col("at._th").alias("_th"), "sig")
     active = written(active, "active")
     sets = beside(text.select("_id", "_th", "text"), active, ["_id", "_th"], "inner").select("cls", "sig", "text").mapInArrow(_sets(shingle, hashes), "cls long, items array<long>, sig array<short>, odd array<long>")
     sets = written(sets.dropDuplicates(["cls"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        often = [hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c], **_HOT) for c in ("a", "b")]
         a = sets.select(F.col("cls").alias("a"), F.col("items").alias("ia"), F.col("sig").alias("sa"))
         b = sets.select(F.col("cls").alias("b"), F.col("items").alias("ib"), F.col("sig").alias("sb"))
-        near = pairs.join(a, "a").join(b, "b")
+        near = dealt(dealt(pairs, a, ["a"], often[0], ["b"]), b, ["b"], often[1], ["a"])
         near = near.where(F.least(F.size("ia"), F.size("ib")) * 100 >= F.greatest(F.size("ia"), F.size("ib")) * percent)
         near = near.where(f"size(filter(zip_with(sa, sb, (x, y) -> x <> y), z -> z)) <= {distance}")
         near = near.withColumn("both", F.size(F.array_intersect("ia", "ib")))
@@ -198,18 +205,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes
             # the hub of a bucket: another order of its members in each round
             rank = F.struct(F.xxhash64("cls", F.lit(step)).alias("r"), F.col("cls").alias("b"), F.col("comp").alias("bcomp"))
             hub = state.groupBy("key").agg(F.min(rank).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "hub.b", "hub.bcomp")
-            pairs = state.join(hub, "key").where("comp <> bcomp").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+            pairs = dealt(state, hub, ["key"], hot, ["cls"]).where("comp <> bcomp").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
         else:
             # what is left: members outside their bucket's largest component, with all members of other components
             state = _linkable(state, sets, percent)
             per = state.groupBy("key", "comp").agg(F.count("*").alias("n"))
             largest = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("main"))
-            rest = state.join(largest, "key")
+            left = hot_keys(per.groupBy("key").agg(F.sum("n").alias("n")), ["key"], **_HOT)
+            rest = dealt(state, largest, ["key"], left, ["cls"])
             few = rest.where("comp <> main").select("key", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("shared").alias("xs"), F.col("sig").alias("xsig"), F.col("odd").alias("xodd"))
             # places where the sketches differ are a lower bound of how many items only one of the two sets has
             apart = "aggregate(zip_with(odd, xodd, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
             near = f"xc <> comp and (comp = main or x < cls) and least(shared, xs) * {100 + percent} >= (n + xn) * {percent} and {apart} * {100 + percent} <= (n + xn) * {100 - percent} and {_first_chunk(chunks, distance)}"
-            pairs = few.join(rest.select("key", "chunk", "gap", "cls", "comp", "main", "n", "shared", "sig", "odd"), "key").where(near).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+            pairs = dealt(few, rest.select("key", "chunk", "gap", "cls", "comp", "main", "n", "shared", "sig", "odd"), ["key"], left, ["x"]).where(near).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
         new = written(confirmed(pairs), "links")
         if links is not None and new.isEmpty():
             continue
