@@ -189,7 +189,14 @@ def home_rows(rows: DataFrame, rows_now: DataFrame) -> DataFrame:
     return rows.select("workbook_id", "sheet", "row_no").join(m, ["workbook_id", "sheet"], "left")
 
 
-def decide(evidence: DataFrame, rows: DataFrame, rows_now: DataFrame, odd: DataFrame, picks: DataFrame, accept: float = 0.3, confident: float = 0.5) -> DataFrame:
+def contradicted(pairs: DataFrame, series: DataFrame, series_now: DataFrame) -> DataFrame:
+    """Pairs that share periods and agree in none of them: the label may be the same, the numbers aren't."""
+    return _shared(pairs, series, series_now).groupBy(*PAIR).agg(F.max(F.col("same").cast("int")).alias("m")).where("m = 0").select(*PAIR)
+
+
+def decide(
+    evidence: DataFrame, rows: DataFrame, rows_now: DataFrame, odd: DataFrame, picks: DataFrame, accept: float = 0.3, confident: float = 0.5, series: DataFrame | None = None, series_now: DataFrame | None = None
+) -> DataFrame:
     """The row of this year's model for every row of last year's with evidence, and how sure it is.
 
     ``evidence(workbook_id, row_no, cur_row, strategy, score)``; of each strategy the best counts, with its weight.  A
@@ -198,6 +205,10 @@ def decide(evidence: DataFrame, rows: DataFrame, rows_now: DataFrame, odd: DataF
     last year's numbers come first, then those with a strong kind of evidence, then by weight.  Found: strong, or
     ``accept`` and more; a trace of .7 to another row takes confidence, unless label and history agree.  ``picks``
     (workbook_id, row_no, cur_row) override.
+
+    With the two years' series: a first candidate without last year's numbers that contradicts them gives way to the
+    first one that has them (a history of .5, not odd); and one with such a history is confident where the next three
+    candidates are the same series in every period, as it doesn't matter then which is meant.
     """
     best = evidence.groupBy(*PAIR, "strategy").agg(F.max("score").alias("score"))
     weight, strong_at = (F.coalesce(*[F.when(F.col("strategy") == s, F.lit(v)) for s, v in t.items()]) for t in (WEIGHTS, STRONG))
@@ -209,11 +220,24 @@ def decide(evidence: DataFrame, rows: DataFrame, rows_now: DataFrame, odd: DataF
     place = F.when(F.col("cur_sheet").isNull(), 0.0).when(F.col("at_sheet") == F.col("cur_sheet"), 0.1).when(F.col("trace").isNotNull(), 0.0).otherwise(-0.1)
     t = t.withColumn("total", F.round(F.col("total") + place - F.when(F.col("odd"), 0.2).otherwise(0.0), 9)).withColumn("strong", F.col("strong") & ~F.col("odd"))
     t = t.withColumn("sure", (F.coalesce("label", F.lit(0.0)) >= 1) & F.col("history").isNotNull() & ~F.col("odd"))
-    w = Window.partitionBy(*KEY).orderBy(F.col("sure").desc(), F.col("strong").desc(), F.col("total").desc(), "cur_row")
-    led = F.max_by("cur_row", F.struct("trace", "cur_row")).over(Window.partitionBy(*KEY)), F.max("trace").over(Window.partitionBy(*KEY))
-    t = t.withColumns({"_r": F.row_number().over(w), "_led": led[0], "_lead": led[1]}).where("_r = 1")
+    if series is None:
+        t = t.withColumns({"_contra": F.lit(False), "_sig": F.lit(None).cast("long")})
+    else:
+        t = t.join(contradicted(t.select(*PAIR), series, series_now).withColumn("_c", F.lit(True)), PAIR, "left").withColumn("_contra", F.coalesce("_c", F.lit(False)))
+        sig = series_now.groupBy("workbook_id", F.col("row_no").alias("cur_row")).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("period_end", F.round("value", 6).alias("v"))))).alias("_sig"))
+        t = t.join(sig, ["workbook_id", "cur_row"], "left")
+    own = Window.partitionBy(*KEY)
+    t = t.withColumn("_r", F.row_number().over(own.orderBy(F.col("sure").desc(), F.col("strong").desc(), F.col("total").desc(), "cur_row")))
+    led = F.max_by(F.when(F.col("trace").isNotNull(), F.col("cur_row")), F.struct("trace", "cur_row")).over(own), F.max("trace").over(own)
+    has_history = (F.coalesce("history", F.lit(0.0)) >= 0.5) & ~F.col("odd")
+    t = t.withColumns({"_led": led[0], "_lead": led[1], "_hist": F.min(F.when(has_history, F.col("_r"))).over(own), "_gives": F.max((F.col("_r") == 1) & F.col("history").isNull() & F.col("_contra")).over(own)})
+    t = t.withColumn("_next", F.collect_list(F.when(F.col("_r").between(2, 4), F.coalesce("_sig", F.lit(0)))).over(own))
+    t = t.where(F.col("_r") == F.when(F.col("_gives") & F.col("_hist").isNotNull(), F.col("_hist")).otherwise(1))
     away = (F.coalesce("_lead", F.lit(0.0)) >= 0.7) & (F.col("_led") != F.col("cur_row")) & F.col("trace").isNull() & ~(F.col("label").isNotNull() & F.col("history").isNotNull())
-    t = t.withColumn("found", F.col("strong") | (F.col("total") >= accept)).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(away, F.least("total", F.lit(confident - 0.01))).otherwise(F.col("total")))))
+    alike = has_history & (F.size("_next") > 0) & F.coalesce(F.forall("_next", lambda x: x == F.col("_sig")), F.lit(False))
+    sure = F.when(alike, F.greatest("total", F.lit(confident))).otherwise(F.col("total"))
+    t = t.withColumn("found", F.col("strong") | (F.col("total") >= accept))
+    t = t.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(away, F.least(sure, F.lit(confident - 0.01))).otherwise(sure))))
     p = picks.select(*KEY, F.col("cur_row").alias("_pick"), F.lit(True).alias("_picked"))
     t = t.join(p, KEY, "left").withColumn("_picked", F.coalesce("_picked", F.lit(False)))
     status = F.when(F.col("_picked"), "picked").when(~F.col("found"), "open").when(F.col("confidence") >= confident, "confident").otherwise("accepted")

@@ -58,13 +58,16 @@ def j6(spark, sf):
 _BLOCKS = lambda rows: f"SELECT workbook_id, CAST(floor(row_no / 10) AS BIGINT) AS block, concat(min(section) OVER (PARTITION BY workbook_id, CAST(floor(row_no / 10) AS BIGINT)), ' block ', CASE CAST(floor(row_no / 10) AS BIGINT) % 4 WHEN 0 THEN 'income' WHEN 1 THEN 'costs' WHEN 2 THEN 'debt service' ELSE 'equity flows' END) AS heading, row_no, CASE WHEN row_no % 9 = 4 THEN '' ELSE label END AS label FROM {rows}"
 
 
-@query("j8_by_block", f"""{cte('model_rows', 'model_rows_now')}, x AS ({_BLOCKS('model_rows')}), y AS ({_BLOCKS('model_rows_now')}),
+_BLOCK = f"""x AS ({_BLOCKS('model_rows')}), y AS ({_BLOCKS('model_rows_now')}),
     a AS (SELECT *, {_N('label')} AS l, row_number() OVER (PARTITION BY workbook_id, block ORDER BY row_no) AS place, count(*) OVER (PARTITION BY workbook_id, block) AS size, {_T('heading')} AS w FROM x),
     b AS (SELECT workbook_id, block AS cur_block, row_no AS cur_row, {_N('label')} AS cl, row_number() OVER (PARTITION BY workbook_id, block ORDER BY row_no) AS cur_place, count(*) OVER (PARTITION BY workbook_id, block) AS cur_size, {_T('heading')} AS cw FROM y),
     p AS (SELECT *, len(list_intersect(w, cw)) / (len(w) + len(cw) - len(list_intersect(w, cw))) AS j FROM a JOIN b USING (workbook_id)), q AS (SELECT * FROM p WHERE j >= 0.5),
     s AS (SELECT workbook_id, row_no, cur_block, j, count(*) AS n, min(cur_row) AS cur_row FROM q WHERE l <> '' AND l = cl GROUP BY ALL),
     u AS (SELECT {P}, round(j, 2) AS score FROM s WHERE n = 1 UNION ALL SELECT {P}, round(CASE WHEN l = '' THEN 0.6 ELSE 0.5 END * j, 2) FROM q ANTI JOIN s USING (workbook_id, row_no, cur_block) WHERE size = cur_size AND place = cur_place)
-    SELECT {P}, max(score)::DOUBLE AS score FROM u GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY workbook_id, row_no ORDER BY max(score) DESC, cur_row) <= 3""".replace("GROUP BY ALL QUALIFY", f"GROUP BY {P} QUALIFY"))
+    SELECT {P}, max(score)::DOUBLE AS score FROM u GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY workbook_id, row_no ORDER BY max(score) DESC, cur_row) <= 3""".replace("GROUP BY ALL QUALIFY", f"GROUP BY {P} QUALIFY")
+
+
+@query("j8_by_block", f"{cte('model_rows', 'model_rows_now')}, {_BLOCK}")
 def j8(spark, sf):
     rows, now = (spark.sql(_BLOCKS("{r}"), r=d) for d in _v(spark, sf, "rows", "rows_now"))
     return evidence.by_block(rows, now)
@@ -136,26 +139,47 @@ def j11_suspects(spark, sf):
     return evidence.suspect_copies(_labels(r, rn), m, s, sn, F.lit("2022-06-30").cast("date"))
 
 
-_DECIDE = f"""pasted0 AS (SELECT 1), {_ODD}, keep AS (SELECT * FROM ev ANTI JOIN pasted USING ({P})), best AS (SELECT {P}, strategy, max(score) AS score FROM keep GROUP BY {P}, strategy),
-    wt AS (SELECT *, CASE strategy WHEN 'label' THEN 0.3 WHEN 'history' THEN 0.35 WHEN 'words' THEN 0.2 ELSE 0.15 END AS w, CASE strategy WHEN 'label' THEN 0.8 WHEN 'history' THEN 0.5 WHEN 'words' THEN 9 ELSE 0.6 END AS s FROM best),
-    tt AS (SELECT {P}, sum(w * score)::DOUBLE AS total, bool_or(score >= s) AS strong, max(score) FILTER (strategy = 'label') AS label, max(score) FILTER (strategy = 'history') AS history, arg_max(strategy, struct_pack(a := round(w * score, 9)::DOUBLE, b := strategy)) AS how FROM wt GROUP BY {P}),
+#: A trace for every fourth row, to where it is now or the row after; the walk itself is held against brute force in a test.
+_TRACE = "SELECT r.workbook_id, r.row_no, n.row_no AS cur_row, CASE WHEN r.row_no % 3 = 0 THEN 0.9 ELSE 0.6 END AS score FROM {r} r JOIN {n} n ON n.workbook_id = r.workbook_id AND n.row_no = r.row_no + CASE WHEN r.row_no > 10 AND r.workbook_id % 3 > 0 THEN 3 ELSE 0 END + CASE WHEN r.row_no % 8 = 1 THEN 1 ELSE 0 END WHERE r.row_no % 4 = 1"
+_OWN = lambda e: f"(SELECT * FROM {e} WHERE src > 10 OR dst >= src + 20)"
+_EV8 = f"""{_EV}, {_BANNER.replace('FROM model_edges e', f"FROM {_OWN('model_edges')} e").replace('FROM model_edges_now', f"FROM {_OWN('model_edges_now')}")}, block AS (WITH {_BLOCK}), {_alike('li', 2, 0.5)}, trace AS ({_TRACE.format(r='model_rows', n='model_rows_now')}),
+    ev AS (SELECT * FROM ev0 UNION ALL SELECT {P}, 'banner', score FROM banner UNION ALL SELECT {P}, 'block', score FROM block UNION ALL SELECT {P}, 'lineage', score FROM li SEMI JOIN neighbours USING ({P}) WHERE score >= 0.5 UNION ALL SELECT {P}, 'trace', score FROM trace)"""
+_case = lambda t, rest: "CASE strategy " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + f" ELSE {rest} END"
+
+_DECIDE = f"""pasted0 AS (SELECT 1), {_ODD}, keep AS (SELECT * FROM ev ANTI JOIN pasted USING ({P})), best AS (SELECT {P}, strategy, max(score)::DOUBLE AS score FROM keep GROUP BY {P}, strategy),
+    wt AS (SELECT *, {_case(evidence.WEIGHTS, 0)}::DOUBLE AS w, {_case(evidence.STRONG, 9)}::DOUBLE AS s FROM best),
+    tt AS (SELECT {P}, sum(w * score)::DOUBLE AS total, bool_or(score >= s) AS strong, max(score) FILTER (strategy = 'label') AS label, max(score) FILTER (strategy = 'history') AS history, max(score) FILTER (strategy = 'trace') AS trace, arg_max(strategy, struct_pack(a := round(w * score, 9)::DOUBLE, b := strategy)) AS how FROM wt GROUP BY {P}),
     od AS (SELECT {P} FROM shaped),
-    t2 AS (SELECT {P}, round(total + CASE WHEN m.cur_sheet IS NULL THEN 0 WHEN n.sheet = m.cur_sheet THEN 0.1 ELSE -0.1 END - CASE WHEN od.row_no IS NULL THEN 0 ELSE 0.2 END, 9) AS total, strong AND od.row_no IS NULL AS strong, coalesce(tt.label, 0) >= 1 AND history IS NOT NULL AND od.row_no IS NULL AS sure, how
+    t2 AS (SELECT {P}, round(total + CASE WHEN m.cur_sheet IS NULL THEN 0 WHEN n.sheet = m.cur_sheet THEN 0.1 WHEN trace IS NOT NULL THEN 0 ELSE -0.1 END - CASE WHEN od.row_no IS NULL THEN 0 ELSE 0.2 END, 9) AS total, strong AND od.row_no IS NULL AS strong, od.row_no IS NOT NULL AS odd, coalesce(tt.label, 0) >= 1 AND history IS NOT NULL AND od.row_no IS NULL AS sure, how, tt.label, history, trace
       FROM tt JOIN model_rows r USING (workbook_id, row_no) LEFT JOIN sheet_map m ON m.workbook_id = r.workbook_id AND m.sheet = r.sheet LEFT JOIN model_rows_now n ON n.workbook_id = tt.workbook_id AND n.row_no = tt.cur_row LEFT JOIN od USING ({P})),
-    t3 AS (SELECT *, greatest(0, least(1, total)) AS c FROM t2 QUALIFY row_number() OVER (PARTITION BY workbook_id, row_no ORDER BY sure DESC, strong DESC, total DESC, cur_row) = 1),
+    co AS (SELECT {P} FROM t2 JOIN model_points p USING (workbook_id, row_no) JOIN (SELECT workbook_id, row_no AS cur_row, period_end, value AS now FROM model_points_now) c USING (workbook_id, cur_row, period_end) WHERE value <> 0 GROUP BY {P} HAVING NOT bool_or(abs(now - value) <= 1e-9 * greatest(1.0, abs(value)))),
+    sg AS (SELECT workbook_id, row_no AS cur_row, string_agg(period_end || '=' || round(value, 6), ';' ORDER BY period_end) AS sig FROM model_points_now GROUP BY 1, 2),
+    rk AS (SELECT t2.*, co.row_no IS NOT NULL AS contra, coalesce(sig, '') AS sig, row_number() OVER (PARTITION BY t2.workbook_id, t2.row_no ORDER BY sure DESC, strong DESC, total DESC, t2.cur_row) AS r FROM t2 LEFT JOIN co USING ({P}) LEFT JOIN sg ON sg.workbook_id = t2.workbook_id AND sg.cur_row = t2.cur_row),
+    ky AS (SELECT workbook_id, row_no, max(trace) AS lead, arg_max(cur_row, struct_pack(a := trace, b := cur_row)) FILTER (trace IS NOT NULL) AS led, min(r) FILTER (history >= 0.5 AND NOT odd) AS hist, bool_or(r = 1 AND history IS NULL AND contra) AS gives, list(sig) FILTER (r BETWEEN 2 AND 4) AS nxt FROM rk GROUP BY 1, 2),
+    ch AS (SELECT rk.*, lead, led, coalesce(history, 0) >= 0.5 AND NOT odd AND len(nxt) > 0 AND len(list_filter(nxt, lambda x: x <> sig)) = 0 AND sig <> '' AS same FROM rk JOIN ky USING (workbook_id, row_no) WHERE r = CASE WHEN gives AND hist IS NOT NULL THEN hist ELSE 1 END),
+    t3 AS (SELECT *, CASE WHEN same THEN greatest(total, 0.5) ELSE total END AS cf, coalesce(lead, 0) >= 0.7 AND led <> cur_row AND trace IS NULL AND NOT (label IS NOT NULL AND history IS NOT NULL) AS away FROM ch),
+    t4 AS (SELECT *, greatest(0, least(1, CASE WHEN away THEN least(cf, 0.49) ELSE cf END)) AS c FROM t3),
     decided AS (SELECT workbook_id, row_no, CASE WHEN pick THEN row_no + 1 ELSE cur_row END AS cur_row, round(CASE WHEN pick THEN 1.0 ELSE c END, 6)::DOUBLE AS confidence, CASE WHEN pick THEN 'pick' ELSE how END AS how,
-      CASE WHEN pick THEN 'picked' WHEN NOT (strong OR total >= 0.3) THEN 'open' WHEN c >= 0.5 THEN 'confident' ELSE 'accepted' END AS status FROM (SELECT *, row_no % 25 = 3 AS pick FROM t3))"""
+      CASE WHEN pick THEN 'picked' WHEN NOT (strong OR total >= 0.3) THEN 'open' WHEN c >= 0.5 THEN 'confident' ELSE 'accepted' END AS status FROM (SELECT *, row_no % 25 = 3 AS pick FROM t4))"""
 
 
 def _decided(spark, sf):
+    """All eight kinds of evidence, less pasted copies, decided."""
     ev, r, rn, s, sn = _evidence(spark, sf)
+    e, en = _v(spark, sf, "edges", "edges_now")
+    own = lambda d: d.where("src > 10 or dst >= src + 20")
+    rows, now = (spark.sql(_BLOCKS("{r}"), r=d) for d in (r, rn))
+    more = {"banner": evidence.by_banner(own(e), own(en), r, rn), "block": evidence.by_block(rows, now), "lineage": evidence.by_lineage(e, en, r, rn, evidence.by_neighbours(e, en, r, rn)), "trace": spark.sql(_TRACE, r=r, n=rn)}
+    for name, d in more.items():
+        ev = ev.union(d.select(*PAIR, F.lit(name), F.col("score").cast("double")))
+    ev = written(ev, "evidence")
     odd = written(_odd(spark, sf, ev), "odd")
     ev = ev.join(evidence.pasted_copies(ev, s, sn, odd), PAIR, "left_anti")
     picks = r.where("row_no % 25 = 3").select("workbook_id", "row_no", (F.col("row_no") + 1).alias("cur_row"))
-    return evidence.decide(ev, r, rn, odd, picks)
+    return evidence.decide(ev, r, rn, odd, picks, series=s, series_now=sn)
 
 
-@query("j10_decide", f"{_V}, {_EV}, ev AS (SELECT * FROM ev0), {_DECIDE} SELECT * FROM decided")
+@query("j10_decide", f"{_V}, {_EV8}, {_DECIDE} SELECT * FROM decided")
 def j10(spark, sf):
     return _decided(spark, sf).withColumn("confidence", F.round("confidence", 6))
 
