@@ -11,8 +11,11 @@ from fleetroll.sources.tables import written
 RANK = {"direct": 3, "offset": 2, "active": 1, "inactive": 0}
 
 
-def edges(raw: DataFrame) -> DataFrame:
-    """The strongest kind of every pair, without loops."""
+def edges(raw: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """The strongest kind of every pair, without loops; with ``items(node)``, between line items only."""
+    if items is not None:
+        for end in ("src", "dst"):
+            raw = raw.join(items.select(F.col("node").alias(end)), end, "left_semi")
     r = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in RANK.items()], F.lit(-1))
     return raw.where("src <> dst").groupBy("src", "dst").agg(F.max_by("kind", r).alias("kind"))
 

@@ -147,11 +147,11 @@ def near(prior: DataFrame, current: DataFrame, tol: float = 0.15, share: float =
     return h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "periods")
 
 
-def check(pairs: DataFrame, prior: DataFrame, current: DataFrame, tol: float = 0.15, cover: float = 0.8) -> DataFrame:
+def check(pairs: DataFrame, prior: DataFrame, current: DataFrame, tol: float = 0.15, cover: float = 0.8, odd: DataFrame | None = None) -> DataFrame:
     """Shared periods of each pair, the upper median of the relative gaps, equal periods, and whether the match holds.
 
-    It holds with three shared periods and more, a gap within ``tol``, and values in ``cover`` of last year's periods
-    for which the candidate's sheet has dates.
+    It holds with three shared periods and more, a gap within ``tol``, values in ``cover`` of last year's periods for
+    which the candidate's sheet has dates, and rows of one shape: ``odd`` are pairs of another (``evidence.other_shape``).
     """
     row, pair = ["workbook_id", "sheet", "row_no"], ["workbook_id", "sheet", "row_no", "cur_sheet", "cur_row"]
     now = current.select("workbook_id", F.col("sheet").alias("cur_sheet"), F.col("row_no").alias("cur_row"), "period_end", F.col("value").alias("cv"))
@@ -162,7 +162,12 @@ def check(pairs: DataFrame, prior: DataFrame, current: DataFrame, tol: float = 0
     j = j.withColumn("gap", F.when(F.col("cv").isNotNull(), gap))
     g = j.groupBy(*pair).agg(F.count("gap").alias("periods"), F.sort_array(F.collect_list("gap")).alias("_g"), F.count_if(F.col("gap") <= 1e-9).alias("equal"), F.count("dated").alias("could")).where("periods > 0")
     g = g.withColumn("gap", upper_median(F.col("_g"))).drop("_g")
-    return g.withColumn("holds", (F.col("periods") >= 3) & (F.col("gap") <= tol) & (F.col("periods") >= cover * F.col("could")))
+    other = F.lit(False)
+    if odd is not None:
+        g = g.join(odd.select(*[c for c in pair if c in odd.columns]).distinct().withColumn("_odd", F.lit(True)), [c for c in pair if c in odd.columns], "left")
+        other = F.coalesce("_odd", F.lit(False))
+    g = g.withColumn("holds", (F.col("periods") >= 3) & (F.col("gap") <= tol) & (F.col("periods") >= cover * F.col("could")) & ~other)
+    return g.drop("_odd")
 
 
 def measure(matches: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:

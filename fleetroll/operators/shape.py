@@ -123,6 +123,27 @@ def period_ends(starts: DataFrame, by: list[str]) -> DataFrame:
     return starts.withColumn("_n", nxt).withColumn("_m", usual).withColumn("period_end", F.date_sub(F.coalesce("_n", F.add_months("start", F.col("_m"))), 1)).drop("_n", "_m")
 
 
+def sheet_ends(header: DataFrame, dated: DataFrame, by: list[str], pattern: str = r"(?i)period end|end date|ending", cover: float = 0.8) -> DataFrame:
+    """(by, col, period_end, how): the end of the period of every column of a sheet, and where it is from.
+
+    'row': the first row labelled as an end that has dates for ``cover`` of the columns; 'starts': a header of firsts of a
+    month, whose periods end the day before the next starts, the last after the upper median of the gaps in whole
+    months; 'header': the header's dates.  ``header(by, col, date)``, ``dated(by, row_no, label, col, date)`` are cells with dates.
+    """
+    n = header.groupBy(*by).agg(F.count_distinct("col").alias("_n"), F.every(F.dayofmonth("date") == 1).alias("_starts"))
+    ends = dated.where(F.col("label").rlike(pattern)).join(header.select(*by, "col"), [*by, "col"], "left_semi")
+    best = ends.groupBy(*by, "row_no").agg(F.count_distinct("col").alias("m")).join(n, by).where(F.col("m") >= cover * F.col("_n")).groupBy(*by).agg(F.min("row_no").alias("row_no"))
+    row = ends.join(best, [*by, "row_no"]).select(*by, "col", F.col("date").alias("period_end"), F.lit("row").alias("how"))
+    rest = header.join(n, by).join(best.select(*by), by, "left_anti")
+    d = rest.select(*by, "date").distinct().withColumn("_next", F.lead("date").over(Window.partitionBy(*by).orderBy("date")))
+    g = d.groupBy(*by).agg(F.sort_array(F.collect_list(F.date_diff("_next", "date"))).alias("_g"))
+    length = F.greatest(F.lit(1), F.round(F.coalesce(F.get("_g", F.floor(F.size("_g") / 2).cast("int")), F.lit(91)) / 30.44).cast("int"))
+    d = d.join(g.select(*by, length.alias("_len")), by)
+    end = F.when(F.col("_starts"), F.date_sub(F.coalesce("_next", F.add_months("date", F.col("_len"))), 1)).otherwise(F.col("date"))
+    head = rest.join(d, [*by, "date"]).select(*by, "col", end.alias("period_end"), F.when(F.col("_starts"), "starts").otherwise("header").alias("how"))
+    return row.unionByName(head)
+
+
 def phases(flags: DataFrame, by: list[str]) -> DataFrame:
     """Spans of consecutive periods with the same phase: the first flagged row's label, by row. One span is none."""
     p = flags.where("value = 1").groupBy(*by, "period_end").agg(F.min_by("label", "row_no").alias("phase"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetroll.functions.text import ties
+
 
 def split(factored: DataFrame, terminal: Column) -> DataFrame:
     """PV per core in a forecast and a terminal part, with the terminal share."""
@@ -40,11 +42,13 @@ def split_value(streams: DataFrame) -> DataFrame:
     return v.withColumn("total", total).withColumns({f"{n}_share": F.when(total != 0, F.col(n) / total) for n in part})
 
 
-def reconcile(parts: DataFrame, scales: list[float] = [1.0, 1e-3, 1e-6, 1e3], tol: float = 0.005) -> DataFrame:
-    """The scale at which most of a group's computed parts tie to the reported ones; the first on a tie."""
+def reconcile(parts: DataFrame, scales: list[float] = [1.0, 1e-3, 1e-6, 1e3]) -> DataFrame:
+    """The scale at which most of a group's computed parts tie to the reported ones; the first on a tie.
+
+    ``parts(core_id, part, computed, printed)``: a part ties within half a unit of the last digit that the report prints.
+    """
     s = parts.sparkSession.createDataFrame(list(enumerate(scales)), "scale_no int, scale double")
-    tie = F.abs(F.col("computed") * F.col("scale") - F.col("reported")) <= tol * F.greatest(F.abs("reported"), F.lit(1e-9))
-    g = parts.crossJoin(F.broadcast(s)).groupBy("core_id", "scale_no", "scale").agg(F.count_if(tie).alias("ties"))
+    g = parts.crossJoin(F.broadcast(s)).groupBy("core_id", "scale_no", "scale").agg(F.count_if(ties(F.col("computed") * F.col("scale"), F.col("printed"))).alias("ties"))
     w = Window.partitionBy("core_id").orderBy(F.col("ties").desc(), "scale_no")
     return g.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "scale_no")
 
@@ -161,15 +165,34 @@ def methods(flows: DataFrame, discountings: DataFrame) -> DataFrame:
     return pv.join(base, "core_id").select("core_id", "method", "pv", (F.col("pv") - F.col("_b")).alias("effect"))
 
 
-def scenario(flows: DataFrame, discountings: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Model and scenario PV where overrides(core_id, new_rate, new_timing, new_date) are given, and what changed."""
+def scenario(flows: DataFrame, discountings: DataFrame, overrides: DataFrame, bridge: DataFrame | None = None, dropped: DataFrame | None = None) -> DataFrame:
+    """Model and scenario value of each discounting: (core_id, model, scenario, model_total, scenario_total, changed).
+
+    ``overrides(core_id, new_rate, new_timing, new_date, new_day_count, new_cutoff)``, all but the first optional: what isn't
+    given stays.  ``new_cutoff`` is a date as text, or '' for none.  ``bridge(core_id, item, amount)`` are what is added to the
+    present value, but for the ``dropped(core_id, item)`` in the scenario.  ``changed`` names what differs.
+    """
     from . import fin
 
+    for c, kind in (("new_rate", "double"), ("new_timing", "string"), ("new_date", "date"), ("new_day_count", "string"), ("new_cutoff", "string")):
+        if c not in overrides.columns:
+            overrides = overrides.withColumn(c, F.lit(None).cast(kind))
     j = discountings.join(overrides, "core_id", "left")
-    s = j.select("core_id", F.coalesce("new_rate", "rate").alias("rate"), F.coalesce("new_date", "valuation_date").alias("valuation_date"), F.coalesce("new_timing", "timing").alias("timing"), "day_count", "terminal_date")
-    changed = F.array_compact(F.array(F.when(F.col("new_rate") != F.col("rate"), "rate"), F.when(F.col("new_timing") != F.col("timing"), "timing"), F.when(F.col("new_date") != F.col("valuation_date"), "date")))
+    cut = F.when(F.col("new_cutoff").isNull(), F.col("terminal_date")).when(F.col("new_cutoff") != "", F.to_date("new_cutoff"))
+    s = j.select("core_id", F.coalesce("new_rate", "rate").alias("rate"), F.coalesce("new_date", "valuation_date").alias("valuation_date"), F.coalesce("new_timing", "timing").alias("timing"), F.coalesce("new_day_count", "day_count").alias("day_count"), cut.alias("terminal_date"))
+    named = {"rate": ("new_rate", "rate"), "date": ("new_date", "valuation_date"), "timing": ("new_timing", "timing"), "day count": ("new_day_count", "day_count")}
+    changed = [F.when(F.col(n) != F.col(o), name) for name, (n, o) in named.items()] + [F.when(~cut.eqNullSafe(F.col("terminal_date")), "cut-off")]
     a, b = fin.dcf(flows, discountings).select("core_id", F.col("pv").alias("model")), fin.dcf(flows, s).select("core_id", F.col("pv").alias("scenario"))
-    return a.join(b, "core_id").join(j.select("core_id", F.array_join(changed, ",").alias("changed")), "core_id")
+    out = a.join(b, "core_id").join(j.select("core_id", F.array_compact(F.array(*changed)).alias("_c")), "core_id")
+    if bridge is None:
+        return out.select("core_id", "model", "scenario", F.col("model").alias("model_total"), F.col("scenario").alias("scenario_total"), F.array_join("_c", ",").alias("changed"))
+    gone = dropped.select("core_id", "item").distinct().withColumn("_gone", F.lit(True)) if dropped is not None else bridge.select("core_id", "item").limit(0).withColumn("_gone", F.lit(True))
+    k = bridge.join(gone, ["core_id", "item"], "left").groupBy("core_id").agg(
+        F.sum("amount").alias("_all"), F.coalesce(F.sum(F.when(F.col("_gone").isNull(), F.col("amount"))), F.lit(0.0)).alias("_kept"), F.array_sort(F.collect_list(F.when(F.col("_gone"), F.concat(F.lit("without "), F.col("item"))))).alias("_w")
+    )
+    out = out.join(k, "core_id", "left")
+    nil = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select("core_id", "model", "scenario", (F.col("model") + nil("_all")).alias("model_total"), (F.col("scenario") + nil("_kept")).alias("scenario_total"), F.array_join(F.concat("_c", F.coalesce("_w", F.array().cast("array<string>"))), ",").alias("changed"))
 
 
 def fit_factors(factors: DataFrame, candidates: DataFrame, tol: float = 1e-9) -> DataFrame:
@@ -236,6 +259,17 @@ def forecast_end(flows: DataFrame) -> DataFrame:
     return g.withColumn("months", F.round(F.months_between("this_end", "last_end")).cast("int"))
 
 
+def moved_ends(ends: DataFrame, cells: DataFrame, pattern: str = r"(?i)\bend|terminal|horizon|expir") -> DataFrame:
+    """Typed dates that go along where a forecast ends on another date than last year's: (core_id, cell, was, now).
+
+    ``ends`` is ``forecast_end``'s result, ``cells(core_id, cell, date, label, formula, rolled)`` the overlay's dates: one moves if it
+    is typed, not among the ``rolled`` ones (valuation dates), the end of last year's forecast, and labelled as an end.
+    """
+    e = ends.where("last_end is not null and this_end is not null and last_end <> this_end").select("core_id", "last_end", "this_end")
+    own = cells.where(F.col("formula").isNull() & ~F.coalesce("rolled", F.lit(False)) & F.col("label").rlike(pattern))
+    return own.join(e, [own["core_id"] == e["core_id"], own["date"] == e["last_end"]]).select(own["core_id"], "cell", F.col("last_end").alias("was"), F.col("this_end").alias("now"))
+
+
 def roll_months(prior: DataFrame, current: DataFrame) -> DataFrame:
     """The months by which most sheets' first periods moved, of 1 to 24 (the fewer on a tie), per workbook."""
     a = prior.groupBy("workbook_id", "sheet").agg(F.min("period_end").alias("a"))

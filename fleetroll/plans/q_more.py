@@ -27,7 +27,7 @@ _OV = "o AS (SELECT core_id, CASE WHEN core_id % 3 = 0 THEN 0.09::DOUBLE END AS
 
 
 @query("v25_scenario", f"""{_PV}, {_OV}, p AS (SELECT core_id, coalesce(nr, rate) AS rate, coalesce(nd, valuation_date) AS valuation_date, coalesce(nt, timing) AS timing, day_count, terminal_date FROM discountings LEFT JOIN o USING (core_id)), g AS ({sql_factors('flows', 'p')})
-    SELECT a.core_id, round(model, 4) AS model, round(scenario, 4) AS scenario, concat_ws(',', CASE WHEN nr <> rate THEN 'rate' END, CASE WHEN nt <> timing THEN 'timing' END, CASE WHEN nd <> valuation_date THEN 'date' END) AS changed
+    SELECT a.core_id, round(model, 4) AS model, round(scenario, 4) AS scenario, concat_ws(',', CASE WHEN nr <> rate THEN 'rate' END, CASE WHEN nd <> valuation_date THEN 'date' END, CASE WHEN nt <> timing THEN 'timing' END) AS changed
     FROM (SELECT core_id, sum(cf * factor) AS model FROM f GROUP BY 1) a JOIN (SELECT core_id, sum(cf * factor) AS scenario FROM g GROUP BY 1) b USING (core_id) JOIN discountings d USING (core_id) LEFT JOIN o USING (core_id)""")
 def v25(spark, sf):
     d = view(spark, sf, "discountings")
@@ -36,6 +36,22 @@ def v25(spark, sf):
     return value.scenario(view(spark, sf, "flows"), d, o).select("core_id", F.round("model", 4).alias("model"), F.round("scenario", 4).alias("scenario"), "changed")
 
 
+@query("v25_full_scenario", f"""{_PV}, o AS (SELECT core_id, CASE core_id % 3 WHEN 0 THEN 'actual/365' WHEN 1 THEN 'actual/actual' END AS nd, CASE core_id % 5 WHEN 0 THEN '' WHEN 1 THEN '1999-12-31' WHEN 2 THEN '2000-06-30' END AS nc FROM discountings),
+    p AS (SELECT core_id, rate, valuation_date, timing, coalesce(nd, day_count) AS day_count, CASE WHEN nc IS NULL THEN terminal_date WHEN nc <> '' THEN nc::DATE END AS terminal_date FROM discountings JOIN o USING (core_id)), g AS ({sql_factors('flows', 'p')}),
+    b AS (SELECT core_id, 1000.0 + core_id % 10 - 250 AS al, CASE WHEN core_id % 4 = 1 THEN 0 ELSE 1000.0 + core_id % 10 END + CASE WHEN core_id % 6 = 1 THEN 0 ELSE -250 END AS kept, concat_ws(',', CASE WHEN core_id % 4 = 1 THEN 'without cash' END, CASE WHEN core_id % 6 = 1 THEN 'without net debt' END) AS w FROM discountings)
+    SELECT x.core_id, round(model, 4) AS model, round(scenario, 4) AS scenario, round(model + al, 4) AS model_total, round(scenario + kept, 4) AS scenario_total,
+      concat_ws(',', CASE WHEN p.day_count <> d.day_count THEN 'day count' END, CASE WHEN p.terminal_date IS DISTINCT FROM d.terminal_date THEN 'cut-off' END, nullif(w, '')) AS changed
+    FROM (SELECT core_id, sum(cf * factor) AS model FROM f GROUP BY 1) x JOIN (SELECT core_id, sum(cf * factor) AS scenario FROM g GROUP BY 1) y USING (core_id) JOIN p USING (core_id) JOIN discountings d USING (core_id) JOIN b USING (core_id)""")
+def v25_full(spark, sf):
+    """Another day count, another cut-off or none, and bridge items left out."""
+    d, c = view(spark, sf, "discountings"), F.col("core_id")
+    o = d.select("core_id", F.when(c % 3 == 0, "actual/365").when(c % 3 == 1, "actual/actual").alias("new_day_count"), F.when(c % 5 == 0, "").when(c % 5 == 1, "1999-12-31").when(c % 5 == 2, "2000-06-30").alias("new_cutoff"))
+    b = d.select("core_id", F.explode(F.array(F.struct(F.lit("cash").alias("item"), (1000.0 + c % 10).alias("amount")), F.struct(F.lit("net debt").alias("item"), F.lit(-250.0).alias("amount")))).alias("x")).select("core_id", "x.*")
+    gone = d.where(c % 4 == 1).select("core_id", F.lit("cash").alias("item")).union(d.where(c % 6 == 1).select("core_id", F.lit("net debt")))
+    out = value.scenario(view(spark, sf, "flows"), d, o, b, gone)
+    return out.select("core_id", *[F.round(x, 4).alias(x) for x in ("model", "scenario", "model_total", "scenario_total")], "changed")
+
+
 @query("v5_fit_factors")
 def v5(spark, sf):
     """The factors of V2 read back; its test holds the result against the parameters they were made with."""
@@ -108,7 +124,20 @@ def v28(spark, sf):
     return value.forecast_end(f.where("core_id % 2 = 0 or period_end < '2000-01-01'").withColumn("feed", F.lit("last")).union(f.withColumn("feed", F.lit("this"))))
 
 
-@query("j24_balances", f"""{cte('series', 'series_now')}, r AS (SELECT {K}, period_end, last_day((period_end + INTERVAL 12 MONTH)::DATE) AS to_end FROM series WHERE period_end BETWEEN DATE '1999-06-30' AND DATE '1999-08-31')
+@query("v28_moved_ends", f"""{cte('flows')}, g AS (SELECT core_id, max(period_end) FILTER (core_id % 2 = 0 OR period_end < DATE '2000-01-01') AS was, max(period_end) AS now FROM flows WHERE cf <> 0 GROUP BY 1),
+    c AS (SELECT core_id, 'F' || core_id AS cell, CASE WHEN core_id % 7 = 3 THEN (was + 1)::DATE ELSE was END AS d, ['Forecast end', 'Horizon', 'Last cash flow', 'Concession expiry'][(core_id % 4 + 1)::INT] AS label, core_id % 9 = 5 AS f, core_id % 11 = 1 AS rolled FROM g)
+    SELECT core_id, cell, was, now FROM c JOIN g USING (core_id) WHERE d = was AND was <> now AND NOT f AND NOT rolled AND label <> 'Last cash flow'""")
+def v28_ends(spark, sf):
+    """Dates typed on the overlay's sheets, some formulas, some labelled as something else, some a day off."""
+    f = view(spark, sf, "flows")
+    e = value.forecast_end(f.where("core_id % 2 = 0 or period_end < '2000-01-01'").withColumn("feed", F.lit("last")).union(f.withColumn("feed", F.lit("this"))))
+    k = F.col("core_id")
+    label = F.get(F.array(*map(F.lit, ("Forecast end", "Horizon", "Last cash flow", "Concession expiry"))), (k % 4).cast("int"))
+    c = e.select("core_id", F.concat(F.lit("F"), k.cast("string")).alias("cell"), F.date_add("last_end", F.when(k % 7 == 3, 1).otherwise(0)).alias("date"), label.alias("label"), F.when(k % 9 == 5, "A1").alias("formula"), (k % 11 == 1).alias("rolled"))
+    return value.moved_ends(e, c)
+
+
+@query("j24_balances", f"""{cte('series', 'series_now').replace(' AS (SELECT', ' AS MATERIALIZED (SELECT')}, r AS (SELECT {K}, period_end, last_day((period_end + INTERVAL 12 MONTH)::DATE) AS to_end FROM series WHERE period_end BETWEEN DATE '1999-06-30' AND DATE '1999-08-31')
     SELECT r.*, p.value AS forecast, c.value AS actual, CASE WHEN c.value IS NULL THEN 'missing' WHEN p.value IS NULL THEN 'no forecast' WHEN abs(c.value - p.value) / abs(p.value) >= 0.5 THEN 'block' WHEN abs(c.value - p.value) / abs(p.value) >= 0.03 THEN 'check' ELSE 'ok' END AS status
     FROM r LEFT JOIN series p ON p.workbook_id = r.workbook_id AND p.sheet = r.sheet AND p.row_no = r.row_no AND p.period_end = to_end LEFT JOIN series_now c ON c.workbook_id = r.workbook_id AND c.sheet = r.sheet AND c.row_no = r.row_no AND c.period_end = to_end""")
 def j24(spark, sf):

@@ -89,6 +89,23 @@ def t12(spark, sf):
     return shape.period_ends(s, ["o_custkey"])
 
 
+#: A sheet of a customer's orders: a header of dates, a row of ends by label in some, months' firsts or lasts.
+_T12 = "SELECT o_custkey AS sheet, CAST(o_orderkey AS INT) AS col, CASE WHEN o_custkey % 3 = 0 THEN last_day(CAST(o_orderdate AS DATE)) ELSE CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) END AS head, CAST(o_orderdate AS DATE) AS d, o_custkey % 4 = 1 AND (o_custkey % 8 = 1 OR o_orderkey % 2 = 0) AS ended FROM {orders}"
+
+
+@query("t12_sheet_ends", f"""WITH h AS ({_T12.format(orders='orders')}), g AS (SELECT sheet, count(*) AS n, count(*) FILTER (ended) AS m, bool_and(day(head) = 1) AS st FROM h GROUP BY 1),
+    u AS (SELECT DISTINCT sheet, head FROM h), n AS (SELECT *, lead(head) OVER (PARTITION BY sheet ORDER BY head) AS nx FROM u), l AS (SELECT sheet, list_sort(list(nx - head) FILTER (nx IS NOT NULL)) AS gs FROM n GROUP BY 1),
+    k AS (SELECT sheet, greatest(1, round(coalesce(gs[len(gs) // 2 + 1], 91) / 30.44)::INT) AS mo FROM l)
+    SELECT h.sheet, col, CASE WHEN m >= 0.8 * g.n THEN CASE WHEN ended THEN last_day(d) END WHEN st THEN (coalesce(nx, (h.head + to_months(mo))::DATE) - 1)::DATE ELSE h.head END AS period_end, CASE WHEN m >= 0.8 * g.n THEN 'row' WHEN st THEN 'starts' ELSE 'header' END AS how
+    FROM h JOIN g USING (sheet) JOIN n ON n.sheet = h.sheet AND n.head = h.head JOIN k ON k.sheet = h.sheet WHERE NOT (m >= 0.8 * g.n AND NOT ended)""")
+def t12_sheet(spark, sf):
+    h = spark.sql(_T12, orders=spark.read.parquet(f"{sf}/orders.parquet"))
+    header = h.select("sheet", "col", F.col("head").alias("date"))
+    named = h.where("ended").select("sheet", F.lit(7).alias("row_no"), F.lit("Period end date").alias("label"), "col", F.last_day("d").alias("date"))
+    other = h.select("sheet", F.lit(3).alias("row_no"), F.lit("Signed on").alias("label"), "col", F.col("d").alias("date"))
+    return shape.sheet_ends(header, named.union(other), ["sheet"])
+
+
 @query("t13_timing_rule", f"""{_S}, g AS (SELECT {K}, count(*) AS n, bool_and(value = CASE WHEN period_end > DATE '1998-06-30' THEN 1 ELSE 0 END) AS a, bool_and(value = CASE WHEN period_end > DATE '1998-06-30' THEN 0 ELSE 1 END) AS b, min(value) = max(value) AS c FROM s GROUP BY ALL)
     SELECT {K}, CASE WHEN n < 2 THEN NULL WHEN a THEN 'after' WHEN b THEN 'up to' WHEN c THEN 'constant' END AS rule FROM g""")
 def t13(spark, sf):
@@ -181,13 +198,18 @@ def j23(spark, sf):
     return shape.rolled(p, view(spark, sf, "series_now"), m, 12)
 
 
-@query("v13_reconcile", f"""{_PV}, c AS (SELECT core_id, CASE WHEN period_end <= DATE '2000-12-31' THEN 'f' ELSE 't' END AS part, sum(cf * factor) AS computed FROM f GROUP BY 1, 2), p AS (SELECT core_id, part, computed, CASE core_id % 3 WHEN 0 THEN computed WHEN 1 THEN computed / 1000 ELSE computed / 7 END AS reported FROM c),
-    t AS (SELECT core_id, i, scale, count(*) FILTER (abs(computed * scale - reported) <= 0.005 * greatest(abs(reported), 1e-9))::BIGINT AS ties FROM p, (VALUES (0, 1.0::DOUBLE), (1, 1e-3), (2, 1e-6), (3, 1e3)) s(i, scale) GROUP BY 1, 2, 3)
+@query("v13_reconcile", f"""{_PV}, c AS (SELECT core_id, CASE WHEN period_end <= DATE '2000-12-31' THEN 'f' ELSE 't' END AS part, sum(cf * factor) AS computed FROM f GROUP BY 1, 2),
+    p AS (SELECT core_id, part, computed, CASE core_id % 5 WHEN 0 THEN printf('%,.2f', computed) WHEN 1 THEN printf('%.1f', computed / 1000) WHEN 2 THEN printf('%,.0f', computed / 1000) WHEN 3 THEN printf('%.1f', computed / 1000 + CASE part WHEN 'f' THEN 0.2 ELSE 0 END) ELSE printf('%.1f', computed / 7) END AS printed FROM c),
+    q AS (SELECT *, replace(printed, ',', '')::DOUBLE AS x, length(regexp_extract(printed, '\\.(\\d+)', 1)) AS d FROM p),
+    t AS (SELECT core_id, i, scale, count(*) FILTER (abs(computed * scale - x) <= 0.5 * power(10.0, -d) + 1e-9)::BIGINT AS ties FROM q, (VALUES (0, 1.0::DOUBLE), (1, 1e-3), (2, 1e-6), (3, 1e3)) s(i, scale) GROUP BY 1, 2, 3)
     SELECT core_id, scale, ties FROM t QUALIFY row_number() OVER (PARTITION BY core_id ORDER BY ties DESC, i) = 1""")
 def v13(spark, sf):
+    """Printed in units and thousands, to hundredths, tenths and whole numbers; one part off by two tenths; and none that ties."""
     from fleetroll.operators import fin
 
     f = fin.factors(view(spark, sf, "flows"), view(spark, sf, "discountings"))
     c = f.groupBy("core_id", F.when(F.col("period_end") <= "2000-12-31", "f").otherwise("t").alias("part")).agg(F.sum(F.col("cf") * F.col("factor")).alias("computed"))
-    r = F.when(F.col("core_id") % 3 == 0, F.col("computed")).when(F.col("core_id") % 3 == 1, F.col("computed") / 1000).otherwise(F.col("computed") / 7)
-    return value.reconcile(c.withColumn("reported", r))
+    k, x = F.col("core_id") % 5, F.col("computed")
+    off = F.when(F.col("part") == "f", 0.2).otherwise(0.0)
+    printed = F.when(k == 0, F.format_string("%,.2f", x)).when(k == 1, F.format_string("%.1f", x / 1000)).when(k == 2, F.format_string("%,.0f", x / 1000)).when(k == 3, F.format_string("%.1f", x / 1000 + off)).otherwise(F.format_string("%.1f", x / 7))
+    return value.reconcile(c.withColumn("printed", printed))
