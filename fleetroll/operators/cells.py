@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetroll.operators.shape import periodicity
 from fleetroll.functions.text import fold
 
 
@@ -49,6 +50,29 @@ def model_shape(cells: DataFrame) -> DataFrame:
     )
 
 
+def saved_state(sheets: DataFrame, cells: DataFrame, meta: DataFrame, dates: DataFrame) -> DataFrame:
+    """What a saved workbook says of itself: sheets, hidden ones, errors by type, how it was calculated, timelines by frequency.
+
+    ``sheets(workbook_id, sheet, state)``, ``cells(workbook_id, err)``, ``meta(workbook_id, key, value)`` with calc.calcMode (auto if not
+    said), calc.calcCompleted and calc.iterate, ``dates(workbook_id, sheet, period_end)``.  ``errors`` are (err, n) and ``timelines``
+    (frequency, sheets, periods of the longest, first, last), in order; sheets of less than two dates have no timeline.
+    """
+    s = sheets.groupBy("workbook_id").agg(F.count("*").alias("sheets"), F.count_if(F.coalesce("state", F.lit("visible")) != "visible").alias("hidden_sheets"))
+    e = cells.where("err is not null").groupBy("workbook_id", "err").agg(F.count("*").alias("n")).groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("err", "n"))).alias("errors"))
+    of = lambda k: F.max(F.when(F.col("key") == f"calc.{k}", F.lower("value")))
+    m = meta.groupBy("workbook_id").agg(of("calcMode").alias("mode"), of("calcCompleted").alias("done"), of("iterate").alias("again"))
+    d = dates.select("workbook_id", "sheet", "period_end").distinct()
+    f = periodicity(d, ["workbook_id", "sheet"]).select("workbook_id", "sheet", "periodicity")
+    span = d.groupBy("workbook_id", "sheet").agg(F.count("*").alias("n"), F.min("period_end").alias("a"), F.max("period_end").alias("b")).join(f, ["workbook_id", "sheet"])
+    t = span.groupBy("workbook_id", "periodicity").agg(F.count("*").alias("sheets"), F.max("n").alias("periods"), F.min("a").alias("first"), F.max("b").alias("last"))
+    t = t.groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("periodicity", "sheets", "periods", "first", "last"))).alias("timelines"), F.sum("sheets").alias("_with"))
+    j = s.join(e, "workbook_id", "left").join(m, "workbook_id", "left").join(t, "workbook_id", "left")
+    return j.select(
+        "workbook_id", "sheets", "hidden_sheets", "errors", F.coalesce("mode", F.lit("auto")).alias("calc_mode"), (~F.coalesce("done", F.lit("1")).isin("0", "false")).alias("calc_completed"),
+        F.coalesce("again", F.lit("0")).isin("1", "true").alias("iterate"), "timelines", (F.col("sheets") - F.coalesce("_with", F.lit(0))).alias("without_timeline"),
+    )
+
+
 def selectors(rows: DataFrame, cells: DataFrame, edges: DataFrame, pattern: str = r"(?i)scenario|case|switch|select", amount: str = r"[$€£]|%") -> DataFrame:
     """Scenario switches: rows labelled as such, not an amount by their units, that some row reads, of two typed numbers at most.
 

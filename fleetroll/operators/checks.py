@@ -17,6 +17,19 @@ def stale(prior: DataFrame, current: DataFrame, by: list[str], after: Column) ->
     return g.where("periods >= 2").withColumn("stale", F.col("periods") == F.col("equal"))
 
 
+def stale_forecast(prior: DataFrame, current: DataFrame, reads: DataFrame, changes: DataFrame, by: list[str], after: Column) -> DataFrame:
+    """Forecasts that are last year's, and whether they should be: (by, periods, equal, changed_rows, finding).
+
+    ``reads(by, row)`` are the client rows a forecast is worked out from, ``changes(row)`` those whose values differ between
+    the two years' models.  Equal in all of two shared periods or more after the date: 'block' if rows it reads have
+    changed, as they didn't get through, else 'check'; null for a forecast that has moved.
+    """
+    g = stale(prior, current, by, after)
+    n = reads.join(changes.select("row").distinct(), "row", "left_semi").groupBy(*by).agg(F.count_distinct("row").alias("_n"))
+    d = g.join(n, by, "left").withColumn("changed_rows", F.coalesce("_n", F.lit(0)))
+    return d.select(*by, "periods", "equal", "changed_rows", F.when(F.col("stale"), F.when(F.col("changed_rows") > 0, "block").otherwise("check")).alias("finding"))
+
+
 def sign_flip(pv: DataFrame, before: str, after: str, total: str, share: float = 0.01) -> DataFrame:
     """PVs that change sign while both are more than ``share`` of the value."""
     big = lambda c: F.abs(c) > share * F.abs(total)

@@ -155,6 +155,20 @@ def select_pages(pages: DataFrame, keywords: list[str], limit: int = 150_000, fi
     return g.select("doc_id", F.explode(F.aggregate("p", start, fill)["kept"]).alias("k")).select("doc_id", "k.page", "k.hits")
 
 
+def rank_tables(tables: DataFrame, pages: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, table_id, page, score, place): tables by how likely they hold key figures.
+
+    ``tables(doc_id, table_id, page, title, text)``, ``pages(doc_id, page, text)``.  Each of ``words`` that a table has, in its title or
+    its lines, counts three, and each that its page has one; then by page and id.
+    """
+    has = lambda c: sum((F.coalesce(F.contains(F.lower(c), F.lit(w)), F.lit(False)).cast("int") for w in words), F.lit(0))
+    t = tables.select("doc_id", "table_id", "page", (3 * has(F.concat_ws(" ", "title", "text"))).alias("own"))
+    p = pages.groupBy("doc_id", "page").agg(F.max(has(F.col("text"))).alias("around"))
+    d = t.join(p, ["doc_id", "page"], "left").withColumn("score", F.col("own") + F.coalesce("around", F.lit(0)))
+    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "page", "table_id")
+    return d.select("doc_id", "table_id", "page", "score", F.row_number().over(w).alias("place"))
+
+
 def terminal_method(passages: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """The first kind, in order, that a document's passages match, a fact's words before the report's."""
     kind = F.coalesce(*[F.when(F.col("sentence").rlike(p), F.lit(i)) for i, p in enumerate(kinds.values())])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetroll.functions.text import letters
+
 
 def series(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Numeric cells with the date at the head of their column: long series."""
@@ -114,6 +116,22 @@ def blocks(rows: DataFrame, by: list[str], gap: int = 2) -> DataFrame:
     return g.withColumn("labels", F.array_join(F.transform("_l", lambda x: x["label"]), "|")).drop("_l")
 
 
+def signed_blocks(rows: DataFrame, by: list[str], gap: int = 2) -> DataFrame:
+    """Blocks of line items with their signatures: (by, block, section, first, last, n, by_label, by_shape).
+
+    ``rows(by, row_no, section, label, kind, shape)``: rows that are empty or text belong to none, and at most one such row,
+    or one that isn't there, stands between two of a block.  ``by_label`` has a row's kind and its label in letters,
+    ``by_shape`` its kind and its formula's shape, in order: what ``structure.block_copies`` compares.
+    """
+    r = rows.where(~F.coalesce("kind", F.lit("empty")).isin("empty", "text"))
+    w = Window.partitionBy(*by).orderBy("row_no")
+    new = (F.col("row_no") - F.lag("row_no").over(w) > gap) | ~F.col("section").eqNullSafe(F.lag("section").over(w))
+    d = r.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("block", F.sum("_new").over(w))
+    one = F.struct("row_no", F.concat_ws("|", "kind", letters(F.col("label"))).alias("l"), F.concat_ws("|", "kind", F.coalesce("shape", F.lit(""))).alias("s"))
+    g = d.groupBy(*by, "block").agg(F.first("section").alias("section"), F.min("row_no").alias("first"), F.max("row_no").alias("last"), F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("_x"))
+    return g.select(*by, "block", "section", "first", "last", "n", F.transform("_x", lambda x: x["l"]).alias("by_label"), F.transform("_x", lambda x: x["s"]).alias("by_shape"))
+
+
 def period_ends(starts: DataFrame, by: list[str]) -> DataFrame:
     """Ends of periods given by their first days: the day before the next start; the last by the longest step in months."""
     w = Window.partitionBy(*by).orderBy("start")

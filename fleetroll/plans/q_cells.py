@@ -43,6 +43,27 @@ def t14(spark, sf):
     return cells.model_shape(_cells(spark, sf))
 
 
+_T14 = "SELECT workbook_id, sheet, CASE WHEN workbook_id % 5 = 0 THEN make_date(year(period_end), 12, 31) WHEN sheet = 'N' THEN last_day(make_date(year(period_end), quarter(period_end) * 3, 1)) ELSE period_end END AS period_end FROM series WHERE NOT (sheet = 'R' AND workbook_id % 4 = 1)"
+
+
+@query("t14_saved_state", f"""{cte('series')}, {_C}, sh AS (SELECT DISTINCT workbook_id, sheet, CASE WHEN sheet = 'A' AND workbook_id % 3 = 0 THEN 'hidden' WHEN sheet = 'R' AND workbook_id % 6 = 0 THEN 'veryHidden' ELSE 'visible' END AS state FROM series),
+    s AS (SELECT workbook_id, count(*)::BIGINT AS sheets, count(*) FILTER (state <> 'visible')::BIGINT AS hidden_sheets FROM sh GROUP BY 1), e AS (SELECT workbook_id, string_agg(err || '=' || n, ',' ORDER BY err) AS errors FROM (SELECT workbook_id, err, count(*) AS n FROM c WHERE err IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+    d AS (SELECT DISTINCT * FROM ({_T14})), g AS (SELECT workbook_id, sheet, median(gap) AS gap FROM (SELECT *, period_end - lag(period_end) OVER (PARTITION BY workbook_id, sheet ORDER BY period_end) AS gap FROM d) WHERE gap IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT g.workbook_id, CASE WHEN gap BETWEEN 26 AND 33 THEN 'monthly' WHEN gap BETWEEN 85 AND 95 THEN 'quarterly' WHEN gap BETWEEN 178 AND 187 THEN 'semi-annual' WHEN gap BETWEEN 360 AND 370 THEN 'annual' ELSE 'irregular' END AS f, n, a, b FROM g JOIN (SELECT workbook_id, sheet, count(*) AS n, min(period_end) AS a, max(period_end) AS b FROM d GROUP BY 1, 2) USING (workbook_id, sheet)),
+    t AS (SELECT workbook_id, f, count(*) AS k, max(n) AS n, min(a) AS a, max(b) AS b FROM p GROUP BY 1, 2), u AS (SELECT workbook_id, string_agg(f || ' ' || k || ' ' || n || ' ' || a || ' ' || b, ',' ORDER BY f) AS timelines, sum(k) AS w FROM t GROUP BY 1)
+    SELECT s.workbook_id, sheets, hidden_sheets, errors, CASE WHEN workbook_id % 4 = 2 THEN 'manual' ELSE 'auto' END AS calc_mode, NOT (workbook_id % 10 = 3) AS calc_completed, workbook_id % 8 = 1 AS iterate, timelines, (sheets - coalesce(w, 0))::BIGINT AS without_timeline FROM s LEFT JOIN e USING (workbook_id) LEFT JOIN u USING (workbook_id)""")
+def t14_saved(spark, sf):
+    s = view(spark, sf, "series")
+    w, sheet = F.col("workbook_id"), F.col("sheet")
+    sheets = s.select("workbook_id", "sheet").distinct().withColumn("state", F.when((sheet == "A") & (w % 3 == 0), "hidden").when((sheet == "R") & (w % 6 == 0), "veryHidden").otherwise("visible"))
+    pair = lambda k, v: F.struct(F.lit(f"calc.{k}").alias("key"), v.alias("value"))
+    meta = s.select("workbook_id").distinct().select("workbook_id", F.explode(F.array(pair("calcMode", F.when(w % 4 == 2, "manual")), pair("calcCompleted", F.when(w % 10 == 3, "0")), pair("iterate", F.when(w % 8 == 1, "1").otherwise("0")))).alias("x")).select("workbook_id", "x.*")
+    out = cells.saved_state(sheets, _cells(spark, sf), meta, spark.sql(_T14.replace("FROM series", "FROM {series}"), series=s))
+    show = lambda c, f: F.array_join(F.transform(c, f), ",")
+    text = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
+    return out.withColumns({"errors": show("errors", lambda x: F.concat_ws("=", x["err"], x["n"].cast("string"))), "timelines": show("timelines", lambda x: text(x["periodicity"], x["sheets"], x["periods"], x["first"], x["last"]))})
+
+
 @query("j31_heading", f"""WITH {_C}, t AS (SELECT workbook_id, sheet, col, row_no, CASE WHEN row_no % 4 = 0 THEN 'Case ' || (1990 + row_no % 20) || ' total' END AS text, value FROM c)
     SELECT workbook_id, sheet, row_no, col, heading FROM (SELECT *, CASE WHEN h IS NOT NULL THEN trim(regexp_replace(regexp_replace(lower(h), '\\b(19|20)\\d\\d\\b', '', 'g'), ' +', ' ', 'g')) END AS heading FROM
     (SELECT *, last_value(text IGNORE NULLS) OVER (PARTITION BY workbook_id, sheet, col ORDER BY row_no RANGE BETWEEN 15 PRECEDING AND 1 PRECEDING) AS h FROM t)) WHERE value IS NOT NULL""")

@@ -162,6 +162,18 @@ def c2(spark, sf):
     return checks.stale(view(spark, sf, "series"), view(spark, sf, "series_now"), KEY, F.lit("1999-12-31").cast("date"))
 
 
+@query("c2_stale_forecast", f"""{cte('series', 'series_now')}, j AS (SELECT workbook_id, sheet, row_no, abs(p.value - c.value) <= 1e-9 * greatest(1.0, abs(p.value), abs(c.value)) AS same FROM series p JOIN series_now c USING (workbook_id, sheet, row_no, period_end) WHERE period_end > DATE '1999-12-31'),
+    g AS (SELECT workbook_id, sheet, row_no, count(*)::BIGINT AS periods, count(*) FILTER (same)::BIGINT AS equal FROM j GROUP BY 1, 2, 3 HAVING count(*) >= 2), r AS (SELECT l_suppkey AS workbook_id, l_returnflag AS sheet, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS row_no, l_partkey AS row FROM lineitem GROUP BY ALL),
+    n AS (SELECT workbook_id, sheet, row_no, count(*)::BIGINT AS k FROM r JOIN part ON p_partkey = row WHERE p_size = 7 AND row % 5 = 0 GROUP BY 1, 2, 3)
+    SELECT workbook_id, sheet, row_no, periods, equal, coalesce(k, 0) AS changed_rows, CASE WHEN periods = equal THEN CASE WHEN k > 0 THEN 'block' ELSE 'check' END END AS finding FROM g LEFT JOIN n USING (workbook_id, sheet, row_no)""")
+def c2_forecast(spark, sf):
+    """A model's forecasts read the parts it sells; some parts have changed."""
+    l, p = spark.read.parquet(f"{sf}/lineitem.parquet"), spark.read.parquet(f"{sf}/part.parquet")
+    reads = l.select(F.col("l_suppkey").alias("workbook_id"), F.col("l_returnflag").alias("sheet"), F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("row_no"), F.col("l_partkey").alias("row")).distinct()
+    changes = p.where("p_size = 7 and p_partkey % 5 = 0").select(F.col("p_partkey").alias("row"))
+    return checks.stale_forecast(view(spark, sf, "series"), view(spark, sf, "series_now"), reads, changes, KEY, F.lit("1999-12-31").cast("date"))
+
+
 @query("c4_sign_flip", f"""{_PV} SELECT core_id, (a < 0 AND b > 0 OR a > 0 AND b < 0) AND abs(a) > 20000 AND abs(b) > 20000 AS flips FROM (SELECT core_id, round(sum(cf * factor), 4) AS a, round(sum(cf * factor) - 500000, 4) AS b FROM f GROUP BY 1)""")
 def c4(spark, sf):
     pv = fin.dcf(view(spark, sf, "flows"), view(spark, sf, "discountings")).select("core_id", F.round("pv", 4).alias("a"), F.round(F.col("pv") - 500000, 4).alias("b")).withColumn("t", F.lit(2e6))

@@ -224,3 +224,17 @@ def x16(spark, sf):
     SELECT doc_id, page, hits FROM f WHERE kept""")
 def x9(spark, sf):
     return docs.select_pages(docs.paged(spark.read.parquet(f"{sf}/documents.parquet"), 5), ["the", "ti"], 3000)
+
+
+@query("x9_rank_tables", """WITH p AS (SELECT doc_id, i AS page, l[i] AS text FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+    k AS (SELECT *, (contains(lower(text), 'the')::INT + contains(lower(text), 'und')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), '1')::INT) AS n FROM p),
+    t AS (SELECT doc_id, page * 10 + j AS table_id, page, contains(lower(concat_ws(' ', ti, left(text, 40 * j))), 'the')::INT + contains(lower(concat_ws(' ', ti, left(text, 40 * j))), 'und')::INT + contains(lower(concat_ws(' ', ti, left(text, 40 * j))), 'tion')::INT + contains(lower(concat_ws(' ', ti, left(text, 40 * j))), '1')::INT AS m
+      FROM (SELECT doc_id, page, text, j, CASE WHEN (doc_id + page) % 3 = 0 THEN 'Table 1' END AS ti FROM p, (VALUES (1), (2)) v(j)))
+    SELECT doc_id, table_id::INT AS table_id, page::INT AS page, 3 * m + n AS score, row_number() OVER (PARTITION BY doc_id ORDER BY 3 * m + n DESC, page, table_id)::INT AS place FROM t JOIN k USING (doc_id, page)""")
+def x9_tables(spark, sf):
+    """Two tables a line of every document, of its first characters, some with a title."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    p = d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page"), "text")
+    t = p.withColumn("j", F.explode(F.array(F.lit(1), F.lit(2))))
+    t = t.select("doc_id", (F.col("page") * 10 + F.col("j")).alias("table_id"), "page", F.when((F.col("doc_id") + F.col("page")) % 3 == 0, "Table 1").alias("title"), F.expr("left(text, 40 * j)").alias("text"))
+    return docs.rank_tables(t, p, ["the", "und", "tion", "1"])

@@ -36,10 +36,11 @@ def t1_text(spark, sf):
     return shape.text_columns(t, tl)
 
 
-@query("t2_periodicity", f"""{cte('series')}, g AS (SELECT {K}, median(gap) AS gap FROM (SELECT {K}, period_end - lag(period_end) OVER (PARTITION BY {K} ORDER BY period_end) AS gap FROM series WHERE (month(period_end) + workbook_id) % 3 = 0 OR workbook_id % 2 = 0) WHERE gap IS NOT NULL GROUP BY ALL)
+@query("t2_periodicity", f"""{cte('series')}, g AS (SELECT {K}, median(gap) AS gap FROM (SELECT {K}, period_end - lag(period_end) OVER (PARTITION BY {K} ORDER BY period_end) AS gap FROM (SELECT {K}, CASE WHEN workbook_id % 2 = 0 THEN period_end ELSE last_day(make_date(year(period_end), (month(period_end) + 2) // 3 * 3, 1)) END AS period_end FROM series GROUP BY ALL)) WHERE gap IS NOT NULL GROUP BY ALL)
     SELECT {K}, gap, CASE WHEN gap BETWEEN 26 AND 33 THEN 'monthly' WHEN gap BETWEEN 85 AND 95 THEN 'quarterly' WHEN gap BETWEEN 178 AND 187 THEN 'semi-annual' WHEN gap BETWEEN 360 AND 370 THEN 'annual' ELSE 'irregular' END AS periodicity FROM g""")
 def t2(spark, sf):
-    return shape.periodicity(view(spark, sf, "series").where("(month(period_end) + workbook_id) % 3 = 0 or workbook_id % 2 = 0"), KEY)
+    d = F.col("period_end")
+    return shape.periodicity(view(spark, sf, "series").withColumn("period_end", F.when(F.col("workbook_id") % 2 == 0, d).otherwise(F.last_day(F.make_date(F.year(d), F.quarter(d) * 3, F.lit(1))))), KEY)
 
 
 @query("t5_series", """SELECT l_suppkey AS workbook_id, l_returnflag AS sheet, l_orderkey AS row_no, DATE '2020-01-31' + l_linenumber * 31 AS period_end, l_extendedprice AS value FROM lineitem WHERE l_linenumber < 6""")
@@ -82,6 +83,18 @@ def t9(spark, sf):
     return shape.blocks(view(spark, sf, "rows_prior"), ["workbook_id"], 200)
 
 
+_T9 = """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS workbook_id, p_partkey % 50 + 1 AS row_no, concat('Part ', CAST(floor(p_partkey % 50 / 12) AS INT)) AS section, p_name AS label, CASE WHEN p_size % 9 = 0 THEN 'empty' WHEN p_size % 9 = 1 THEN 'text' WHEN p_size % 9 < 6 THEN 'series' ELSE 'inputs' END AS kind,
+    CASE WHEN p_size % 3 > 0 THEN concat('R[]C*', CAST(p_size % 3 AS STRING)) END AS shape FROM {part}"""
+
+
+@query("t9_signed_blocks", f"""WITH r AS ({_T9.format(part='part').replace('AS STRING', 'AS VARCHAR')}), k AS (SELECT * FROM r WHERE kind NOT IN ('empty', 'text')),
+    d AS (SELECT *, coalesce(row_no - lag(row_no) OVER w > 2 OR section <> lag(section) OVER w, true) AS nw FROM k WINDOW w AS (PARTITION BY workbook_id ORDER BY row_no)), e AS (SELECT *, sum(nw::INT) OVER (PARTITION BY workbook_id ORDER BY row_no) AS block FROM d)
+    SELECT workbook_id, block::BIGINT AS block, any_value(section) AS section, min(row_no) AS first, max(row_no) AS last, count(*)::BIGINT AS n, string_agg(kind || '|' || trim(regexp_replace(lower(label), '[^a-z]+', ' ', 'g')), ';' ORDER BY row_no) AS by_label, string_agg(kind || '|' || coalesce(shape, ''), ';' ORDER BY row_no) AS by_shape FROM e GROUP BY 1, 2""")
+def t9_signed(spark, sf):
+    b = shape.signed_blocks(spark.sql(_T9, part=spark.read.parquet(f"{sf}/part.parquet")), ["workbook_id"])
+    return b.withColumns({"by_label": F.array_join("by_label", ";"), "by_shape": F.array_join("by_shape", ";")})
+
+
 @query("t12_period_ends", """WITH s AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate)::DATE AS start FROM orders), n AS (SELECT *, lead(start) OVER (PARTITION BY o_custkey ORDER BY start) AS nx FROM s),
     m AS (SELECT *, max(datediff('month', start, nx)) OVER (PARTITION BY o_custkey) AS mo FROM n) SELECT o_custkey, start, (coalesce(nx, (start + to_months(mo::INT))::DATE) - 1)::DATE AS period_end FROM m""")
 def t12(spark, sf):
