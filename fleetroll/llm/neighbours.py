@@ -116,21 +116,21 @@ class MultiIndex:
 
 def _searched(coder: Codes, k: int, radius: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=float)
+        none = pd.DataFrame({c: [] for c in ("query_id", "query_hash", "vec_id", "hash", "score")}, dtype=float)
         if not len(rows) or not len(queries):
             return none
-        x, ids = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x, ids = x[order], ids[order]
+        x, ids, hashes = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy(), rows["hash"].to_numpy()
+        order = np.lexsort((hashes, ids))
+        x, ids, hashes = x[order], ids[order], hashes[order]
         y = np.stack(queries["v"].to_numpy()).astype(np.float64)
         index = MultiIndex(coder.of(x, False))
         out = []
-        for qid, v, code in zip(queries["vec_id"], y, coder.of(y, True)):
+        for qid, own, v, code in zip(queries["vec_id"], queries["hash"], y, coder.of(y, True)):
             some = index.within(code, radius)
-            some = some[ids[some] != qid]
+            some = some[(ids[some] != qid) | (hashes[some] != own)]
             score = (x[some] * v).sum(axis=1)
             best = np.argsort(-score, kind="stable")[:k]
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[some[best]], "score": score[best]}))
+            out.append(pd.DataFrame({"query_id": qid, "query_hash": own, "vec_id": ids[some[best]], "hash": hashes[some[best]], "score": score[best]}))
         return pd.concat(out) if out else none
 
     return run
@@ -140,27 +140,30 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sample_rows: int =
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is a multiple of ``every`` its k nearest others.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id.  Vectors that are null, zero, or
-    hold a null or a non-finite component take no part, nor do rows without an id, nor vectors of another length than
-    the first id's.  Repeated ids count once, with the least vector.  The coder is fitted on ``sample_rows`` rows at
-    most; all rows are indexed.  What is returned was retrieved by the index: queries that have fewer than k rows within
+    hold a null or a non-finite component take no part, nor do rows without an id.  A shorter vector counts as nil beyond
+    its length.  Rows with one id and one vector are one row; those with one id and several vectors are a row each, and a
+    query each if the id is one, with ranks of its own.  The coder is fitted on ``sample_rows`` rows at most; all rows are
+    indexed.  What is returned was retrieved by the index: queries that have fewer than k rows within
     the radius (all other rows, if the table has fewer) ask again within one that goes half the way to all bits, until
     it allows them all.
     """
     ok = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0")
     v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
+    v_type = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    ok = ok.where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    head = ok.agg(F.min(F.struct("vec_id", F.size("v").alias("n"))).alias("h"), F.count("*").alias("n")).first()
+    ok = ok.where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"))
+    head = ok.agg(F.max(F.size("v")).alias("size"), F.count("*").alias("n")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not head["n"]:
         return vectors.sparkSession.createDataFrame([], schema)
-    ok = written(ok.where(F.size("v") == head["h"]["n"]), "vectors")
+    padded = F.concat("v", F.array_repeat(F.lit(0.0).cast(v_type), F.lit(head["size"]) - F.size("v")))
+    ok = written(ok.withColumn("v", padded).withColumn("hash", F.xxhash64("v")).dropDuplicates(["vec_id", "hash", "v"]), "vectors")
     stat = ok.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm2"), F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    rows = ok.orderBy(F.xxhash64("vec_id")).limit(sample_rows).collect()
+    rows = ok.orderBy(F.xxhash64("vec_id"), "hash").limit(sample_rows).collect()
     coder = fit(np.array([r["v"] for r in rows], np.float64), float(np.sqrt(stat["norm2"])), k)
     blocks = max(1, -(-stat["n"] // block_rows))
     mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    w = Window.partitionBy("query_id", "query_hash").orderBy(F.col("score").desc(), "vec_id", "hash")
     enough = min(k, stat["n"] - 1)
     asked, n_asked, radius, done = ok.where(F.col("vec_id") % every == 0), stat["q"], coder.radius, []
     while n_asked and enough:
@@ -169,13 +172,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sample_rows: int =
         part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
         data = ok.withColumn("block", mine).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         here = asked.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        found = data.groupBy("block", "part").cogroup(here.groupBy("block", "part")).applyInPandas(_searched(coder, k, radius), "query_id long, vec_id long, score double")
-        best = written(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
-        full = best.where(F.col("rank") == enough).select("query_id")
-        done.append(best.join(full, "query_id", "left_semi"))
+        found = data.groupBy("block", "part").cogroup(here.groupBy("block", "part")).applyInPandas(_searched(coder, k, radius), "query_id long, query_hash long, vec_id long, hash long, score double")
+        best = written(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "query_hash", "rank", "vec_id", "score"), "nearest")
+        full = best.where(F.col("rank") == enough).select("query_id", "query_hash")
+        done.append(best.join(full, ["query_id", "query_hash"], "left_semi"))
         if radius >= BITS:
             break
-        asked = written(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "asked")
+        asked = written(asked.join(full, (F.col("vec_id") == F.col("query_id")) & (F.col("hash") == F.col("query_hash")), "left_anti"), "asked")
         n_asked, radius = asked.count(), radius + (BITS - radius + 1) // 2
     out = done[0] if done else vectors.sparkSession.createDataFrame([], schema)
     for d in done[1:]:

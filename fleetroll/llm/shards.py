@@ -102,6 +102,8 @@ def lpt_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, largest: i
     shared = d.sparkSession.sparkContext.broadcast(schedule(hist, shards))
     ranked = numbered(groups.select("gh", "size", "cls"), "cls", ["gh", "size"], "rank", buckets_for(sum(h[1] for h in hist)))
     placed = ranked.select("gh", "size", "cls", "rank").mapInArrow(_placed(shared), "gh long, size long, shard int")
-    out = dealt(d, placed, ["gh", "size"], hot_keys(groups, ["gh", "size"], "copies"), ["doc_id"]).drop("gh")
+    # by a row's place, as copies of a text may share an id or have none
+    d = d.withColumn("_row", F.monotonically_increasing_id())
+    out = dealt(d, placed, ["gh", "size"], hot_keys(groups, ["gh", "size"], "copies"), ["_row"]).drop("gh", "_row")
     out = numbered(out, "shard", ["doc_id", "size", "text_crc32"], "slot", buckets_for(docs.count()))
     return unpacked(out, given, "size", "text_crc32", "shard", "slot")

@@ -522,6 +522,20 @@ def test_neighbours(spark):
     assert right >= 0.9 * 20 * len(want)
 
 
+def test_neighbours_of_repeated_ids_and_short_vectors(spark):
+    """A shorter vector is nil beyond its length; an id with two vectors is two rows, each near the other; copies of a row are one; ties."""
+    rows = [(0, [1.0, 0.0, 0.0]), (0, [0.9, 0.1, 0.0]), (0, [0.9, 0.1, 0.0]), (20, [2.0]), (3, [0.5, 0.5]), (4, [0.5, 0.5]), (5, [0.0, 0.0, 7.0])]
+    got = {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    own = {0: [rows[0], rows[1]], 20: [rows[3]]}
+    want = set()
+    for q, queries in own.items():
+        for query in queries:
+            others = [r for i, r in enumerate(rows) if i != 2 and r is not query]
+            dot = lambda r: sum(a * b for a, b in zip(r[1], query[1]))
+            want |= {(q, i, r[0], round(dot(r), 9)) for i, r in enumerate(sorted(others, key=lambda r: (-dot(r), r[0])), 1)}
+    assert got == want
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ROWS).limit(0)
     path = P.path("byte_bpe_multi_50k.tiktoken")
