@@ -10,7 +10,7 @@ Buckets are never expanded into all their pairs.  A few rounds compare each memb
 members already in the hub's component aren't compared at all; what then still lies in different components of one
 bucket is compared in full, so no link is lost.  Every link is confirmed on the full sets.  A class has as many keys as a
 signature has symbols, so a group of near copies with a third of all classes makes keys with a two-hundredth of all rows:
-in the joins by key, and in those of pairs with their hub's set, keys with a two-thousandth are dealt over salts.
+in the joins of those with one row a key, and of pairs with their hub's set, keys with a two-thousandth are dealt over salts.
 """
 
 from __future__ import annotations
@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hashes
             # places where the sketches differ are a lower bound of how many items only one of the two sets has
             apart = "aggregate(zip_with(odd, xodd, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
             near = f"xc <> comp and (comp = main or x < cls) and least(shared, xs) * {100 + percent} >= (n + xn) * {percent} and {apart} * {100 + percent} <= (n + xn) * {100 - percent} and {_first_chunk(chunks, distance)}"
-            pairs = dealt(few, rest.select("key", "chunk", "gap", "cls", "comp", "main", "n", "shared", "sig", "odd"), ["key"], left, ["x"]).where(near).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+            # both sides may have many rows of a key here, which adaptive execution splits; salts would repeat one side
+            pairs = few.join(rest.select("key", "chunk", "gap", "cls", "comp", "main", "n", "shared", "sig", "odd"), "key").where(near).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
         new = written(confirmed(pairs), "links")
         if links is not None and new.isEmpty():
             continue
