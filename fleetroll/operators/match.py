@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetroll.functions.figures import let
 from fleetroll.sources.tables import written
 
 STOP = ["the", "and", "of", "for", "to", "in"]
@@ -20,7 +21,9 @@ def norm(label: Column) -> Column:
 
 def tokens(label: Column) -> Column:
     """Distinct words of two letters and digits at least that start with a letter, without stop words."""
-    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(label, F.lit(""))), F.lit(r"([a-z][a-z0-9]+)"), 1)), F.array(*[F.lit(s) for s in STOP]))
+    words = F.regexp_extract_all(F.lower(F.coalesce(label, F.lit(""))), F.lit(r"([a-z][a-z0-9]+)"), 1)
+    # sorted, equal ones stand together: no comparison of all with all
+    return let(F.array_sort(F.filter(words, lambda x: ~x.isin(*STOP))), lambda w: F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1) != x)))
 
 
 def by_label(prior: DataFrame, current: DataFrame, in_place: float = 0.8) -> DataFrame:

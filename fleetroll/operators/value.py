@@ -165,6 +165,55 @@ def methods(flows: DataFrame, discountings: DataFrame) -> DataFrame:
     return pv.join(base, "core_id").select("core_id", "method", "pv", (F.col("pv") - F.col("_b")).alias("effect"))
 
 
+#: Methods of a valuation, the first the default: how the same cash flows may be valued otherwise.
+METHODS = ["overlay", "on date kept", "own flags", "recompute", "mid-period", "mid-year", "other day count", "mid rate"]
+
+
+def inventory(flows: DataFrame, ends: DataFrame, flags: DataFrame) -> DataFrame:
+    """Every method's value at both ends, and what it makes to the default's: (core_id, method, low, mid, high, to_low, to_mid, to_high).
+
+    ``ends`` are discountings with ``end``, 'low' or 'high'; ``flags(core_id, period_end, flag)`` are the overlay's own forecast flags
+    of last year, where it has any.  'on date kept' adds the cash flow that ends on the valuation date, undiscounted; 'own
+    flags' takes the flags after that date in place of the cut-off; 'recompute' discounts as the overlay does, the three
+    after it by another timing or the other day count; 'mid rate' has the mid alone, of both ends at the midpoint of their
+    rates.  All are worked out side by side in one pass over the flows; a method that a core doesn't allow has no row.
+    """
+    from . import fin
+
+    middle = ends.groupBy("core_id").agg((F.avg("rate")).alias("_mid"))
+    j = fin._started(flows.join(flags, ["core_id", "period_end"], "left"), ends.join(middle, "core_id"), ("end",))
+    own, r = fin._years(F.col("timing"), F.col("day_count")), fin._rate(F.col("rate"))
+    other = F.when(F.col("day_count") == "actual/365", "actual/actual").otherwise("actual/365")
+    at = lambda t, rate=r: F.col("cf") / F.pow(1 + rate, t)
+    live = ~F.col("_off")
+    worked = {
+        "overlay": F.when(live, at(own)), "on date kept": F.when(live, at(own)).when(F.col("period_end") == F.col("valuation_date"), F.col("cf")),
+        "own flags": F.when(F.col("period_end") > F.col("valuation_date"), at(own) * F.col("flag")), "recompute": F.when(live, at(own)),
+        "mid-period": F.when(live, at(fin._years(F.lit("mid"), F.col("day_count")))), "mid-year": F.when(live, at(fin._years(F.lit("mid-year"), F.col("day_count")))),
+        "other day count": F.when(live, at(fin._years(F.col("timing"), other))), "mid rate": F.when(live, at(own, fin._rate(F.col("_mid")))),
+    }
+    g = j.groupBy("core_id", "end").agg(*[F.sum(v).alias(f"m{i}") for i, v in enumerate(worked.values())])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("method"), F.col(f"m{i}").alias("v")) for i, m in enumerate(worked)]))
+    g = g.select("core_id", "end", rows.alias("x")).where("x.v is not null").groupBy("core_id", "x.i", "x.method").agg(*[F.max(F.when(F.col("end") == e, F.col("x.v"))).alias(e) for e in ("low", "high")])
+    g = g.withColumn("mid", (F.col("low") + F.col("high")) / 2)
+    g = g.withColumns({e: F.when(F.col("method") != "mid rate", F.col(e)) for e in ("low", "high")})
+    w = Window.partitionBy("core_id")
+    to = [(F.col(e) - F.max(F.when(F.col("i") == 0, F.col(e))).over(w)).alias(f"to_{e}") for e in ("low", "mid", "high")]
+    return g.select("core_id", "method", "low", "mid", "high", *to)
+
+
+def method_step(values: DataFrame, methods: DataFrame, preferred: DataFrame) -> DataFrame:
+    """The preferred method as a step of the bridge before this year's value: (core_id, end, step, this_year).
+
+    ``values(core_id, end, this_year)``; ``preferred(core_id, method)``.  The default, a method that isn't there, and an end
+    that a method leaves where it is make no step.
+    """
+    e = F.explode(F.array(*[F.struct(F.lit(x).alias("end"), F.col(f"to_{x}").alias("move")) for x in ("low", "mid", "high")]))
+    m = methods.where(F.col("method") != METHODS[0]).join(preferred, ["core_id", "method"], "left_semi").select("core_id", e.alias("x")).select("core_id", "x.*")
+    d = values.join(m, ["core_id", "end"], "left").withColumn("step", F.coalesce("move", F.lit(0.0)))
+    return d.select("core_id", "end", "step", (F.col("this_year") + F.col("step")).alias("this_year"))
+
+
 def scenario(flows: DataFrame, discountings: DataFrame, overrides: DataFrame, bridge: DataFrame | None = None, dropped: DataFrame | None = None) -> DataFrame:
     """Model and scenario value of each discounting: (core_id, model, scenario, model_total, scenario_total, changed).
 

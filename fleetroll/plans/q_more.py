@@ -23,6 +23,42 @@ def v20(spark, sf):
     return value.methods(view(spark, sf, "flows"), view(spark, sf, "discountings")).select("core_id", "method", F.round("pv", 4).alias("pv"), F.round("effect", 3).alias("effect"))
 
 
+_V20 = f"""{cte('flows', 'discountings')}, en AS (SELECT core_id, e AS "end", rate + x AS rate, valuation_date, timing, day_count, terminal_date FROM discountings, (VALUES ('low', 0.01), ('high', -0.005)) v(e, x)),
+    fl AS (SELECT core_id, period_end, CASE WHEN month(period_end) = 12 AND core_id % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS flag FROM flows WHERE core_id % 3 < 2), md AS (SELECT core_id, avg(rate) AS mid FROM en GROUP BY 1),
+    m AS (SELECT * FROM (VALUES (0, 'overlay'), (1, 'on date kept'), (2, 'own flags'), (3, 'recompute'), (4, 'mid-period'), (5, 'mid-year'), (6, 'other day count'), (7, 'mid rate')) v(i, method)),
+    p AS (SELECT core_id, "end", i, method, CASE WHEN i = 7 THEN mid ELSE rate END AS rate, valuation_date, CASE i WHEN 4 THEN 'mid' WHEN 5 THEN 'mid-year' ELSE timing END AS timing, CASE WHEN i = 6 THEN CASE day_count WHEN 'actual/365' THEN 'actual/actual' ELSE 'actual/365' END ELSE day_count END AS day_count, CASE WHEN i <> 2 THEN terminal_date END AS terminal_date FROM en JOIN md USING (core_id), m),
+    g AS ({sql_factors('flows', 'p', 'method, "end"')}),
+    v AS (SELECT g.core_id, g.method, g."end", sum(CASE WHEN g.method = 'own flags' THEN CASE WHEN g.period_end > d.valuation_date THEN cf * factor * flag END WHEN g.method = 'on date kept' AND g.period_end = d.valuation_date THEN cf WHEN factor <> 0 THEN cf * factor END) AS v
+      FROM g JOIN discountings d ON d.core_id = g.core_id LEFT JOIN fl ON fl.core_id = g.core_id AND fl.period_end = g.period_end GROUP BY 1, 2, 3),
+    x AS (SELECT core_id, method, max(v) FILTER ("end" = 'low') AS lo, max(v) FILTER ("end" = 'high') AS hi FROM v WHERE v IS NOT NULL GROUP BY 1, 2), y AS (SELECT core_id, method, CASE WHEN method <> 'mid rate' THEN lo END AS low, (lo + hi) / 2 AS mid, CASE WHEN method <> 'mid rate' THEN hi END AS high FROM x),
+    inv AS (SELECT y.*, y.low - b.low AS to_low, y.mid - b.mid AS to_mid, y.high - b.high AS to_high FROM y LEFT JOIN (FROM y WHERE method = 'overlay') b USING (core_id))"""
+
+
+def _inventory(spark, sf):
+    d, f, k = view(spark, sf, "discountings"), view(spark, sf, "flows"), F.col("core_id")
+    e = F.explode(F.array(F.struct(F.lit("low").alias("end"), F.lit(0.01).alias("x")), F.struct(F.lit("high").alias("end"), F.lit(-0.005).alias("x"))))
+    ends = d.withColumn("e", e).select("core_id", "e.end", (F.col("rate") + F.col("e.x")).alias("rate"), "valuation_date", "timing", "day_count", "terminal_date")
+    flags = f.where(k % 3 < 2).select("core_id", "period_end", F.when((F.month("period_end") == 12) & (k % 2 == 0), 0.0).otherwise(1.0).alias("flag"))
+    return value.inventory(f, ends, flags)
+
+
+@query("v20_inventory", f"{_V20} SELECT core_id, method, round(low, 3) AS low, round(mid, 3) AS mid, round(high, 3) AS high, round(to_low, 3) + 0.0 AS to_low, round(to_mid, 3) + 0.0 AS to_mid, round(to_high, 3) + 0.0 AS to_high FROM inv")
+def v20_inventory(spark, sf):
+    out = _inventory(spark, sf)
+    return out.select("core_id", "method", *[F.round(c, 3).alias(c) for c in ("low", "mid", "high")], *[(F.round(c, 3) + 0.0).alias(c) for c in ("to_low", "to_mid", "to_high")])
+
+
+@query("v20_method_step", f"""{_V20}, w AS (SELECT core_id, ['mid rate', 'overlay', 'own flags', 'mid-year', 'none such'][(core_id % 5 + 1)::INT] AS method FROM discountings), s AS (SELECT core_id, e AS "end", 1000.0 + core_id AS ty FROM discountings, (VALUES ('low'), ('mid'), ('high')) v(e)),
+    k AS (SELECT core_id, unnest(['low', 'mid', 'high']) AS "end", unnest([to_low, to_mid, to_high]) AS mv FROM inv SEMI JOIN w USING (core_id, method) WHERE method <> 'overlay')
+    SELECT core_id, "end", round(coalesce(mv, 0), 3) + 0.0 AS step, round(ty + coalesce(mv, 0), 3) AS this_year FROM s LEFT JOIN k USING (core_id, "end")""")
+def v20_step(spark, sf):
+    k = F.col("core_id")
+    d = view(spark, sf, "discountings")
+    want = d.select("core_id", F.get(F.array(*map(F.lit, ("mid rate", "overlay", "own flags", "mid-year", "none such"))), (k % 5).cast("int")).alias("method"))
+    values = d.select("core_id", F.explode(F.array(*map(F.lit, ("low", "mid", "high")))).alias("end"), (1000.0 + k).alias("this_year"))
+    return value.method_step(values, _inventory(spark, sf), want).select("core_id", "end", (F.round("step", 3) + 0.0).alias("step"), F.round("this_year", 3).alias("this_year"))
+
+
 _OV = "o AS (SELECT core_id, CASE WHEN core_id % 3 = 0 THEN 0.09::DOUBLE END AS nr, CASE WHEN core_id % 4 = 0 THEN 'end' END AS nt, CASE WHEN core_id % 5 = 0 THEN DATE '1998-06-30' END AS nd FROM discountings WHERE core_id % 2 = 0)"
 
 
