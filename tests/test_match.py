@@ -5,6 +5,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from fleetroll.operators import evidence, match, structure
 
 
@@ -234,3 +236,22 @@ def test_likeness_recall(spark):
     got = match.likeness(spark.createDataFrame(items, "workbook_id int, sheet string, label string, shape string"))
     assert len(want) > 300
     assert {(r["a"], r["b"]): (r["similarity"], r["a_in_b"], r["b_in_a"]) for r in got.collect()} == want
+
+
+def test_history_outranks_a_label_that_contradicts_it(spark):
+    """The label's row has other numbers in every shared period: the row with last year's numbers is taken. And equal series settle a weak choice."""
+    day = lambda t: datetime.date(2020 + t, 12, 31)
+    rows = [(1, r, "S") for r in (1, 2, 3)]
+    now = [(1, r, "S") for r in (1, 2, 3, 4, 5)]
+    last = [(1, 1, day(t), 100.0 + t) for t in range(4)] + [(1, 2, day(t), 7.0 + t) for t in range(4)] + [(1, 3, day(t), 50.0 + t) for t in range(4)]
+    this = [(1, 1, day(t), 900.0 + t) for t in range(4)] + [(1, 4, day(t), 100.0 + t) for t in range(4)] + [(1, r, day(t), 7.0 + t) for r in (2, 5) for t in range(4)] + [(1, 3, day(t), 50.0 + t + (t == 3)) for t in range(4)]
+    ev = [(1, 1, 1, "label", 1.0), (1, 1, 1, "words", 0.9), (1, 1, 4, "history", 0.8), (1, 2, 2, "history", 0.6), (1, 2, 5, "history", 0.55), (1, 3, 3, "label", 1.0), (1, 3, 1, "history", 0.6)]
+    f = spark.createDataFrame
+    cols = "workbook_id int, row_no int, period_end date, value double"
+    args = [f(ev, "workbook_id int, row_no int, cur_row int, strategy string, score double"), f(rows, "workbook_id int, row_no int, sheet string"), f(now, "workbook_id int, row_no int, sheet string"), f([], "workbook_id int, row_no int, cur_row int"), f([], "workbook_id int, row_no int, cur_row int")]
+    args[1], args[2] = args[1].withColumn("label", F.lit("x")), args[2].withColumn("label", F.lit("x"))
+    plain = {r["row_no"]: (r["cur_row"], r["confidence"]) for r in evidence.decide(*args).collect()}
+    got = {r["row_no"]: (r["cur_row"], r["confidence"], r["status"]) for r in evidence.decide(*args, series=f(last, cols), series_now=f(this, cols)).collect()}
+    assert plain[1][0] == 1 and got[1][0] == 4  # contradicted in every period
+    assert plain[3][0] == got[3][0] == 3  # agrees in some: the label stands
+    assert plain[2][1] < 0.5 and got[2] == (2, 0.5, "confident")  # rows 2 and 5 are one series
