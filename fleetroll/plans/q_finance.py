@@ -90,10 +90,20 @@ def v7_npv_xnpv(spark, sf):
     return fin.npv(flows, d).join(fin.xnpv(flows, d), "core_id").select("core_id", F.round("npv", 4).alias("npv"), F.round("xnpv", 4).alias("xnpv"))
 
 
-@query("v8_irr")
+#: The root by halving ln(1 + r) between -20 and 20, a hundred times, on each core's flows as lists.
+_V8 = f"""{cte('flows').replace('WITH ', 'WITH RECURSIVE ', 1)}, l AS (SELECT core_id, list(cf ORDER BY period_end) AS cf, list((period_end - d0) / 365.0::DOUBLE ORDER BY period_end) AS yr FROM (SELECT *, min(period_end) OVER (PARTITION BY core_id) AS d0 FROM flows) GROUP BY 1 HAVING min(cf) < 0 AND max(cf) > 0),
+    k AS (SELECT core_id, 'irr' AS what, cf, list_transform(range(len(cf)), lambda i: i::DOUBLE) AS t FROM l UNION ALL SELECT core_id, 'xirr', cf, yr FROM l),
+    h AS (SELECT core_id, what, cf, t, -20.0::DOUBLE AS lo, 20.0::DOUBLE AS hi, 0 AS n FROM k UNION ALL
+      SELECT core_id, what, cf, t, CASE WHEN v > 0 THEN mid ELSE lo END, CASE WHEN v > 0 THEN hi ELSE mid END, n + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(1, len(cf) + 1), lambda i: cf[i] * exp(-(lo + hi) / 2 * t[i]))) AS v FROM h WHERE n < 100)),
+    r AS (SELECT core_id, max(exp(lo) - 1) FILTER (what = 'irr') AS irr, max(exp(lo) - 1) FILTER (what = 'xirr') AS xirr FROM h WHERE n = 100 GROUP BY 1)"""
+
+
+@query("v8_irr", f"{_V8} SELECT core_id, CASE WHEN irr < 10 THEN round(irr, 6) END AS irr, CASE WHEN xirr < 10 THEN round(xirr, 6) END AS xirr FROM (SELECT DISTINCT core_id FROM flows) LEFT JOIN r USING (core_id)")
 def v8_irr(spark, sf):
+    """Rates by period and by date, up to 1,000 %, where the operator's bracket ends."""
     flows = view(spark, sf, "flows")
-    return fin.irr(flows).join(fin.irr(flows, dated=True).withColumnRenamed("irr", "xirr"), "core_id")
+    out = fin.irr(flows).join(fin.irr(flows, dated=True).withColumnRenamed("irr", "xirr"), "core_id")
+    return out.select("core_id", *[F.when(F.col(c) < 10, F.round(c, 6)).alias(c) for c in ("irr", "xirr")])
 
 
 @query("v9_annuities", f"""{cte('discountings')} SELECT core_id, round(-(r * (pv * g + 1000)) / ((1 + r) * (g - 1)), 6) AS pmt, round(-(0 + 50 * (g - 1) / r) / g, 6) AS pv, round(-(100 * g + 50 * (1 + r) * (g - 1) / r), 6) AS fv
