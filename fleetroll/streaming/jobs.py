@@ -80,7 +80,7 @@ def ingest_files(path: str, buckets: int = 64) -> Callable[[DataFrame, int], Non
     The hashes seen are a table under ``path``, by batch and bucket; a batch is held against the buckets it touches, in the
     batches before it, and its new files are written to a folder of its own number.  A batch that is run again sees the
     same ones before it and overwrites its folder, so each file is taken once.  Of equal files in one batch the earliest
-    upload counts, then the smaller id.  ``known_files`` reads the table.
+    upload counts, then the smaller id; files without a hash are one.  ``known_files`` reads the table.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -91,7 +91,8 @@ def ingest_files(path: str, buckets: int = 64) -> Callable[[DataFrame, int], Non
         known = known_files(batch.sparkSession, path, number)
         if known is not None:
             touched = [r[0] for r in first.select("bucket").distinct().collect()]
-            new = first.join(known.where(F.col("bucket").isin(touched)).select("bucket", "sha256"), ["bucket", "sha256"], "left_anti")
+            seen = known.where(F.col("bucket").isin(touched)).select(F.col("bucket").alias("_b"), F.col("sha256").alias("_h"))
+            new = first.join(seen, (F.col("bucket") == F.col("_b")) & F.col("sha256").eqNullSafe(F.col("_h")), "left_anti")
         else:
             new = first
         new.select(*first.columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")

@@ -62,7 +62,7 @@ def test_ingest_takes_a_file_once_however_late_it_comes_again(spark):
     put(again, 1)
     put(again, 1)  # a batch run again
     put(frame([]), 2)
-    put(frame([(7, "b", T0 + timedelta(days=99)), (8, "c", T0 + timedelta(days=99))]), 3)
+    put(frame([(7, "b", T0 + timedelta(days=99)), (8, "c", T0 + timedelta(days=99)), (9, None, T0 + timedelta(days=99))]), 3)
     assert sorted((r["sha256"] or "", r["id"]) for r in jobs.known_files(spark, path).collect()) == [("", 6), ("a", 3), ("b", 2), ("c", 5)]
 
 
