@@ -108,7 +108,7 @@ def xnpv(flows: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def rate_of(cf: np.ndarray, t: np.ndarray, guess: float = 0.1) -> float:
-    """The rate at which the flows are worth nothing: Newton, then bisection on [-0.9999, 10]. NaN without both signs."""
+    """The rate at which the flows are worth nothing: Newton, then bisection of ln(1 + rate) from a total loss to 1,000 %. NaN without both signs."""
     if not ((cf > 0).any() and (cf < 0).any()):
         return float("nan")
     value = lambda r: float(np.sum(cf * (1 + r) ** -t))
@@ -124,15 +124,19 @@ def rate_of(cf: np.ndarray, t: np.ndarray, guess: float = 0.1) -> float:
             break
         if abs(step) < 1e-12:
             return r
-    lo, hi = -0.9999, 10.0
-    a, b = value(lo), value(hi)
+    def sign(x: float) -> float:
+        e = -x * t  # over its largest power, which takes no sign and lets nothing overflow
+        return float(np.sign(np.sum(cf * np.exp(e - e.max()))))
+
+    lo, hi = -700.0, float(np.log(11.0))
+    a, b = sign(lo), sign(hi)
     if not a * b <= 0:
         return float("nan")
     for _ in range(200):
         mid = (lo + hi) / 2
-        v = value(mid)
+        v = sign(mid)
         lo, hi, a = (mid, hi, v) if a * v > 0 else (lo, mid, a)
-    return (lo + hi) / 2
+    return float(np.expm1((lo + hi) / 2))
 
 
 def irr(flows: DataFrame, dated: bool = False) -> DataFrame:

@@ -1,7 +1,11 @@
 """Plans and results where tables are larger than the tests' own."""
 
+import datetime
+
+import duckdb
 from pyspark.sql import functions as F
 
+from fleetroll.plans import registry
 from fleetroll.sources.adapters import view
 
 
@@ -11,3 +15,18 @@ def test_sides_known_by_their_files_alone_are_not_broadcast(spark):
     j = rows.join(now.select("workbook_id", F.col("row_no").alias("cur_row"), "label"), ["workbook_id", "label"])
     plan = j._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_rates_of_near_total_losses(spark, tmp_path):
+    """Most of the money lost within a month is a yearly rate below -99.99 %, which has a rate all the same."""
+    day = lambda m: datetime.datetime(2020, m, 15)
+    paid = {1: [(1, 100.0), (2, 40.0)], 2: [(1, 100.0), (2, 2.0)], 3: [(1, 100.0), (2, 50.0), (4, 20.0)], 4: [(1, 100.0), (2, 90.0)], 5: [(1, 100.0), (2, 5000.0)], 6: [(1, 100.0)]}
+    rows = [(c, day(m), v) for c, flows in paid.items() for m, v in flows]
+    spark.createDataFrame(rows, "o_custkey bigint, o_orderdate timestamp, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["v8_irr"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["v8_irr"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert dict((c, x) for c, _, x in got)[1] == -0.99999
