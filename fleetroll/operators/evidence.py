@@ -293,9 +293,11 @@ def resolve_copies(cands: DataFrame, headings: DataFrame, headings_now: DataFram
     """
     n = cands.groupBy(*KEY).agg(F.count_distinct("cur_row").alias("n")).where("n > 1").select(*KEY)
     c = cands.select(*PAIR).distinct().join(n, KEY)
-    h = c.join(headings.select(*KEY, F.lower("heading").alias("h")), KEY).join(headings_now.select("workbook_id", F.col("row_no").alias("cur_row"), F.lower("heading").alias("g")), ["workbook_id", "cur_row"])
-    both = F.size(F.array_intersect(tokens(F.col("h")), tokens(F.col("g"))))
-    fit = both / F.greatest(F.lit(1), F.size(F.array_union(tokens(F.col("h")), tokens(F.col("g")))))
+    # a heading's words are found once a row, not once a pair
+    head = lambda d, name, h: d.select("workbook_id", F.col("row_no").alias(name), F.lower("heading").alias(h), tokens(F.lower("heading")).alias(f"{h}_words"))
+    h = c.join(written(head(headings, "row_no", "h"), "headings"), KEY).join(written(head(headings_now, "cur_row", "g"), "headings"), ["workbook_id", "cur_row"])
+    both = F.size(F.array_intersect("h_words", "g_words"))
+    fit = both / F.greatest(F.lit(1), F.size("h_words") + F.size("g_words") - both)
     h = h.select(*PAIR, (F.col("h") == F.col("g")).alias("exact"), fit.alias("fit"))
     w = Window.partitionBy(*KEY).orderBy(F.col("fit").desc(), "cur_row")
     ranked = h.withColumns({"_next": F.coalesce(F.lead("fit").over(w), F.lit(0.0)), "_r": F.row_number().over(w)})

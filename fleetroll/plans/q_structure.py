@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetroll.operators import evidence, structure
 from fleetroll.sources.adapters import cte, view
+from fleetroll.sources.tables import written
 
 from .registry import query
 
@@ -146,6 +147,7 @@ def j12(spark, sf):
     head = lambda d, k: d.select("workbook_id", "row_no", F.concat("section", F.when(F.col("row_no") % k == 0, " base case").otherwise(" downside case")).alias("heading"))
     first = F.substring_index("label", " ", 1).alias("w")
     c = a.select("workbook_id", "row_no", first).join(b.select("workbook_id", F.col("row_no").alias("cur_row"), "sheet", first), ["workbook_id", "w"])
+    c = written(c, "copies")  # read five times
     reach = c.where("cur_row % 7 = row_no % 7")
     lengths = c.select("workbook_id", "row_no", "cur_row", (F.col("row_no") % 3).alias("prior_months"), (F.col("cur_row") % 3).alias("months"))
     return evidence.resolve_copies(c, head(a, 3), head(b, 4), reach, lengths, c.where("sheet = 'S1'"))
