@@ -1,14 +1,31 @@
 """Plans and results where tables are larger than the tests' own."""
 
 import datetime
+import random
 
 import duckdb
 from pyspark.sql import functions as F
 
+from fleetroll.operators import match
 from fleetroll.plans import registry
 from fleetroll.sources.adapters import view
 
 
+def most_joined(df):
+    """Rows of the largest join of a query that was run."""
+    df.collect()
+
+    def walk(p):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        below = [p.children().apply(i) for i in range(p.children().size())] + ([p.plan()] if "QueryStage" in name else [])
+        own = p.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+        return max([own, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_sides_known_by_their_files_alone_are_not_broadcast(spark):
     """120 KB of files, ten times that in memory: broadcast unseen, several of them fill the driver."""
     rows, now = (view(spark, "/root/testdata/sf0.1", n) for n in ("model_rows", "model_rows_now"))
@@ -30,3 +47,28 @@ def test_rates_of_near_total_losses(spark, tmp_path):
     got = [tuple(r) for r in registry.queries()["v8_irr"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert dict((c, x) for c, _, x in got)[1] == -0.99999
+
+
+def test_workbooks_from_one_template_do_not_all_meet(spark):
+    """400 workbooks on the same sheets, of which every tenth is another's copy but for one line: pairs that can't be alike are left out in the join."""
+    rng = random.Random(3)
+    books = [[(f"S{rng.randrange(3)}", f"L{rng.randrange(1600)}", rng.choice("xyz")) for _ in range(45)] for _ in range(400)]
+    for w in range(0, 400, 10):
+        books[w] = [*books[w + 1][:-1], ("S0", "own", "x")]
+    items = spark.createDataFrame([(w, *r) for w, rows in enumerate(books) for r in rows], "workbook_id int, sheet string, label string, shape string")
+    found = match.likeness(items)
+    assert most_joined(found) <= 400 * 45
+    pairs = {(r["a"], r["b"]) for r in found.select("a", "b").collect()}
+    assert {(w, w + 1) for w in range(0, 400, 10)} <= pairs and len(pairs) < 60
+
+
+def test_workbooks_of_one_content_are_compared_as_one(spark):
+    """Equal multisets in another order, one with a line twice, one whose ids lie the other way round."""
+    a = [("S", f"L{i}", "x") for i in range(12)]
+    b = [*a, *[("T", f"M{i}", "y") for i in range(4)]]
+    books = {5: a, 9: a[::-1], 7: [*a, a[0]], 1: b, 8: b}
+    got = {(r["a"], r["b"]): tuple(r)[2:] for r in match.likeness(spark.createDataFrame([(w, *r) for w, rows in books.items() for r in rows], "workbook_id int, sheet string, label string, shape string")).collect()}
+    assert set(got) == {(a, b) for a in books for b in books if a < b}
+    assert got[5, 9] == (*[100] * 6, 1, 1, 12, 12) and got[1, 8] == (*[100] * 6, 2, 2, 16, 16)
+    assert got[1, 5][4:] == (75, 100, 2, 1, 16, 12) and got[5, 8][4:] == (100, 75, 1, 2, 12, 16)
+    assert got[5, 7][4:] == (100, 92, 1, 1, 12, 13) and got[7, 9][4:] == (92, 100, 1, 1, 13, 12)
