@@ -313,7 +313,7 @@ def facts_to_cells(facts: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
     low or high) if it lies within half a unit of the last printed digit at one of the unit's scales, of either sign.
     Score: 3 times the share of the fact's words that the cell's label has, 1.5 for an anchor, half for a formula where
     the fact is a result (or a typed cell where it isn't), half for the same sign, .3 for the value itself.  Intervals
-    and cells meet in logarithmic buckets of a hundredth.
+    and cells meet in logarithmic buckets of a hundredth, wide intervals in 32 or 4,096 of these as one.
     """
     from .match import tokens
 
@@ -326,9 +326,12 @@ def facts_to_cells(facts: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
     bucket = lambda v: F.when(F.abs(v) < 1e-6, F.lit(-2000)).otherwise(F.floor(F.log(F.abs(v)) * 100)).cast("long")
     # an interval around 0 is that of a figure printed as 0: it meets all buckets up to its end
     near, far = F.when(F.col("lo") * F.col("hi") <= 0, 0.0).otherwise(F.least(F.abs("lo"), F.abs("hi"))), F.greatest(F.abs("lo"), F.abs("hi"))
-    f = f.withColumn("b", F.explode(F.sequence(bucket(near), bucket(far))))
-    c = cells.where("value <> 0").select("engagement_id", "cell_id", F.col("label").alias("cell_label"), "value", "is_formula", "is_anchor", bucket(F.col("value")).alias("b"))
-    hit = c.join(f, ["engagement_id", "b"]).where("value between lo and hi")
+    f = f.withColumns({"_near": bucket(near), "_far": bucket(far)})
+    f = f.withColumn("wide", F.when(F.col("_far") - F.col("_near") < 8, 1).when(F.col("_far") - F.col("_near") < 1024, 32).otherwise(4096))
+    f = f.withColumn("b", F.explode(F.sequence(F.floor(F.col("_near") / F.col("wide")), F.floor(F.col("_far") / F.col("wide"))))).drop("_near", "_far")
+    c = cells.where("value <> 0").select("engagement_id", "cell_id", F.col("label").alias("cell_label"), "value", "is_formula", "is_anchor", F.explode(F.array(F.lit(1), F.lit(32), F.lit(4096))).alias("wide"))
+    c = c.withColumn("b", F.floor(bucket(F.col("value")) / F.col("wide")))
+    hit = c.join(f, ["engagement_id", "wide", "b"]).where("value between lo and hi")
     overlap = F.size(F.array_intersect("want", tokens(F.col("cell_label")))) / F.greatest(F.lit(1), F.size("want"))
     score = 3 * overlap + F.when(F.col("is_anchor"), 1.5).otherwise(0.0) + F.when(F.col("is_formula") == F.col("result"), 0.5).otherwise(0.0) + F.when(F.col("sign") == 1, 0.5).otherwise(0.0) + F.when(F.col("part") == "value", 0.3).otherwise(0.0)
     hit = hit.withColumn("located", (overlap > 0) | F.col("is_anchor")).withColumn("score", F.round(score, 2))

@@ -6,13 +6,13 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from fleetroll.operators import docs, match
+from fleetroll.operators import docs, match, shape
 from fleetroll.plans import registry
 from fleetroll.sources.adapters import view
 
 
-def most_joined(df):
-    """Rows of the largest join of a query that was run."""
+def most_joined(df, kind="Join"):
+    """Rows that the largest join, or another kind of step, gives; the query is run."""
     df.collect()
 
     def walk(p):
@@ -20,7 +20,7 @@ def most_joined(df):
         if name == "AdaptiveSparkPlan":
             return walk(p.executedPlan())
         below = [p.children().apply(i) for i in range(p.children().size())] + ([p.plan()] if "QueryStage" in name else [])
-        own = p.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+        own = p.metrics().get("numOutputRows").get().value() if kind in name else 0
         return max([own, *map(walk, below)])
 
     return walk(df._jdf.queryExecution().executedPlan())
@@ -84,3 +84,14 @@ def test_rules_of_the_same_words_are_compared_as_one(spark):
     want = {(a, b, round(len(p & q) / len(p | q), 9)) for a, p in words.items() for b, q in words.items() if a < b and p and len(p & q) / max(1, len(p | q)) >= 0.75}
     assert {(r["rule_id"], r["other"], round(r["jaccard"], 9)) for r in found.collect()} == want
     assert most_joined(found) <= 2 * len(want) + 61
+
+
+def test_figures_printed_as_nought_do_not_meet_every_bucket(spark):
+    """0.0 billion is up to 50 million: a figure meets a few wide buckets, and all the cells up to there."""
+    facts = spark.createDataFrame([(e, 1, "Total value", "$bn", "conclusion", "$0.0", None, None) for e in range(100)], "engagement_id int, fact_id int, label string, unit string, category string, value_text string, low_text string, high_text string")
+    values = [1e-7, -1e-7, 0.3, -7.0, 1234.5, -4.9e7, 4.99e7, 5.1e7, 0.0]
+    cells = spark.createDataFrame([(e, i, "value", v, True, False) for e in range(100) for i, v in enumerate(values)], "engagement_id int, cell_id int, label string, value double, is_formula boolean, is_anchor boolean")
+    found = shape.facts_to_cells(facts, cells, k=1000)
+    got = {(r["engagement_id"], r["cell_id"], r["scale"], r["sign"]) for r in found.collect()}
+    assert got == {(e, i, s, g) for e in range(100) for i, v in enumerate(values) for s in (1.0, 1e3, 1e6, 1e9) for g in (1, -1) if v and abs(v) <= 0.05 * s}
+    assert most_joined(found, "Generate") <= 100 * 3 * len(values)
