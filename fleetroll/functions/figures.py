@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetroll.functions.text import DATES, SCALES
+from fleetroll.functions.text import DATES, SCALES, let
 
 _DIGITS = r"\d[\d,]*(?:\.\d+)?"
 _MONEY = r"[A-Z]{0,3}[$]|[€£]"
@@ -15,11 +13,6 @@ _MONEY = r"[A-Z]{0,3}[$]|[€£]"
 TOKEN = "|".join(["(?i:" + p + ")" for p, _ in DATES] + [_MONEY, r"'000\b", _DIGITS, r"\p{L}+", r"\s+", r"(?s:.)"])
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), 0)
 

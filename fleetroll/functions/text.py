@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ _PART = r"(\[-?\d+\]|\d+)"
 REFERENCE = rf"((?:'(?:[^']|'')+'|(?<![\w.])[A-Za-z_][\w.]*)!)?(?<![\w.])(?:(R){_PART}?(?:(C){_PART}?)?|(C){_PART})(?![\w(])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Lower case, runs of white space as one space."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
@@ -86,22 +93,25 @@ def _month(c: Column) -> Column:
 
 def dates(c: Column) -> Column:
     """Valid dates of a text in its order, each once a place: d Mon yyyy, Mon d yyyy, yyyy-mm-dd, d/m/yy (day first)."""
-    t = F.lower(F.coalesce(c, F.lit("")))
+    def placed(t: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
+        def one(x: Column) -> Column:
+            def made(p: Column) -> Column:
+                year = F.when(F.length(p["y"]) == 2, F.concat(F.lit("20"), p["y"])).otherwise(p["y"])
+                return F.try_to_date(F.concat_ws("-", year, F.lpad(_month(p["m"]).cast("string"), 2, "0"), F.lpad(p["d"], 2, "0")), "yyyy-MM-dd")
 
-    def placed(pattern: str, groups: tuple[int, int, int]) -> Column:
-        d, m, y = (lambda x, i=i: F.regexp_extract(x, pattern, i) for i in groups)
-        found, between = F.regexp_extract_all(t, F.lit(pattern), 0), F.split(t, pattern)
+            return let(F.struct(*[F.regexp_extract(x, pattern, i).alias(n) for n, i in zip("dmy", groups)]), made)
 
-        def one(x: Column) -> Column:
-            year = F.when(F.length(y(x)) == 2, F.concat(F.lit("20"), y(x))).otherwise(y(x))
-            return F.try_to_date(F.concat_ws("-", year, F.lpad(_month(m(x)).cast("string"), 2, "0"), F.lpad(d(x), 2, "0")), "yyyy-MM-dd")
+        def ranged(found: Column) -> Column:
+            # a match starts after the texts and matches before it
+            between = F.slice(F.split(t, pattern), 1, F.size(found))
+            step = F.zip_with(between, found, lambda b, x: F.struct(F.length(b).alias("gap"), F.length(x).alias("len"), one(x).alias("date")))
+            return F.aggregate(step, F.struct(F.lit(0).alias("end"), none.alias("out")), lambda s, x: F.struct((s["end"] + x["gap"] + x["len"]).alias("end"), F.concat(s["out"], F.array(F.struct((s["end"] + x["gap"]).alias("at"), x["date"].alias("date")))).alias("out")))["out"]
 
-        # a match starts after the texts and matches before it
-        step = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, x: F.struct(F.length(b).alias("gap"), F.length(x).alias("len"), one(x).alias("date")))
-        at = F.aggregate(step, F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<at:int,date:date>>)").alias("out")), lambda s, x: F.struct((s["end"] + x["gap"] + x["len"]).alias("end"), F.concat(s["out"], F.array(F.struct((s["end"] + x["gap"]).alias("at"), x["date"].alias("date")))).alias("out")))
-        return at["out"]
+        return let(F.regexp_extract_all(t, F.lit(pattern), 0), lambda found: F.when(F.size(found) == 0, none).otherwise(ranged(found)))
 
-    every = F.concat(*[placed(p, g) for p, g in DATES])
+    # what stands in a lambda is worked out anew wherever it is named: text, matches and their parts are each found once
+    none = F.expr("cast(array() as array<struct<at:int,date:date>>)")
+    every = let(F.lower(F.coalesce(c, F.lit(""))), lambda t: F.concat(*[placed(t, p, g) for p, g in DATES]))
     return F.transform(F.array_sort(F.array_distinct(F.filter(every, lambda x: x["date"].isNotNull()))), lambda x: x["date"])
 
 
