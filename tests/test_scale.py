@@ -1,6 +1,7 @@
 """Plans and results where tables are larger than the tests' own."""
 
 import datetime
+import glob
 import random
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetroll.operators import docs, match, shape
 from fleetroll.plans import registry
 from fleetroll.sources.adapters import view
+from fleetroll.sources.tables import shared_dir
 
 
 def most_joined(df, kind="Join"):
@@ -95,3 +97,16 @@ def test_figures_printed_as_nought_do_not_meet_every_bucket(spark):
     got = {(r["engagement_id"], r["cell_id"], r["scale"], r["sign"]) for r in found.collect()}
     assert got == {(e, i, s, g) for e in range(100) for i, v in enumerate(values) for s in (1.0, 1e3, 1e6, 1e9) for g in (1, -1) if v and abs(v) <= 0.05 * s}
     assert most_joined(found, "Generate") <= 100 * 3 * len(values)
+
+
+def test_families_of_copies_are_found_by_their_contents(spark, sf, tmp_path):
+    """Four models and this year's of them, 30 times: what is kept of their likeness doesn't grow with the pairs of copies."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (p_partkey + 600 * i AS p_partkey) FROM '{sf}/part.parquet', range(30) r(i) WHERE p_partkey < 200) TO '{tmp_path}/part.parquet'")
+    kept = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/likeness-*"))
+    before = kept()
+    cols = ["member", "family", "host", "held", "extra"]
+    got = {tuple(r) for r in registry.queries()["j28_families"](spark, str(tmp_path)).select(*cols).collect()}
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    assert got == set(con.execute(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()['j28_families']})").fetchall())
+    assert len(got) == 240 and sum(spark.read.parquet(p).count() for p in kept() - before) < 100
