@@ -26,8 +26,9 @@ def annual(series: DataFrame, method: Column, by: list[str], fy_end: int = 12, p
 
 
 def flows_by_fy(flows: DataFrame, dates: DataFrame, fy_end: int) -> DataFrame:
-    """Two versions' flows after their dates by financial year, side by side. ``flows`` has ``feed`` last or this."""
-    d = flows.join(dates, "feed").where("period_end > valuation_date").withColumn("fy", fy_year(F.col("period_end"), fy_end))
+    """Two versions' flows after their dates by financial year, side by side. ``flows`` has ``feed`` last or this, ``dates`` a row for each."""
+    # two keys: a shuffle by them would leave all flows to two tasks
+    d = flows.join(F.broadcast(dates), "feed").where("period_end > valuation_date").withColumn("fy", fy_year(F.col("period_end"), fy_end))
     return d.groupBy("core_id", "fy").agg(F.sum(F.when(F.col("feed") == "last", F.col("cf"))).alias("last"), F.sum(F.when(F.col("feed") == "this", F.col("cf"))).alias("this"))
 
 

@@ -110,3 +110,8 @@ def test_families_of_copies_are_found_by_their_contents(spark, sf, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
     assert got == set(con.execute(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()['j28_families']})").fetchall())
     assert len(got) == 240 and sum(spark.read.parquet(p).count() for p in kept() - before) < 100
+
+
+def test_flows_of_two_feeds_are_not_left_to_two_tasks(spark, sf):
+    plan = registry.queries()["a2_flows_by_fy"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(feed" not in plan and "BroadcastHashJoin" in plan
