@@ -115,3 +115,10 @@ def test_families_of_copies_are_found_by_their_contents(spark, sf, tmp_path):
 def test_flows_of_two_feeds_are_not_left_to_two_tasks(spark, sf):
     plan = registry.queries()["a2_flows_by_fy"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(feed" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_points_are_made_in_several_tasks(spark):
+    """200 KB of file are one task, 120,000 points."""
+    d = view(spark, "/root/testdata/sf0.1", "model_points")
+    sizes = [r["n"] for r in d.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 120_000 and max(sizes) < 30_000
