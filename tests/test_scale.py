@@ -7,7 +7,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from fleetroll.operators import docs, match, shape
+from fleetroll.operators import cells, docs, match, shape
 from fleetroll.plans import registry
 from fleetroll.sources.adapters import view
 from fleetroll.sources.tables import shared_dir
@@ -122,3 +122,25 @@ def test_points_are_made_in_several_tasks(spark):
     d = view(spark, "/root/testdata/sf0.1", "model_points")
     sizes = [r["n"] for r in d.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 120_000 and max(sizes) < 30_000
+
+
+def test_links_of_little_in_common_find_the_workbook_with_most(spark):
+    """A renamed file's link shares a few cells with each workbook; the one with most is found, a copy by its smallest id."""
+    rng = random.Random(7)
+    books = {w: {p: rng.randrange(40) + 0.0 for p in rng.sample(range(900), 300)} for w in range(60)}
+    books[60] = dict(books[11])
+    saw = {k: {p: rng.randrange(40) + (5e-7 if p % 2 else 0.0) for p in rng.sample(range(900), 300)} for k in range(30)}
+    saw[30] = {p: v for p, v in books[11].items() if p % 3}
+    row = lambda i, name, c: [(i, name, "S", p // 9, p % 9, v) for p, v in c.items()]
+    schema = "{} int, name int, sheet string, row_no int, col int, value double"
+    theirs = spark.createDataFrame([x for w, c in books.items() for x in row(w, w // 4, c)], schema.format("workbook_id"))
+    own = spark.createDataFrame([x for k, c in saw.items() for x in row(k, k // 4 if k % 2 else -1 - k, c)], schema.format("link"))
+    got = {r["link"]: (r["workbook_id"], r["compared"], r["equal"]) for r in cells.link_agreement(own, theirs).collect()}
+    for k, c in saw.items():
+        all_ = []
+        for w, b in books.items():
+            if k % 2 == 0 or w // 4 == k // 4:
+                both = c.keys() & b.keys()
+                all_.append((-sum(abs(c[p] - b[p]) <= 1e-6 * max(1, abs(c[p])) for p in both), w, len(both)))
+        e, w, n = min(all_)
+        assert got[k] == (w, n, -e)
