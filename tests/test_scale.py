@@ -8,7 +8,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from fleetroll.operators import cells, docs, match, shape
+from fleetroll.operators import cells, docs, graph, match, shape
 from fleetroll.plans import registry
 from fleetroll.sources.adapters import view
 from fleetroll.sources.tables import shared_dir
@@ -156,3 +156,14 @@ def test_quotes_in_a_long_page_take_time_by_its_length(spark):
     began = time.time()
     assert sorted(r["quote_id"] for r in docs.quotes_in(quotes, pages).collect()) == list(range(5))
     assert time.time() - began < 60
+
+
+def test_lineage_walks_down_once(spark, monkeypatch):
+    walks, reach = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda *a, **k: walks.append(a[2]) or reach(*a, **k))
+    e = spark.createDataFrame([(1, 2, "direct"), (2, 3, "direct"), (1, 4, "offset"), (4, 5, "inactive")], "src int, dst int, kind string")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "node int")
+    kinds = nodes.selectExpr("node", "if(node = 4, 'series', 'inputs') AS kind")
+    got = {r["start"]: (r["upstream"], r["inputs"], r["via"]) for r in graph.lineage(e, nodes, kinds, nodes.where("node = 1")).collect()}
+    assert got == {1: (3, [3], [1]), 2: (1, [3], [2, 1]), 3: (0, [], [3, 2, 1]), 4: (0, [], [4, 1]), 5: (0, [], None)}
+    assert walks == ["down"]
