@@ -69,7 +69,9 @@ def labels_over(facts: DataFrame, terms: dict[str, str], others: str) -> DataFra
     f = t.select("*", placed_figures(F.col("t")).alias("f"))
     start = lambda i: F.when(i == 0, 0).otherwise(F.get("f", i - 1)["to"])
     between = F.transform(F.sequence(F.lit(0), F.size("f")), lambda i: F.struct(F.array_join(F.slice("t", start(i) + 1, F.coalesce(F.get("f", i)["at"], F.size("t")) - start(i)), "").alias("words"), F.get("f", i).alias("figure")))
-    line = f.where("size(f) > 0 AND size(wanted) > 0").select("fact_id", "key", "wanted", "percent", F.posexplode(between).alias("i", "x")).select("fact_id", "key", "wanted", "percent", "i", "x.*")
+    # a condition before explode, which adds one itself, would read all figures a second time for it
+    some = F.when((F.size("f") > 0) & (F.size("wanted") > 0), between)
+    line = f.select("fact_id", "key", "wanted", "percent", F.posexplode_outer(some).alias("i", "x")).where("i IS NOT NULL").select("fact_id", "key", "wanted", "percent", "i", "x.*")
     said = F.coalesce(*[F.when(F.col("key") == k, F.when(F.col("words").rlike(p), "own").otherwise(F.regexp_extract("words", "|".join([f"(?:{o})" for n, o in terms.items() if o != p] + [f"(?:{others})"]), 0))) for k, p in terms.items()])
     w = Window.partitionBy("fact_id").orderBy("i")
     line = line.withColumn("said", F.nullif(said, F.lit("")))

@@ -8,7 +8,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from fleetroll.operators import cells, docs, graph, match, shape
+from fleetroll.operators import cells, docs, facts, graph, match, shape
 from fleetroll.plans import registry
 from fleetroll.sources.adapters import view
 from fleetroll.sources.tables import shared_dir
@@ -167,3 +167,10 @@ def test_lineage_walks_down_once(spark, monkeypatch):
     got = {r["start"]: (r["upstream"], r["inputs"], r["via"]) for r in graph.lineage(e, nodes, kinds, nodes.where("node = 1")).collect()}
     assert got == {1: (3, [3], [1]), 2: (1, [3], [2, 1]), 3: (0, [], [3, 2, 1]), 4: (0, [], [4, 1]), 5: (0, [], None)}
     assert walks == ["down"]
+
+
+def test_labels_read_each_text_once(spark):
+    f = spark.createDataFrame([(1, "equity", "A$5m", "equity value A$5m", False), (2, "equity", "A$5m", "net debt A$5m", False), (3, "equity", "none", "none", False)], "fact_id int, key string, stated string, quote string, percent boolean")
+    over = facts.labels_over(f, {"equity": "equity value"}, "net debt")
+    assert [tuple(r) for r in over.collect()] == [(2, "net debt")]
+    assert over._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
