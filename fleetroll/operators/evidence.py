@@ -7,12 +7,15 @@ evidence is a table ``(workbook_id, row_no, cur_row, score)``; all joins are wit
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetroll.functions.figures import let
 from fleetroll.sources.tables import written
 
-from .match import check, norm, sheets, tokens
+from .match import norm, sheets, tokens
 
 KEY = ["workbook_id", "row_no"]
 PAIR = ["workbook_id", "row_no", "cur_row"]
@@ -108,23 +111,83 @@ def by_block(blocks: DataFrame, blocks_now: DataFrame, least: float = 0.5, k: in
     return _best(d, k)
 
 
-def pair_scores(rows: DataFrame, rows_now: DataFrame, series: DataFrame, series_now: DataFrame) -> DataFrame:
-    """How surely a row is another by what they are: the same label 1, last year's numbers .8, most of the label's words .6."""
-    a = rows.select("workbook_id", "row_no", norm(F.col("label")).alias("item"), tokens(F.col("label")).alias("t"))
-    b = rows_now.select("workbook_id", F.col("row_no").alias("cur_row"), norm(F.col("label")).alias("item"), tokens(F.col("label")).alias("u"))
+def pair_scores(rows: DataFrame, rows_now: DataFrame, series: DataFrame, series_now: DataFrame, agree: DataFrame | None = None) -> DataFrame:
+    """How surely a row is another by what they are: the same label 1, last year's numbers .8, most of the label's words .6.
+
+    ``agree`` is ``numbers_agree`` of the same tables, where that is written already.
+    """
+    agree = numbers_agree(rows, rows_now, series, series_now) if agree is None else agree
+    words = lambda d: F.sort_array(F.transform(tokens(F.col("label")), lambda x: F.xxhash64(x)))
+    a = rows.select("workbook_id", "row_no", norm(F.col("label")).alias("item"), words(rows).alias("t"))
+    b = rows_now.select("workbook_id", F.col("row_no").alias("cur_row"), norm(F.col("label")).alias("item"), words(rows_now).alias("u"))
     same = a.where("item <> ''").join(b.drop("u"), ["workbook_id", "item"]).select(*PAIR, F.lit(1.0).alias("q"))
-    w = a.withColumn("w", F.explode("t")).join(b.withColumnRenamed("item", "cur_item").withColumn("w", F.explode("u")), ["workbook_id", "w"])
-    both = w.groupBy(*PAIR).agg(F.count("*").alias("n"), F.first(F.size("t")).alias("x"), F.first(F.size("u")).alias("y"))
-    words = both.where("n / (x + y - n) >= 0.5").select(*PAIR, F.lit(0.6).alias("q"))
-    return same.union(words).union(numbers_agree(rows, rows_now, series, series_now).select(*PAIR, F.lit(0.8))).groupBy(*PAIR).agg(F.max("q").alias("q"))
+    # labels that share half of their words share one of the first half of each, and one; they are compared at the first they share
+    half = lambda c: F.explode(F.slice(c, 1, (F.size(c) / 2).cast("int") + 1))
+    w = a.drop("item").withColumn("w", half(F.col("t"))).join(b.drop("item").withColumn("w", half(F.col("u"))), ["workbook_id", "w"])
+    near = let(F.array_intersect("t", "u"), lambda i: (F.array_min(i) == F.col("w")) & (F.size(i) / (F.size("t") + F.size("u") - F.size(i)) >= 0.5))
+    q = same.union(w.where(near).select(*PAIR, F.lit(0.6))).union(agree.select(*PAIR, F.lit(0.8)))
+    return _listed(q).select(*KEY, F.inline("found")).select(*PAIR, "q")
 
 
-def numbers_agree(rows: DataFrame, rows_now: DataFrame, series: DataFrame, series_now: DataFrame, tol: float = 0.15) -> DataFrame:
-    """Pairs that carry last year's numbers: near in half of the periods and three, and holding in ``match.check``."""
-    from .match import near
+def _listed(scores: DataFrame) -> DataFrame:
+    """(workbook_id, row_no, found array<struct<cur_row, q>>): a row's candidates in one list, each with its highest q."""
+    up = F.sort_array(F.collect_list(F.struct("cur_row", (-F.col("q")).alias("q"))))
+    one = let(up, lambda x: F.filter(x, lambda p, i: (i == 0) | (F.get(x, i - 1)["cur_row"] != p["cur_row"])))
+    return scores.groupBy(*KEY).agg(F.transform(one, lambda p: F.struct(p["cur_row"].alias("cur_row"), (-p["q"]).alias("q"))).alias("found"))
 
-    cand = near(series, series_now, tol, k=1_000_000)
-    return check(cand.select("workbook_id", "sheet", "row_no", "cur_sheet", "cur_row"), series, series_now, tol).where("holds").select(*PAIR)
+
+def numbers_agree(rows: DataFrame, rows_now: DataFrame, series: DataFrame, series_now: DataFrame, tol: float = 0.15, share: float = 0.5, cover: float = 0.8) -> DataFrame:
+    """Pairs that carry last year's numbers: near in half of the periods and three (``match.near``), and holding in ``match.check``.
+
+    A row travels with all its points.  Values fall into logarithmic buckets as wide as the tolerance; near in h of n periods,
+    two rows are so in one of the first n - h + 1, so these buckets are enough, and at the smallest they share they are compared.
+    """
+    width = math.log1p(tol)
+    bucket = lambda v: F.floor(F.log(v) / width).cast("int")
+    at = F.sort_array(F.collect_list(F.when(F.col("period_end").isNotNull(), F.struct("period_end", "value"))))
+    once = let(at, lambda x: F.filter(x, lambda p, i: (i == 0) | (F.get(x, i - 1)["period_end"] != p["period_end"])))
+    line = lambda d: d.groupBy("workbook_id", "sheet", "row_no").agg(once.alias("at"), F.count_if(F.col("value") != 0).alias("n"))
+    figures = F.filter(F.col("at")["value"], lambda v: v != 0)
+    least = F.greatest(F.lit(3), F.ceil(F.col("n") * share)).cast("int")
+    band = lambda v: F.sequence(bucket(F.abs(v) * (1 - tol) * (1 - 1e-9)), bucket(F.abs(v) * (1 + tol) * (1 + 1e-9)))
+    p = line(series).select(*KEY, F.map_from_entries("at").alias("p"), least.alias("least"), figures.alias("v"))
+    first = F.slice("v", 1, F.greatest(F.lit(0), F.size("v") - F.col("least") + 1))
+    p = p.withColumn("bs", F.array_distinct(F.flatten(F.transform(first, band)))).drop("v").withColumn("b", F.explode("bs"))
+    dates = series_now.where("period_end is not null").groupBy("workbook_id", "sheet").agg(F.sort_array(F.collect_set("period_end")).alias("dates"))
+    c = line(series_now).join(dates, ["workbook_id", "sheet"]).select("workbook_id", F.col("row_no").alias("cur_row"), F.map_from_entries("at").alias("c"), "dates", F.array_distinct(F.transform(figures, lambda v: bucket(F.abs(v)))).alias("cs"))
+    met = p.join(c.withColumn("b", F.explode("cs")), ["workbook_id", "b"]).where(F.array_min(F.array_intersect("bs", "cs")) == F.col("b"))
+    off = lambda v, w: F.abs(w - v)
+    hit = lambda v, w: (v != 0) & (w != 0) & (off(v, w) <= tol * F.abs(v))
+    close = lambda v, w: off(v, w) / F.greatest(F.abs(v), F.abs(w), F.lit(1e-12)) <= tol
+    # shared periods, near ones and close ones, each counted in 20 bits of a number
+    count = lambda k, v, w: F.when(off(v, w).isNotNull(), F.lit(1).cast("bigint") + F.when(hit(v, w), 1 << 20).otherwise(0) + F.when(close(v, w), 1 << 40).otherwise(0))
+    counts = F.aggregate(F.map_values(F.map_zip_with("p", "c", count)), F.lit(0).cast("bigint"), lambda t, n: t + F.coalesce(n, F.lit(0).cast("bigint")))
+    could = F.size(F.array_intersect(F.map_keys("p"), F.col("dates")))
+    part = lambda t, i: F.shiftright(t, i).bitwiseAND(F.lit((1 << 20) - 1))
+    # the upper median of the gaps is within the tolerance where more than half of them are
+    holds = lambda t: (part(t, 0) >= 3) & (part(t, 20) >= F.col("least")) & (part(t, 40) > F.floor(part(t, 0) / 2)) & (part(t, 0) >= cover * could)
+    return met.where(let(counts, holds)).select(*PAIR)
+
+
+def _steps(states: DataFrame, reads: DataFrame, reads_now: DataFrame, lists: DataFrame) -> DataFrame:
+    """Where a walk goes on from each pair of rows ``(workbook_id, down, x, y)``: ``steps array<struct<nx, c, p>>``, as ``by_trace`` says."""
+    state = ["workbook_id", "down", "x", "y"]
+    # of numbers of which just one is left, xor with the others leaves that one
+    odd = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda t, v: t.bitwiseXOR(v.cast("bigint")))
+    of = [F.size("nxs").alias("sibs"), odd(F.col("nxs")).alias("odd_x"), F.size("cs").alias("cands"), odd(F.col("cs")).alias("odd_c")]
+    s = states.join(reads, state[:3]).join(reads_now, ["workbook_id", "down", "y"]).select(*state, *of, "cs", F.explode("nxs").alias("nx"))
+    s = s.join(lists.withColumnRenamed("row_no", "nx"), ["workbook_id", "nx"], "left")
+    there = let(F.array_intersect(F.col("found")["cur_row"], F.col("cs")), lambda i: F.filter("found", lambda x: F.array_contains(i, x["cur_row"])))
+    best = F.sort_array(F.transform(there, lambda x: F.struct((-x["q"]).alias("q"), x["cur_row"].alias("c"))))
+    alone = let(best, lambda b: F.when((F.size(b) > 0) & (F.get(b, F.lit(0))["q"] <= -0.6) & ((F.size(b) == 1) | (F.get(b, F.lit(1))["q"] > F.get(b, F.lit(0))["q"])), F.struct("nx", F.get(b, F.lit(0))["c"].alias("c"), (-F.get(b, F.lit(0))["q"]).alias("p"))))
+    g = s.withColumn("step", alone).groupBy(*state, "sibs", "odd_x", "cands", "odd_c").agg(F.collect_list("step").alias("steps"))
+    # the one left: each of the others has a partner of .8 of its own, and one row of this year's has none
+    firm = g.withColumn("firm", F.filter("steps", lambda x: x["p"] >= 0.8))
+    one = (F.col("sibs") == F.col("cands")) & (F.size("firm") == F.col("sibs") - 1) & (F.size(F.array_distinct(F.col("firm")["c"])) == F.size("firm"))
+    left = [F.col(o).bitwiseXOR(odd(F.col("firm")[c])).cast(g.schema["steps"].dataType.elementType[c].dataType).alias(c) for o, c in (("odd_x", "nx"), ("odd_c", "c"))]
+    rest = firm.withColumn("rest", F.struct(*left, F.lit(0.6).alias("p")))
+    more = one & ~F.exists("steps", lambda x: x["nx"] == F.col("rest")["nx"])
+    return rest.select(*state, F.when(more, F.concat("steps", F.array("rest"))).otherwise(F.col("steps")).alias("steps"))
 
 
 def by_trace(edges: DataFrame, edges_now: DataFrame, anchors: DataFrame, scores: DataFrame, agree: DataFrame, depth: int = 6, most: int = 6, k: int = 3) -> DataFrame:
@@ -134,53 +197,48 @@ def by_trace(edges: DataFrame, edges_now: DataFrame, anchors: DataFrame, scores:
     from each way.  A step takes this year's row that pairs best, alone, by ``scores(..., q)`` of .6 and more; else,
     if each of the other rows next to the path has a partner of .8 of its own and as many rows are there this year, the
     one left, for .6.  A way's quality is the product of its steps.  Score: the best way, .2 for the other direction, .1
-    for every further way, .2 if the numbers agree, 1 at most.  Each hop's frontier is written.
+    for every further way, .2 if the numbers agree, 1 at most.  Each hop's frontier is written; the steps from a pair of
+    rows are found once, whichever anchors lead there.
     """
-    out = None
-    for down in (True, False):
-        e, n = (edges, edges_now) if down else (_turned(edges), _turned(edges_now))
-        # every hop reads these several times
-        e = written(e.select("workbook_id", F.col("src").alias("x"), F.col("dst").alias("nx")).distinct(), "reads")
-        n = written(n.select("workbook_id", F.col("src").alias("y"), F.col("dst").alias("c")).distinct(), "reads")
-        size = e.groupBy("workbook_id", "x").agg(F.count("*").alias("sibs")), n.groupBy("workbook_id", "y").agg(F.count("*").alias("cands"))
-        front = anchors.select("workbook_id", F.col("row_no").alias("anchor"), F.col("row_no").alias("x"), F.col("cur_row").alias("y"), F.lit(1.0).alias("q"))
-        ways = None
-        for hop in range(1, depth + 1):
-            step = front.join(e, ["workbook_id", "x"])
-            paired = step.join(n, ["workbook_id", "y"]).join(scores.select("workbook_id", F.col("row_no").alias("nx"), F.col("cur_row").alias("c"), F.col("q").alias("p")), ["workbook_id", "nx", "c"])
-            way = ["workbook_id", "anchor", "x", "y", "q"]
-            top = paired.groupBy(*way, "nx").agg(F.max("p").alias("p"), F.max_by("c", "p").alias("c"), F.expr("count_if(p >= 0.6)").alias("_n"), F.sort_array(F.collect_list("p"), asc=False).alias("_p"))
-            alone = top.where("p >= 0.6 and (size(_p) = 1 or _p[1] < p)").select(*way, "nx", "c", "p")
-            # the one left: each of the others has a partner of .8 of its own, and one row of this year's has none
-            firm = top.where("p >= 0.8 and (size(_p) = 1 or _p[1] < p)").groupBy(*way).agg(F.count("*").alias("firm"), F.collect_set("nx").alias("has"), F.collect_set("c").alias("used"))
-            rest = front.join(size[0], ["workbook_id", "x"]).join(size[1], ["workbook_id", "y"]).where("sibs = cands").join(firm, way, "left").where("coalesce(firm, 0) = sibs - 1 and coalesce(size(used), 0) = coalesce(firm, 0)")
-            left = rest.join(e, ["workbook_id", "x"]).where("not coalesce(array_contains(has, nx), false)").join(n, ["workbook_id", "y"]).where("not coalesce(array_contains(used, c), false)")
-            left = left.join(alone.select(*way, "nx"), [*way, "nx"], "left_anti").select(*way, "nx", "c", F.lit(0.6).alias("p"))
-            new = alone.union(left).select("workbook_id", "anchor", F.col("nx").alias("x"), F.col("c").alias("y"), (F.col("q") * F.col("p")).alias("q"))
-            # a row is walked to from an anchor by its shortest way, the best on a tie
-            new = new.groupBy("workbook_id", "anchor", "x").agg(F.max(F.struct("q", F.col("y"))).alias("b")).select("workbook_id", "anchor", "x", "b.y", "b.q").where("x <> anchor")
-            if ways is not None:
-                new = new.join(ways.select("workbook_id", "anchor", "x"), ["workbook_id", "anchor", "x"], "left_anti")
-            front = written(new, "trace")
-            if front.isEmpty():
-                break
-            step_ways = front.withColumn("hop", F.lit(hop))
-            ways = step_ways if ways is None else ways.union(step_ways)
-        if ways is None:
-            continue
-        w = Window.partitionBy("workbook_id", "x").orderBy("hop", "anchor")
-        ways = ways.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("workbook_id", F.col("x").alias("row_no"), F.col("y").alias("cur_row"), F.lit(down).alias("down"), "q")
-        out = ways if out is None else out.union(ways)
-    if out is None:
+    state = ["workbook_id", "down", "x", "y"]
+
+    def next_to(d: DataFrame, at: str, to: str) -> DataFrame:
+        both = d.select("workbook_id", F.lit(True).alias("down"), F.col("src").alias(at), F.col("dst").alias("_to")).union(d.select("workbook_id", F.lit(False), "dst", "src"))
+        return written(both.groupBy("workbook_id", "down", at).agg(F.collect_set("_to").alias(to)), "reads")
+
+    # every hop reads these
+    reads, reads_now, lists = next_to(edges, "x", "nxs"), next_to(edges_now, "y", "cs"), written(_listed(scores), "lists")
+    front = anchors.select("workbook_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("down"), F.col("row_no").alias("anchor"), F.col("row_no").alias("x"), F.col("cur_row").alias("y"), F.lit(1.0).alias("q"))
+    steps = ways = None
+    for hop in range(1, depth + 1):
+        states = front.select(*state).distinct()
+        if steps is not None:
+            states = states.join(steps.select(*state), state, "left_anti")
+        found = written(_steps(states, reads, reads_now, lists), "steps")
+        steps = found if steps is None else steps.union(found)
+        new = front.join(steps, state).select("workbook_id", "down", "anchor", "q", F.inline("steps")).where("nx <> anchor")
+        # a row is walked to from an anchor by its shortest way, the best on a tie
+        new = new.groupBy("workbook_id", "down", "anchor", F.col("nx").alias("x")).agg(F.max(F.struct((F.col("q") * F.col("p")).alias("q"), F.col("c").alias("y"))).alias("b")).select("workbook_id", "down", "anchor", "x", "b.y", "b.q")
+        if ways is not None:
+            new = new.join(ways.select("workbook_id", "down", "anchor", "x"), ["workbook_id", "down", "anchor", "x"], "left_anti")
+        front = written(new, "trace")
+        if front.isEmpty():
+            break
+        step_ways = front.withColumn("hop", F.lit(hop))
+        ways = step_ways if ways is None else ways.union(step_ways)
+    if ways is None:
         return anchors.select(*PAIR, F.lit(1.0).alias("score")).limit(0)
+    w = Window.partitionBy("workbook_id", "x", "down").orderBy("hop", "anchor")
+    out = ways.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("workbook_id", F.col("x").alias("row_no"), F.col("y").alias("cur_row"), "down", "q")
     g = out.groupBy(*PAIR).agg(F.max("q").alias("q"), F.count_distinct("down").alias("ways"), F.count("*").alias("all"))
-    g = g.join(agree.select(*PAIR).distinct().withColumn("_a", F.lit(0.2)), PAIR, "left")
-    score = F.col("q") + 0.2 * (F.col("ways") - 1) + 0.1 * (F.col("all") - F.col("ways")) + F.coalesce("_a", F.lit(0.0))
+    g = g.join(by_row(agree), KEY, "left")
+    score = F.col("q") + 0.2 * (F.col("ways") - 1) + 0.1 * (F.col("all") - F.col("ways")) + F.when(F.array_contains("found", F.col("cur_row")), 0.2).otherwise(0.0)
     return _best(g.withColumn("score", F.round(F.least(F.lit(1.0), score), 3)), k)
 
 
-def _turned(edges: DataFrame) -> DataFrame:
-    return edges.select("workbook_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+def by_row(pairs: DataFrame) -> DataFrame:
+    """(workbook_id, row_no, found): a row's pairs in one list, a fraction of the pairs in a shuffle."""
+    return pairs.groupBy(*KEY).agg(F.collect_set("cur_row").alias("found"))
 
 
 def home_rows(rows: DataFrame, rows_now: DataFrame) -> DataFrame:
@@ -224,7 +282,7 @@ def decide(
         t = t.withColumns({"_contra": F.lit(False), "_sig": F.lit(None).cast("long")})
     else:
         t = t.join(contradicted(t.select(*PAIR), series, series_now).withColumn("_c", F.lit(True)), PAIR, "left").withColumn("_contra", F.coalesce("_c", F.lit(False)))
-        sig = series_now.groupBy("workbook_id", F.col("row_no").alias("cur_row")).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("period_end", F.round("value", 6).alias("v"))))).alias("_sig"))
+        sig = series_now.groupBy("workbook_id", F.col("row_no").alias("cur_row")).agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("period_end", F.round("value", 6).alias("v"))))).alias("_sig"))
         t = t.join(sig, ["workbook_id", "cur_row"], "left")
     own = Window.partitionBy(*KEY)
     t = t.withColumn("_r", F.row_number().over(own.orderBy(F.col("sure").desc(), F.col("strong").desc(), F.col("total").desc(), "cur_row")))

@@ -84,9 +84,9 @@ def j7(spark, sf):
     """A walk of several hops; a test holds it against brute force."""
     e, en, r, rn, s, sn = _v(spark, sf, "edges", "edges_now", "rows", "rows_now", "points", "points_now")
     agree = written(evidence.numbers_agree(r, rn, s, sn), "agree")
-    scores = written(evidence.pair_scores(r, rn, s, sn), "scores")
     label = match.by_label(r, rn).where("how = 'label'").select("workbook_id", "row_no", "cur_row")
-    return evidence.by_trace(e, en, written(label.join(agree, PAIR, "left_semi"), "anchors"), scores, agree)
+    anchors = label.join(evidence.by_row(agree), ["workbook_id", "row_no"]).where(F.array_contains("found", F.col("cur_row"))).select(*PAIR)
+    return evidence.by_trace(e, en, written(anchors, "anchors"), evidence.pair_scores(r, rn, s, sn, agree), agree)
 
 
 _CELLS = lambda rows, now: f"SELECT workbook_id, row_no, CASE WHEN row_no % 4 = 1 THEN 0 ELSE 6 END + CASE WHEN {now} AND row_no % 6 = 0 THEN -6 ELSE 0 END AS n_formula, 6 - CASE WHEN row_no % 4 = 1 THEN 0 ELSE 6 END + CASE WHEN {now} AND row_no % 6 = 0 THEN 6 ELSE 0 END AS n_const FROM {rows}"

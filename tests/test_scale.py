@@ -8,7 +8,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from fleetroll.operators import cells, docs, facts, graph, match, shape
+from fleetroll.operators import cells, docs, evidence, facts, graph, match, shape
 from fleetroll.plans import registry
 from fleetroll.sources.adapters import view
 from fleetroll.sources.tables import shared_dir
@@ -174,3 +174,40 @@ def test_labels_read_each_text_once(spark):
     over = facts.labels_over(f, {"equity": "equity value"}, "net debt")
     assert [tuple(r) for r in over.collect()] == [(2, "net debt")]
     assert over._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+
+
+def test_numbers_that_agree_meet_once(spark):
+    """Rows are compared once, with all their points, not a period at a time; as the checks one after the other say."""
+    rng = random.Random(5)
+    day = lambda k: datetime.date(2020 + k, 12, 31)
+    series, now = [], []
+    for w in range(2):
+        for r in range(40):
+            v = [rng.choice([0.0, None, 100.0, -100.0, rng.uniform(80, 130), 40.0 * 1.2**k]) for k in range(8)] if r % 3 else [rng.uniform(98, 102) for _ in range(8)]
+            series += [(w, f"S{r % 2}", r, day(k), x) for k, x in enumerate(v) if rng.random() < 0.95]
+            now += [(w, f"S{r % 2}", r + 3, day(k), None if x is None else x * rng.choice([1.0, 1.0, 1.1, 1.16, 2.0])) for k, x in enumerate(v) if rng.random() < 0.85]
+    a, b = (spark.createDataFrame(x, "workbook_id int, sheet string, row_no int, period_end date, value double") for x in (series, now))
+    found = evidence.numbers_agree(None, None, a, b)
+    got = sorted(tuple(r) for r in found.collect())
+    cand = match.near(a, b, 0.15, k=1_000_000).select("workbook_id", "sheet", "row_no", "cur_sheet", "cur_row")
+    want = sorted((r["workbook_id"], r["row_no"], r["cur_row"]) for r in match.check(cand, a, b, 0.15).where("holds").collect())
+    assert got == want and len(want) > 200
+    # before, each pair met in each of its eight periods
+    assert most_joined(found) <= 2 * len(want)
+
+
+def test_steps_are_found_once_for_all_anchors(spark, monkeypatch):
+    """60 anchors lead to one row that leads to 60 rows: the steps from there are looked up once, not for each anchor."""
+    joined, write = [], evidence.written
+    monkeypatch.setattr(evidence, "written", lambda d, name: joined.append(most_joined(d)) or write(d, name))
+    n = 60
+    edges = [(1, a, 100) for a in range(n)] + [(1, 100, 200 + b) for b in range(n)]
+    rows = [*range(n), 100, *range(200, 200 + n)]
+    f = spark.createDataFrame
+    e, pairs = f(edges, "workbook_id int, src int, dst int"), f([(1, r, r) for r in rows], "workbook_id int, row_no int, cur_row int")
+    scores = f([(1, r, r, 1.0) for r in rows], "workbook_id int, row_no int, cur_row int, q double")
+    anchors = f([(1, a, a) for a in range(n)], "workbook_id int, row_no int, cur_row int")
+    got = {(r["row_no"], r["cur_row"]): r["score"] for r in evidence.by_trace(e, e, anchors, scores, pairs).collect()}
+    assert set(got) == {(r, r) for r in rows[n:]} and set(got.values()) == {1.0}
+    # before, 60 anchors by 60 rows by 60 of this year's rows
+    assert max(joined) <= 2 * n * n
