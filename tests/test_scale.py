@@ -9,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from fleetroll.operators import cells, docs, evidence, facts, graph, match, shape
-from fleetroll.plans import registry
+from fleetroll.plans import q_cells, registry
 from fleetroll.sources.adapters import view
 from fleetroll.sources.tables import shared_dir
 
@@ -211,3 +211,34 @@ def test_steps_are_found_once_for_all_anchors(spark, monkeypatch):
     assert set(got) == {(r, r) for r in rows[n:]} and set(got.values()) == {1.0}
     # before, 60 anchors by 60 rows by 60 of this year's rows
     assert max(joined) <= 2 * n * n
+
+
+def test_links_of_the_same_cells_are_compared_as_one(spark):
+    """200 names of four workbooks each, with the same four contents: a pair of contents is compared once, wherever it is found."""
+    rng = random.Random(11)
+    made = [{p: rng.choice([None, 1.0, 2.0, 3.0]) for p in rng.sample(range(60), 40)} for _ in range(4)]
+    books = {w: made[w % 4] for w in range(800)}
+    saw = {k: {p: None if v is None else v + (p % 7 == 0) for p, v in c.items()} for k, c in books.items()}
+    row = lambda i, name, c: [(i, name, "S", p // 9, p % 9, v) for p, v in c.items()]
+    schema = "{} int, name int, sheet string, row_no int, col int, value double"
+    theirs = spark.createDataFrame([x for w, c in books.items() for x in row(w, w // 4, c)], schema.format("workbook_id"))
+    own = spark.createDataFrame([x for k, c in saw.items() for x in row(k, -1 if k % 100 == 1 else k // 4, c)], schema.format("link"))
+    found = cells.link_agreement(own, theirs)
+    got = {r["link"]: (r["workbook_id"], r["compared"], r["equal"]) for r in found.collect()}
+    best = {}
+    for k in range(4):
+        for w in range(4):
+            both = saw[k].keys() & made[w].keys()
+            best[k, w] = (-sum(None not in (saw[k][p], made[w][p]) and abs(saw[k][p] - made[w][p]) <= 1e-6 * max(1, abs(saw[k][p])) for p in both), len(both))
+    for k in range(800):
+        e, w, n = min((best[k % 4, w % 4][0], w, best[k % 4, w % 4][1]) for w in (range(4) if k % 100 == 1 else range(k // 4 * 4, k // 4 * 4 + 4)))
+        assert got[k] == (w, n, -e)
+    # before, 792 links by four workbooks by the cells they share
+    assert most_joined(found) <= 2 * 3_200
+
+
+def test_cells_are_shuffled_once(spark):
+    d = q_cells._j20(spark, "/root/testdata/sf0.01")
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    placed = d.select("workbook_id", "sheet", F.spark_partition_id().alias("task")).distinct()
+    assert placed.count() == d.select("workbook_id", "sheet").distinct().count() and placed.select("task").distinct().count() == 8
